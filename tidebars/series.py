@@ -156,10 +156,18 @@ def with_series_values(
 
 
 def attach(
-    df: DataFrame, table: DataFrame, keys: Sequence[str] = SERIES, rows: int = BLOCK_ROWS
+    df: DataFrame,
+    table: DataFrame,
+    keys: Sequence[str] = SERIES,
+    rows: int = BLOCK_ROWS,
+    chunk: Column | None = None,
 ) -> DataFrame:
-    """Left-join a table of one row per series, spread over the series' chunks."""
-    chunked = with_chunk(df, rows)
+    """Left-join a table of one row per key, spread over the chunks of the key.
+
+    The small table is first joined to the list of chunks, so the join to the
+    rows has no key with more rows than one chunk holds.
+    """
+    chunked = with_chunk(df, rows) if chunk is None else df.withColumn(CHUNK, chunk)
     chunks = chunked.select(*keys, CHUNK).distinct()
     return chunked.join(chunks.join(table, list(keys), "left"), [*keys, CHUNK]).drop(CHUNK)
 
