@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebars.catalog import alignment, cleaning, inputs, windows  # noqa: F401
+from tidebars.catalog import alignment, cleaning, inputs, streams, trading, windows  # noqa: F401
 from tidebars.operators import indicators as ind
 
 

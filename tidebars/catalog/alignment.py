@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.catalog.cleaning import DIRTY, dirty
@@ -147,6 +150,7 @@ query(
     "default_holidays",
     f"""WITH {HOLIDAYS}, y AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders)
     SELECT date FROM holidays WHERE year(date) IN (SELECT y FROM y)""",
+    dates=("date",),
 )(
     lambda spark, sf: holidays(spark).join(
         order_years(spark, sf), F.year("date") == F.col("year"), "left_semi"
@@ -170,6 +174,7 @@ query(
     SELECT date FROM found WHERE year(date) BETWEEN 1992 AND 2000 UNION
     SELECT date FROM holidays WHERE year(date) BETWEEN 1992 AND 2000
       AND year(date) NOT IN (SELECT year(date) FROM found)""",
+    dates=("date",),
 )(lambda spark, sf: calendar.holiday_calendar(found_holidays(spark, sf), 1992, 2000))
 
 
@@ -197,7 +202,7 @@ def last_day_query(period):
     a AS (SELECT date, {ANCHORS[period]} AS anchor FROM (SELECT DISTINCT o_orderdate::DATE AS date FROM orders)),
     f AS (SELECT date, {found} AS found FROM a)
     SELECT date, {value} AS last_trading_day FROM f"""
-    query(f"last_trading_day_{period}", sql)(build)
+    query(f"last_trading_day_{period}", sql, dates=("date", "last_trading_day"))(build)
 
 
 for _period in ANCHORS:
@@ -236,7 +241,7 @@ expected AS (SELECT DISTINCT symbol, timeframe, found AS date FROM anchored JOIN
   WHERE timeframe NOT IN ('1d', '1w') OR found >= date),
 actual AS (SELECT DISTINCT symbol, timeframe, ts::DATE AS date FROM bars)"""
 PERIODS = f"WITH {PERIOD_BARS},{HOLIDAYS},{EXPECTED}"
-query("expected_periods", f"{PERIODS} SELECT * FROM expected")(
+query("expected_periods", f"{PERIODS} SELECT * FROM expected", dates=("date",))(
     lambda spark, sf: integrity.expected_periods(period_bars(spark, sf), holidays(spark))
 )
 ISSUE = "symbol, timeframe, {ts} AS ts, '{check}' AS \"check\", {column} AS \"column\", {observed} AS observed, {expected} AS expected, {reasons} AS reasons"
@@ -316,27 +321,23 @@ for _name, _sql, _check in (
 
 # --- intraday slots --------------------------------------------------------
 SLOTS = """
-slots AS (SELECT m, strftime(TIME '00:00' + to_minutes(s), '%H:%M') AS slot
+slots AS (SELECT m, lpad((s // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS slot
   FROM (VALUES (5), (15), (60)) AS steps(m), range(0, 1440) AS r(s)
   WHERE (s > 570 AND s <= 690 AND (s - 570) % m = 0) OR (s > 780 AND s <= 900 AND (s - 780) % m = 0))"""
-query(
+
+
+@query(
     "trading_slots",
-    f"""WITH {SLOTS.replace("strftime(TIME '00:00' + to_minutes(s), '%H:%M')", "lpad((s // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0')")},
-    d AS (SELECT DISTINCT ts::DATE AS date FROM events)
+    f"""WITH {SLOTS}, d AS (SELECT DISTINCT ts::DATE AS date FROM events)
     SELECT date, m AS minutes, slot FROM d, slots""",
-)(
-    lambda spark, sf: __import__("functools").reduce(
-        lambda a, b: a.unionByName(b),
-        [
-            calendar.trading_slots(
-                table(spark, sf, "events").select(F.to_date("ts").alias("date")).distinct(), m
-            ).withColumn("minutes", F.lit(m))
-            for m in (5, 15, 60)
-        ],
-    )
+    dates=("date",),
 )
-SLOT_TEXT = "lpad((s // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0')"
-SLOTS = SLOTS.replace("strftime(TIME '00:00' + to_minutes(s), '%H:%M')", SLOT_TEXT)
+def trading_slots(spark, sf):
+    days = table(spark, sf, "events").select(F.to_date("ts").alias("date")).distinct()
+    parts = [calendar.trading_slots(days, m).withColumn("minutes", F.lit(m)) for m in (5, 15, 60)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 GAPS = f""",{SLOTS},
 open_days AS (SELECT DISTINCT symbol, timeframe, ts::DATE AS date FROM intraday
   WHERE isodow(ts) <= 5 AND ts::DATE NOT IN (SELECT date FROM holidays)),
@@ -392,6 +393,7 @@ FORMATS = ["d MMM", "MMM d", "dd MMMM", "MMMM dd", "dd.MM", "yyyy-MM-dd"]
 query(
     "parse_holiday_date",
     "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 6 THEN NULL ELSE o_orderdate::DATE END AS date FROM orders",
+    dates=("date",),
 )(
     lambda spark, sf: table(spark, sf, "orders").select(
         "o_orderkey",

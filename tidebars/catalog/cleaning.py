@@ -105,9 +105,9 @@ n AS (SELECT *,
   WINDOW up AS ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
          down AS ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT symbol, timeframe, ts, round(coalesce(close,
-  x0 + (x1 - x0) * (epoch_us(ts) - epoch_us(t0)) / (epoch_us(t1) - epoch_us(t0)), x0, x1), 5) AS close FROM n"""
+  x0 + (x1 - x0) * ((epoch_us(ts) - epoch_us(t0)) / (epoch_us(t1) - epoch_us(t0))), x0, x1), 9) AS close FROM n"""
 query("interpolate_time", f"WITH {GAPPY},{INTERPOLATE.replace('SOURCE', 'gappy')}")(
-    lambda spark, sf: rounded(clean.interpolate_time(gappy(spark, sf), ["close"]).select(*KEYS, "close"), 5, "close")
+    lambda spark, sf: rounded(clean.interpolate_time(gappy(spark, sf), ["close"]).select(*KEYS, "close"), 9, "close")
 )
 query(
     "ffill",
@@ -123,7 +123,7 @@ broken AS (SELECT symbol, timeframe, ts,
   CASE WHEN {DAY} % 11 = 0 OR {DAY} % 13 = 0 OR {DAY} % 17 = 0 THEN NULL ELSE close END AS close FROM daily),"""
 query("handle_nan_inf", f"WITH {DAILY},{INF}{INTERPOLATE.replace('SOURCE', 'broken')}")(
     lambda spark, sf: rounded(
-        clean.handle_nan_inf(infinite(spark, sf), ["x"]).select(*KEYS, F.col("x").alias("close")), 5, "close"
+        clean.handle_nan_inf(infinite(spark, sf), ["x"]).select(*KEYS, F.col("x").alias("close")), 9, "close"
     )
 )
 query(
@@ -224,7 +224,7 @@ def read_bars(spark, sf):
     return src.read_bars(spark, f"{path}/*.csv")
 
 
-@query("read_holidays", "SELECT DISTINCT o_orderdate::DATE AS date FROM orders")
+@query("read_holidays", "SELECT DISTINCT o_orderdate::DATE AS date FROM orders", dates=("date",))
 def read_holidays(spark, sf):
     path = new_path(spark, "holidays")
     dates = table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
@@ -329,6 +329,7 @@ query(
     f"""SELECT o_orderkey, {CODE_SQL} AS timeframe, (o_orderdate::DATE - CASE {CODE_SQL}
       WHEN '1w' THEN 7 * least(o_custkey * 9, 6000) WHEN '1mo' THEN 30 * least(o_custkey * 9, 2000)
       WHEN '1q' THEN 90 * least(o_custkey * 9, 500) ELSE o_custkey * 9 END::INT)::DATE AS start FROM orders""",
+    dates=("start",),
 )(
     lambda spark, sf: requests(spark, sf).select(
         "o_orderkey", "timeframe",

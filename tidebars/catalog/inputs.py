@@ -9,20 +9,31 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query, and the SQL that gives the same rows."""
+def query(name: str, sql: str | None = None, dates: tuple[str, ...] = ()):
+    """Register a query, and the SQL that gives the same rows.
+
+    ``dates`` are date columns, compared as text.
+    """
 
     def register(function):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = function
+        if dates:
+            text = {d: _as_text(d) for d in dates}
+            QUERIES[name] = lambda spark, sf: function(spark, sf).withColumns({d: t() for d, t in text.items()})
         if sql is not None:
-            SQL[name] = sql
+            replaced = ", ".join(f"{d}::VARCHAR AS {d}" for d in dates)
+            SQL[name] = f"SELECT * REPLACE ({replaced}) FROM ({sql})" if dates else sql
         return function
 
     return register
 
 
+def _as_text(column: str):
+    return lambda: F.col(column).cast("string")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -105,7 +116,7 @@ def rollup_sql(unit: str, code: str, name: str) -> str:
     return f"""
 {name} AS (
   SELECT symbol, '{code}' AS timeframe, max(ts) AS ts, arg_min(open, ts) AS open, max(high) AS high,
-         min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume
+         min(low) AS low, last(close ORDER BY ts) AS close, sum(volume) AS volume
   FROM daily GROUP BY symbol, date_trunc('{unit}', ts))"""
 
 

@@ -77,9 +77,9 @@ TRUE_RANGE = "greatest(high - low, abs(high - prev), abs(low - prev))"
 query(
     "atr",
     f"""WITH {DAILY}{changed("daily")}, t AS (SELECT *, {TRUE_RANGE} AS tr FROM b)
-    SELECT symbol, timeframe, ts, round(tr, 8) AS true_range, round(avg(tr) OVER {roll(14)}, 4) AS atr FROM t""",
+    SELECT symbol, timeframe, ts, round(tr, 8) AS true_range, round(avg(tr) OVER {roll(14)}, 6) AS atr FROM t""",
 )(
-    lambda spark, sf: rounded(over_bars(daily, 8, ind.atr)(spark, sf), 4, "atr")
+    lambda spark, sf: rounded(over_bars(daily, 8, ind.atr)(spark, sf), 6, "atr")
 )
 simple("momentum", daily, 8, DAILY, {"mom": f"close - lag(close, 10) OVER ({W})"}, ind.momentum)
 MA5, MA20 = f"avg(close) OVER {roll(5)}", f"avg(close) OVER {roll(20)}"
@@ -103,8 +103,13 @@ query(
            round(round_even(close * volume / 1e6 * 100.0::DOUBLE, 0) / 100, 2) AS value,
            round(round_even(close * 1.1::DOUBLE * 1000.0::DOUBLE, 0) / 1000, 3) AS upper_lim,
            round(round_even(close * 0.9::DOUBLE * 1000.0::DOUBLE, 0) / 1000, 3) AS lower_lim,
-           prev AS last_close, round((open + close + high + low) / 4, 8) AS average, volume AS volrate FROM s""",
-)(lambda spark, sf: rounded(over_bars(daily, 12, ind.price_stats)(spark, sf), 8, "average"))
+           prev AS last_close, (open + close + high + low) / 4 AS average, volume AS volrate FROM s""",
+)(
+    lambda spark, sf: rounded(
+        ind.with_indicators(daily(spark, sf), ind.price_stats()).select(*KEYS, *ind.price_stats().outputs),
+        3, "change", "pct_change", "value", "upper_lim", "lower_lim",
+    )
+)
 
 query(
     "obv",

@@ -56,10 +56,12 @@ def parse_holiday_date(text: Column, year: Column) -> Column:
     ``day.month``, ``month.day``, ``yyyy-mm-dd``."""
     lowered = F.lower(text)
 
+    numbers = F.create_map(
+        *[F.lit(v) for i, m in enumerate(MONTHS) for v in ([m, i + 1, m[:3], i + 1] if m != "may" else [m, i + 1])]
+    )
+
     def month_number(name: Column) -> Column:
-        return F.coalesce(
-            *[F.when((name == m) | (name == m[:3]), F.lit(i + 1)) for i, m in enumerate(MONTHS)]
-        )
+        return F.try_element_at(numbers, name)
 
     def part(pattern: str, group: int) -> Column:
         return F.nullif(F.regexp_extract(lowered, pattern, group), F.lit(""))
