@@ -126,7 +126,7 @@ query(
         intraday(spark, sf, (5,)).select("symbol", "ts", "close"),
         intraday(spark, sf, (60,)).select("symbol", "ts", F.col("volume").alias("long_volume")),
         ["symbol"],
-    )
+    ).drop("pos", "n")
 )
 
 # --- calendar --------------------------------------------------------------

@@ -47,7 +47,7 @@ query(
 )
 query(
     "join_nonempty",
-    """SELECT doc_id, coalesce(list_aggregate(list_filter(string_split(text, chr(10)), x -> x <> ''), 'string_agg', ';') || ';', '') AS joined
+    """SELECT doc_id, coalesce(list_aggregate(list_filter(string_split(text, chr(10)), lambda x: x <> ''), 'string_agg', ';') || ';', '') AS joined
     FROM documents""",
 )(
     lambda spark, sf: table(spark, sf, "documents").select(

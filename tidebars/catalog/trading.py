@@ -12,7 +12,7 @@ from tidebars.operators import indicators as ind
 from tidebars.operators import model, risk
 from tidebars.operators import signals as sg
 from tidebars.plans import pipeline
-from tidebars.series import staged
+from tidebars.series import staged, with_position
 
 PART = "PARTITION BY symbol, timeframe"
 
@@ -23,11 +23,12 @@ FEATURES = ["returns", "trend_strength", "atr", "volatility_p"]
 
 
 def scored(spark, sf):
+    numbered = with_position(intraday(spark, sf))
     bars = ind.with_indicators(
-        intraday(spark, sf), ind.returns(), ind.trend_strength(), ind.atr(), ind.volatility_partial()
+        numbered, ind.returns(), ind.trend_strength(), ind.atr(), ind.volatility_partial()
     )
     minute = F.minute("ts") + F.dayofmonth("ts") * 7
-    return bars.select(*KEYS, "volume", *FEATURES).withColumns(
+    return bars.select(*KEYS, "pos", "n", "volume", *FEATURES).withColumns(
         {
             "p0": ((minute * 13) % 41 - 20) / F.lit(20.0),
             "p1": (minute % 11) / F.lit(10.0),
@@ -177,11 +178,11 @@ FROM s LEFT JOIN r ON r.symbol = s.symbol AND r.timeframe = s.timeframe AND r.ta
 
 @query("risk_adjust", f"WITH {SIGNALS}{ADJUST}")
 def risk_adjust(spark, sf):
-    rows = scored(spark, sf)
-    known = risk_rows(rows).filter(
-        (F.col("timeframe") != "60m") & (F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz"))
-    )
-    adjusted = risk.risk_adjust(sg.signals(rows).select(*KEYS, *FIELDS), known)
+    rows = staged(scored(spark, sf))
+    late = F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")
+    known = risk_rows(rows).filter((F.col("timeframe") != "60m") & late)
+    signals = sg.signals(rows).select(*KEYS, "pos", "n", *FIELDS)
+    adjusted = risk.risk_adjust(signals, known).drop("pos", "n")
     return rounded(adjusted, 6, "signal_strength", "entry_level", "stop_loss")
 
 
@@ -219,7 +220,7 @@ pnl AS (SELECT symbol, timeframe, ts, coalesce(position_size * returns, 0) AS pn
 
 
 def results(spark, sf):
-    rows = scored(spark, sf)
+    rows = staged(scored(spark, sf))
     return bt.pnl(sg.signals(rows), rows)
 
 
@@ -234,8 +235,8 @@ query(
 )
 
 # --- backtest --------------------------------------------------------------
-query("pnl", f"WITH {SIGNALS},{PNL} SELECT symbol, timeframe, ts, round(pnl, 8) AS pnl FROM pnl")(
-    lambda spark, sf: rounded(results(spark, sf), 8, "pnl")
+query("pnl", f"WITH {SIGNALS},{PNL} SELECT symbol, timeframe, ts, round(pnl, 11) AS pnl FROM pnl")(
+    lambda spark, sf: rounded(results(spark, sf).drop("pos", "n"), 11, "pnl")
 )
 # Small steady results: no zero, so the ratio is defined.
 STEADY = DAILY + f""",
@@ -282,12 +283,12 @@ summary AS (SELECT symbol, timeframe, round(sum(pnl), 6) AS pnl, round(min(fall)
 FIGURES = ("pnl", "sharpe_ratio", "max_drawdown", "total_return", "win_rate")
 query(
     "backtest",
-    f"""WITH {SIGNALS},{PNL},{CURVE.replace('SOURCE', 'pnl')},{CHANGES.replace('SOURCE', 'pnl')},{METRICS}
+    f"""WITH {SIGNALS.replace('least(abs(p0), 1.0)', 'least(abs(p0), 0.001)')},{PNL},{CURVE.replace('SOURCE', 'pnl')},{CHANGES.replace('SOURCE', 'pnl')},{METRICS}
     SELECT symbol, timeframe, pnl, round(sharpe_ratio, 6) AS sharpe_ratio, max_drawdown, total_return, win_rate
     FROM summary JOIN ratios USING (symbol, timeframe)""",
 )(
     lambda spark, sf: rounded(
-        (lambda rows: bt.backtest(sg.signals(rows), rows))(staged(scored(spark, sf))), 6, *FIGURES
+        (lambda rows: bt.backtest(sg.signals(rows, 0.001), rows))(staged(scored(spark, sf))), 6, *FIGURES
     )
 )
 query(

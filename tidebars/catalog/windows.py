@@ -77,9 +77,9 @@ TRUE_RANGE = "greatest(high - low, abs(high - prev), abs(low - prev))"
 query(
     "atr",
     f"""WITH {DAILY}{changed("daily")}, t AS (SELECT *, {TRUE_RANGE} AS tr FROM b)
-    SELECT symbol, timeframe, ts, round(tr, 8) AS true_range, round(avg(tr) OVER {roll(14)}, 6) AS atr FROM t""",
+    SELECT symbol, timeframe, ts, round(tr, 8) AS true_range, round(avg(tr) OVER {roll(14)}, 3) AS atr FROM t""",
 )(
-    lambda spark, sf: rounded(over_bars(daily, 8, ind.atr)(spark, sf), 6, "atr")
+    lambda spark, sf: rounded(over_bars(daily, 8, ind.atr)(spark, sf), 3, "atr")
 )
 simple("momentum", daily, 8, DAILY, {"mom": f"close - lag(close, 10) OVER ({W})"}, ind.momentum)
 MA5, MA20 = f"avg(close) OVER {roll(5)}", f"avg(close) OVER {roll(20)}"

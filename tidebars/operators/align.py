@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebars.series import SERIES, epoch_seconds, with_position
+from tidebars.series import SERIES, epoch_seconds, from_end
 from tidebars.timeframes import MINUTES, canonical, minutes_of
 
 BARS = ("open", "high", "low", "close", "volume")
@@ -187,13 +187,10 @@ def tail_align(a: DataFrame, b: DataFrame, keys: Sequence[str] = SERIES) -> Data
     """Pair two tables row by row from the end, to the shorter of the two.
 
     ``tail`` counts rows from the end, 0 being the last.  Columns of ``b`` that
-    ``a`` has too are left out.
+    ``a`` has too are left out.  ``pos`` and ``n`` number the pairs.
     """
-
-    def from_end(df: DataFrame) -> DataFrame:
-        numbered = with_position(df, keys)
-        return numbered.withColumn("tail", F.col("n") - 1 - F.col("pos")).drop("pos", "n")
-
-    extra = [c for c in b.columns if c not in a.columns]
-    right = from_end(b).select(*keys, "tail", *extra)
-    return from_end(a).join(right, [*keys, "tail"])
+    extra = [c for c in b.columns if c not in a.columns and c not in ("pos", "n")]
+    left = from_end(a, keys).withColumnRenamed("n", "_n")
+    right = from_end(b, keys).select(*keys, "tail", "n", *extra)
+    paired = left.join(right, [*keys, "tail"]).withColumn("n", F.least("n", "_n")).drop("_n")
+    return paired.withColumn("pos", F.col("n") - 1 - F.col("tail"))

@@ -10,7 +10,16 @@ from pyspark.sql import functions as F
 
 from tidebars.operators.align import tail_align
 from tidebars.operators.indicators import Indicator, with_indicators
-from tidebars.series import BLOCK_ROWS, CHUNK, SERIES, block_window, with_carry, with_chunk
+from tidebars.series import (
+    BLOCK,
+    BLOCK_ROWS,
+    CHUNK,
+    SERIES,
+    block_window,
+    position_columns,
+    with_carry,
+    with_chunk,
+)
 
 YEAR = math.sqrt(252)
 RISK_FREE = 0.02
@@ -18,15 +27,14 @@ RISK_FREE = 0.02
 
 def pnl(signals: DataFrame, bars: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """Position times return, both taken from the end; null counts as 0."""
-    paired = tail_align(
-        bars.select(*keys, "ts", "returns"), signals.select(*keys, "ts", "position_size"), keys
-    )
+    returns = bars.select(*keys, "ts", *position_columns(bars), "returns")
+    positions = signals.select(*keys, "ts", *position_columns(signals), "position_size")
     value = F.coalesce(F.col("position_size") * F.col("returns"), F.lit(0.0))
-    return paired.select(*keys, "ts", value.alias("pnl"))
+    return tail_align(returns, positions, keys).select(*keys, "ts", "pos", "n", value.alias("pnl"))
 
 
-def _local(keys: Sequence[str]):
-    return Window.partitionBy(*keys, CHUNK).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+def _local(keys: Sequence[str], chunk: str = CHUNK):
+    return Window.partitionBy(*keys, chunk).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def with_running(
@@ -36,12 +44,14 @@ def with_running(
     fold: str = "product",
     keys: Sequence[str] = SERIES,
     rows: int = BLOCK_ROWS,
+    chunk: str | None = None,
 ) -> DataFrame:
     """Running product of ``1 + column`` or running sum of it, and its peak so far.
 
     Adds ``name`` and ``<name>_peak``.  The running value of a chunk is the
     value carried in, times (plus) the chunk's own running value; so the peak
-    before a chunk follows from the chunks' own extremes.
+    before a chunk follows from the chunks' own extremes.  ``chunk`` names a
+    column that cuts the series already.
     """
     if fold == "product":
         step, unit = F.col(column) + 1, 1.0
@@ -53,8 +63,10 @@ def with_running(
     def join(a: Column, b: Column) -> Column:
         return a * b if fold == "product" else a + b
 
-    own = with_chunk(df, rows).withColumn("_own", total(step).over(_local(keys)))
-    series = Window.partitionBy(*keys).orderBy(CHUNK)
+    chunked = with_chunk(df, rows) if chunk is None else df
+    cut = chunk or CHUNK
+    own = chunked.withColumn("_own", total(step).over(_local(keys, cut)))
+    series = Window.partitionBy(*keys).orderBy(cut)
     before = series.rowsBetween(Window.unboundedPreceding, -1)
 
     def peaks(table: DataFrame) -> DataFrame:
@@ -72,10 +84,11 @@ def with_running(
         {"_total": total(step), "_high": F.max("_own"), "_low": F.min("_own")},
         earlier={"_total": total},
         keys=keys,
+        chunk=cut,
         finish=peaks,
     )
     value = carried.withColumn(name, join(F.col("_carried"), F.col("_own")))
-    peak = F.greatest(F.col("_peak_before"), F.max(name).over(_local(keys)))
+    peak = F.greatest(F.col("_peak_before"), F.max(name).over(_local(keys, cut)))
     return value.withColumn(f"{name}_peak", peak).select(*df.columns, name, f"{name}_peak")
 
 
@@ -139,11 +152,12 @@ def sharpe_of_pnl(df: DataFrame, keys: Sequence[str] = SERIES, rows: int = BLOCK
 
 
 def with_changes(df: DataFrame, keys: Sequence[str] = SERIES, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Relative change of the result, its jumps from zero, and the row's block."""
     window = block_window(keys)
     before = F.lag("pnl").over(window)
     change = {"pnl_change": F.try_divide(F.col("pnl"), before) - 1}
     change["pnl_jump"] = (before == 0) & (F.col("pnl") != 0)
-    return with_indicators(df, Indicator(tuple(change), (change,), 1), keys=keys, rows=rows)
+    return with_indicators(df, Indicator((*change, BLOCK), (change,), 1), keys=keys, rows=rows)
 
 
 def total_return(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
@@ -164,7 +178,8 @@ def _win_rate() -> Column:
 
 def metrics(results: DataFrame, keys: Sequence[str] = SERIES, rows: int = BLOCK_ROWS) -> DataFrame:
     """All five figures of a table of per-bar results, one row per series."""
-    run = with_running(with_changes(results, keys, rows), "pnl", "equity", "product", keys, rows)
+    changes = with_changes(results, keys, rows)
+    run = with_running(changes, "pnl", "equity", "product", keys, rows, chunk=BLOCK)
     return run.groupBy(*keys).agg(
         F.sum("pnl").alias("pnl"),
         _sharpe_of_change().alias("sharpe_ratio"),

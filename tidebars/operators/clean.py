@@ -45,13 +45,13 @@ def end_date(end) -> str:
 
 
 def filter_from(df: DataFrame, start) -> DataFrame:
-    return df.filter(F.col("ts") >= F.lit(str(start)).cast(df.schema["ts"].dataType))
+    return df.filter(F.col("ts") >= F.lit(str(start)).cast(df.schema["ts"].dataType)).drop("pos", "n")
 
 
 def filter_until(df: DataFrame, end, count: int, keys: Sequence[str] = SERIES) -> DataFrame:
     """The last ``count`` bars of each series up to ``end``."""
     limit = F.lit(end_date(end)).cast(df.schema["ts"].dataType)
-    return tail_n(df.filter(F.col("ts") <= limit), count, keys)
+    return tail_n(df.filter(F.col("ts") <= limit).drop("pos", "n"), count, keys)
 
 
 def to_utc(df: DataFrame, zone: str | None = None, column: str = "ts") -> DataFrame:
@@ -203,74 +203,82 @@ def finite(column: str) -> Column:
 
 def inf_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """NaN and infinite values become null."""
-    chosen = columns or [c for c in numeric_columns(df) if isinstance(df.schema[c].dataType, T.FractionalType)]
-    return df.withColumns({c: finite(c) for c in chosen}) if chosen else df
+    chosen = columns if columns is not None else numeric_columns(df)
+    fractional = [c for c in chosen if isinstance(df.schema[c].dataType, T.FractionalType)]
+    return df.withColumns({c: finite(c) for c in fractional}) if fractional else df
 
 
-def _neighbours(
-    df: DataFrame, columns: Sequence[str], back: bool, ahead: bool, keys: Sequence[str], rows: int
-) -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
-    """The nearest ``(ts, x)`` with a value at or before / at or after each row."""
-    chunked = with_chunk(df, rows)
-    totals, earlier, later = {}, {}, {}
-    for i, c in enumerate(columns):
-        point = F.struct(F.col("ts").alias("t"), F.col(c).cast("double").alias("x"))
-        when = F.when(F.col(c).isNotNull(), F.col("ts"))
-        if back:
-            totals[f"_l{i}"] = F.max_by(point, when)
-            earlier[f"_l{i}"] = lambda p: F.last(p, ignorenulls=True)
-        if ahead:
-            totals[f"_f{i}"] = F.min_by(point, when)
-            later[f"_f{i}"] = lambda p: F.last(p, ignorenulls=True)
-    carried = with_carry(chunked, totals, earlier, later, keys)
-    local = Window.partitionBy(*keys, CHUNK)
-    up = local.orderBy(F.col("ts").asc()).rowsBetween(Window.unboundedPreceding, 0)
-    down = local.orderBy(F.col("ts").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    before, after = {}, {}
-    for i, c in enumerate(columns):
-        point = F.when(F.col(c).isNotNull(), F.struct(F.col("ts").alias("t"), F.col(c).cast("double").alias("x")))
-        if back:
-            before[c] = F.coalesce(F.last(point, ignorenulls=True).over(up), F.col(f"_l{i}_before"))
-        if ahead:
-            after[c] = F.coalesce(F.last(point, ignorenulls=True).over(down), F.col(f"_f{i}_after"))
-    found = carried
-    if back:
-        found = found.withColumns({f"_b{i}": before[c] for i, c in enumerate(columns)})
-    if ahead:
-        found = found.withColumns({f"_a{i}": after[c] for i, c in enumerate(columns)})
-    return found, {c: F.col(f"_b{i}") for i, c in enumerate(columns)}, {
-        c: F.col(f"_a{i}") for i, c in enumerate(columns)
-    }
+def _with_neighbours(
+    df: DataFrame, columns: Sequence[str], sides: str, keys: Sequence[str], rows: int
+) -> DataFrame:
+    """Time and value of the nearest non-null cell of each column.
+
+    Side ``b`` looks at or before the row, ``a`` at or after; the columns are
+    ``_bt<i>, _bx<i>`` and ``_at<i>, _ax<i>`` for the i-th column.
+    """
+    picks = {"b": F.max_by, "a": F.min_by}
+    times = {"b": F.max, "a": F.min}
+    totals, folds, local = {}, {"b": {}, "a": {}}, {"b": {}, "a": {}}
+    for side in sides:
+        for i, c in enumerate(columns):
+            seen = F.when(F.col(c).isNotNull(), F.col("ts"))
+            value = F.col(c).cast("double")
+            totals |= {f"_{side}t{i}": times[side](seen), f"_{side}x{i}": picks[side](value, seen)}
+            local[side] |= {f"_{side}t{i}": seen, f"_{side}x{i}": value}
+            for name in (f"_{side}t{i}", f"_{side}x{i}"):
+                folds[side][name] = lambda x: F.last(x, ignorenulls=True)
+    carried = with_carry(with_chunk(df, rows), totals, folds["b"], folds["a"], keys)
+    window = Window.partitionBy(*keys, CHUNK)
+    order = {"b": F.col("ts").asc(), "a": F.col("ts").desc()}
+    suffix = {"b": "before", "a": "after"}
+    for side in sides:
+        upto = window.orderBy(order[side]).rowsBetween(Window.unboundedPreceding, 0)
+        carried = carried.withColumns(
+            {
+                name: F.coalesce(F.last(x, ignorenulls=True).over(upto), F.col(f"{name}_{suffix[side]}"))
+                for name, x in local[side].items()
+            }
+        )
+    return carried
 
 
 def interpolate_time(
     df: DataFrame, columns: Sequence[str], keys: Sequence[str] = SERIES, rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Fill gaps linearly in elapsed time; the ends take the nearest value."""
-    found, before, after = _neighbours(df, columns, True, True, keys, rows)
+    if not columns:
+        return df
+    found = _with_neighbours(df, columns, "ba", keys, rows)
 
     def elapsed(a: Column, b: Column) -> Column:
         return F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))
 
     filled = {}
-    for c in columns:
-        b, a = before[c], after[c]
-        share = F.try_divide(elapsed(b["t"], F.col("ts")), elapsed(b["t"], a["t"]))
-        line = b["x"] + (a["x"] - b["x"]) * share
-        filled[c] = F.coalesce(F.col(c).cast("double"), line, b["x"], a["x"])
+    for i, c in enumerate(columns):
+        t0, x0, t1, x1 = (F.col(f"_{n}{i}") for n in ("bt", "bx", "at", "ax"))
+        share = F.try_divide(elapsed(t0, F.col("ts")), elapsed(t0, t1))
+        filled[c] = F.coalesce(F.col(c).cast("double"), x0 + (x1 - x0) * share, x0, x1)
     return found.withColumns(filled).select(*df.columns)
 
 
 def ffill(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = SERIES, rows: int = BLOCK_ROWS) -> DataFrame:
     """Carry the last value forward."""
-    found, before, _ = _neighbours(df, columns, True, False, keys, rows)
-    return found.withColumns({c: before[c]["x"] for c in columns}).select(*df.columns)
+    found = _with_neighbours(df, columns, "b", keys, rows)
+    return found.withColumns({c: F.col(f"_bx{i}") for i, c in enumerate(columns)}).select(*df.columns)
 
 
 def bfill(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = SERIES, rows: int = BLOCK_ROWS) -> DataFrame:
     """Carry the next value backward."""
-    found, _, after = _neighbours(df, columns, False, True, keys, rows)
-    return found.withColumns({c: after[c]["x"] for c in columns}).select(*df.columns)
+    found = _with_neighbours(df, columns, "a", keys, rows)
+    return found.withColumns({c: F.col(f"_ax{i}") for i, c in enumerate(columns)}).select(*df.columns)
+
+
+def columns_with_gaps(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Those columns that hold a null, NaN or infinite value (one aggregation)."""
+    fractional = {f.name for f in df.schema if isinstance(f.dataType, T.FractionalType)}
+    values = {c: finite(c) if c in fractional else F.col(c) for c in columns}
+    row = df.agg(*[F.bool_or(v.isNull()).alias(c) for c, v in values.items()]).first()
+    return [c for c in columns if row[c]]
 
 
 def handle_nan_inf(
@@ -283,9 +291,10 @@ def handle_nan_inf(
 
     Interpolation already gives both ends the nearest value, so the forward and
     backward fill that follow it in a hand-written clean-up have nothing to do.
+    Columns without a gap stay out of the windows.
     """
-    chosen = list(columns or numeric_columns(df))
-    return interpolate_time(inf_to_null(df, chosen), chosen, keys, rows)
+    gaps = columns_with_gaps(df, list(columns or numeric_columns(df)))
+    return interpolate_time(inf_to_null(df, gaps), gaps, keys, rows) if gaps else df
 
 
 def minmax_normalize(
@@ -307,11 +316,12 @@ def minmax_normalize(
 
 def tail_n(df: DataFrame, count: int, keys: Sequence[str] = SERIES, ts: str = "ts") -> DataFrame:
     """The last ``count`` bars of each series."""
+    kept = [c for c in df.columns if c not in ("pos", "n")]
     if count <= GROUP_LIMIT_ROWS:
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(ts).desc()))
-        return df.withColumn("_rank", rank).filter(F.col("_rank") <= count).drop("_rank")
+        return df.withColumn("_rank", rank).filter(F.col("_rank") <= count).select(*kept)
     numbered = with_position(df, keys, ts)
-    return numbered.filter(F.col("pos") >= F.col("n") - count).select(*df.columns)
+    return numbered.filter(F.col("pos") >= F.col("n") - count).select(*kept)
 
 
 def left_pad(df: DataFrame, count: int, keys: Sequence[str] = SERIES) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebars.series import BLOCK_ROWS, SERIES, with_position, with_series_values
+from tidebars.series import BLOCK_ROWS, SERIES, from_end, position_columns, with_series_values
 
 
 def normalized_risk(
@@ -25,11 +25,12 @@ def risk_adjust(signals: DataFrame, risk: DataFrame, keys: Sequence[str] = SERIE
     without a risk row stays as it is.
     """
 
-    def from_end(df: DataFrame) -> DataFrame:
-        return with_position(df, keys).withColumn("_tail", F.col("n") - 1 - F.col("pos")).drop("pos", "n")
-
-    right = from_end(risk.select(*keys, "ts", F.col("risk").alias("_risk"))).drop("ts")
-    joined = from_end(signals).join(right, [*keys, "_tail"], "left")
+    numbers = position_columns(signals)
+    right = from_end(risk.select(*keys, "ts", *position_columns(risk), F.col("risk").alias("_risk")), keys)
+    left = from_end(signals, keys)
+    joined = left.join(right.select(*keys, "tail", "_risk"), [*keys, "tail"], "left")
+    if numbers:
+        joined = joined.withColumn("pos", F.col("n") - 1 - F.col("tail"))
     r = F.coalesce(F.col("_risk"), F.lit(0.0))
     return joined.withColumns(
         {

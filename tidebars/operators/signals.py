@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.functions.columns import entry_level
-from tidebars.series import BLOCK_ROWS, attach, with_position
+from tidebars.series import BLOCK_ROWS, attach, from_end
 
 FIELDS = ("signal_strength", "entry_level", "stop_loss", "position_size")
 # Weight of a timeframe in the combined signal.
@@ -52,7 +52,7 @@ def comprehensive_signal(
     ``tail`` 0 is the last row.  As far as every timeframe of the symbol
     reaches, which the number of rows at one ``tail`` tells.
     """
-    numbered = with_position(df, rows=rows).withColumn("tail", F.col("n") - 1 - F.col("pos"))
+    numbered = from_end(df, rows=rows)
     product = F.col(weight) * F.col("signal_strength")
     by_tail = numbered.groupBy("symbol", "tail").agg(
         F.sum(product).alias("_s"), F.sum(weight).alias("_w"), F.count(F.lit(1)).alias("_held")

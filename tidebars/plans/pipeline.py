@@ -20,7 +20,7 @@ from tidebars.operators.clean import (
 )
 from tidebars.operators.risk import normalized_risk, risk_adjust
 from tidebars.operators.signals import signals
-from tidebars.series import require_columns, staged, with_position
+from tidebars.series import position_columns, require_columns, staged, with_position
 
 CLEANED = (*OHLCV, "returns", "log_returns", "volatility")
 
@@ -32,7 +32,7 @@ def process_bars(bars: DataFrame, keep: int | None = 20, base: str | None = None
     numeric = staged(with_position(to_numeric(bars, OHLCV)), "bars")
     computed = ind.with_indicators(numeric, ind.returns(), ind.log_returns(), ind.volatility())
     clipped = winsorize(staged(computed.drop("pos", "n"), "returns"))
-    cleaned = handle_nan_inf(clipped, CLEANED)
+    cleaned = handle_nan_inf(staged(clipped, "clipped"), CLEANED)
     if keep is not None:
         cleaned = tail_n(cleaned, keep)
     return align_timeframes(staged(cleaned, "cleaned"), base, CLEANED) if base else cleaned
@@ -74,7 +74,7 @@ def engineer_features(
     numbered = staged(with_position(bars), "bars")
     computed = ind.with_indicators(numbered, *feature_indicators(**parameters))
     indicators = staged(computed.drop("pos", "n", "true_range"), "indicators")
-    complete = ind.with_obv(indicators).drop("signed_volume")
+    complete = staged(ind.with_obv(indicators).drop("signed_volume"), "complete")
     filled = staged(handle_nan_inf(complete, numeric_columns(complete)), "features")
     features = minmax_normalize(filled) if normalize else filled
     if keep is None:
@@ -90,8 +90,9 @@ def trading_run(scored: DataFrame) -> dict[str, DataFrame]:
     ``volatility_p`` and ``returns``.
     """
     made = signals(scored)
-    risk = normalized_risk(scored.select("symbol", "timeframe", "ts", "volatility_p"))
-    fields = ["symbol", "timeframe", "ts", "signal_strength", "entry_level", "stop_loss", "position_size"]
+    numbers = position_columns(scored)
+    risk = normalized_risk(scored.select("symbol", "timeframe", "ts", *numbers, "volatility_p"))
+    fields = ["symbol", "timeframe", "ts", *numbers, "signal_strength", "entry_level", "stop_loss", "position_size"]
     managed = risk_adjust(made.select(*fields), risk)
     return {"signals": made, "managed": managed, "backtest": bt.backtest(managed, scored)}
 

@@ -31,7 +31,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidebars.timeframes import minutes_of
+from tidebars.timeframes import MINUTES, lookup
 
 SERIES = ("symbol", "timeframe")
 BLOCK_ROWS = 32_768
@@ -47,18 +47,21 @@ def epoch_seconds(ts: Column) -> Column:
 
 
 def with_chunk(df: DataFrame, rows: int = BLOCK_ROWS, ts: str = "ts") -> DataFrame:
-    """Add the time chunk: a span of ``rows`` steps of the row's timeframe."""
-    if "timeframe" in df.columns:
-        step = F.coalesce(minutes_of(F.col("timeframe")), F.lit(1)) * 60
-    else:
-        step = F.lit(60)
-    return df.withColumn(CHUNK, F.floor(epoch_seconds(F.col(ts)) / (step * rows)).cast("bigint"))
+    """Add the time chunk: the days that hold ``rows`` steps of the timeframe."""
+    days = {code: max(1, m * rows // 1440) for code, m in MINUTES.items()}
+    finest = F.lit(max(1, rows // 1440))
+    width = F.coalesce(lookup(F.col("timeframe"), days), finest) if "timeframe" in df.columns else finest
+    day = F.unix_date(F.to_date(ts))
+    return df.withColumn(CHUNK, F.floor(day / width).cast("int"))
 
 
 def with_position(
     df: DataFrame, keys: Sequence[str] = SERIES, ts: str = "ts", rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Add ``pos`` (0-based row number by ``ts``) and ``n`` (rows of the series)."""
+    """Add ``pos`` (0-based row number by ``ts``) and ``n`` (rows of the series).
+
+    A table that has both keeps them.  Whoever drops rows drops the two columns.
+    """
     if "pos" in df.columns and "n" in df.columns:
         return df
     chunked = with_chunk(df, rows, ts)
@@ -80,6 +83,16 @@ def with_position(
     )
 
 
+def from_end(df: DataFrame, keys: Sequence[str] = SERIES, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Replace ``pos`` by ``tail``, the number of rows after this one."""
+    numbered = with_position(df, keys, rows=rows)
+    return numbered.withColumn("tail", F.col("n") - 1 - F.col("pos")).drop("pos")
+
+
+def position_columns(df: DataFrame) -> list[str]:
+    return [c for c in ("pos", "n") if c in df.columns]
+
+
 def in_blocks(
     df: DataFrame, lookback: int, keys: Sequence[str] = SERIES, rows: int = BLOCK_ROWS
 ) -> DataFrame:

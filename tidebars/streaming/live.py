@@ -118,4 +118,4 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     start(stream, each, checkpoint).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)

@@ -7,8 +7,6 @@ is 30 days, a quarter 90).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,27 +27,21 @@ def canonical(code: str) -> str:
     return code
 
 
-def _lookup(column: Column, table: dict) -> Column:
+def lookup(column: Column, table: dict) -> Column:
+    """The table's value for a column of its keys, null for others."""
     cases = [F.when(column == key, F.lit(value)) for key, value in table.items()]
     return F.coalesce(*cases)
 
 
 def canonical_column(column: Column) -> Column:
-    return F.coalesce(_lookup(column, ALIASES), column)
+    return F.coalesce(lookup(column, ALIASES), column)
 
 
 def minutes_of(column: Column) -> Column:
     """Minutes of a timeframe column, null for an unknown code."""
-    return _lookup(column, MINUTES).cast("bigint")
+    return lookup(column, MINUTES).cast("bigint")
 
 
 def is_intraday(column: Column) -> Column:
     return column.isin(*INTRADAY_MINUTES)
 
-
-def is_finer(a: str, b: str) -> bool:
-    return MINUTES[canonical(a)] < MINUTES[canonical(b)]
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda x, y: x | y, conditions)
