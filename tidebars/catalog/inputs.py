@@ -54,7 +54,11 @@ def _ohlc(price: str, order):
 def daily(spark: SparkSession, sf: str) -> DataFrame:
     """Daily bars per return flag: unit price of the items shipped that day."""
     items = table(spark, sf, "lineitem").withColumn("price", F.col("l_extendedprice") / F.col("l_quantity"))
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price")
+    # One number orders the items of a day (a struct would force a sort-based
+    # aggregation): order and line, ties by what makes up the unit price.
+    line = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    cost = F.round(F.col("l_extendedprice") * 100).cast("bigint") * 100 + F.col("l_quantity").cast("bigint")
+    order = line.cast("decimal(19,0)") * F.lit(10**12).cast("decimal(13,0)") + cost.cast("decimal(18,0)")
     return (
         items.groupBy(F.col("l_returnflag").alias("symbol"), F.col("l_shipdate").alias("ts"))
         .agg(*_ohlc("price", order), F.sum("l_quantity").alias("volume"))
@@ -65,7 +69,8 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
 DAILY = """
 items AS (
   SELECT l_returnflag AS symbol, l_shipdate AS ts, l_quantity, l_extendedprice / l_quantity AS price,
-         row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice / l_quantity) AS k
+         (l_orderkey * 10 + l_linenumber)::HUGEINT * 1000000000000
+           + round(l_extendedprice * 100)::BIGINT * 100 + l_quantity::BIGINT AS k
   FROM lineitem),
 daily AS (
   SELECT symbol, '1d' AS timeframe, ts, arg_min(price, k) AS open, max(price) AS high,

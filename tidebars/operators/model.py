@@ -16,11 +16,12 @@ from tidebars.operators.clean import finite, numeric_columns
 from tidebars.operators.indicators import Indicator, with_indicators
 from tidebars.series import (
     BLOCK_ROWS,
+    CHUNK,
     SERIES,
-    attach,
     require_columns,
     staged,
     trailing,
+    with_chunk,
     with_position,
     with_series_values,
 )
@@ -107,14 +108,14 @@ REGIME_FEATURES = ("volatility", "trend_strength", "volume")
 
 
 def _standardised(df: DataFrame, features: Sequence[str], keys, rows) -> DataFrame:
-    sums = {f"_s{i}": (F.sum, F.sum(f)) for i, f in enumerate(features)}
-    sums |= {"_n": (F.sum, F.count(F.lit(1)))}
-    known = with_series_values(df, sums, keys, rows).withColumns(
-        {f"_c{i}": F.col(f) - F.col(f"_s{i}") / F.col("_n") for i, f in enumerate(features)}
-    )
-    known = known.drop("_n")
+    """``_x``: the features with mean 0 and deviation 1 in their series, and ``_n``."""
+    moments = {}
+    for i, f in enumerate(features):
+        moments[f"_s{i}"] = (F.sum, F.sum(f))
+    known = with_series_values(df, moments | {"_n": (F.sum, F.count(F.lit(1)))}, keys, rows)
+    centred = known.withColumns({f"_c{i}": F.col(f) - F.col(f"_s{i}") / F.col("_n") for i, f in enumerate(features)})
     squares = {f"_q{i}": (F.sum, F.sum(F.col(f"_c{i}") * F.col(f"_c{i}"))) for i in range(len(features))}
-    spread = with_series_values(known, squares | {"_n": (F.sum, F.count(F.lit(1)))}, keys, rows)
+    spread = with_series_values(centred, squares, keys, rows)
     scaled = [
         F.when(F.col(f"_q{i}") > 0, F.col(f"_c{i}") / F.sqrt(F.col(f"_q{i}") / F.col("_n"))).otherwise(0.0)
         for i in range(len(features))
@@ -128,7 +129,7 @@ def _distance(x: Column, centre: Column) -> Column:
 
 
 def _nearest(x: Column, centres: Column) -> Column:
-    """``(d, c)`` of the nearest of an array of ``(c, at)`` centres."""
+    """Distance and number, ``(d, c)``, of the nearest of an array of centres."""
     return F.array_min(F.transform(centres, lambda e: F.struct(_distance(x, e["at"]).alias("d"), e["c"].alias("c"))))
 
 
@@ -151,68 +152,61 @@ def market_regime(
     """
     require_columns(df, features)
     present = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in features])
-    points = staged(_standardised(df.filter(present), features, keys, rows), "points")
+    points = staged(with_chunk(_standardised(df.filter(present), features, keys, rows), rows), "points")
+    chunk_keys = [*keys, CHUNK]
     enough = points.filter(F.col("_n") >= max_k)
-    # Starting centres: means of k equal shares along the first principal
-    # guess, the sum of the coordinates, cut at approximate quantiles.
+    chunks = staged(enough.select(*chunk_keys).distinct(), "chunks")
+    dims, ks = len(features), range(2, max_k + 1)
+
+    # Start at even shares of the points along the sum of their coordinates.
+    shares = {(k, i): (2 * i + 1) / (2 * k) for k in ks for i in range(k)}
+    cuts = sorted(set(shares.values()))
     along = F.aggregate("_x", F.lit(0.0), lambda a, v: a + v)
-    shares = [[(2 * i + 1) / (2 * k) for i in range(k)] for k in range(2, max_k + 1)]
-    cuts = sorted({s for group in shares for s in group})
     spots = enough.groupBy(*keys).agg(F.percentile_approx(along, cuts, 1000).alias("_cuts"))
-    dims = len(features)
-
-    def start(k: int) -> Column:
-        group = shares[k - 2]
-        return F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("c"),
-                    F.array(*[F.get("_cuts", F.lit(cuts.index(s))) / dims for _ in range(dims)]).alias("at"),
-                )
-                for i, s in enumerate(group)
-            ]
-        )
 
-    tries = F.array(*[F.struct(F.lit(k).alias("k"), start(k).alias("centres")) for k in range(2, max_k + 1)])
-    centres = staged(spots.select(*keys, tries.alias("_tries")), "centres")
+    def centre(k: int, c: int, at: Column) -> Column:
+        return F.struct(F.lit(k).alias("k"), F.lit(c).alias("c"), F.array_repeat(at / dims, dims).alias("at"))
+
+    first = [centre(k, i, F.get("_cuts", F.lit(cuts.index(s)))) for (k, i), s in shares.items()]
+    centres = staged(spots.select(*keys, F.array(*first).alias("_centres")), "centres")
+
+    near = F.array(
+        *[
+            F.struct(F.lit(k).alias("k"), _nearest(F.col("_x"), F.filter("_centres", lambda e: e["k"] == k)).alias("near"))
+            for k in ks
+        ]
+    )
+    nearest = F.explode(near).alias("_a")
+    means = F.array(*[F.avg(F.get("_x", F.lit(i))) for i in range(dims)]).alias("at")
+    members = F.collect_list(F.struct("k", "c", "at")).alias("_centres")
 
     def assigned(table: DataFrame) -> DataFrame:
-        joined = attach(enough, table, keys, rows)
-        near = F.transform(
-            "_tries", lambda t: F.struct(t["k"].alias("k"), _nearest(F.col("_x"), t["centres"]).alias("near"))
-        )
-        return joined.select(*keys, "ts", "_x", F.explode(near).alias("_a")).select(
-            *keys, "ts", "_x", "_a.k", "_a.near.d", "_a.near.c"
-        )
+        joined = enough.join(chunks.join(table, list(keys)), chunk_keys)
+        return joined.select(*keys, "_x", nearest).select(*keys, "_x", "_a.k", "_a.near.*")
 
     for _ in range(iterations):
-        moved = assigned(centres).groupBy(*keys, "k", "c").agg(
-            F.array(*[F.avg(F.get("_x", F.lit(i))) for i in range(dims)]).alias("at")
-        )
-        by_k = moved.groupBy(*keys, "k").agg(F.array_sort(F.collect_list(F.struct("c", "at"))).alias("centres"))
-        by_series = by_k.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "centres"))).alias("_tries"))
-        centres = staged(by_series, "centres")
+        moved = assigned(centres).groupBy(*keys, "k", "c").agg(means)
+        centres = staged(moved.groupBy(*keys).agg(members), "centres")
     inertia = assigned(centres).groupBy(*keys, "k").agg(F.sum("d").alias("inertia"))
     # One cluster: the squared distance of standardised points from 0.
-    zero = F.aggregate(F.transform("_x", lambda v: v * v), F.lit(0.0), lambda a, v: a + v)
-    single = enough.groupBy(*keys).agg(F.sum(zero).alias("inertia")).withColumn("k", F.lit(1))
+    length = F.aggregate("_x", F.lit(0.0), lambda a, v: a + v * v)
+    single = enough.groupBy(*keys).agg(F.sum(length).alias("inertia")).withColumn("k", F.lit(1))
     ladder = Window.partitionBy(*keys).orderBy("k")
     steps = inertia.unionByName(single).withColumn("_before", F.lag("inertia").over(ladder))
-    small = (F.col("_before") != 0) & ((F.col("_before") - F.col("inertia")) / F.col("_before") < 0.2)
+    small = (F.col("_before") != 0) & (F.col("_before") - F.col("inertia") < F.col("_before") * 0.2)
     elbow = steps.groupBy(*keys).agg(F.coalesce(F.min(F.when(small, F.col("k") - 1)), F.lit(1)).alias("_k"))
-    chosen = centres.join(elbow, list(keys)).select(
-        *keys, F.filter("_tries", lambda t: t["k"] == F.col("_k")).alias("_tries")
-    )
     ordered = F.array_sort(
-        F.transform(F.get("_tries", F.lit(0))["centres"], lambda e: F.struct(e["at"].alias("at"), e["c"].alias("c")))
+        F.transform(
+            F.filter("_centres", lambda e: e["k"] == F.col("_k")), lambda e: F.struct(e["at"].alias("at"), e["c"].alias("c"))
+        )
     )
-    numbered = chosen.select(*keys, ordered.alias("_centres"))
-    labelled = attach(points, numbered, keys, rows)
-    near = _nearest(F.col("_x"), F.col("_centres"))["c"]
-    place = F.array_position(F.transform("_centres", lambda e: e["c"]), near) - 1
-    regime = F.when(F.col("_centres").isNull(), F.lit(0)).otherwise(place.cast("int"))
-    labels = labelled.select(*keys, "ts", regime.alias("regime"), (F.col("_n") < max_k).alias("_short"))
-    joined = df.join(labels.drop("_short"), [*keys, "ts"], "left")
+    chosen = centres.join(elbow, list(keys)).select(*keys, ordered.alias("_centres"))
+    labelled = points.join(chunks.join(chosen, list(keys)), chunk_keys, "left")
+    mine = _nearest(F.col("_x"), F.col("_centres"))["c"]
+    place = F.array_position(F.transform("_centres", lambda e: e["c"]), mine) - 1
+    clustered = F.coalesce(F.size("_centres") > 0, F.lit(False))
+    labels = labelled.select(*keys, "ts", F.when(clustered, place).otherwise(0).cast("int").alias("regime"))
+    joined = df.join(labels, [*keys, "ts"], "left")
     # A series too short to cluster is regime 0 also where features are null.
     counts = with_series_values(joined, {"_ok": (F.sum, F.count("regime"))}, keys, rows)
     return counts.withColumn("regime", F.when(F.col("_ok") < max_k, F.lit(0)).otherwise(F.col("regime"))).drop("_ok")
