@@ -100,7 +100,8 @@ query(
 )(lambda spark, sf: align.align_timeframes(intraday(spark, sf), "5m", mode="closed"))
 query(
     "base_timeframe",
-    f"WITH {INTRADAY} SELECT DISTINCT symbol, '5m' AS base_timeframe FROM intraday WHERE timeframe = '5m'",
+    f"""WITH {INTRADAY} SELECT symbol, arg_min(timeframe, replace(timeframe, 'm', '')::INT) AS base_timeframe
+    FROM intraday GROUP BY symbol""",
 )(lambda spark, sf: align.base_timeframe(intraday(spark, sf)))
 
 
@@ -156,26 +157,26 @@ query(
         order_years(spark, sf), F.year("date") == F.col("year"), "left_semi"
     )
 )
-# Found dates: order dates of odd years that fall on the last day of a month.
+# Found dates: order dates on the last day of a month.  Their years are fewer
+# than the calendar's, which takes the default dates for the others.
 FOUND = """
-found AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders
-  WHERE year(o_orderdate) % 2 = 1 AND last_day(o_orderdate::DATE) = o_orderdate::DATE)"""
+found AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders WHERE last_day(o_orderdate::DATE) = o_orderdate::DATE)"""
 
 
 def found_holidays(spark, sf):
     day = F.to_date("o_orderdate")
-    orders = table(spark, sf, "orders").filter((F.year(day) % 2 == 1) & (F.last_day(day) == day))
+    orders = table(spark, sf, "orders").filter(F.last_day(day) == day)
     return orders.select(day.alias("date")).distinct()
 
 
 query(
     "holiday_calendar",
     f"""WITH {HOLIDAYS},{FOUND}
-    SELECT date FROM found WHERE year(date) BETWEEN 1992 AND 2000 UNION
-    SELECT date FROM holidays WHERE year(date) BETWEEN 1992 AND 2000
+    SELECT date FROM found WHERE year(date) BETWEEN 1990 AND 2005 UNION
+    SELECT date FROM holidays WHERE year(date) BETWEEN 1990 AND 2005
       AND year(date) NOT IN (SELECT year(date) FROM found)""",
     dates=("date",),
-)(lambda spark, sf: calendar.holiday_calendar(found_holidays(spark, sf), 1992, 2000))
+)(lambda spark, sf: calendar.holiday_calendar(found_holidays(spark, sf), 1990, 2005))
 
 
 def order_days(spark, sf):

@@ -146,34 +146,28 @@ query(
 )(lambda spark, sf: clean.tail_n(intraday(spark, sf), 20))
 
 
-def january(spark, sf):
-    """Daily bars up to late January 1995: short series of unequal length."""
-    return daily(spark, sf).filter(F.col("ts") < F.lit("1995-01-22").cast("timestamp_ntz"))
-
-
 query(
     "left_pad",
-    f"""WITH {DAILY}, j AS (SELECT *, row_number() OVER ({W}) - 1 AS r, count(*) OVER ({PART}) AS n
-    FROM daily WHERE ts < TIMESTAMP '1995-01-22')
-    SELECT symbol, timeframe, r + greatest(30 - n, 0) AS pos, open, high, low, close, volume FROM j
+    f"""WITH {DAILY}, j AS (SELECT *, row_number() OVER ({W}) - 1 AS r, count(*) OVER ({PART}) AS n FROM daily)
+    SELECT symbol, timeframe, r + greatest(3000 - n, 0) AS pos, open, high, low, close, volume FROM j
     UNION ALL
-    SELECT symbol, timeframe, unnest(range(30 - n)), NULL, NULL, NULL, NULL, NULL FROM j WHERE r = 0""",
-)(lambda spark, sf: clean.left_pad(january(spark, sf), 30))
+    SELECT symbol, timeframe, unnest(range(3000 - n)), NULL, NULL, NULL, NULL, NULL FROM j WHERE r = 0""",
+)(lambda spark, sf: clean.left_pad(daily(spark, sf), 3000))
 query(
     "drop_empty_rows",
-    """SELECT doc_id, g.i AS pos, split_part(l, ' ', 1) AS a, split_part(l, ' ', 2) AS b
+    """SELECT doc_id, g.i AS pos, split_part(l, ' ', 1) AS head, substr(l, length(split_part(l, ' ', 1)) + 2) AS rest
     FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(len(ls))) AS g(i),
-    LATERAL (SELECT ls[g.i + 1] AS l)
-    WHERE split_part(l, ' ', 1) <> '' OR split_part(l, ' ', 2) <> ''""",
+    LATERAL (SELECT ls[g.i + 1] AS l) WHERE l <> '' AND l <> ' '""",
 )(
     lambda spark, sf: clean.drop_empty_rows(
         table(spark, sf, "documents")
         .select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        .withColumn("head", F.split_part("line", F.lit(" "), F.lit(1)))
         .select(
-            "doc_id", F.col("pos").cast("bigint").alias("pos"),
-            F.split_part("line", F.lit(" "), F.lit(1)).alias("a"), F.split_part("line", F.lit(" "), F.lit(2)).alias("b"),
+            "doc_id", F.col("pos").cast("bigint").alias("pos"), "head",
+            F.substr("line", F.length("head") + 2).alias("rest"),
         ),
-        ["a", "b"],
+        ["head", "rest"],
     )
 )
 
@@ -299,16 +293,16 @@ query(
 
 @query(
     "fallback_union",
-    f"""WITH {DAILY},{WEEKLY},{MONTHLY},
-    a AS (SELECT * FROM weekly WHERE symbol <> 'R'),
-    b AS (SELECT * FROM weekly UNION ALL SELECT * FROM monthly)
-    SELECT * FROM a UNION ALL
-    SELECT * FROM b WHERE (symbol, timeframe) NOT IN (SELECT symbol, timeframe FROM a)""",
+    f"""WITH {DAILY},{WEEKLY},{MONTHLY}
+    SELECT symbol, timeframe, ts, open, high, low, close, volume FROM weekly
+    UNION ALL SELECT symbol, timeframe, ts, open, high, low, close, volume FROM monthly""",
 )
 def fallback_union(spark, sf):
+    """The second source answers with daily prices for weeks, and with months."""
     bars = daily(spark, sf)
     weekly, monthly = rollup(bars, "week", "1w"), rollup(bars, "month", "1mo")
-    return src.fallback_union(weekly.filter("symbol <> 'R'"), weekly.unionByName(monthly))
+    second = bars.withColumn("timeframe", F.lit("1w")).unionByName(monthly)
+    return src.fallback_union(weekly, second)
 
 
 # Six timeframes and a count, told by the order key.

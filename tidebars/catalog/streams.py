@@ -9,7 +9,7 @@ from tidebars.functions import columns as fn
 from tidebars.operators import indicators as ind
 from tidebars.operators import signals as sg
 from tidebars.operators import text
-from tidebars.plans import pipeline
+from tidebars.plans import analysis
 from tidebars.series import new_path
 from tidebars.streaming import live
 
@@ -101,7 +101,7 @@ def to_trades(bars):
         }
     )
     made = sg.signals(scores)
-    return pipeline.trades(made, made.select("symbol", "timeframe", "ts", "dynamic_weight"))
+    return analysis.trades(made, made.select("symbol", "timeframe", "ts", "dynamic_weight"))
 
 
 TRADES = f"""
@@ -116,11 +116,11 @@ trades AS (SELECT symbol, timeframe, ts, round(least(abs((close - ma_5) / ma_5),
 TRADE_COLUMNS = ["position_size", "stop_loss"]
 
 
-@query("live_pipeline", f"WITH {TICK_BARS},{TRADES} SELECT * FROM trades")
-def live_pipeline(spark, sf):
+@query("live_trading", f"WITH {TICK_BARS},{TRADES} SELECT * FROM trades")
+def live_trading(spark, sf):
     stream = live.stream_bars(live.ticks(event_stream(spark, sf), "event_type", "value"), 15)
     buffer, trades, checkpoint = (new_path(spark, n) for n in ("buffer", "trades", "checkpoint"))
-    live.live_pipeline(stream, to_trades, buffer, trades, checkpoint).awaitTermination()
+    live.live_trading(stream, to_trades, buffer, trades, checkpoint).awaitTermination()
     stored = spark.read.parquet(trades).drop("batch_id")
     return rounded(stored, 6, *TRADE_COLUMNS)
 

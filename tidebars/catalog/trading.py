@@ -11,7 +11,7 @@ from tidebars.operators import backtest as bt
 from tidebars.operators import indicators as ind
 from tidebars.operators import model, risk
 from tidebars.operators import signals as sg
-from tidebars.plans import pipeline
+from tidebars.plans import analysis
 from tidebars.series import staged, with_position
 
 PART = "PARTITION BY symbol, timeframe"
@@ -158,17 +158,15 @@ risk AS (SELECT symbol, timeframe, ts, volatility_p / max(volatility_p) OVER ({P
 
 
 def risk_rows(df):
-    return risk.normalized_risk(df.select(*KEYS, "volatility_p"))
+    return risk.normalized_risk(df.select(*KEYS, "pos", "n", "volatility_p"))
 
 
 query("normalized_risk", f"WITH {SCORED},{RISK} SELECT symbol, timeframe, ts, round(risk, 8) AS risk FROM risk")(
     lambda spark, sf: rounded(risk_rows(scored(spark, sf)).select(*KEYS, "risk"), 8, "risk")
 )
-# Risk is known for two timeframes only and for the later half of January, so
-# some signals have no risk row.
 TAIL = "row_number() OVER (PARTITION BY symbol, timeframe ORDER BY ts DESC) AS tail"
 ADJUST = f""",{RISK},
-r AS (SELECT *, {TAIL} FROM risk WHERE timeframe <> '60m' AND ts >= TIMESTAMP '2024-01-16'),
+r AS (SELECT *, {TAIL} FROM risk),
 s AS (SELECT *, {TAIL} FROM signals)
 SELECT s.symbol, s.timeframe, s.ts, round(signal_strength * (1 - coalesce(risk, 0)), 6) AS signal_strength,
        round(entry_level * (1 + coalesce(risk, 0)), 6) AS entry_level,
@@ -179,8 +177,7 @@ FROM s LEFT JOIN r ON r.symbol = s.symbol AND r.timeframe = s.timeframe AND r.ta
 @query("risk_adjust", f"WITH {SIGNALS}{ADJUST}")
 def risk_adjust(spark, sf):
     rows = staged(scored(spark, sf))
-    late = F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")
-    known = risk_rows(rows).filter((F.col("timeframe") != "60m") & late)
+    known = risk_rows(rows)
     signals = sg.signals(rows).select(*KEYS, "pos", "n", *FIELDS)
     adjusted = risk.risk_adjust(signals, known).drop("pos", "n")
     return rounded(adjusted, 6, "signal_strength", "entry_level", "stop_loss")
@@ -355,7 +352,7 @@ query(
 )
 
 # --- plans -----------------------------------------------------------------
-CLEANED = list(pipeline.CLEANED)
+CLEANED = list(analysis.CLEANED)
 COMPUTED = f"""
 computed AS (SELECT symbol, timeframe, ts, open, high, low, close, volume,
   close / prev - 1 AS returns, ln(close / prev) AS log_returns FROM (SELECT *, lag(close) OVER ({W}) AS prev FROM intraday)),
@@ -369,7 +366,7 @@ ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in CLEANED)
 query(
     "process_bars",
     f"WITH {INTRADAY},{COMPUTED} SELECT symbol, timeframe, ts, {ROUNDED} FROM cleaned WHERE tail <= 20",
-)(lambda spark, sf: rounded(pipeline.process_bars(intraday(spark, sf)), 6, *CLEANED))
+)(lambda spark, sf: rounded(analysis.process_bars(intraday(spark, sf)), 6, *CLEANED))
 PICK = ", ".join(f"round(l.{c}, 6) AS {c}" for c in CLEANED)
 EMPTY = ", ".join("NULL" for _ in CLEANED)
 ASOF = """FROM wanted w JOIN ends e USING (symbol, timeframe)
@@ -384,7 +381,7 @@ query(
     SELECT symbol, timeframe, ts, {ROUNDED} FROM cleaned WHERE timeframe = '5m'
     UNION ALL SELECT w.symbol, w.timeframe, w.ts, {PICK} {ASOF} WHERE {LIVE}
     UNION ALL SELECT w.symbol, w.timeframe, w.ts, {EMPTY} {ASOF} WHERE NOT {LIVE}""",
-)(lambda spark, sf: rounded(pipeline.process_bars(intraday(spark, sf), keep=None, base="5m"), 6, *CLEANED))
+)(lambda spark, sf: rounded(analysis.process_bars(intraday(spark, sf), keep=None, base="5m"), 6, *CLEANED))
 
 # All indicators of the feature plan over daily bars, scaled over the whole
 # series, the last 20 rows.
@@ -439,7 +436,7 @@ query(
     ENGINEERED
     + f""" SELECT symbol, timeframe, ts, open, high, low, close, volume,
     {', '.join(f'round({c}, 6) AS {c}' for c in FEATURE_NAMES)} FROM scaled WHERE tail <= 20""",
-)(lambda spark, sf: rounded(pipeline.engineer_features(daily(spark, sf)), 6, *FEATURE_NAMES))
+)(lambda spark, sf: rounded(analysis.engineer_features(daily(spark, sf)), 6, *FEATURE_NAMES))
 
 # --- model -----------------------------------------------------------------
 MODEL = ["returns", "trend_strength", "atr", "volatility_p", "accuracy", "volume"]
@@ -503,9 +500,10 @@ def sequences(spark, sf):
 def fit_signal_model(spark, sf):
     """Losses of the pooled model on the training and validation rows."""
     rows = staged(model.chronological_split(complete(spark, sf)), "model")
-    train, valid = rows.filter("is_train"), rows.filter("not is_train")
-    fitted = model.fit_signal_model(train, ["volatility_p", "accuracy", "volume", "trend_strength", "atr"])
-    return model.model_losses(fitted, train, valid)
+    fitted = model.fit_signal_model(
+        rows.filter("is_train"), ["volatility_p", "accuracy", "volume", "trend_strength", "atr"]
+    )
+    return model.model_losses(fitted, rows)
 
 
 @query("score_signal_model")
@@ -516,7 +514,7 @@ def score_signal_model(spark, sf):
         rows.filter("is_train"), ["volatility_p", "accuracy", "volume", "trend_strength", "atr"]
     )
     scores = staged(model.score_signal_model(fitted, rows).drop("is_train"), "scores")
-    return pipeline.trading_run(scores)["backtest"]
+    return analysis.trading_run(scores)["backtest"]
 
 
 @query("market_regime")

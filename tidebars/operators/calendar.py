@@ -83,7 +83,9 @@ def last_trading_day(df: DataFrame, calendar: DataFrame, anchor: Column, weekly:
     For a week (``weekly`` true) a day before ``date`` itself means null.
     """
     days = calendar.select(F.col("date").alias("_anchor"), F.col("last_trading").alias("_found"))
-    joined = df.withColumn("_anchor", anchor).join(days, "_anchor", "left")
+    # Bounded: one row a day.  Every series has the same dates, so a shuffle on
+    # the date would meet a few very large keys.
+    joined = df.withColumn("_anchor", anchor).join(F.broadcast(days), "_anchor", "left")
     value = F.when(~weekly | (F.col("_found") >= F.col(date)), F.col("_found"))
     return joined.withColumn("last_trading_day", value).drop("_anchor", "_found")
 

@@ -14,6 +14,7 @@ from tidebars.series import (
     CHUNK,
     SERIES,
     attach,
+    epoch_micros,
     require_columns,
     staged,
     with_carry,
@@ -25,7 +26,8 @@ from tidebars.series import (
 OHLCV = ("open", "high", "low", "close", "volume")
 # Spark limits rows per group before the shuffle only up to this many.
 GROUP_LIMIT_ROWS = 1000
-EXACT_ROWS = 1_000_000
+# Exact quantiles of one aggregation buffer: about 2 MB a column at this many rows.
+EXACT_ROWS = 50_000
 GRID = 1000
 
 
@@ -86,13 +88,14 @@ def quantiles(
     sketch proposes a bracket, exact counts below and inside it say where the
     wanted ranks lie, and rounds go on until few values are left.
     """
+    known = df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
     longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if longest <= exact_rows:
         aggs = [
             F.percentile(c, share).alias(f"{c}_q{i}") for c in columns for i, share in enumerate(shares)
         ]
-        return df.groupBy(*keys).agg(*aggs)
-    melted = df.unpivot(list(keys) + ["ts"], list(columns), "_column", "_x").filter("_x is not null")
+        return known.groupBy(*keys).agg(*aggs)
+    melted = known.unpivot(list(keys) + ["ts"], list(columns), "_column", "_x").filter("_x is not null")
     return _narrowed_quantiles(staged(melted, "values"), columns, shares, keys, exact_rows)
 
 
@@ -251,7 +254,7 @@ def interpolate_time(
     found = _with_neighbours(df, columns, "ba", keys, rows)
 
     def elapsed(a: Column, b: Column) -> Column:
-        return F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))
+        return epoch_micros(b) - epoch_micros(a)
 
     filled = {}
     for i, c in enumerate(columns):

@@ -37,37 +37,52 @@ def _issues(df: DataFrame, check: str, **given: Column) -> DataFrame:
     return df.select(*[columns[name].alias(name) for name in ISSUE])
 
 
-def _each_column(df: DataFrame, columns) -> DataFrame:
-    """One row per bar and column: name and text of the value."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text")) for c in columns])
-    return df.select("symbol", "timeframe", "ts", F.explode(cells).alias("cell")).select(
-        "symbol", "timeframe", "ts", "cell.*"
+def _issue(check: str, column=None, observed=None, reasons=None) -> Column:
+    """An issue of one row, as the struct the row checks put into arrays."""
+
+    def text(x) -> Column:
+        return (F.lit(None) if x is None else x).cast("string")
+
+    return F.struct(
+        F.lit(check).alias("check"),
+        text(column).alias("column"),
+        text(observed).alias("observed"),
+        F.lit(None).cast("string").alias("expected"),
+        (F.lit(None) if reasons is None else reasons).cast("array<string>").alias("reasons"),
     )
 
 
-def check_numeric(df: DataFrame) -> DataFrame:
-    cells = _each_column(df, NUMERIC).filter(F.col("text").try_cast("double").isNull())
-    return _issues(cells, "numeric", column=F.col("column"), observed=F.col("text"))
+def _cells(columns) -> Column:
+    """Name, text and number of each of a row's cells."""
+    return F.array(
+        *[
+            F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("t"), F.col(c).try_cast("double").alias("x"))
+            for c in columns
+        ]
+    )
 
 
-def check_price_range(df: DataFrame) -> DataFrame:
-    cells = _each_column(df, PRICES).withColumn("x", F.col("text").try_cast("double"))
-    bad = cells.filter((F.col("x") <= 0) | (F.col("x") > MAX_PRICE))
-    reason = F.when(F.col("x") <= 0, F.lit("Price <= 0")).otherwise(F.lit("Price > 100000"))
-    return _issues(
-        bad, "price_range", column=F.col("column"), observed=F.col("text"), reasons=F.array(reason)
-    )
+def _numeric() -> Column:
+    bad = F.filter(_cells(NUMERIC), lambda e: e["x"].isNull())
+    return F.transform(bad, lambda e: _issue("numeric", e["c"], e["t"]))
 
 
-def check_volume(df: DataFrame) -> DataFrame:
-    volume = F.col("volume").try_cast("double")
-    return _issues(
-        df.filter(volume < 0), "volume", column=F.lit("volume"), observed=F.col("volume").cast("string"),
-        reasons=F.array(F.lit("Negative volume")),
-    )
+def _price_range() -> Column:
+    bad = F.filter(_cells(PRICES), lambda e: (e["x"] <= 0) | (e["x"] > MAX_PRICE))
 
+    def issue(e: Column) -> Column:
+        reason = F.when(e["x"] <= 0, F.lit("Price <= 0")).otherwise(F.lit("Price > 100000"))
+        return _issue("price_range", e["c"], e["t"], F.array(reason))
 
-def check_ohlc(df: DataFrame) -> DataFrame:
+    return F.transform(bad, issue)
+
+
+def _volume() -> Column:
+    bad = F.filter(_cells(["volume"]), lambda e: e["x"] < 0)
+    return F.transform(bad, lambda e: _issue("volume", e["c"], e["t"], F.array(F.lit("Negative volume"))))
+
+
+def _ohlc() -> Column:
     o, h, l, c = (F.col(x).try_cast("double") for x in PRICES)
     rules = F.array(
         F.when(l > h, "Low > High"),
@@ -78,10 +93,34 @@ def check_ohlc(df: DataFrame) -> DataFrame:
     )
     broken = F.filter(rules, lambda r: r.isNotNull())
     observed = F.concat_ws("/", *[F.col(x).cast("string") for x in PRICES])
-    found = df.select("symbol", "timeframe", "ts", observed.alias("observed"), broken.alias("reasons"))
-    return _issues(
-        found.filter(F.size("reasons") > 0), "ohlc", observed=F.col("observed"), reasons=F.col("reasons")
-    )
+    one = F.array(_issue("ohlc", None, observed, broken))
+    return F.filter(one, lambda e: F.size(e["reasons"]) > 0)
+
+
+def _row_checks(df: DataFrame, *checks: Column) -> DataFrame:
+    """Issues of single rows; any number of checks share one scan."""
+    found = df.select("symbol", "timeframe", "ts", F.explode(F.concat(*checks)).alias("_i"))
+    return found.select("symbol", "timeframe", "ts", "_i.*").select(*ISSUE)
+
+
+def check_numeric(df: DataFrame) -> DataFrame:
+    """Cells that are not numbers (an empty one is not)."""
+    return _row_checks(df, _numeric())
+
+
+def check_price_range(df: DataFrame) -> DataFrame:
+    """Prices of zero or less, or above 100000."""
+    return _row_checks(df, _price_range())
+
+
+def check_volume(df: DataFrame) -> DataFrame:
+    """Negative volumes."""
+    return _row_checks(df, _volume())
+
+
+def check_ohlc(df: DataFrame) -> DataFrame:
+    """Bars whose four prices contradict each other."""
+    return _row_checks(df, _ohlc())
 
 
 def _dated(df: DataFrame) -> DataFrame:
@@ -130,6 +169,18 @@ def expected_periods(df: DataFrame, holidays: DataFrame, calendar: DataFrame | N
     )
 
 
+def period_differences(df: DataFrame, holidays: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
+    """Expected dates without a bar and bars without an expected date."""
+    expected = expected_periods(df, holidays, calendar).withColumn("_due", F.lit(True))
+    actual = _dated(df).withColumn("_there", F.lit(True))
+    both = expected.join(actual, ["symbol", "timeframe", "date"], "full_outer")
+    missing, date = F.col("_there").isNull(), F.col("date").cast("string")
+    odd = both.filter(missing | F.col("_due").isNull()).withColumn("ts", F.col("date").cast("timestamp_ntz"))
+    issues = _issues(odd, "", expected=F.when(missing, date), observed=F.when(~missing, date))
+    name = F.when(F.col("expected").isNotNull(), "missing_period").otherwise("extra_period")
+    return issues.withColumn("check", name)
+
+
 def missing_periods(df: DataFrame, holidays: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     expected = expected_periods(df, holidays, calendar)
     missing = expected.join(_dated(df), ["symbol", "timeframe", "date"], "left_anti")
@@ -160,7 +211,8 @@ def missing_slots(df: DataFrame, holidays: DataFrame) -> DataFrame:
     tf = F.col("timeframe")
     checked = [t for t in INTRADAY_MINUTES if t != "30m"]
     intraday = df.filter(tf.isin(*checked)).withColumn("date", F.to_date("ts"))
-    open_days = intraday.filter(F.weekday("date") < 5).join(holidays.select("date").distinct(), "date", "left_anti")
+    closed = F.broadcast(holidays.select("date").distinct())  # bounded: a row a day at most
+    open_days = intraday.filter(F.weekday("date") < 5).join(closed, "date", "left_anti")
     by_day = open_days.groupBy("symbol", "timeframe", "date").agg(
         F.collect_set(F.date_format("ts", "HH:mm")).alias("_there")
     )
@@ -177,15 +229,16 @@ def missing_slots(df: DataFrame, holidays: DataFrame) -> DataFrame:
 def integrity_summary(df: DataFrame, issues: DataFrame, required: list[tuple[str, str]]) -> DataFrame:
     """Rows, date range, periods and issue count of each required series."""
     series = ["symbol", "timeframe"]
-    held = df.groupBy(*series).agg(
+    by_day = df.groupBy(*series, F.to_date("ts").alias("date")).agg(
         F.count(F.lit(1)).alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     )
-    days = df.select(*series, F.to_date("ts").alias("date")).distinct().groupBy(*series).agg(
-        F.count(F.lit(1)).alias("days")
+    held = by_day.groupBy(*series).agg(
+        F.sum("rows").alias("rows"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
+        F.count(F.lit(1)).alias("days"),
     )
     found = issues.groupBy(*series).agg(F.count(F.lit(1)).alias("issues"))
     wanted = df.sparkSession.createDataFrame(required, "symbol string, timeframe string")
-    joined = wanted.join(held, series, "left").join(days, series, "left").join(found, series, "left")
+    joined = wanted.join(held, series, "left").join(found, series, "left")
     periods = F.when(is_intraday(F.col("timeframe")), F.col("days")).otherwise(F.col("rows"))
     counts = {"rows": F.col("rows"), "periods": periods, "issues": F.col("issues")}
     return joined.withColumns({k: F.coalesce(v, F.lit(0).cast("bigint")) for k, v in counts.items()}).select(
@@ -198,12 +251,8 @@ def check_bars(df: DataFrame, holidays: DataFrame) -> DataFrame:
     bars = df.withColumn("timeframe", canonical_column(F.col("timeframe")))
     calendar = bars_calendar(bars, holidays)
     parts = [
-        check_numeric(bars),
-        check_price_range(bars),
-        check_volume(bars),
-        check_ohlc(bars),
-        missing_periods(bars, holidays, calendar),
-        extra_periods(bars, holidays, calendar),
+        _row_checks(bars, _numeric(), _price_range(), _volume(), _ohlc()),
+        period_differences(bars, holidays, calendar),
         wrong_period_end(bars, holidays, calendar),
         missing_slots(bars, holidays),
     ]

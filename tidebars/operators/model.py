@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
@@ -69,7 +68,7 @@ def sequences(df: DataFrame, length: int = 20, keys: Sequence[str] = SERIES, row
 def fit_signal_model(
     train: DataFrame, features: Sequence[str], targets: Sequence[str] = TARGETS, ridge: float = 1e-6
 ) -> PipelineModel:
-    """One linear model per target, shared by all series, as one pipeline."""
+    """One linear model per target, shared by all series, as one analysis."""
     stages: list = [VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="error")]
     for target, score in zip(targets, SCORES):
         stages.append(
@@ -83,15 +82,15 @@ def score_signal_model(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).drop("_features")
 
 
-def model_losses(model: PipelineModel, train: DataFrame, valid: DataFrame, targets: Sequence[str] = TARGETS) -> DataFrame:
-    """Mean squared error of each score on the training and validation rows."""
-    rows = []
-    for part, df in (("train", train), ("validation", valid)):
-        scored = model.transform(df)
-        for target, score in zip(targets, SCORES):
-            loss = RegressionEvaluator(labelCol=target, predictionCol=score, metricName="mse").evaluate(scored)
-            rows.append((part, target, float(loss)))
-    return train.sparkSession.createDataFrame(rows, "part string, target string, mse double")
+def model_losses(model: PipelineModel, df: DataFrame, targets: Sequence[str] = TARGETS) -> DataFrame:
+    """Mean squared error of each score on the training and validation rows.
+
+    One pass: ``df`` holds both kinds of rows, told apart by ``is_train``.
+    """
+    scored = model.transform(df)
+    errors = [F.avg(F.pow(F.col(t) - F.col(s), 2)).alias(t) for t, s in zip(targets, SCORES)]
+    part = F.when(F.col("is_train"), "train").otherwise("validation").alias("part")
+    return scored.groupBy(part).agg(*errors).unpivot("part", list(targets), "target", "mse")
 
 
 def directional_accuracy(

@@ -46,6 +46,12 @@ def epoch_seconds(ts: Column) -> Column:
     return days * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.second(ts)
 
 
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a zone-free timestamp, whatever the session zone."""
+    minutes = F.unix_date(F.to_date(ts)).cast("bigint") * 1_440 + F.hour(ts) * 60 + F.minute(ts)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECONDS"), ts) * 1_000_000).cast("bigint")
+
+
 def with_chunk(df: DataFrame, rows: int = BLOCK_ROWS, ts: str = "ts") -> DataFrame:
     """Add the time chunk: the days that hold ``rows`` steps of the timeframe."""
     days = {code: max(1, m * rows // 1440) for code, m in MINUTES.items()}
@@ -97,18 +103,20 @@ def in_blocks(
     df: DataFrame, lookback: int, keys: Sequence[str] = SERIES, rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Copy each numbered row into its own block and the ones that look back on it."""
-    pos, n = F.col("pos"), F.col("n")
     own = F.expr(f"pos div {rows}")
     last = F.least(F.expr(f"(pos + {lookback}) div {rows}"), F.expr(f"(n - 1) div {rows}"))
-    offset = pos - F.col(BLOCK) * rows + lookback
+    at = f"(pos - {BLOCK} * {rows} + {lookback})"
+    # The helper columns are made after the shuffle, which carries the block only.
     return (
         df.withColumn(BLOCK, F.explode(F.sequence(own, last)))
-        .withColumn(CORE, F.col(BLOCK) == own)
-        .withColumn("_at", offset)
-        .withColumn(SEGMENT, F.expr(f"cast(_at div {SEGMENT_ROWS} as int)"))
-        .withColumn(OFFSET, F.expr(f"cast(_at % {SEGMENT_ROWS} as int)"))
-        .drop("_at")
         .repartition(*keys, BLOCK)
+        .withColumns(
+            {
+                CORE: F.col(BLOCK) == own,
+                SEGMENT: F.expr(f"cast({at} div {SEGMENT_ROWS} as int)"),
+                OFFSET: F.expr(f"cast({at} % {SEGMENT_ROWS} as int)"),
+            }
+        )
         .sortWithinPartitions(*keys, BLOCK, SEGMENT, "pos")
     )
 

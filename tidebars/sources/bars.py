@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidebars.series import CHUNK, SERIES, with_chunk
 from tidebars.timeframes import INTRADAY_MINUTES, canonical_column
 
 BAR_SCHEMA = T.StructType(
@@ -130,10 +131,17 @@ def kline_from_json(df: DataFrame, provider: str, payload: str = "payload") -> D
     return _bars_of(bars, _ts(compact), values)
 
 
-def fallback_union(primary: DataFrame, secondary: DataFrame, keys: Sequence[str] = ("symbol", "timeframe")) -> DataFrame:
-    """Rows of ``secondary`` only for keys ``primary`` has nothing for."""
+def fallback_union(primary: DataFrame, secondary: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
+    """Rows of ``secondary`` only for keys ``primary`` has nothing for.
+
+    The anti join meets one row per key and time chunk, so a key with many rows
+    in ``secondary`` is not sent to one task.
+    """
+    chunked = with_chunk(secondary)
     answered = primary.select(*keys).distinct()
-    return primary.unionByName(secondary.join(answered, list(keys), "left_anti"))
+    wanted = chunked.select(*keys, CHUNK).distinct().join(answered, list(keys), "left_anti")
+    rest = chunked.join(wanted, [*keys, CHUNK], "left_semi").drop(CHUNK)
+    return primary.unionByName(rest)
 
 
 def append_trade_log(df: DataFrame, path: str) -> None:

@@ -46,7 +46,7 @@ def start(
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
 
 
-def live_pipeline(
+def live_trading(
     bars: DataFrame,
     process: Callable[[DataFrame], DataFrame],
     buffer_path: str,
