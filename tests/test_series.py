@@ -140,11 +140,21 @@ def test_fill_and_interpolation_against_pandas(walk):
 def test_ema_with_gaps_against_pandas(walk):
     df, frames = walk
     holes = df.withColumn("close", F.when(F.dayofmonth("ts") % 9 < 4, None).otherwise(F.col("close")))
-    got = ema_with_gaps(holes, "close", 7, "e", rows=ROWS)
-    for symbol, p in frames.items():
-        s = p["close"].where(p["ts"].dt.day % 9 >= 4)
-        want = s.ewm(span=7, adjust=False, min_periods=1).mean()
-        np.testing.assert_allclose(frame(got, symbol)["e"].astype(float), want, rtol=1e-9)
+    for span, rows in ((7, ROWS), (3, 200), (26, series.BLOCK_ROWS)):
+        got = ema_with_gaps(holes, "close", span, "e", rows=rows)
+        for symbol, p in frames.items():
+            s = p["close"].where(p["ts"].dt.day % 9 >= 4)
+            want = s.ewm(span=span, adjust=False, min_periods=1).mean()
+            np.testing.assert_allclose(frame(got, symbol)["e"].astype(float), want, rtol=1e-9)
+
+
+def test_ema_with_long_gaps(bars, values):
+    import pandas as pd
+
+    closes = [float(i % 7) if i % 97 < 3 or i in (0, 500) else None for i in range(700)]
+    df = bars([(i, c) for i, c in enumerate(closes)])
+    want = pd.Series(closes, dtype=float).ewm(span=4, adjust=False, min_periods=1).mean()
+    np.testing.assert_allclose(values(ema_with_gaps(df, "close", 4, "e", rows=ROWS), "e"), want, rtol=1e-9)
 
 
 def test_minmax_bounds(walk):

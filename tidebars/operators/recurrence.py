@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebars.series import (
     BLOCK,
     BLOCK_ROWS,
+    CHUNK,
+    CORE,
     OFFSET,
     SEGMENT,
     SEGMENT_ROWS,
@@ -32,11 +33,11 @@ from tidebars.series import (
     with_carry,
     with_chunk,
     with_position,
-    CHUNK,
-    CORE,
 )
 
 FORGOTTEN = 46.1  # -ln(1e-20)
+LONGEST_STEP = 60.0  # beyond this an old average has no weight left
+REACH = 300.0  # exp(2 * REACH) is still a double
 
 
 def decay(span: float) -> float:
@@ -88,26 +89,43 @@ def ema_with_gaps(
     A value ``g`` rows after the last one weighs the old average by ``q^g``:
     ``y = (q^g y + a x) / (q^g + a)``; a null row repeats the average, leading
     nulls stay null.  Only rows with a value enter the blocks, so the look-back
-    counts values; the recurrence runs per block in an Arrow batch.
+    counts values.
+
+    The old average keeps the share ``f = q^g / (q^g + a)``, which differs from
+    row to row.  The sum of ``-ln f`` takes the place of the row number: an
+    input fades with its distance on that scale, which is cut every ``REACH``.
+    One cut back is far enough, as ``REACH`` is many times ``FORGOTTEN``.
     """
     q = decay(span)
     numbered = with_position(df, keys, rows=rows)
-    valued = numbered.filter(F.col(column).isNotNull())
-    slim = valued.select(*keys, "ts", F.col("pos").alias("_row"), F.col(column).alias("_x"))
-    blocks = in_blocks(with_position(slim, keys, rows=rows), memory(span), keys, rows)
-
-    def average(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_row")
-        gaps = pdf["_row"].diff().fillna(1).to_numpy()
-        values = pdf["_x"].to_numpy(copy=True)
-        old = q**gaps
-        for i in range(1, len(values)):
-            values[i] = (old[i] * values[i - 1] + (1 - q) * values[i]) / (old[i] + 1 - q)
-        return pdf.assign(_y=values).loc[pdf[CORE], [*keys, "ts", "_y"]]
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.select(*keys, "ts").schema)
-    averaged = blocks.groupBy(*keys, BLOCK).applyInPandas(average, f"{schema}, _y double")
-    joined = with_chunk(df.join(averaged, [*keys, "ts"], "left"), rows)
+    slim = numbered.filter(F.col(column).isNotNull()).select(
+        *keys, "ts", F.col("pos").alias("_row"), F.col(column).cast("double").alias("_x")
+    )
+    block = Window.partitionBy(*keys, BLOCK).orderBy(SEGMENT, "pos")
+    laid = in_blocks(with_position(slim, keys, rows=rows), memory(span), keys, rows).withColumns(
+        {
+            "_gap": F.col("_row") - F.lag("_row").over(block),
+            "_base": F.first("_x").over(block.rowsBetween(Window.unboundedPreceding, 0)),
+        }
+    )
+    old = F.pow(F.lit(q), F.col("_gap"))
+    faded = F.least(F.ln(old + (1 - q)) - F.col("_gap") * math.log(q), F.lit(LONGEST_STEP))
+    share = F.coalesce((1 - q) / (old + (1 - q)), F.lit(1.0))
+    upto = block.rowsBetween(Window.unboundedPreceding, 0)
+    placed = (
+        laid.withColumn("_step", F.coalesce(faded, F.lit(0.0)))
+        .withColumn("_depth", F.sum("_step").over(upto))
+        .withColumn("_cut", F.floor(F.col("_depth") / REACH).cast("int"))
+        .withColumn("_weight", F.exp(F.col("_depth") - F.col("_cut") * REACH))
+        .withColumn("_fed", (F.col("_x") - F.col("_base")) * share * F.col("_weight"))
+    )
+    within = Window.partitionBy(*keys, BLOCK, "_cut").orderBy("pos")
+    here = F.sum("_fed").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    cut_before = Window.partitionBy(*keys, BLOCK).orderBy("_cut").rangeBetween(-1, -1)
+    total = here + F.coalesce(F.sum("_fed").over(cut_before), F.lit(0.0)) * math.exp(-REACH)
+    averaged = placed.withColumn("_y", F.col("_base") + total / F.col("_weight"))
+    known = averaged.filter(CORE).select(*keys, "ts", "_y")
+    joined = with_chunk(df.join(known, [*keys, "ts"], "left"), rows)
     latest = F.max_by("_y", F.when(F.col("_y").isNotNull(), F.col("ts")))
     carried = with_carry(
         joined, {"_last": latest}, earlier={"_last": lambda c: F.last(c, ignorenulls=True)}, keys=keys
