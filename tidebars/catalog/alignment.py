@@ -362,9 +362,13 @@ def all_bars(spark, sf):
     return dirty(spark, sf).unionByName(intraday(spark, sf).withColumns(text))
 
 
-ALL_ISSUES = f"""WITH {ALL_BARS}{CELLS},{HOLIDAYS}{GAPS},
+TEXT = ", ".join(f"{c}::VARCHAR AS {c}" for c in OHLCV)
+EVERY = f""",
+every_bar AS (SELECT symbol, timeframe, ts, {COLS} FROM dirty UNION ALL SELECT symbol, timeframe, ts, {TEXT} FROM intraday)"""
+ALL_ISSUES = f"""WITH {ALL_BARS}{EVERY}{CELLS.replace('FROM dirty', 'FROM every_bar')},{HOLIDAYS}{GAPS},
 pbars AS (SELECT * FROM bars WHERE timeframe = '1d'),{EXPECTED.replace('FROM bars', 'FROM pbars')},
-issues AS ({NUMERIC} UNION ALL {RANGE} UNION ALL {VOLUME} UNION ALL {OHLC}
+issues AS ({NUMERIC} UNION ALL {RANGE} UNION ALL {VOLUME.replace('FROM dirty', 'FROM every_bar')}
+  UNION ALL {OHLC.replace('FROM dirty', 'FROM every_bar')}
   UNION ALL {MISSING.replace('NULL::VARCHAR AS observed', 'NULL::DOUBLE AS observed')}
   UNION ALL {EXTRA.replace('date::VARCHAR AS observed', 'NULL::DOUBLE AS observed')}
   UNION ALL {SLOT_ISSUES})"""

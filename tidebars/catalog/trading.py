@@ -40,7 +40,7 @@ def scored(spark, sf):
 
 MINUTE = "(minute(ts) + day(ts) * 7)"
 SCORED = INTRADAY + f""",
-lagged AS (SELECT *, lag(close) OVER ({W}) AS prev, close / lag(close) OVER ({W}) - 1 AS returns FROM intraday),
+lagged AS (SELECT *, lag(close) OVER ({W}) AS prev, close / nullif(lag(close) OVER ({W}), 0) - 1 AS returns FROM intraday),
 ranged AS (SELECT *, greatest(high - low, abs(high - prev), abs(low - prev)) AS tr FROM lagged),
 scored AS (
   SELECT symbol, timeframe, ts, volume, returns,
@@ -280,12 +280,12 @@ summary AS (SELECT symbol, timeframe, round(sum(pnl), 6) AS pnl, round(min(fall)
 FIGURES = ("pnl", "sharpe_ratio", "max_drawdown", "total_return", "win_rate")
 query(
     "backtest",
-    f"""WITH {SIGNALS.replace('least(abs(p0), 1.0)', 'least(abs(p0), 0.001)')},{PNL},{CURVE.replace('SOURCE', 'pnl')},{CHANGES.replace('SOURCE', 'pnl')},{METRICS}
+    f"""WITH {SIGNALS.replace('least(abs(p0), 1.0)', 'least(abs(p0), 0.0001)')},{PNL},{CURVE.replace('SOURCE', 'pnl')},{CHANGES.replace('SOURCE', 'pnl')},{METRICS}
     SELECT symbol, timeframe, pnl, round(sharpe_ratio, 6) AS sharpe_ratio, max_drawdown, total_return, win_rate
     FROM summary JOIN ratios USING (symbol, timeframe)""",
 )(
     lambda spark, sf: rounded(
-        (lambda rows: bt.backtest(sg.signals(rows, 0.001), rows))(staged(scored(spark, sf))), 6, *FIGURES
+        (lambda rows: bt.backtest(sg.signals(rows, 0.0001), rows))(staged(scored(spark, sf))), 6, *FIGURES
     )
 )
 query(
@@ -353,15 +353,31 @@ query(
 
 # --- plans -----------------------------------------------------------------
 CLEANED = list(analysis.CLEANED)
+GAPPED = CLEANED[5:]
+AROUND = ", ".join(
+    f"last_value(CASE WHEN {c} IS NOT NULL THEN ts END IGNORE NULLS) OVER up AS {c}_t0, "
+    f"last_value({c} IGNORE NULLS) OVER up AS {c}_x0, "
+    f"first_value(CASE WHEN {c} IS NOT NULL THEN ts END IGNORE NULLS) OVER down AS {c}_t1, "
+    f"first_value({c} IGNORE NULLS) OVER down AS {c}_x1"
+    for c in GAPPED
+)
+FILLED = ", ".join(
+    f"coalesce({c}, {c}_x0 + ({c}_x1 - {c}_x0) * ((epoch_us(ts) - epoch_us({c}_t0)) / "
+    f"(epoch_us({c}_t1) - epoch_us({c}_t0))), {c}_x0, {c}_x1) AS {c}"
+    for c in GAPPED
+)
 COMPUTED = f"""
 computed AS (SELECT symbol, timeframe, ts, open, high, low, close, volume,
-  close / prev - 1 AS returns, ln(close / prev) AS log_returns FROM (SELECT *, lag(close) OVER ({W}) AS prev FROM intraday)),
+  close / nullif(prev, 0) - 1 AS returns, CASE WHEN close > 0 AND prev > 0 THEN ln(close / prev) END AS log_returns
+  FROM (SELECT *, lag(close) OVER ({W}) AS prev FROM intraday)),
 vol AS (SELECT *, CASE WHEN count(returns) OVER {roll(20)} = 20 THEN stddev_samp(returns) OVER {roll(20)} * sqrt(252) END AS volatility FROM computed),
 limits AS (SELECT symbol, timeframe, {', '.join(f'quantile_cont({c}, 0.01) AS {c}0, quantile_cont({c}, 0.99) AS {c}1' for c in CLEANED[:5])}
   FROM vol GROUP BY 1, 2),
-cleaned AS (SELECT symbol, timeframe, ts, {', '.join(f'least(greatest({c}, {c}0), {c}1) AS {c}' for c in CLEANED[:5])},
-  {', '.join(f'coalesce({c}, first_value({c} IGNORE NULLS) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS {c}' for c in CLEANED[5:])},
-  row_number() OVER (PARTITION BY symbol, timeframe ORDER BY ts DESC) AS tail FROM vol JOIN limits USING (symbol, timeframe))"""
+around AS (SELECT *, {AROUND} FROM vol
+  WINDOW up AS ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         down AS ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+cleaned AS (SELECT symbol, timeframe, ts, {', '.join(f'least(greatest({c}, {c}0), {c}1) AS {c}' for c in CLEANED[:5])}, {FILLED},
+  row_number() OVER (PARTITION BY symbol, timeframe ORDER BY ts DESC) AS tail FROM around JOIN limits USING (symbol, timeframe))"""
 ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in CLEANED)
 query(
     "process_bars",

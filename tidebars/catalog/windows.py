@@ -45,7 +45,7 @@ def changed(source: str) -> str:
 
 
 simple("returns", intraday, 8, INTRADAY, {"returns": f"close / nullif({LAG}, 0) - 1"}, ind.returns)
-simple("log_returns", intraday, 8, INTRADAY, {"log_returns": f"ln(close / {LAG})"}, ind.log_returns)
+simple("log_returns", intraday, 8, INTRADAY, {"log_returns": f"CASE WHEN close > 0 AND {LAG} > 0 THEN ln(close / {LAG}) END"}, ind.log_returns)
 simple(
     "volatility", intraday, 6, INTRADAY,
     {"volatility": f"CASE WHEN count(ret) OVER {roll(20)} = 20 THEN stddev_samp(ret) OVER {roll(20)} * sqrt(252) END"},
@@ -56,7 +56,7 @@ simple(
     ind.volatility_partial, extra=changed("intraday"),
 )
 simple(
-    "sma", daily, 4, DAILY, {f"ma_{p}": f"avg(close) OVER {roll(p)}" for p in (3, 5, 10, 20)},
+    "sma", daily, 3, DAILY, {f"ma_{p}": f"avg(close) OVER {roll(p)}" for p in (3, 5, 10, 20)},
     *[lambda p=p: ind.sma(p) for p in (3, 5, 10, 20)],
 )
 simple(
