@@ -31,7 +31,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidebars.timeframes import MINUTES, lookup
+from tidebars.timeframes import MINUTES
 
 SERIES = ("symbol", "timeframe")
 BLOCK_ROWS = 32_768
@@ -54,11 +54,10 @@ def epoch_micros(ts: Column) -> Column:
 
 def with_chunk(df: DataFrame, rows: int = BLOCK_ROWS, ts: str = "ts") -> DataFrame:
     """Add the time chunk: the days that hold ``rows`` steps of the timeframe."""
-    days = {code: max(1, m * rows // 1440) for code, m in MINUTES.items()}
-    finest = F.lit(max(1, rows // 1440))
-    width = F.coalesce(lookup(F.col("timeframe"), days), finest) if "timeframe" in df.columns else finest
-    day = F.unix_date(F.to_date(ts))
-    return df.withColumn(CHUNK, F.floor(day / width).cast("int"))
+    days = " ".join(f"WHEN '{code}' THEN {max(1, m * rows // 1440)}" for code, m in MINUTES.items())
+    finest = max(1, rows // 1440)
+    width = f"CASE timeframe {days} ELSE {finest} END" if "timeframe" in df.columns else str(finest)
+    return df.withColumn(CHUNK, F.expr(f"cast(floor(unix_date(to_date({ts})) / {width}) AS int)"))
 
 
 def with_position(
@@ -76,17 +75,11 @@ def with_position(
     sizes = chunked.groupBy(*chunk_keys).agg(F.count(F.lit(1)).alias("_size"))
     earlier = series.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *chunk_keys,
-        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_size").over(series).alias("n"),
-    )
-    rank = F.row_number().over(Window.partitionBy(*chunk_keys).orderBy(ts))
-    return (
-        chunked.withColumn("_rank", rank)
-        .join(offsets, chunk_keys)
-        .withColumn("pos", F.col("_before") + F.col("_rank") - 1)
-        .drop(CHUNK, "_before", "_rank")
+        *chunk_keys, F.sum("_size").over(earlier).alias("_before"), F.sum("_size").over(series).alias("n")
     )
+    rank = F.row_number().over(Window.partitionBy(*chunk_keys).orderBy(ts)).alias("_rank")
+    ranked = chunked.select("*", rank).join(offsets, chunk_keys)
+    return ranked.select(*df.columns, F.expr("coalesce(_before, 0) + _rank - 1").alias("pos"), "n")
 
 
 def from_end(df: DataFrame, keys: Sequence[str] = SERIES, rows: int = BLOCK_ROWS) -> DataFrame:
