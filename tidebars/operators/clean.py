@@ -28,6 +28,8 @@ OHLCV = ("open", "high", "low", "close", "volume")
 GROUP_LIMIT_ROWS = 1000
 # Exact quantiles of one aggregation buffer: about 2 MB a column at this many rows.
 EXACT_ROWS = 50_000
+# Sketch accuracy: ranks are off by at most one in this many.
+SKETCH = 10_000
 GRID = 1000
 
 
@@ -95,23 +97,70 @@ def quantiles(
             F.percentile(c, share).alias(f"{c}_q{i}") for c in columns for i, share in enumerate(shares)
         ]
         return known.groupBy(*keys).agg(*aggs)
-    melted = known.unpivot(list(keys) + ["ts"], list(columns), "_column", "_x").filter("_x is not null")
-    return _narrowed_quantiles(staged(melted, "values"), columns, shares, keys, exact_rows)
+    return _narrowed_quantiles(known, columns, shares, keys, exact_rows)
 
 
-def _narrowed_quantiles(values, columns, shares, keys, exact_rows) -> DataFrame:
+def _holds(rank: Column, below: Column, inside: Column) -> Column:
+    """Whether a bracket with exact counts contains both values around a rank."""
+    return (below <= F.floor(rank)) & (F.ceil(rank) < below + inside)
+
+
+def _first_brackets(df: DataFrame, wanted: list[tuple[str, int, float]], keys: Sequence[str]) -> DataFrame:
+    """A bracket per (series, column, quantile): one sketch pass, one counting pass.
+
+    A bracket the counts do not confirm is opened to all values.
+    """
+    slack = 2 / SKETCH
+    sketches, counts = [], []
+    for column in dict.fromkeys(c for c, _, _ in wanted):
+        cuts = [x for c, _, s in wanted if c == column for x in (max(s - slack, 0.0), min(s + slack, 1.0))]
+        sketches.append(F.percentile_approx(column, cuts, SKETCH).alias(f"_cuts_{column}"))
+        counts.append(F.count(column).alias(f"_n_{column}"))
+    sketch = staged(df.groupBy(*keys).agg(*sketches, *counts), "sketch")
+
+    def ends(column: str, i: int) -> tuple[Column, Column]:
+        return F.get(f"_cuts_{column}", F.lit(2 * i)), F.get(f"_cuts_{column}", F.lit(2 * i + 1))
+
+    counted = []
+    for column, i, _ in wanted:
+        lo, hi = ends(column, i)
+        x = F.col(column)
+        counted.append(F.count_if(x < lo).alias(f"_below_{column}_{i}"))
+        counted.append(F.count_if((x >= lo) & (x <= hi)).alias(f"_inside_{column}_{i}"))
+    known = sketch.join(attach(df, sketch, keys).groupBy(*keys).agg(*counted), list(keys))
+    brackets = []
+    for column, i, share in wanted:
+        lo, hi = ends(column, i)
+        n = F.col(f"_n_{column}")
+        rank = (n - 1) * F.lit(share)
+        below, inside = F.col(f"_below_{column}_{i}"), F.col(f"_inside_{column}_{i}")
+        good = _holds(rank, below, inside)
+        brackets.append(
+            F.struct(
+                F.lit(column).alias("_column"), F.lit(i).alias("_q"), rank.alias("_rank"),
+                F.when(good, lo.cast("double")).otherwise(-math.inf).alias("_lo"),
+                F.when(good, hi.cast("double")).otherwise(math.inf).alias("_hi"),
+                F.when(good, below).otherwise(0).alias("_below"),
+                F.when(good, inside).otherwise(n).alias("_inside"),
+            )
+        )
+    return staged(known.select(*keys, F.array(*brackets).alias("_brackets")), "brackets")
+
+
+def _narrowed_quantiles(df, columns, shares, keys, exact_rows) -> DataFrame:
     rank_keys = [*keys, "_column", "_q"]
-    wanted = F.array(*[F.struct(F.lit(i).alias("_q"), F.lit(float(s)).alias("_share")) for i, s in enumerate(shares)])
-    counts = values.groupBy(*keys, "_column").agg(F.count(F.lit(1)).alias("_n"))
-    brackets = (
-        counts.withColumn("_w", F.explode(wanted))
-        .select(*keys, "_column", "_w.*", "_n")
-        .withColumn("_rank", F.col("_share") * (F.col("_n") - 1))
-        .withColumns({"_lo": F.lit(-math.inf), "_hi": F.lit(math.inf)})
-        .withColumns({"_below": F.lit(0).cast("bigint"), "_inside": F.col("_n")})
-    )
-    brackets = staged(brackets, "brackets")
-    rows = values.withColumn("_q", F.explode(F.array(*[F.lit(i) for i in range(len(shares))])))
+    wanted = [(c, i, float(s)) for c in columns for i, s in enumerate(shares)]
+    first = _first_brackets(df, wanted, keys)
+    cells = F.array(*[F.col(c).cast("double") for c, _, _ in wanted])
+
+    def inside(x: Column, b: Column) -> Column:
+        place = F.struct(b["_column"].alias("_column"), b["_q"].alias("_q"), x.alias("_x"))
+        return F.when((x >= b["_lo"]) & (x <= b["_hi"]), place)
+
+    found = F.filter(F.zip_with(cells, "_brackets", inside), lambda e: e.isNotNull())
+    rows = attach(df, first, keys).select(*keys, "ts", F.explode(found).alias("_f")).select(*keys, "ts", "_f.*")
+    rows = staged(rows, "values")
+    brackets = first.select(*keys, F.explode("_brackets").alias("_b")).select(*keys, "_b.*")
 
     def within(table: DataFrame) -> DataFrame:
         spread = _spread(rows, table, rank_keys)
@@ -127,24 +176,24 @@ def _narrowed_quantiles(values, columns, shares, keys, exact_rows) -> DataFrame:
         sketch = within(brackets).groupBy(*rank_keys).agg(F.percentile_approx("_x", cuts, 10 * GRID).alias("_cuts"))
         place = F.floor((F.col("_rank") - F.col("_below")) / F.col("_inside") * GRID).cast("int")
         narrower = brackets.join(sketch, rank_keys).select(
-            *rank_keys, "_share", "_n", "_rank",
+            *rank_keys, "_rank",
             F.col("_lo").alias("_old_lo"), F.col("_hi").alias("_old_hi"),
             F.col("_below").alias("_old_below"), F.col("_inside").alias("_old_inside"),
             F.get("_cuts", F.greatest(place - 1, F.lit(0))).alias("_lo"),
             F.get("_cuts", F.least(place + 2, F.lit(GRID))).alias("_hi"),
         )
         narrower = staged(narrower, "narrower")
+        # Values below the first bracket are not in ``rows``: count from the old one.
+        before = (F.col("_x") >= F.col("_old_lo")) & (F.col("_x") < F.col("_lo"))
         counted = _spread(rows, narrower, rank_keys).groupBy(*rank_keys).agg(
-            F.count_if(F.col("_x") < F.col("_lo")).alias("_below"),
+            (F.first("_old_below") + F.count_if(before)).alias("_below"),
             F.count_if((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))).alias("_inside"),
         )
-        holds = (F.col("_below") <= F.floor("_rank")) & (
-            F.ceil("_rank") < F.col("_below") + F.col("_inside")
-        )
+        holds = _holds(F.col("_rank"), F.col("_below"), F.col("_inside"))
         checked = narrower.join(counted, rank_keys)
         brackets = staged(
             checked.select(
-                *rank_keys, "_share", "_n", "_rank",
+                *rank_keys, "_rank",
                 *[
                     F.when(holds, F.col(f"_{c}")).otherwise(F.col(f"_old_{c}")).alias(f"_{c}")
                     for c in ("lo", "hi", "below", "inside")
