@@ -178,6 +178,17 @@ def test_quantiles_of_long_series_are_exact(walk):
                 assert b[symbol][f"{name}_q{i}"] == pytest.approx(want)
 
 
+def test_quantiles_of_a_value_many_rows_share(walk):
+    df, frames = walk
+    flat = df.withColumns({"volume": F.lit(5.0), "open": F.when(F.col("close") > 100, F.lit(1.0)).otherwise(F.col("close"))})
+    got = {r["symbol"]: r for r in clean.quantiles(flat, ["open", "volume"], (0.01, 0.5, 0.99), exact_rows=10).collect()}
+    for symbol, p in frames.items():
+        opened = p["close"].where(p["close"] <= 100, 1.0)
+        for i, q in enumerate((0.01, 0.5, 0.99)):
+            assert got[symbol][f"open_q{i}"] == pytest.approx(opened.quantile(q))
+            assert got[symbol][f"volume_q{i}"] == 5.0
+
+
 def test_memory_covers_rounding():
     for span in (2, 3, 5, 26, 100):
         q = 1 - 2 / (span + 1)

@@ -155,7 +155,7 @@ def _narrowed_quantiles(df, columns, shares, keys, exact_rows) -> DataFrame:
 
     def inside(x: Column, b: Column) -> Column:
         place = F.struct(b["_column"].alias("_column"), b["_q"].alias("_q"), x.alias("_x"))
-        return F.when((x >= b["_lo"]) & (x <= b["_hi"]), place)
+        return F.when((b["_lo"] != b["_hi"]) & (x >= b["_lo"]) & (x <= b["_hi"]), place)
 
     found = F.filter(F.zip_with(cells, "_brackets", inside), lambda e: e.isNotNull())
     rows = attach(df, first, keys).select(*keys, "ts", F.explode(found).alias("_f")).select(*keys, "ts", "_f.*")
@@ -168,12 +168,13 @@ def _narrowed_quantiles(df, columns, shares, keys, exact_rows) -> DataFrame:
 
     previous = None
     while True:
-        widest = brackets.agg(F.max("_inside")).first()[0]
+        # A bracket with equal ends has its value, however many rows share it.
+        widest = brackets.filter("_lo <> _hi").agg(F.max("_inside")).first()[0] or 0
         if widest <= exact_rows or widest == previous:
             break
         previous = widest
         cuts = [i / GRID for i in range(GRID + 1)]
-        sketch = within(brackets).groupBy(*rank_keys).agg(F.percentile_approx("_x", cuts, 10 * GRID).alias("_cuts"))
+        sketch = within(brackets.filter("_lo <> _hi")).groupBy(*rank_keys).agg(F.percentile_approx("_x", cuts, 10 * GRID).alias("_cuts"))
         place = F.floor((F.col("_rank") - F.col("_below")) / F.col("_inside") * GRID).cast("int")
         narrower = brackets.join(sketch, rank_keys).select(
             *rank_keys, "_rank",
@@ -191,18 +192,17 @@ def _narrowed_quantiles(df, columns, shares, keys, exact_rows) -> DataFrame:
         )
         holds = _holds(F.col("_rank"), F.col("_below"), F.col("_inside"))
         checked = narrower.join(counted, rank_keys)
-        brackets = staged(
-            checked.select(
-                *rank_keys, "_rank",
-                *[
-                    F.when(holds, F.col(f"_{c}")).otherwise(F.col(f"_old_{c}")).alias(f"_{c}")
-                    for c in ("lo", "hi", "below", "inside")
-                ],
-            ),
-            "brackets",
+        done = brackets.filter("_lo = _hi")
+        narrowed = checked.select(
+            *rank_keys, "_rank",
+            *[
+                F.when(holds, F.col(f"_{c}")).otherwise(F.col(f"_old_{c}")).alias(f"_{c}")
+                for c in ("lo", "hi", "below", "inside")
+            ],
         )
+        brackets = staged(narrowed.unionByName(done), "brackets")
     # Equal values count as one row, so a value many rows share stays small.
-    tied = within(brackets).groupBy(*rank_keys, "_rank", "_below", "_x").agg(F.count(F.lit(1)).alias("_same"))
+    tied = within(brackets.filter("_lo <> _hi")).groupBy(*rank_keys, "_rank", "_below", "_x").agg(F.count(F.lit(1)).alias("_same"))
     upto = Window.partitionBy(*rank_keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     ranked = tied.withColumn("_end", F.col("_below") + F.sum("_same").over(upto))
     start = F.col("_end") - F.col("_same")
@@ -214,7 +214,9 @@ def _narrowed_quantiles(df, columns, shares, keys, exact_rows) -> DataFrame:
         at(F.floor("_rank")).alias("_low"), at(F.ceil("_rank")).alias("_high"), F.first("_rank").alias("_rank")
     )
     share = F.col("_rank") - F.floor("_rank")
-    result = found.withColumn("_value", _interpolated(F.col("_low"), F.col("_high"), share))
+    value = _interpolated(F.col("_low"), F.col("_high"), share).alias("_value")
+    settled = brackets.filter("_lo = _hi").select(*rank_keys, F.col("_lo").alias("_value"))
+    result = found.select(*rank_keys, value).unionByName(settled)
     picks = [
         F.max(F.when((F.col("_column") == c) & (F.col("_q") == i), F.col("_value"))).alias(f"{c}_q{i}")
         for c in columns
