@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tidebars.catalog.inputs import (
@@ -21,7 +23,7 @@ from tidebars.catalog.inputs import (
 )
 from tidebars.functions import columns as fn
 from tidebars.operators import clean
-from tidebars.series import new_path, require_columns, staged
+from tidebars.series import new_path, require_columns
 from tidebars.sources import bars as src
 
 KEYS = ["symbol", "timeframe", "ts"]
@@ -179,16 +181,6 @@ def stored(spark, bars, fmt):
     return src.read_stored_bars(spark, path, fmt)
 
 
-def bar_files(spark, bars):
-    """Bars as CSV files named by symbol, timeframe and dates, read back."""
-    path = new_path(spark, "files")
-    text = bars.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("t"), "*").select(
-        "symbol", "timeframe", F.col("t").alias("index"), F.col("t").alias("day"), *OHLCV
-    )
-    text.write.option("header", True).partitionBy("symbol", "timeframe").csv(path)
-    return path
-
-
 query("write_bars", f"WITH {INTRADAY} SELECT * FROM intraday")(
     lambda spark, sf: stored(spark, intraday(spark, sf), "parquet")
 )
@@ -199,21 +191,21 @@ query("write_bars_csv", f"WITH {INTRADAY} SELECT * FROM intraday")(
 
 @query("read_bars", f"WITH {DAILY} SELECT {COLUMNS} FROM daily")
 def read_bars(spark, sf):
-    """Each series written as one named CSV file, then all read by name."""
+    """Bars written as CSV files, several to a series, then all read by file name."""
     path = new_path(spark, "named")
     bars = daily(spark, sf)
     # Spark names its own files, so they are given the bar-file names through
     # the Hadoop file system of the folder.
     text = bars.withColumn("day", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-    text.select("symbol", "timeframe", F.col("day").alias("index"), "day", *OHLCV).repartition(
-        "symbol", "timeframe"
-    ).write.option("header", True).partitionBy("symbol", "timeframe").csv(path)
+    rows = text.select("symbol", "timeframe", F.col("day").alias("index"), "day", *OHLCV)
+    rows.write.option("header", True).partitionBy("symbol", "timeframe").csv(path)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
     for i, f in enumerate(fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/*/*/*.csv"))):
         old = f.getPath()
         tf, symbol = old.getParent().getName(), old.getParent().getParent().getName()
-        name = f"{symbol.split('=')[1]}_{tf.split('=')[1]}_1995-01-{i + 1:02d}_2001-12-31.csv"
+        first = dt.date(1900, 1, 1) + dt.timedelta(days=i)
+        name = f"{symbol.split('=')[1]}_{tf.split('=')[1]}_{first}_2001-12-31.csv"
         fs.rename(old, jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"))
     return src.read_bars(spark, f"{path}/*.csv")
 

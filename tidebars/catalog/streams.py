@@ -15,7 +15,7 @@ from tidebars.streaming import live
 
 
 def numbered_lines(spark, sf):
-    """Lines of the documents and of the pages' markup, numbered per source."""
+    """Lines of the documents, numbered per document."""
     return text.lines_of(table(spark, sf, "documents"))
 
 

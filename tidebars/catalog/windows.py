@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tidebars.catalog.inputs import DAILY, GAPPY, INTRADAY, W, daily, gappy, intraday, query, rounded
 from tidebars.operators import indicators as ind
 from tidebars.operators.recurrence import ema_with_gaps
