@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import simhash
+from tidebars.llm import decontaminate, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,3 +26,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def op4_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query
+def op9_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = substrings.repeats(table(spark, sf, "documents"))
+    return substrings.without_repeats(found).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
