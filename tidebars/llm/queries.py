@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import decontaminate, simhash, substrings
+from tidebars.llm import decontaminate, quality_rules, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,3 +41,10 @@ def op9_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = substrings.repeats(table(spark, sf, "documents"))
     return substrings.without_repeats(found).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    found = quality_rules.judged(table(spark, sf, "documents"))
+    base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select(*base, F.col("quality").alias("posterior"))
