@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import decontaminate, quality_rules, simhash, substrings
+from tidebars.llm import classifier, decontaminate, quality_rules, simhash, substrings
+from tidebars.llm.labelled import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,3 +49,10 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     found = quality_rules.judged(table(spark, sf, "documents"))
     base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return found.select(*base, F.col("quality").alias("posterior"))
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    found = classifier.score(docs, classifier.fit(docs, labels, "quality"))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
