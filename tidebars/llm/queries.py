@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import classifier, decontaminate, quality_rules, simhash, substrings
+from tidebars.llm import classifier, decontaminate, html_text, quality_rules, simhash, substrings, toxicity
 from tidebars.llm.labelled import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,15 @@ def op8_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     found = classifier.score(docs, classifier.fit(docs, labels, "quality"))
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    found = toxicity.scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
