@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import classifier, decontaminate, html_text, quality_rules, simhash, substrings, toxicity
+from tidebars.llm import arc, classifier, decontaminate, html_text, quality_rules, simhash, substrings, toxicity
 from tidebars.llm.labelled import held_out
+from tidebars.llm.staging import shuffles_freed, staged
+from tidebars.series import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,3 +70,29 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     found = html_text.extract(table(spark, sf, "pages"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op7_legacy_archives(spark: SparkSession, sf: str) -> DataFrame:
+    arcs, warcs = new_path(spark, "arc"), new_path(spark, "warc")
+    with shuffles_freed(spark):
+        arc.write_arc(table(spark, sf, "pages"), arcs)
+        records = arc.convert(spark, arcs, warcs)
+    found = staged(arc.index(records), "records")
+    responses = found.where("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("key").alias("first"))
+    return found.join(responses, "refers_to", "left").select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("first").alias("refers_to")
+    )
+
+
+SQL["op7_legacy_archives"] = """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+    SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS latest FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 1000 AND page_id <> latest THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 1000 AND page_id <> latest THEN latest END AS refers_to
+FROM g
+"""
