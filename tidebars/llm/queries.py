@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import arc, classifier, decontaminate, html_text, quality_rules, simhash, substrings, toxicity
+import corpus_pipeline
+from tidebars.llm import arc, classifier, decontaminate, html_text, line_dedup, pieces, quality_rules, simhash, substrings, toxicity
 from tidebars.llm.labelled import held_out
 from tidebars.llm.staging import shuffles_freed, staged
 from tidebars.series import new_path
 
+#: A public SentencePiece model; a parameter of the operator.
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -96,3 +100,29 @@ SELECT page_id, payload_bytes, payload_digest,
     CASE WHEN payload_bytes >= 1000 AND page_id <> latest THEN latest END AS refers_to
 FROM g
 """
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
+@query
+def op3_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    model = pieces.read_model(MODEL_PATH)
+    encoded = pieces.encode(table(spark, sf, "documents"), model, keep=("doc_id", "text"))
+    decoded = pieces.decode(encoded, model, keep=("doc_id", "ids", "text"), into="decoded")
+    exact = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", exact.alias("round_trip"))
+
+
+@query
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
