@@ -19,8 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
     sees, then every node's smaller neighbours, which about halves the depth of
     the trees; rounds go on until nothing changes, when each tree is a star.
     The smallest neighbour is a partial aggregate, so a node with very many
-    neighbours costs no task more than its share; the join that follows is one
-    that Spark splits when a key is large.  Null ends and loops link nothing; an
+    neighbours costs no task more than its share; it is staged, so the join that
+    follows is one of two plain exchanges, which Spark splits when a key is large.  Null ends and loops link nothing; an
     empty table gives an empty one.  Only the number of changed edges reaches
     the driver.
     """
@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     )
     while True:
         sym = _both_ways(now)
-        low = sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = staged(sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "components")
         large = sym.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(low, "a")

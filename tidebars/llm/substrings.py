@@ -16,7 +16,8 @@ right), and windows that a smaller document has are repeats.
 *Maximal repeats* are the unions of a row's repeated windows.
 
 All keys are hashes of content, all groups are met by partial aggregates and by
-joins that Spark splits, and copies fold into their class before anything is
+joins that Spark splits (what is joined to many rows is staged first, so that both
+sides of the join are plain exchanges), and copies fold into their class before anything is
 spelt out, so a passage in a third of all rows costs what its rows cost.
 Hashes have 64 bits and are compared only among occurrences of one anchor or
 window.
@@ -137,7 +138,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
         raise ValueError("the seed must have from 1 to length words")
     keyed = _keyed(docs, key, text)
     ends = _anchors(keyed, length, seed, full=False).groupBy("anchor").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
-    shared = ends.where("lo < hi").select("anchor")
+    shared = staged(ends.where("lo < hi").select("anchor"), "shared")
     found = staged(_anchors(keyed, length, seed, full=True).join(shared, "anchor"), "anchors")
     classes = found.groupBy("anchor", "stretch").agg(F.min(F.struct("k", "copy", "first", "size")).alias("rep"))
     classes = staged(classes, "classes")
@@ -148,7 +149,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     heads = found.join(classes.join(several, "anchor", "left_semi"), ["anchor", "stretch"]).where("k = rep.k").select("k", "copy", "first", "size")
     windows = staged(_windows_of(keyed, heads, length), "windows")
     least = windows.groupBy("window").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("window", "lo")
-    single = windows.join(least, "window").where("k > lo").select("k", "copy", F.col("first").alias("begin"), (F.col("first") + length).alias("end"))
+    single = windows.join(staged(least, "least"), "window").where("k > lo").select("k", "copy", F.col("first").alias("begin"), (F.col("first") + length).alias("end"))
     merged = spans.union(single).groupBy("k", "copy").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     none = F.array().cast("array<struct<begin:int,end:int>>")
     out = keyed.join(merged, ["k", "copy"], "left").select("k", "text", F.coalesce("spans", none).alias("spans"))
