@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.llm import words as W
+from tidebars.llm.rows import ROW, packed, unpacked, with_row
 
 WINDOW_WORDS = 10
 SAMPLE = 8
@@ -228,29 +229,28 @@ def item_blocks(items: DataFrame, item: str, text: str, window: int) -> list[Phr
 RESULT = "n_words bigint, n_hit bigint, spans array<struct<begin:bigint,end:bigint>>, items array<string>"
 
 
-def contamination(
-    docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-    window: int = WINDOW_WORDS, keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """Per row of ``docs``: words, words hit, merged spans of hit words, and the items whose windows occur, in string order.
+def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW_WORDS) -> DataFrame:
+    """Per row of ``docs`` its key, words, words hit, merged spans of hit words, and the items whose windows occur, in string order.
 
     Words are runs of digits, a-z and characters beyond ASCII after A-Z are put
     in lower case.  A window is ``window`` consecutive words of an item; an item
     of fewer words is one window, one without words (null, empty) none.  A
     document word inside an occurrence of a window is hit.  Repeated items count
     once by id; an item without id hits words but isn't listed.  Null texts have
-    no words.  Columns named in ``keep`` go along.  The items are a stated query
-    set: they go to every task, in blocks of bounded size.
+    no words.  The items are a stated query set: they go to every task, in blocks
+    of bounded size.
     """
+    return unpacked(_scan(docs, items, [key], text, item, item_text, window), [key], "n_words", "n_hit", "spans", "items")
+
+
+def _scan(docs: DataFrame, items: DataFrame, carry: list[str], text: str, item: str, item_text: str, window: int) -> DataFrame:
     spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(items, item, item_text, window)]
-    rows = docs.select(*[F.col(c) for c in dict.fromkeys((key, *keep))], F.col(text).alias("_text"))
-    names = [c for c in rows.columns if c != "_text"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
+    rows = docs.select(packed(carry), F.col(text).alias("text"))
     span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in W.texts(batches, "_text"):
+        for part in W.texts(batches, "text"):
             data = W.lower_ascii(part.data)
             found = W.find_words(data, part.offsets, W.letters_and_digits())
             hashes, n = W.word_hashes(data, found), len(found.starts)
@@ -273,17 +273,13 @@ def contamination(
             where = np.searchsorted(row, np.arange(part.rows.num_rows + 1)).astype(np.int32)
             spans = pa.ListArray.from_arrays(pa.array(where), pa.StructArray.from_arrays([pa.array(opens - base), pa.array(closes - base)], fields=list(span)))
             named = pa.array([sorted(x for x in h if x is not None) for h in hits], pa.list_(pa.string()))
-            columns = [part.rows.column(part.rows.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(found.counts), pa.array(W.totals(hit, found.first)), spans, named], [*names, "n_words", "n_hit", "spans", "items"]
-            )
+            counts = pa.array(found.counts), pa.array(W.totals(hit, found.first))
+            yield pa.RecordBatch.from_arrays([part.rows.column(0), *counts, spans, named], [ROW, "n_words", "n_hit", "spans", "items"])
 
-    return rows.mapInArrow(run, f"{fields}, {RESULT}")
+    return rows.mapInArrow(run, with_row(rows, RESULT))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", max_share: float = 0.0) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", max_share: float = 0.0) -> DataFrame:
     """The rows of ``docs`` of whose words at most ``max_share`` are hit; columns and values are those of ``docs``."""
-    others = tuple(c for c in docs.columns if c not in (key, text))
-    found = contamination(docs.withColumn("_kept", F.col(text)), items, key, text, keep=(*others, "_kept"))
-    clean = found.where(F.col("n_hit") <= max_share * F.col("n_words"))
-    return clean.withColumnRenamed("_kept", text).select(*docs.columns)
+    found = _scan(docs, items, docs.columns, text, "item_id", "text", WINDOW_WORDS)
+    return unpacked(found.where(F.col("n_hit") <= max_share * F.col("n_words")), docs.columns)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebars.llm.rows import ROW, packed, unpacked, with_row
+
 #: HTML elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -284,12 +286,11 @@ def extract(pages: DataFrame, page: str = "html", into: str = "text") -> DataFra
     their row; a column already named as ``into`` is replaced.
     """
     names = [c for c in pages.columns if c not in (page, into)]
-    rows = pages.select(*names, F.col(page).alias("_page"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
+    rows = pages.select(packed(names), F.col(page).alias("page"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([main_text(p.as_py()) for p in batch.column(batch.num_columns - 1)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], [*names, into])
+            texts = pa.array([main_text(p.as_py()) for p in batch.column(1)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], [ROW, "text"])
 
-    return rows.mapInArrow(run, f"{fields}{', ' if fields else ''}`{into}` string")
+    return unpacked(rows.mapInArrow(run, with_row(rows, "text string")), names, F.col("text").alias(into))

@@ -20,6 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebars.llm.rows import ROW, packed
 from tidebars.llm.staging import staged
 
 WINDOW_LINES = 2
@@ -93,14 +94,11 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return same.select("_k", "_copy", "at")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``text`` without its repeated chunks, and ``_n_lines`` and ``_n_removed``, counts of lines.
-
-    All rows stay; a text of which nothing is left is empty, a null one stays
-    null.  Other columns are as they were.
-    """
+def _edited(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Packed rows with ``made``: the text that stays and its number of lines, null where nothing goes."""
     gone = staged(repeated(docs, key, text), "line-repeats").groupBy("_k", "_copy").agg(F.collect_set("at").alias("_gone"))
-    stamped = docs.withColumns({"_k": F.coalesce(key, F.lit(NO_KEY)).cast("bigint"), "_copy": F.xxhash64(text)})
+    stamped = docs.select(packed(docs.columns), F.coalesce(key, F.lit(NO_KEY)).cast("bigint").alias("_k"), F.xxhash64(text).alias("_copy"))
+
     def rebuilt(lines: Column) -> Column:
         def kept(chunks: Column) -> Column:
             stays = F.transform(F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), "_gone"), lambda i: F.get(chunks, i))
@@ -112,9 +110,30 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
         return let(chunks_of(lines), kept)
 
-    done = stamped.join(gone, ["_k", "_copy"], "left").withColumn("_made", F.when(F.col("_gone").isNotNull(), let(lines_of(F.col(text)), rebuilt)))
-    n_lines = F.size(lines_of(F.col(text))).cast("bigint")
-    return done.select(
-        *[c if c != text else F.coalesce("_made.text", F.col(text)).alias(text) for c in docs.columns],
-        n_lines.alias("_n_lines"), F.coalesce(n_lines - F.col("_made.lines"), F.lit(0)).cast("bigint").alias("_n_removed"),
+    made = F.when(F.col("_gone").isNotNull(), let(lines_of(F.col(ROW)[text]), rebuilt)).alias("made")
+    return stamped.join(gone, ["_k", "_copy"], "left").select(ROW, made)
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Key, text without its repeated chunks, ``n_lines`` of the whole text and ``n_removed`` of these.
+
+    All rows stay; a text of which nothing is left is empty, a null one stays null.
+    """
+    row, made = F.col(ROW), F.col("made")
+    n_lines = F.size(lines_of(row[text])).cast("bigint")
+    return _edited(docs, key, text).select(
+        row[key].alias(key), F.coalesce(made["text"], row[text]).alias(text), n_lines.alias("n_lines"),
+        F.coalesce(n_lines - made["lines"], F.lit(0)).cast("bigint").alias("n_removed"),
     )
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
+    """``docs`` with repeated chunks gone from ``text``; ``size``, if there is such a column, follows edited texts.
+
+    All rows and all other columns stay as they were.
+    """
+    row, made = F.col(ROW), F.col("made")
+    columns = {c: row[c] for c in docs.columns} | {text: F.coalesce(made["text"], row[text])}
+    if size in docs.columns:
+        columns[size] = F.coalesce(F.char_length(made["text"]).cast(docs.schema[size].dataType), row[size])
+    return _edited(docs, key, text).select(*[column.alias(c) for c, column in columns.items()])

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.llm import words as W
+from tidebars.llm.rows import ROW, packed, unpacked, with_row
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -413,39 +414,34 @@ def read_model(path: str) -> Model:
         return Model.load(file.read())
 
 
-def _passed(df: DataFrame, keep: list[str]) -> str:
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema]
-    return "".join(f"{f}, " for f in fields)
-
-
 def encode(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), into: str = "ids") -> DataFrame:
     """The columns ``keep`` and ``into``, the piece ids of each whole text (empty for a null or empty one)."""
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    rows = docs.select(packed(keep), F.col(text).alias("text"))
 
     shared = docs.sparkSession.sparkContext.broadcast(Encoder(model))  # a few MB, by the size of the model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.value
-        for part in W.texts(batches, "_text", SLICE_BYTES):
-            found, offsets = encoder.encode(part.rows.column(len(keep)).to_pylist())
+        for part in W.texts(batches, "text", SLICE_BYTES):
+            found, offsets = encoder.encode(part.rows.column(1).to_pylist())
             ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found))
-            yield pa.RecordBatch.from_arrays([*part.rows.columns[: len(keep)], ids], [*keep, into])
+            yield pa.RecordBatch.from_arrays([part.rows.column(0), ids], [ROW, "ids"])
 
-    return rows.mapInArrow(run, f"{_passed(docs, list(keep))}`{into}` array<int>")
+    return unpacked(rows.mapInArrow(run, with_row(rows, "ids array<int>")), keep, F.col("ids").alias(into))
 
 
 def decode(encoded: DataFrame, model: Model, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), into: str = "text") -> DataFrame:
     """The columns ``keep`` and ``into``, the text of each row's ids (empty for null or none)."""
-    rows = encoded.select(*keep, F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("_ids"))
+    rows = encoded.select(packed(keep), F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                column = part.column(len(keep))
+                column = part.column(1)
                 offsets = np.r_[0, np.cumsum(column.value_lengths().to_numpy())]
                 texts = decoder.decode(column.flatten().to_numpy(), offsets)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, into])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], [ROW, "text"])
 
-    return rows.mapInArrow(run, f"{_passed(encoded, list(keep))}`{into}` string")
+    return unpacked(rows.mapInArrow(run, with_row(rows, "text string")), keep, F.col("text").alias(into))

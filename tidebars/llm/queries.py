@@ -106,7 +106,7 @@ FROM g
 def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf, "documents"))
     return found.select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
 
 

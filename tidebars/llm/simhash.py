@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from tidebars.llm import words as W
 from tidebars.llm.components import components
+from tidebars.llm.rows import packed, unpacked
 from tidebars.llm.staging import staged
 
 SHINGLE_WORDS = 4
@@ -236,5 +237,5 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     """
     prints = staged(fingerprints(docs, key, text), "fingerprints")
     firsts = _first_rows(prints, key, MAX_BITS).select(F.col("first.key").alias("_k"), F.col("first.copy").alias("_c")).distinct()
-    stamped = docs.withColumns({"_k": F.coalesce(key, F.lit(NO_KEY)), "_c": F.xxhash64(text)})
-    return stamped.join(firsts, ["_k", "_c"], "left_semi").dropDuplicates(["_k", "_c"]).select(*docs.columns)
+    stamped = docs.select(packed(docs.columns), F.coalesce(F.col(key), F.lit(NO_KEY)).alias("_k"), F.xxhash64(text).alias("_c"))
+    return unpacked(stamped.join(firsts, ["_k", "_c"], "left_semi").dropDuplicates(["_k", "_c"]), docs.columns)

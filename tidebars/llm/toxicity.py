@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.llm.labelled import SAMPLE_ROWS, training_rows
+from tidebars.llm.rows import ROW, packed, unpacked, with_row
 from tidebars.llm.staging import staged
 
 MIN_CONTEXTS = 6
@@ -118,29 +119,30 @@ def _inputs(weight, n_words):
     return np.log1p(weight), np.log1p(100 * weight / np.maximum(n_words, 1))
 
 
-def weigh(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of ``docs``: key, columns in ``keep``, ``weight`` and ``n_matches`` of its terms, ``n_words``, ``score``.
+def weigh(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of ``docs``: key, ``weight`` and ``n_matches`` of its terms, ``n_words``, ``score``.
 
     Whole texts are read.  A null or empty text has weight 0 and the score of a
     text without terms.
     """
-    names = list(dict.fromkeys((key, *keep)))
-    rows = docs.select(*names, F.col(text).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
+    return unpacked(_scan(docs, lexicon, [key], text), [key], "weight", "n_matches", "n_words", "score")
+
+
+def _scan(docs: DataFrame, lexicon: Lexicon, carry: list[str], text: str) -> DataFrame:
+    rows = docs.select(packed(carry), F.col(text).alias("text"))
     a, b, c = lexicon.curve
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, table = lexicon.automaton(), Folding()
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            found = [_measures(column[i].as_py(), automaton, table) for i in range(batch.num_rows)]
+            found = [_measures(t.as_py(), automaton, table) for t in batch.column(1)]
             weight, hits, n = (np.array(x, kind) for x, kind in zip(zip(*found, strict=True) if found else ((), (), ()), (float, np.int64, np.int64), strict=True))
             x, y = _inputs(weight, n)
             score = 1 / (1 + np.exp(-np.clip(a + b * x + c * y, -35, 35)))
-            made = [*batch.columns[:-1], pa.array(weight), pa.array(hits), pa.array(n), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(made, [*names, "weight", "n_matches", "n_words", "score"])
+            made = [batch.column(0), pa.array(weight), pa.array(hits), pa.array(n), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(made, [ROW, "weight", "n_matches", "n_words", "score"])
 
-    return rows.mapInArrow(run, f"{fields}, weight double, n_matches bigint, n_words bigint, score double")
+    return rows.mapInArrow(run, with_row(rows, "weight double, n_matches bigint, n_words bigint, score double"))
 
 
 def _evidence(rows: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame:
@@ -217,7 +219,8 @@ def learn(
     """A lexicon from about ``sample`` labelled rows that aren't held out.
 
     A term needs `MIN_CONTEXTS` different places in labelled texts and a log
-    odds ratio of `MIN_WEIGHT` over the others; at most `MAX_TERMS` terms, by
+    odds ratio of `MIN_WEIGHT` over the others, and no longer term that tells nearly
+    as many labelled texts better; at most `MAX_TERMS` terms, by
     weight and then by name, are kept.  The driver sees the terms of the sample
     that labelled texts share, which the sample's size bounds.  Without labelled
     rows the lexicon is empty.
@@ -229,7 +232,9 @@ def learn(
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     yes, no = sizes.get(1, 0) + 1, sizes.get(0, 0) + 1
     weights = {t: math.log((n + 0.5) / yes) - math.log((others.get(t, 0) + 0.5) / no) for t, n in often.items()}
-    terms = sorted((-w, t) for t, w in weights.items() if w >= MIN_WEIGHT)[:MAX_TERMS]
+    # A beginning whose labelled places nearly all go on alike says less than the longer term.
+    vague = {t[:n] for t, w in weights.items() for n in range(SHORTEST, len(t)) if often[t] >= 0.9 * often.get(t[:n], 0) and w > weights.get(t[:n], w)}
+    terms = sorted((-w, t) for t, w in weights.items() if w >= MIN_WEIGHT and t not in vague)[:MAX_TERMS]
     lexicon = Lexicon({t: -w for w, t in terms})
     if not terms:
         return lexicon
@@ -250,7 +255,6 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str =
     return weigh(docs, learn(docs, labels, label, key, text, sample), key, text)
 
 
-def drop_toxic(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``; columns and values are those of ``docs``."""
-    others = tuple(c for c in docs.columns if c != key)
-    return weigh(docs, lexicon, key, text, others).where(F.col("score") < threshold).select(*docs.columns)
+    return unpacked(_scan(docs, lexicon, docs.columns, text).where(F.col("score") < threshold), docs.columns)
