@@ -87,10 +87,12 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         text_of = lambda chunks: F.transform("wanted", lambda c: c.withField("body", _body(lines, F.get(chunks, c["at"]))))
         return let(chunks_of(lines), text_of)
 
-    bodies = rows.join(wanted, ["_k", "_copy"]).select("_k", "_copy", F.explode(let(lines_of(F.col("_text")), spelt)).alias("c")).select("_k", "_copy", "c.*")
-    bodies = bodies.where(F.length(F.trim(F.regexp_replace("body", r"[\s]+", " "))) > 0)
+    # Rows are dealt by key at every size, so that the plan, and what it costs a row, is the same for all.
+    bodies = rows.join(wanted.hint("merge"), ["_k", "_copy"]).select("_k", "_copy", F.explode(let(lines_of(F.col("_text")), spelt)).alias("c"))
+    bodies = bodies.select("_k", "_copy", "c.*").where(F.length(F.trim(F.regexp_replace("body", r"[\s]+", " "))) > 0)
+    bodies = staged(bodies, "line-bodies")
     kept = bodies.where("is_first").groupBy("hash").agg(F.min("body").alias("first_body"))
-    same = bodies.where("not is_first").join(staged(kept, "line-bodies"), "hash").where("body = first_body")
+    same = bodies.where("not is_first").join(staged(kept, "line-firsts"), "hash").where("body = first_body")
     return same.select("_k", "_copy", "at")
 
 
@@ -111,7 +113,7 @@ def _edited(docs: DataFrame, key: str, text: str) -> DataFrame:
         return let(chunks_of(lines), kept)
 
     made = F.when(F.col("_gone").isNotNull(), let(lines_of(F.col(ROW)[text]), rebuilt)).alias("made")
-    return stamped.join(gone, ["_k", "_copy"], "left").select(ROW, made)
+    return stamped.join(gone.hint("merge"), ["_k", "_copy"], "left").select(ROW, made)
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
