@@ -11,6 +11,7 @@ from tidebars.operators import align, backtest, calendar, clean, integrity, mode
 from tidebars.operators import indicators as ind
 from tidebars.operators.recurrence import ema_with_gaps
 from tidebars.series import require_columns
+from tidebars.sources import bars as bars_source
 from tidebars.timeframes import canonical
 
 
@@ -213,10 +214,11 @@ def test_entry_strategy_bands(spark):
     assert df.filter(label != F.col("w")).count() == 0
 
 
-def test_combined_signal_ignores_unknown_timeframes(spark):
-    rows = [("x", "5m", 1.0, 1.0, 1.0, 1.0), ("x", "1d", 4.0, 1.0, 1.0, 1.0), ("x", "60m", 99.0, 1.0, 1.0, 1.0)]
+def test_combined_signal_weighs_hours_and_ignores_codes_without_weight(spark):
+    rows = [("x", "5m", 1.0, 1.0, 1.0, 1.0), ("x", "1d", 4.0, 1.0, 1.0, 1.0), ("x", "30m", 99.0, 1.0, 1.0, 1.0), ("y", "5m", 0.0, 1.0, 1.0, 1.0), ("y", "60m", 1.0, 1.0, 1.0, 1.0), ("z", "1h", 1.0, 1.0, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "symbol string, timeframe string, signal_strength double, entry_level double, stop_loss double, position_size double")
-    assert signals.combine_timeframe_signals(df).first()["signal_strength"] == pytest.approx((0.1 + 0.8) / 0.3)
+    got = {r["symbol"]: r["signal_strength"] for r in signals.combine_timeframe_signals(df).collect()}
+    assert got == {"x": pytest.approx((0.1 + 0.8) / 0.3), "y": pytest.approx(0.2 / 0.3), "z": pytest.approx(1.0)}
 
 
 def test_comprehensive_signal_stops_at_the_shortest(bars, spark):
@@ -277,7 +279,7 @@ def test_market_regime(bars, spark):
     ready = joined.withColumns({"volatility": F.when(F.col("i") != 5, F.col("x")), "trend_strength": F.col("x")})
     short = bars([(0, 1.0), (1, None)], symbol="s").withColumns({"volatility": F.col("close"), "trend_strength": F.lit(1.0)})
     both = ready.drop("i", "x").unionByName(short)
-    got = model.market_regime(both, iterations=6).collect()
+    got = model.market_regime(both, max_k=5).collect()
     by_spot = {}
     for r in got:
         if r["symbol"] == "s":
@@ -310,3 +312,60 @@ def test_text_columns(spark):
 def test_normalize_symbol(spark):
     df = spark.createDataFrame([("000001.XSHG",), ("000002.XSHE",), ("sz000003",)], "c string")
     assert [r[0] for r in df.select(fn.normalize_symbol(F.col("c"))).collect()] == ["sh000001", "sz000002", "sz000003"]
+
+
+# --- nothing is lost without a word -----------------------------------------
+def test_null_keys_keep_their_rows(bars, spark):
+    df = bars([(0, 1.0), (1, 2.0), (2, 4.0)])
+    odd = df.limit(1).withColumn("ts", F.lit(None).cast("timestamp_ntz")).unionByName(df.limit(1).withColumn("symbol", F.lit(None).cast("string")))
+    every = df.unionByName(odd)
+    assert ind.with_indicators(every, ind.returns()).count() == 5
+    assert clean.winsorize(every, ["close"]).count() == 5
+    assert clean.ffill(every, ["close"]).count() == 5
+    assert clean.handle_nan_inf(every).count() == 5
+    assert clean.tail_n(every, 2).count() == 3
+    assert bars_source.fallback_union(every.filter("symbol is null"), every).count() == 5
+
+
+def test_tail_is_the_same_across_chunks(spark):
+    df = spark.range(200_000).selectExpr("'a' as symbol", "'5m' as timeframe", "timestamp_ntz'2020-01-01' + make_dt_interval(0, 0, cast(5 * id as int)) as ts", "id")
+    for count in (1, 20, 40_000):
+        got = clean.tail_n(df, count).agg(F.count("id").alias("n"), F.min("id").alias("lo")).first()
+        assert (got["n"], got["lo"]) == (count, 200_000 - count)
+
+
+def test_gap_filling_has_one_schema(bars):
+    df = bars([(0, 1.0), (1, 2.0)]).withColumn("k", F.lit(3))
+    gap = df.withColumn("k", F.when(F.col("close") > 1, F.col("k")))
+    assert clean.handle_nan_inf(df).schema["k"].dataType == clean.handle_nan_inf(gap).schema["k"].dataType
+
+
+def test_each_symbol_has_its_own_base(bars):
+    day = dt.datetime(2024, 1, 2)
+    minutes = lambda symbol, code, step, n: bars([(day + dt.timedelta(minutes=i * step), float(i)) for i in range(n)], symbol, code)
+    df = minutes("a", "5m", 5, 24).unionByName(minutes("a", "1h", 60, 2)).unionByName(minutes("b", "15m", 15, 8)).unionByName(minutes("b", "60m", 60, 2))
+    got = {(r["symbol"], r["timeframe"]): r["n"] for r in align.align_timeframes(df).groupBy("symbol", "timeframe").agg(F.count("ts").alias("n")).collect()}
+    assert got == {("a", "5m"): 24, ("a", "60m"): 24, ("b", "15m"): 8, ("b", "60m"): 8}
+    with pytest.raises(Exception, match="unknown timeframe"):
+        align.align_timeframes(df.withColumn("timeframe", F.lit("7m"))).collect()
+
+
+def test_half_hour_bars_are_checked_for_slots(bars, spark):
+    day = bars([(dt.datetime(2024, 1, 2, 10, 0), 1.0)], timeframe="30m")
+    holidays = spark.createDataFrame([(dt.date(2024, 1, 1),)], "date date")
+    found = integrity.missing_slots(day, holidays).first()
+    assert found["observed"] == "7" and "15:00" in found["reasons"]
+
+
+def test_regimes_are_settled(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [("s", "1d", dt.datetime(2020, 1, 1) + dt.timedelta(days=i), *map(float, rng.gamma(2.0, 1.0, 3))) for i in range(400)]
+    df = spark.createDataFrame(rows, "symbol string, timeframe string, ts timestamp_ntz, volatility double, trend_strength double, volume double")
+    points = np.array([r[3:] for r in rows])
+    points = (points - points.mean(0)) / points.std(0)
+    label = np.array([r["regime"] for r in model.market_regime(df).orderBy("ts").collect()])
+    centres = np.array([points[label == c].mean(0) for c in range(label.max() + 1)])
+    nearest = ((points[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+    assert (nearest == label).all()

@@ -148,7 +148,7 @@ COMBINED = ", ".join(f"round(sum(w * {f}) / sum(w), 6) AS {f}" for f in FIELDS)
 query(
     "combine_timeframe_signals",
     f"""WITH {SIGNALS}, m AS (SELECT symbol, timeframe, {MEANS} FROM signals GROUP BY 1, 2),
-    weights(timeframe, w) AS (VALUES ('1m', 0.05), ('5m', 0.1), ('15m', 0.15), ('1h', 0.2), ('4h', 0.2), ('1d', 0.2), ('1w', 0.1))
+    weights(timeframe, w) AS (VALUES ('1min', 0.05), ('5m', 0.1), ('15m', 0.15), ('60m', 0.2), ('4h', 0.2), ('1d', 0.2), ('1w', 0.1))
     SELECT symbol, {COMBINED} FROM m JOIN weights USING (timeframe) GROUP BY symbol""",
 )(lambda spark, sf: rounded(sg.combine_timeframe_signals(sg.signals(scored(spark, sf))), 6, *FIELDS))
 

@@ -7,19 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebars.series import SERIES, epoch_seconds, from_end
-from tidebars.timeframes import MINUTES, canonical, minutes_of
+from tidebars.series import SERIES, epoch_seconds, from_end, join_keys
+from tidebars.timeframes import MINUTES, canonical, known_column, minutes_of
 
 BARS = ("open", "high", "low", "close", "volume")
 SLOTS_PER_CHUNK = 32_768
 
 
-def _slot(ts: Column, seconds: int) -> Column:
-    """Left edge of the time slot, counted from midnight."""
+def _slot(ts: Column, seconds: int | Column) -> Column:
+    """Left edge of the time slot, counted from midnight; a day at most."""
     day = F.to_date(ts).cast("timestamp_ntz")
     in_day = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-    if seconds >= 86_400:
-        return day
+    if not isinstance(seconds, Column):
+        seconds = min(seconds, 86_400)
     return day + F.make_dt_interval(secs=(in_day - in_day % seconds).cast("decimal(18,6)"))
 
 
@@ -96,39 +96,46 @@ def base_timeframe(df: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFram
 
 
 def align_timeframes(
-    df: DataFrame, base: str, columns: Sequence[str] = BARS, mode: str = "same_bar"
+    df: DataFrame, base: str | None = None, columns: Sequence[str] = BARS, mode: str = "same_bar"
 ) -> DataFrame:
     """Every timeframe on the time stamps of the base timeframe.
 
-    A bounded as-of join.  ``same_bar`` gives a base bar the last values of a
+    The base is each symbol's own shortest timeframe, or the one named for all
+    symbols, of which those without it have no rows.  Other spellings of a code
+    count as that code; an unknown one is an error.  A bounded as-of join.  ``same_bar`` gives a base bar the last values of a
     longer bar that began within that bar's length, also when the longer bar is
     still running, and nothing after the series' last slot.  ``closed`` uses
     finished bars only: a bar counts from its start plus its length on.
     """
     if mode not in ("same_bar", "closed"):
         raise ValueError("mode is 'same_bar' or 'closed'")
-    base = canonical(base)
-    if MINUTES[base] > MINUTES["1d"]:
+    if base is not None and MINUTES[canonical(base)] > MINUTES["1d"]:
         raise ValueError("the base timeframe is a day or shorter")
-    step = MINUTES[base] * 60
-    present = [t for t in MINUTES if MINUTES[t] > MINUTES[base]]
-    base_rows = df.filter(F.col("timeframe") == base)
+    df = df.withColumn("timeframe", known_column(F.col("timeframe")))
+    if base is None:
+        df = with_symbol_table(df, base_timeframe(df)).withColumnRenamed("base_timeframe", "_base")
+    else:
+        df = df.withColumn("_base", F.lit(canonical(base)))
+    base_minutes = minutes_of(F.col("_base"))
+    # Slots are a day at most, also for a symbol that has longer bars only.
+    df = df.withColumn("_step", F.least(base_minutes, F.lit(MINUTES["1d"])) * 60)
+    minutes, step = minutes_of(F.col("timeframe")), F.col("_step")
+    base_rows = df.filter(F.col("timeframe") == F.col("_base"))
     out = base_rows.select("symbol", "timeframe", "ts", *columns)
-    longer = df.filter(F.col("timeframe").isin(present))
-    minutes = minutes_of(F.col("timeframe"))
+    longer = df.filter(minutes > base_minutes)
     shift = minutes * 60 if mode == "closed" else F.lit(0)
     slot = _slot(F.col("ts"), step)
     bars = longer.select(
-        "symbol", "timeframe", F.lit("bar").alias("_kind"), F.col("ts"),
+        "symbol", "timeframe", F.lit("bar").alias("_kind"), "_step", F.col("ts"),
         (epoch_seconds(slot) + shift).alias("_at"), *columns,
     )
-    ends = bars.groupBy("symbol", "timeframe").agg(F.max("_at").alias("_at"))
-    ends = ends.select("symbol", "timeframe", F.lit("end").alias("_kind"), "_at")
+    ends = bars.groupBy("symbol", "timeframe", "_step").agg(F.max("_at").alias("_at"))
+    ends = ends.select("symbol", "timeframe", F.lit("end").alias("_kind"), "_step", "_at")
     # Base rows are wanted once per longer timeframe their symbol has.
     held = ends.groupBy("symbol").agg(F.collect_set("timeframe").alias("_held"))
     wanted = (
-        with_symbol_table(base_rows.select("symbol", "ts"), held)
-        .select("symbol", F.explode("_held").alias("timeframe"), F.lit("base").alias("_kind"), "ts")
+        with_symbol_table(base_rows.select("symbol", "_step", "ts"), held)
+        .select("symbol", F.explode("_held").alias("timeframe"), F.lit("base").alias("_kind"), "_step", "ts")
         .withColumn("_at", epoch_seconds(F.col("ts")))
     )
     reach = (minutes * 60 - step).alias("_reach")
@@ -167,7 +174,7 @@ def with_symbol_table(df: DataFrame, table: DataFrame) -> DataFrame:
     """Join one row per symbol to rows of a symbol, spread over months."""
     spread = df.withColumn("_month", F.date_trunc("month", "ts"))
     months = spread.select("symbol", "_month").distinct()
-    return spread.join(months.join(table, "symbol"), ["symbol", "_month"]).drop("_month")
+    return join_keys(spread, join_keys(months, table, ["symbol"]), ["symbol", "_month"]).drop("_month")
 
 
 def quarterly_from_monthly(df: DataFrame, columns: Sequence[str] = BARS) -> DataFrame:

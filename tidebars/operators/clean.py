@@ -15,6 +15,7 @@ from tidebars.series import (
     SERIES,
     attach,
     epoch_micros,
+    join_keys,
     require_columns,
     staged,
     with_carry,
@@ -24,8 +25,6 @@ from tidebars.series import (
 )
 
 OHLCV = ("open", "high", "low", "close", "volume")
-# Spark limits rows per group before the shuffle only up to this many.
-GROUP_LIMIT_ROWS = 1000
 # Exact quantiles of one aggregation buffer: about 2 MB a column at this many rows.
 EXACT_ROWS = 50_000
 # Sketch accuracy: ranks are off by at most one in this many.
@@ -327,14 +326,6 @@ def bfill(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = SERIES, r
     return found.withColumns({c: F.col(f"_ax{i}") for i, c in enumerate(columns)}).select(*df.columns)
 
 
-def columns_with_gaps(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    """Those columns that hold a null, NaN or infinite value (one aggregation)."""
-    fractional = {f.name for f in df.schema if isinstance(f.dataType, T.FractionalType)}
-    values = {c: finite(c) if c in fractional else F.col(c) for c in columns}
-    row = df.agg(*[F.bool_or(v.isNull()).alias(c) for c, v in values.items()]).first()
-    return [c for c in columns if row[c]]
-
-
 def handle_nan_inf(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -345,10 +336,10 @@ def handle_nan_inf(
 
     Interpolation already gives both ends the nearest value, so the forward and
     backward fill that follow it in a hand-written clean-up have nothing to do.
-    Columns without a gap stay out of the windows.
+    The columns come out as doubles, whether they have gaps or not.
     """
-    gaps = columns_with_gaps(df, list(columns or numeric_columns(df)))
-    return interpolate_time(inf_to_null(df, gaps), gaps, keys, rows) if gaps else df
+    treated = list(columns or numeric_columns(df))
+    return interpolate_time(inf_to_null(df, treated), treated, keys, rows)
 
 
 def minmax_normalize(
@@ -369,13 +360,21 @@ def minmax_normalize(
 
 
 def tail_n(df: DataFrame, count: int, keys: Sequence[str] = SERIES, ts: str = "ts") -> DataFrame:
-    """The last ``count`` bars of each series."""
+    """The last ``count`` bars of each series.
+
+    Chunks that lie before the last ``count`` rows go by the table of chunk
+    sizes; what is left to rank of a series is ``count`` rows and a chunk.
+    """
     kept = [c for c in df.columns if c not in ("pos", "n")]
-    if count <= GROUP_LIMIT_ROWS:
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(ts).desc()))
-        return df.withColumn("_rank", rank).filter(F.col("_rank") <= count).select(*kept)
-    numbered = with_position(df, keys, ts)
-    return numbered.filter(F.col("pos") >= F.col("n") - count).select(*kept)
+    if "pos" in df.columns and "n" in df.columns:
+        return df.filter(F.col("pos") >= F.col("n") - count).select(*kept)
+    chunked = with_chunk(df, ts=ts)
+    sizes = chunked.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_size"))
+    later = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = sizes.withColumn("_later", F.coalesce(F.sum("_size").over(later), F.lit(0))).filter(F.col("_later") < count)
+    near = join_keys(chunked, wanted.select(*keys, CHUNK), [*keys, CHUNK], "left_semi")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(ts).desc()))
+    return near.withColumn("_rank", rank).filter(F.col("_rank") <= count).select(*kept)
 
 
 def left_pad(df: DataFrame, count: int, keys: Sequence[str] = SERIES) -> DataFrame:

@@ -209,7 +209,7 @@ def wrong_period_end(df: DataFrame, holidays: DataFrame, calendar: DataFrame | N
 def missing_slots(df: DataFrame, holidays: DataFrame) -> DataFrame:
     """Trading times without a bar, per trading day that has any bar."""
     tf = F.col("timeframe")
-    checked = [t for t in INTRADAY_MINUTES if t != "30m"]
+    checked = [t for t, m in INTRADAY_MINUTES.items() if slot_times(m)]
     intraday = df.filter(tf.isin(*checked)).withColumn("date", F.to_date("ts"))
     closed = F.broadcast(holidays.select("date").distinct())  # bounded: a row a day at most
     open_days = intraday.filter(F.weekday("date") < 5).join(closed, "date", "left_anti")

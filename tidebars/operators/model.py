@@ -17,6 +17,7 @@ from tidebars.series import (
     BLOCK_ROWS,
     CHUNK,
     SERIES,
+    join_keys,
     require_columns,
     staged,
     trailing,
@@ -103,6 +104,8 @@ def directional_accuracy(
     )
 
 
+#: A centre rests when it moves by less than this many deviations.
+SETTLED = 1e-9
 REGIME_FEATURES = ("volatility", "trend_strength", "volume")
 
 
@@ -135,7 +138,6 @@ def _nearest(x: Column, centres: Column) -> Column:
 def market_regime(
     df: DataFrame,
     max_k: int = 5,
-    iterations: int = 10,
     features: Sequence[str] = REGIME_FEATURES,
     keys: Sequence[str] = SERIES,
     rows: int = BLOCK_ROWS,
@@ -145,7 +147,10 @@ def market_regime(
     k is the first whose next value lowers the inertia by less than a fifth,
     else 1.  All series and all k are clustered together: an iteration is one
     pass that sums up points per (series, k, cluster) before the shuffle, so
-    neither many series nor one long series is a special case.  Clusters are
+    neither many series nor one long series is a special case.  Passes go on
+    until no centre moves; a centre that loses all its points stays where it is.
+    The first centres are the means of equal shares of the points, in the order
+    of the sum of their coordinates.  Clusters are
     numbered along the first feature.  Rows with a null feature get null; a
     series with fewer than ``max_k`` complete rows gets 0 throughout.
     """
@@ -157,17 +162,19 @@ def market_regime(
     chunks = staged(enough.select(*chunk_keys).distinct(), "chunks")
     dims, ks = len(features), range(2, max_k + 1)
 
-    # Start at even shares of the points along the sum of their coordinates.
-    shares = {(k, i): (2 * i + 1) / (2 * k) for k in ks for i in range(k)}
-    cuts = sorted(set(shares.values()))
+    cuts = sorted({i / k for k in ks for i in range(1, k)})
     along = F.aggregate("_x", F.lit(0.0), lambda a, v: a + v)
     spots = enough.groupBy(*keys).agg(F.percentile_approx(along, cuts, 1000).alias("_cuts"))
+    means = F.array(*[F.avg(F.get("_x", F.lit(i))) for i in range(dims)]).alias("at")
+    members = F.collect_list(F.struct("k", "c", "at")).alias("_centres")
 
-    def centre(k: int, c: int, at: Column) -> Column:
-        return F.struct(F.lit(k).alias("k"), F.lit(c).alias("c"), F.array_repeat(at / dims, dims).alias("at"))
+    def share(k: int) -> Column:
+        passed = [(along > F.get("_cuts", F.lit(cuts.index(i / k)))).cast("int") for i in range(1, k)]
+        return F.struct(F.lit(k).alias("k"), sum(passed, F.lit(0)).alias("c"))
 
-    first = [centre(k, i, F.get("_cuts", F.lit(cuts.index(s)))) for (k, i), s in shares.items()]
-    centres = staged(spots.select(*keys, F.array(*first).alias("_centres")), "centres")
+    dealt = join_keys(enough, join_keys(chunks, spots, keys), chunk_keys)
+    dealt = dealt.select(*keys, "_x", F.explode(F.array(*[share(k) for k in ks])).alias("_a")).select(*keys, "_x", "_a.*")
+    centres = staged(dealt.groupBy(*keys, "k", "c").agg(means).groupBy(*keys).agg(members), "centres")
 
     near = F.array(
         *[
@@ -176,16 +183,19 @@ def market_regime(
         ]
     )
     nearest = F.explode(near).alias("_a")
-    means = F.array(*[F.avg(F.get("_x", F.lit(i))) for i in range(dims)]).alias("at")
-    members = F.collect_list(F.struct("k", "c", "at")).alias("_centres")
-
     def assigned(table: DataFrame) -> DataFrame:
-        joined = enough.join(chunks.join(table, list(keys)), chunk_keys)
+        joined = join_keys(enough, join_keys(chunks, table, keys), chunk_keys)
         return joined.select(*keys, "_x", nearest).select(*keys, "_x", "_a.k", "_a.near.*")
 
-    for _ in range(iterations):
-        moved = assigned(centres).groupBy(*keys, "k", "c").agg(means)
-        centres = staged(moved.groupBy(*keys).agg(members), "centres")
+    moving = True
+    while moving:
+        found = assigned(centres).groupBy(*keys, "k", "c").agg(means).withColumnRenamed("at", "_to")
+        held = centres.select(*keys, F.inline("_centres"))
+        moved = join_keys(held, found, [*keys, "k", "c"], "left").withColumn("_to", F.coalesce("_to", "at"))
+        moved = staged(moved, "moved")
+        far = moved.agg(F.max(_distance(F.col("at"), F.col("_to")))).first()[0]  # one number
+        moving = far is not None and far > SETTLED * SETTLED
+        centres = staged(moved.withColumn("at", F.col("_to")).groupBy(*keys).agg(members), "centres")
     inertia = assigned(centres).groupBy(*keys, "k").agg(F.sum("d").alias("inertia"))
     # One cluster: the squared distance of standardised points from 0.
     length = F.aggregate("_x", F.lit(0.0), lambda a, v: a + v * v)
@@ -199,13 +209,13 @@ def market_regime(
             F.filter("_centres", lambda e: e["k"] == F.col("_k")), lambda e: F.struct(e["at"].alias("at"), e["c"].alias("c"))
         )
     )
-    chosen = centres.join(elbow, list(keys)).select(*keys, ordered.alias("_centres"))
-    labelled = points.join(chunks.join(chosen, list(keys)), chunk_keys, "left")
+    chosen = join_keys(centres, elbow, keys).select(*keys, ordered.alias("_centres"))
+    labelled = join_keys(points, join_keys(chunks, chosen, keys), chunk_keys, "left")
     mine = _nearest(F.col("_x"), F.col("_centres"))["c"]
     place = F.array_position(F.transform("_centres", lambda e: e["c"]), mine) - 1
     clustered = F.coalesce(F.size("_centres") > 0, F.lit(False))
     labels = labelled.select(*keys, "ts", F.when(clustered, place).otherwise(0).cast("int").alias("regime"))
-    joined = df.join(labels, [*keys, "ts"], "left")
+    joined = join_keys(df, labels, [*keys, "ts"], "left")
     # A series too short to cluster is regime 0 also where features are null.
     counts = with_series_values(joined, {"_ok": (F.sum, F.count("regime"))}, keys, rows)
     return counts.withColumn("regime", F.when(F.col("_ok") < max_k, F.lit(0)).otherwise(F.col("regime"))).drop("_ok")

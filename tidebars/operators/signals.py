@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tidebars.functions.columns import entry_level
 from tidebars.series import BLOCK_ROWS, attach, from_end
+from tidebars.timeframes import canonical_column
 
 FIELDS = ("signal_strength", "entry_level", "stop_loss", "position_size")
-# Weight of a timeframe in the combined signal.
-TIMEFRAME_WEIGHTS = {"1m": 0.05, "5m": 0.1, "15m": 0.15, "1h": 0.2, "4h": 0.2, "1d": 0.2, "1w": 0.1}
+# Weight of a timeframe in the combined signal, by the library's codes (an hour is 60m).
+TIMEFRAME_WEIGHTS = {"1min": 0.05, "5m": 0.1, "15m": 0.15, "60m": 0.2, "4h": 0.2, "1d": 0.2, "1w": 0.1}
 
 
 def signals(df: DataFrame, max_position: float = 1.0) -> DataFrame:
@@ -67,8 +68,12 @@ def comprehensive_signal(
 
 
 def combine_timeframe_signals(df: DataFrame) -> DataFrame:
-    """Mean of each field per timeframe, weighted by the fixed table, per symbol."""
-    means = df.groupBy("symbol", "timeframe").agg(*[F.avg(f).alias(f) for f in FIELDS])
+    """Mean of each field per timeframe, weighted by the fixed table, per symbol.
+
+    Other spellings of a code count as that code; codes without a weight don't count.
+    """
+    named = df.withColumn("timeframe", canonical_column(F.col("timeframe")))
+    means = named.groupBy("symbol", "timeframe").agg(*[F.avg(f).alias(f) for f in FIELDS])
     weight = F.coalesce(*[F.when(F.col("timeframe") == t, F.lit(w)) for t, w in TIMEFRAME_WEIGHTS.items()])
     weighed = means.withColumn("_w", weight)
     return weighed.groupBy("symbol").agg(

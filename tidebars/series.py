@@ -24,9 +24,9 @@ are ever ordered per series.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,6 +40,13 @@ SEGMENT_ROWS = 512
 CHUNK, BLOCK, SEGMENT, OFFSET, CORE = "_chunk", "_block", "_segment", "_offset", "_core"
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equal keys meet, and null meets null: no row is lost to a null symbol, timeframe or time."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def epoch_seconds(ts: Column) -> Column:
     """Seconds since 1970 of a zone-free timestamp, whatever the session zone."""
     days = F.unix_date(F.to_date(ts)).cast("bigint")
@@ -65,7 +72,8 @@ def with_position(
 ) -> DataFrame:
     """Add ``pos`` (0-based row number by ``ts``) and ``n`` (rows of the series).
 
-    A table that has both keeps them.  Whoever drops rows drops the two columns.
+    Rows with a null key are a series of their own; rows without a time come
+    first in theirs.  A table that has both keeps them.  Whoever drops rows drops the two columns.
     """
     if "pos" in df.columns and "n" in df.columns:
         return df
@@ -78,7 +86,7 @@ def with_position(
         *chunk_keys, F.sum("_size").over(earlier).alias("_before"), F.sum("_size").over(series).alias("n")
     )
     rank = F.row_number().over(Window.partitionBy(*chunk_keys).orderBy(ts)).alias("_rank")
-    ranked = chunked.select("*", rank).join(offsets, chunk_keys)
+    ranked = join_keys(chunked.select("*", rank), offsets, chunk_keys)
     return ranked.select(*df.columns, F.expr("coalesce(_before, 0) + _rank - 1").alias("pos"), "n")
 
 
@@ -147,7 +155,7 @@ def with_carry(
     table = per_chunk.withColumns(carried)
     if finish is not None:
         table = finish(table)
-    return df.join(table.drop(*totals), [*keys, chunk])
+    return join_keys(df, table.drop(*totals), [*keys, chunk])
 
 
 def with_series_values(
@@ -166,7 +174,7 @@ def with_series_values(
     series = Window.partitionBy(*keys)
     per_chunk = chunked.groupBy(*keys, CHUNK).agg(*[p.alias(k) for k, (_, p) in values.items()])
     merged = per_chunk.withColumns({k: m(F.col(k)).over(series) for k, (m, _) in values.items()})
-    return chunked.join(merged, [*keys, CHUNK]).drop(CHUNK)
+    return join_keys(chunked, merged, [*keys, CHUNK]).drop(CHUNK)
 
 
 def attach(
@@ -183,19 +191,13 @@ def attach(
     """
     chunked = with_chunk(df, rows) if chunk is None else df.withColumn(CHUNK, chunk)
     chunks = chunked.select(*keys, CHUNK).distinct()
-    return chunked.join(chunks.join(table, list(keys), "left"), [*keys, CHUNK]).drop(CHUNK)
+    return join_keys(chunked, join_keys(chunks, table, keys, "left"), [*keys, CHUNK]).drop(CHUNK)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it."""
+    """The folder every executor can reach: as the session names it, else one in its warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="tidebars-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder.rstrip("/") if folder else os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_staged")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

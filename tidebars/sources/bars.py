@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebars.series import CHUNK, SERIES, with_chunk
+from tidebars.series import CHUNK, SERIES, join_keys, with_chunk
 from tidebars.timeframes import INTRADAY_MINUTES, canonical_column
 
 BAR_SCHEMA = T.StructType(
@@ -139,8 +139,8 @@ def fallback_union(primary: DataFrame, secondary: DataFrame, keys: Sequence[str]
     """
     chunked = with_chunk(secondary)
     answered = primary.select(*keys).distinct()
-    wanted = chunked.select(*keys, CHUNK).distinct().join(answered, list(keys), "left_anti")
-    rest = chunked.join(wanted, [*keys, CHUNK], "left_semi").drop(CHUNK)
+    wanted = join_keys(chunked.select(*keys, CHUNK).distinct(), answered, keys, "left_anti")
+    rest = join_keys(chunked, wanted, [*keys, CHUNK], "left_semi").drop(CHUNK)
     return primary.unionByName(rest)
 
 
