@@ -201,3 +201,35 @@ def test_tail_beyond_the_group_limit(walk):
         got = clean.tail_n(df, count)
         for symbol, p in frames.items():
             assert frame(got, symbol)["ts"].tolist() == p["ts"].tail(count).tolist()
+
+
+@pytest.mark.parametrize("rows", [512, 700])
+def test_averages_follow_the_gap_rule(spark, rows):
+    """Leading, inner and trailing nulls, over several blocks, as pandas has it."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    n = 1600
+    close = 100 + rng.normal(0, 1, n).cumsum()
+    close[rng.random(n) < 0.25] = np.nan
+    close[:3] = close[700:730] = close[-4:] = np.nan
+    start = dt.datetime(2000, 1, 1)
+    cells = [[None if np.isnan(x) else float(x + d) for d in (0, 1, -1, 0)] for x in close]
+    bars = [("a", "1d", start + dt.timedelta(days=i), *c, 1.0) for i, c in enumerate(cells)]
+    df = spark.createDataFrame(bars, "symbol string, timeframe string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
+    used = ind.ema_of("close", 60, "slow"), ind.macd(), ind.tsi(), ind.wavetrend(), ind.dema()
+    got = ind.with_indicators(df, *used, rows=rows).orderBy("ts").toPandas()
+    c = pd.Series(close)
+
+    def e(x, span):
+        return x.ewm(span=span, adjust=False).mean()
+
+    line, change, typical = e(c, 5) - e(c, 10), c.diff(), ((c + 1) + (c - 1) + c) / 3
+    away = typical - e(typical, 10)
+    want = {
+        "slow": e(c, 60), "macd_line": line, "macd_signal": e(line, 5), "tsi": 100 * e(e(change, 25), 13) / e(e(change.abs(), 25), 13),
+        "wavetrend": e(away / (e(away.abs(), 10).replace(0, 2.220446049250313e-16) * 0.015), 21), "dema": 2 * e(c, 30) - e(e(c, 30), 30),
+    }
+    for name, values in want.items():
+        np.testing.assert_allclose(got[name], values, rtol=1e-9, atol=1e-8)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidebars.catalog.inputs import DAILY, GAPPY, INTRADAY, W, daily, gappy, intraday, query, rounded
+from tidebars.catalog.inputs import DAILY, GAPPY, INTRADAY, SQL, W, daily, gappy, intraday, query, rounded
 from tidebars.operators import indicators as ind
 from tidebars.operators.recurrence import ema_with_gaps
+from tidebars.series import BLOCK_ROWS
 
 KEYS = ["symbol", "timeframe", "ts"]
 EPS = "2.220446049250313e-16::DOUBLE"
@@ -14,12 +15,12 @@ def roll(rows: int, order: str = W) -> str:
     return f"({order} ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
 
 
-def over_bars(bars, digits, *indicators):
+def over_bars(bars, digits, *indicators, rows=BLOCK_ROWS):
     """Query: the keys and the rounded outputs of some indicators."""
 
     def build(spark, sf):
         outputs = [o for i in indicators for o in i().outputs]
-        result = ind.with_indicators(bars(spark, sf), *[i() for i in indicators])
+        result = ind.with_indicators(bars(spark, sf), *[i() for i in indicators], rows=rows)
         return rounded(result.select(*KEYS, *outputs), digits, *outputs)
 
     return build
@@ -125,11 +126,23 @@ def _step(x: str, span: int, state: str, prev: str) -> str:
     return f"coalesce({a!r}::DOUBLE * ({x}) + {1 - a!r}::DOUBLE * {old}, ({x}))"
 
 
-def ema_states(prev: str) -> dict[str, str]:
+def _gap_step(x: str, span: int, state: str, prev: str) -> str:
+    """As `_step`, for inputs that may be null: ``<state>_g`` counts the rows since the last value."""
+    a = 2 / (span + 1)
+    if not prev:
+        return f"({x})"
+    old, faded = f"{prev}.{state}", f"pow({1 - a!r}::DOUBLE, {prev}.{state}_g + 1)"
+    new = f"({faded} * {old} + {a!r}::DOUBLE * ({x})) / ({faded} + {a!r}::DOUBLE)"
+    return f"CASE WHEN ({x}) IS NULL THEN {old} WHEN {old} IS NULL THEN ({x}) ELSE {new} END"
+
+
+def ema_states(prev: str, gaps: bool = False) -> dict[str, str]:
     s: dict[str, str] = {}
 
     def add(name: str, x: str, span: int) -> str:
-        s[name] = _step(x, span, name, prev)
+        s[name] = (_gap_step if gaps else _step)(x, span, name, prev)
+        if gaps:
+            s[f"{name}_g"] = f"CASE WHEN ({x}) IS NULL THEN {prev}.{name}_g + 1 ELSE 0 END" if prev else "0"
         return s[name]
 
     for span in (5, 9, 10, 12, 26):
@@ -155,9 +168,9 @@ def ema_states(prev: str) -> dict[str, str]:
     return s
 
 
-def recursive_emas(cte: str, source: str, names: list[str]) -> str:
+def recursive_emas(cte: str, source: str, names: list[str], gaps: bool = False) -> str:
     def select(prev: str) -> str:
-        states = ema_states(prev)
+        states = ema_states(prev, gaps)
         return ", ".join(f"{states[n]} AS {n}" for n in needed)
 
     closed = {
@@ -166,6 +179,7 @@ def recursive_emas(cte: str, source: str, names: list[str]) -> str:
         "dema_2": ["dema_1"], "up2": ["up"], "size2": ["size"], "spread": ["esa"], "wavetrend": ["esa", "spread"],
     }
     needed = list(dict.fromkeys([d for n in names for d in [*closed.get(n, []), n]]))
+    needed += [f"{n}_g" for n in needed if gaps and f"{n}_g" in ema_states("", gaps)]
     return f"""WITH RECURSIVE {cte},
 b AS MATERIALIZED (SELECT *, row_number() OVER ({W}) AS r, close - lag(close) OVER ({W}) AS change FROM {source}),
 e AS (
@@ -267,3 +281,38 @@ query("ema_with_gaps", GAPPED)(
         ema_with_gaps(gappy(spark, sf), "close", 12, "ema_12").select(*KEYS, "ema_12"), 4, "ema_12"
     )
 )
+
+# Every seventh close is missing: the averages follow the gap rule.
+query(
+    "macd_gappy",
+    recursive_emas(GAPPY, "gappy", ["macd_line", "macd_signal"], gaps=True)
+    + """ SELECT symbol, timeframe, ts, round(macd_line, 4) AS macd_line, round(macd_signal, 4) AS macd_signal,
+          round(macd_line - macd_signal, 4) AS macd_hist FROM e""",
+)(over_bars(gappy, 4, ind.macd, rows=700))
+query(
+    "tsi_gappy",
+    recursive_emas(GAPPY, "gappy", ["up2", "size2"], gaps=True)
+    + f""" SELECT symbol, timeframe, ts,
+           round(100 * up2 / CASE WHEN size2 = 0 THEN {EPS} ELSE size2 END, 4) AS tsi FROM e""",
+)(over_bars(gappy, 4, ind.tsi, rows=700))
+query(
+    "wavetrend_gappy",
+    recursive_emas(GAPPY, "gappy", ["wavetrend"], gaps=True)
+    + f""" SELECT symbol, timeframe, ts, round(wavetrend, 4) AS wavetrend,
+           round(avg(wavetrend) OVER {roll(4)}, 4) AS wavetrend_signal FROM e""",
+)(over_bars(gappy, 4, ind.wavetrend, rows=700))
+query(
+    "dema_gappy",
+    recursive_emas(GAPPY, "gappy", ["dema_2"], gaps=True)
+    + " SELECT symbol, timeframe, ts, round(2 * dema_1 - dema_2, 4) AS dema FROM e",
+)(over_bars(gappy, 4, ind.dema, rows=700))
+
+# Small blocks, one size no divisor of the other: each daily series crosses several borders.
+LONG = {
+    "volatility": (intraday, 6, (ind.volatility,)), "sma": (daily, 3, tuple(lambda p=p: ind.sma(p) for p in (3, 5, 10, 20))),
+    "rsi": (daily, 4, (ind.rsi,)), "momentum": (daily, 8, (ind.momentum,)), "macd": (daily, 4, (ind.macd,)), "tsi": (daily, 4, (ind.tsi,)),
+    "wavetrend": (daily, 4, (ind.wavetrend,)), "dema": (daily, 4, (ind.dema,)), "bollinger": (daily, 3, (ind.bollinger,)),
+}
+for _number, (_name, (_bars, _digits, _indicators)) in enumerate(LONG.items()):
+    query(f"{_name}_long", SQL[_name])(over_bars(_bars, _digits, *_indicators, rows=(512, 700)[_number % 2]))
+query("obv_long", SQL["obv"])(lambda spark, sf: rounded(ind.obv(daily(spark, sf), rows=512).select(*KEYS, "obv"), 4, "obv"))

@@ -10,11 +10,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebars.operators.recurrence import base_level, ema, memory
+from tidebars.operators.recurrence import ema_steps, memory
 from tidebars.series import (
     BLOCK_ROWS,
     CHUNK,
@@ -82,8 +83,9 @@ def _change() -> dict[str, Column]:
     return {"_change": _close() - _prev("close")}
 
 
-def _base_close() -> dict[str, Column]:
-    return {"_base_close": base_level(_close())}
+def _together(*chains: Sequence[dict[str, Column]]) -> tuple[dict[str, Column], ...]:
+    """Chains of steps side by side: the first steps of all, then the second ones."""
+    return tuple({k: v for step in steps if step for k, v in step.items()} for steps in zip_longest(*chains))
 
 
 def _return() -> dict[str, Column]:
@@ -122,25 +124,17 @@ def sma_strict(period: int) -> Indicator:
     return Indicator((name,), ({name: _full(F.avg("close"), "close", period)},), period)
 
 
-def _close_ema(span: int) -> Column:
-    return ema(_close(), span, F.col("_base_close"))
-
-
 def ema_of(column: str, span: int, name: str) -> Indicator:
-    base = f"_base_{column}"
-    steps = ({base: base_level(F.col(column))}, {name: ema(F.col(column), span, F.col(base))})
-    return Indicator((name,), steps, memory(span))
+    return Indicator((name,), ema_steps(name, F.col(column), span), memory(span))
 
 
 def _crossing(fast: int, slow: int, signal: int, line: str, trend: str, hist: dict[str, Column]) -> Indicator:
     """Difference of two averages, its own average, and their difference."""
     f, s = f"_ema_{fast}", f"_ema_{slow}"
-    gap = F.col(f) - F.col(s)
     steps = (
-        _base_close(),
-        {f: _close_ema(fast), s: _close_ema(slow)},
-        {line: gap, f"_base_{line}": base_level(gap)},
-        {trend: ema(F.col(line), signal, F.col(f"_base_{line}"))},
+        *_together(ema_steps(f, _close(), fast), ema_steps(s, _close(), slow)),
+        {line: F.col(f) - F.col(s)},
+        *ema_steps(trend, F.col(line), signal),
         hist,
     )
     return Indicator((line, trend, *hist), steps, memory(max(fast, slow)) + memory(signal))
@@ -186,16 +180,8 @@ def tsi(long: int = 25, short: int = 13) -> Indicator:
     change, size = F.col("_change"), F.abs(F.col("_change"))
     steps = (
         _change(),
-        {"_base_change": base_level(change), "_base_size": base_level(size)},
-        {
-            "_tsi_up": ema(change, long, F.col("_base_change"), 1),
-            "_tsi_all": ema(size, long, F.col("_base_size"), 1),
-        },
-        {"_base_up": base_level(F.col("_tsi_up")), "_base_all": base_level(F.col("_tsi_all"))},
-        {
-            "_tsi_up2": ema(F.col("_tsi_up"), short, F.col("_base_up"), 1),
-            "_tsi_all2": ema(F.col("_tsi_all"), short, F.col("_base_all"), 1),
-        },
+        *_together(ema_steps("_tsi_up", change, long), ema_steps("_tsi_all", size, long)),
+        *_together(ema_steps("_tsi_up2", F.col("_tsi_up"), short), ema_steps("_tsi_all2", F.col("_tsi_all"), short)),
         {"tsi": F.col("_tsi_up2") * 100 / _or_eps(F.col("_tsi_all2"))},
     )
     return Indicator(("tsi",), steps, 1 + memory(long) + memory(short))
@@ -229,12 +215,11 @@ def wavetrend(channel: int = 10, average: int = 21, smooth: int = 4) -> Indicato
     away = F.col("_typical") - F.col("_esa")
     index = away / (_or_eps(F.col("_spread")) * 0.015)
     steps = (
-        {"_typical": typical, "_base_typical": base_level(typical)},
-        {"_esa": ema(F.col("_typical"), channel, F.col("_base_typical"))},
-        {"_base_away": base_level(F.abs(away))},
-        {"_spread": ema(F.abs(away), channel, F.col("_base_away"))},
-        {"_ci": index, "_base_ci": base_level(index)},
-        {"wavetrend": ema(F.col("_ci"), average, F.col("_base_ci"))},
+        {"_typical": typical},
+        *ema_steps("_esa", F.col("_typical"), channel),
+        *ema_steps("_spread", F.abs(away), channel),
+        {"_ci": index},
+        *ema_steps("wavetrend", F.col("_ci"), average),
         {"wavetrend_signal": F.avg("wavetrend").over(trailing(smooth))},
     )
     reach = 2 * memory(channel) + memory(average) + smooth
@@ -244,8 +229,7 @@ def wavetrend(channel: int = 10, average: int = 21, smooth: int = 4) -> Indicato
 def signal_accuracy(window: int = 20) -> Indicator:
     """Share of bars whose price moved the way the bar histogram pointed."""
     bar, line = macd_cn(), macd()
-    steps = [dict(a) | b for a, b in zip(bar.steps, line.steps)]
-    steps[0] |= _change()
+    steps = list(_together(bar.steps, line.steps, (_change(),)))
     up = F.when(F.col("macd_bar") > F.col("macd_signal"), 1).otherwise(-1)
     moved = F.when(F.col("_change") > 0, 1).otherwise(-1)
     steps.append({"macd_dir": up, "price_direction": moved})
@@ -258,10 +242,8 @@ def signal_accuracy(window: int = 20) -> Indicator:
 
 def dema(span: int = 30) -> Indicator:
     steps = (
-        _base_close(),
-        {"_dema_1": _close_ema(span)},
-        {"_base_dema": base_level(F.col("_dema_1"))},
-        {"_dema_2": ema(F.col("_dema_1"), span, F.col("_base_dema"))},
+        *ema_steps("_dema_1", _close(), span),
+        *ema_steps("_dema_2", F.col("_dema_1"), span),
         {"dema": F.col("_dema_1") * 2 - F.col("_dema_2")},
     )
     return Indicator(("dema",), steps, 2 * memory(span))

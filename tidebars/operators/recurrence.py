@@ -8,7 +8,8 @@ make that usable on any length of series:
 * scaled by the row's place in a short segment, the powers stay far inside the
   range of a double, and the earlier segments come in as one sum per segment;
 * what lies ``memory(span)`` rows back weighs less than 1e-20, under the
-  rounding of a double, so a block with that many rows before it is enough.
+  rounding of a double, so a block with that many rows before it is enough
+  (``LONGEST_STEP`` is further: what it cuts off weighs less than 1e-26).
 
 All averages of one depth share one sort of the block.
 """
@@ -51,34 +52,47 @@ def memory(span: float) -> int:
     return math.ceil(FORGOTTEN / -math.log(decay(span)))
 
 
-def base_level(x: Column, keys=SERIES) -> Column:
-    """First value of the block.  ``ema`` averages the distance from it, so a
-    flat price gives exactly itself and its differences are exactly zero."""
-    block = Window.partitionBy(*keys, BLOCK).orderBy(SEGMENT, "pos")
-    return F.first(x, ignorenulls=True).over(block.rowsBetween(Window.unboundedPreceding, 0))
-
+def ema_steps(name: str, x: Column, span: float, keys=SERIES) -> tuple[dict[str, Column], ...]:
+    """EMA of a column that may be null anywhere, on rows laid out by ``in_blocks``: four steps, the last adds ``name``.
 
-def ema(x: Column, span: float, base: Column, first_row: int = 0, keys=SERIES) -> Column:
-    """EMA of a column without gaps, on rows laid out by ``in_blocks``.
+    A value ``g`` rows after the last one weighs the old average by ``q^g``:
+    ``y = (q^g y + a x) / (q^g + a)``; a null row repeats the average, leading
+    nulls stay null.  Without gaps the divisor is 1.  Its logarithm, summed along
+    the rows, is all that gaps add to the running sum of scaled inputs: an input
+    weighs ``q`` to the distance times the exponential of that sum's difference.
 
-    ``base`` is a column holding ``base_level(x)``; ``first_row`` is the
-    position of the first non-null input, before which the result is null.
+    The averages are taken of the distance from the first value of the block, so
+    a flat price gives exactly itself.  A row in a gap longer than the look-back
+    sees no value and is null.
     """
     q = decay(span)
-    pos, at = F.col("pos"), F.col(OFFSET)
-    moved = x - base
-    fed = F.when(pos == first_row, moved).when(pos > first_row, moved * (1 - q))
+    at, last_at = F.col(OFFSET), F.col(f"_at_{name}")
     block = Window.partitionBy(*keys, BLOCK)
-    here = Window.partitionBy(*keys, BLOCK, SEGMENT).orderBy("pos")
-    here = here.rowsBetween(Window.unboundedPreceding, 0)
+    ordered = block.orderBy(SEGMENT, "pos")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    here = Window.partitionBy(*keys, BLOCK, SEGMENT).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    present = x.isNotNull()
+    seen = {
+        f"_base_{name}": F.first(x, ignorenulls=True).over(upto),
+        f"_at_{name}": F.last(F.when(present, F.col("pos")), ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1)),
+    }
+    divisor = F.coalesce(F.pow(F.lit(q), F.col("pos") - last_at), F.lit(q)) + (1 - q)
+    gap = F.when(present & (F.col("pos") - last_at > 1), F.ln(divisor)).otherwise(0.0)
+    gaps = {f"_gap_{name}": F.sum(gap).over(here), f"_own_{name}": gap}
+    slip = F.col(f"_gap_{name}")
+    fed = F.when(present, (x - F.col(f"_base_{name}")) * (1 - q) / divisor)
     grow = F.pow(F.lit(q), at)
-    total = F.sum(fed / grow).over(here) * grow
-    to_end = F.sum(fed * F.pow(F.lit(q), F.lit(SEGMENT_ROWS - 1) - at))
+    total = F.sum(fed / grow * F.exp(slip)).over(here) * grow * F.exp(-slip)
+    to_end = F.sum(fed * F.pow(F.lit(q), F.lit(SEGMENT_ROWS - 1) - at) * F.exp(slip))
+    slipped = F.sum(F.col(f"_own_{name}"))
     for back in range(1, math.ceil(memory(span) / SEGMENT_ROWS) + 1):
+        # The sum of an earlier segment, faded over its own gaps, those of the segments between, and this one's.
         segment_sum = to_end.over(block.orderBy(SEGMENT).rangeBetween(-back, -back))
-        reach = F.pow(F.lit(q), at + 1 + (back - 1) * SEGMENT_ROWS)
-        total = total + F.coalesce(segment_sum, F.lit(0.0)) * reach
-    return F.when(pos >= first_row, base + total)
+        between = slipped.over(block.orderBy(SEGMENT).rangeBetween(-back, -1))
+        reach = F.pow(F.lit(q), at + 1 + (back - 1) * SEGMENT_ROWS) * F.exp(-between - slip)
+        total = total + F.coalesce(segment_sum * reach, F.lit(0.0))
+    value = {f"_y_{name}": F.when(present, F.col(f"_base_{name}") + total)}
+    return seen, gaps, value, {name: F.last(f"_y_{name}", ignorenulls=True).over(upto)}
 
 
 def ema_with_gaps(
