@@ -278,6 +278,9 @@ def test_pieces_as_the_library(table, corpus):
         want = library.encode(texts[r["doc_id"]] or "")
         assert r["ids"] == want
         assert r["decoded"] == library.decode(want)
+    docs = table(list(enumerate(texts)), clash=True).drop("ids")
+    both = {r["doc_id"]: (r["ids"], r["exact"]) for r in pieces.round_trip(docs, model, keep=("doc_id", "row")).collect()}
+    assert both == {r["doc_id"]: (r["ids"], r["decoded"] == (texts[r["doc_id"]] or "")) for r in got}
 
 
 def test_unigram_by_brute_force():

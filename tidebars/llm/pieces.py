@@ -36,8 +36,8 @@ UNIGRAM, BPE = 1, 2
 U = np.uint64
 
 #: Different words that a task remembers, and the bytes of text that it takes at a time.
-KNOWN_WORDS = 1_000_000
-SLICE_BYTES = 8 << 20
+KNOWN_WORDS = 300_000
+SLICE_BYTES = 4 << 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -430,6 +430,27 @@ def encode(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
     return unpacked(rows.mapInArrow(run, with_row(rows, "ids array<int>")), keep, F.col("ids").alias(into))
 
 
+def round_trip(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, the piece ids ``ids`` of each whole text, and whether these decode to the text, ``exact``.
+
+    As `encode` and then `decode`, in one pass over the texts.  A null text
+    counts as an empty one.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((Encoder(model), Decoder(model)))
+    rows = docs.select(packed(keep), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = shared.value
+        for part in W.texts(batches, "text", SLICE_BYTES):
+            texts = part.rows.column(1).to_pylist()
+            found, offsets = encoder.encode(texts)
+            exact = [a == (b or "") for a, b in zip(decoder.decode(found, offsets), texts, strict=True)]
+            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found))
+            yield pa.RecordBatch.from_arrays([part.rows.column(0), ids, pa.array(exact, pa.bool_())], [ROW, "ids", "exact"])
+
+    return unpacked(rows.mapInArrow(run, with_row(rows, "ids array<int>, exact boolean")), keep, "ids", "exact")
+
+
 def decode(encoded: DataFrame, model: Model, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), into: str = "text") -> DataFrame:
     """The columns ``keep`` and ``into``, the text of each row's ids (empty for null or none)."""
     rows = encoded.select(packed(keep), F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("ids"))

@@ -112,11 +112,8 @@ def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op3_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
-    model = pieces.read_model(MODEL_PATH)
-    encoded = pieces.encode(table(spark, sf, "documents"), model, keep=("doc_id", "text"))
-    decoded = pieces.decode(encoded, model, keep=("doc_id", "ids", "text"), into="decoded")
-    exact = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", exact.alias("round_trip"))
+    found = pieces.round_trip(table(spark, sf, "documents"), pieces.read_model(MODEL_PATH))
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", F.col("exact").alias("round_trip"))
 
 
 @query
