@@ -5,8 +5,9 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, tidy
+from tidebars import catalog
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.queries(), catalog.oracle_sql()  # those of the optional subpackage have their own tests
 
 
 @pytest.fixture(scope="module")
