@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebars.operators import indicators as ind
+from tidebars.operators import risk
 from tidebars.sources import bars as src
 from tidebars.streaming import live
 
@@ -116,3 +117,21 @@ def test_stop_monitor(spark, tick_files):
     assert moves.isStreaming
     day = live.stop_monitor(ticks.withColumn("pnl", F.lit(-0.001))).collect()
     assert [r["stop"] for r in day] == [True] and day[0]["day_pnl"] == pytest.approx(-0.4)
+
+
+def test_breaches_come_at_once_and_once(spark, tmp_path):
+    """A day that falls by 5 % and recovers, over three batches; the same as the running loss of the batch operator."""
+    import datetime as dt
+
+    day = dt.datetime(2024, 1, 2, 9)
+    pnl = [0.0, -0.015, -0.01, -0.025, 0.06, -0.1, 0.2]
+    price = [100.0, 101.0, 95.0, 111.0, 100.0, 130.0, 100.0]
+    schema = "symbol string, ts timestamp, pnl double, price double"
+    for i in range(0, 7, 3):
+        rows = [("a", day + dt.timedelta(minutes=j), pnl[j], price[j]) for j in range(i, min(i + 3, 7))]
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in/*"))
+    got = {r["kind"]: (r["ts"].minute, round(r["value"], 6)) for r in live.run_to_table(live.first_breaches(stream), "breach").collect()}
+    assert got == {"stop": (2, -0.025), "pause": (3, 0.11)}
+    bars = spark.read.schema(schema).json(str(tmp_path / "in/*")).withColumns({"timeframe": F.lit("1min"), "ts": F.col("ts").cast("timestamp_ntz")})
+    assert risk.daily_loss_limit(bars).filter("stop").agg(F.min("ts").alias("t")).first()["t"].minute == 2

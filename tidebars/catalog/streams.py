@@ -150,3 +150,22 @@ def stop_monitor(spark, sf):
         F.col("value").alias("price"),
     )
     return rounded(live.run_to_table(live.stop_monitor(ticks), "stops"), 6, "day_pnl", "change")
+
+
+@query(
+    "first_breaches",
+    """WITH r AS (SELECT event_type AS symbol, ts::DATE::TIMESTAMP AS day, ts,
+      sum((100 - value) / 1e4) OVER (PARTITION BY event_type, ts::DATE ORDER BY ts) AS total,
+      value / first_value(value) OVER (PARTITION BY event_type, ts::DATE ORDER BY ts) - 1 AS move FROM events)
+    SELECT symbol, day, 'stop' AS kind, min(ts) AS ts, round(arg_min(total, ts), 6) AS value FROM r WHERE -total >= 0.02 GROUP BY 1, 2
+    UNION ALL
+    SELECT symbol, day, 'pause', min(ts), round(arg_min(move, ts), 6) FROM r WHERE abs(move) > 0.1 GROUP BY 1, 2""",
+)
+def first_breaches(spark, sf):
+    ticks = event_stream(spark, sf).select(
+        F.col("event_type").alias("symbol"), "ts", ((100 - F.col("value")) / 1e4).alias("pnl"),
+        F.col("value").alias("price"),
+    )
+    found = live.run_to_table(live.first_breaches(ticks), "breaches")
+    zone_free = {c: F.col(c).cast("timestamp_ntz") for c in ("day", "ts")}
+    return rounded(found.withColumns(zone_free), 6, "value")

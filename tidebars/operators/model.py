@@ -195,7 +195,7 @@ def market_regime(
         moved = staged(moved, "moved")
         far = moved.agg(F.max(_distance(F.col("at"), F.col("_to")))).first()[0]  # one number
         moving = far is not None and far > SETTLED * SETTLED
-        centres = staged(moved.withColumn("at", F.col("_to")).groupBy(*keys).agg(members), "centres")
+        centres = moved.withColumn("at", F.col("_to")).groupBy(*keys).agg(members)  # a row per centre is read again
     inertia = assigned(centres).groupBy(*keys, "k").agg(F.sum("d").alias("inertia"))
     # One cluster: the squared distance of standardised points from 0.
     length = F.aggregate("_x", F.lit(0.0), lambda a, v: a + v * v)

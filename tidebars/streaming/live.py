@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidebars.functions.columns import circuit_breaker
 from tidebars.operators.clean import tail_n
@@ -90,7 +92,9 @@ def emit_trades(stream: DataFrame, path: str, checkpoint: str, once: bool = True
 def stop_monitor(
     stream: DataFrame, max_daily_loss: float = 0.02, breaker: float = 0.1, watermark: str = WATERMARK
 ) -> DataFrame:
-    """Stop and pause flags per symbol and day of a ``symbol, ts, pnl, price`` stream.
+    """Stop and pause flags at the end of each symbol's day of a ``symbol, ts, pnl, price`` stream.
+
+    For the moment of a breach see `first_breaches`.
 
     ``stop`` once the day's loss reaches the limit, ``pause`` when the price
     has moved by more than ``breaker`` since the day's first.  The state is one
@@ -109,6 +113,51 @@ def stop_monitor(
     )
 
 
+BREACH = "symbol string, day timestamp, kind string, ts timestamp, value double"
+BREACH_STATE = "total double, first_price double, stopped boolean, paused boolean"
+
+
+def first_breaches(
+    stream: DataFrame, max_daily_loss: float = 0.02, breaker: float = 0.1, watermark: str = WATERMARK
+) -> DataFrame:
+    """The moment when a symbol's day first breaks a limit, as soon as it does.
+
+    ``kind`` is ``stop`` when the day's loss reaches ``max_daily_loss`` (``value``
+    is the day's result then) and ``pause`` when the price has moved by more than
+    ``breaker`` since the day's first (``value`` is the move); each comes at most
+    once a day, also if the day recovers.  The state of a symbol and day is a
+    running sum, a price and two flags; it goes when the watermark has passed the
+    day.  Events are counted in the order of their times within a batch, and
+    batches as they come.  Null results count as 0; null prices are passed over.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        symbol, day = key
+        total, first, stopped, paused = state.get if state.exists else (0.0, None, False, False)
+        rows = pd.concat(list(frames)).sort_values(["ts", "price"], kind="stable")
+        running = total + rows["pnl"].fillna(0.0).cumsum()
+        prices = rows["price"].dropna()
+        first = float(prices.iloc[0]) if first is None and len(prices) else first
+        moves = (rows["price"] - first) / first if first else rows["price"] * float("nan")
+        found = []
+        for kind, done, broken, value in (("stop", stopped, -running >= max_daily_loss, running), ("pause", paused, moves.abs() > breaker, moves)):
+            if not done and broken.any():
+                at = int(broken.to_numpy().argmax())
+                found.append((symbol, day, kind, rows["ts"].iloc[at], float(value.iloc[at])))
+        kinds = {f[2] for f in found}
+        state.update((float(running.iloc[-1]), first, stopped or "stop" in kinds, paused or "pause" in kinds))
+        end = int((pd.Timestamp(day) + pd.Timedelta(days=1)).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        if found:
+            yield pd.DataFrame(found, columns=["symbol", "day", "kind", "ts", "value"])
+
+    days = stream.withWatermark("ts", watermark).select("symbol", F.date_trunc("day", "ts").alias("day"), "ts", "pnl", "price")
+    return days.groupBy("symbol", "day").applyInPandasWithState(step, BREACH, BREACH_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Run a closed stream to its end and return what it wrote."""
     spark: SparkSession = stream.sparkSession
