@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebars.operators import indicators as ind
-from tidebars.operators import risk
+from tidebars.operators import integrity, risk
 from tidebars.sources import bars as src
 from tidebars.streaming import live
 
@@ -135,3 +135,21 @@ def test_breaches_come_at_once_and_once(spark, tmp_path):
     assert got == {"stop": (2, -0.025), "pause": (3, 0.11)}
     bars = spark.read.schema(schema).json(str(tmp_path / "in/*")).withColumns({"timeframe": F.lit("1min"), "ts": F.col("ts").cast("timestamp_ntz")})
     assert risk.daily_loss_limit(bars).filter("stop").agg(F.min("ts").alias("t")).first()["t"].minute == 2
+
+
+def test_checks_of_files_see_every_line(spark, tmp_path):
+    (tmp_path / "sz1_1d_2024-01-01_2024-02-01.csv").write_text(
+        ",day,open,high,low,close,volume\n0,2024-01-02,1,4,0.5,2,100\n1,2024-01-03,x,5,1,3,7\n2,bad,2,5,1,3,7\n3,2024-01-03,2,5,1,3,7\n4,2024-13-45,2,5,1,3,7\n"
+    )
+    (tmp_path / "sz2_1d_2024-01-01_2024-02-01.csv").write_text(",day,open,high,low,close\n0,2024-01-02,1,4,0.5,2\n")
+    (tmp_path / "notes.csv").write_text("a,b\n1,2\n")
+    lines = src.read_raw_bars(spark, str(tmp_path))
+    holidays = spark.createDataFrame([(dt.date(2024, 1, 1),)], "date date")
+    found = integrity.check_files(lines, holidays).collect()
+    by_check = {c: sorted(str(r["observed"]) for r in found if r["check"] == c) for c in {r["check"] for r in found}}
+    assert by_check["unmatched_file"] == ["notes.csv"]
+    assert by_check["bad_time"] == ["2024-13-45", "bad"]
+    assert by_check["duplicate"] == ["2"]
+    assert [r["reasons"] for r in found if r["check"] == "missing_column"] == [["volume"]]
+    assert [(r["column"], r["observed"]) for r in found if r["check"] == "numeric" and r["symbol"] == "sz1"] == [("open", "x")]
+    assert src.read_bars(spark, str(tmp_path)).count() == 3

@@ -411,3 +411,26 @@ query(
         ).alias("date"),
     )
 )
+
+
+def file_lines(spark, sf):
+    """The dirty daily bars as lines of bar files, some with a time that does not parse, some twice."""
+    bars = dirty(spark, sf)
+    lines = bars.select(
+        F.concat("symbol", F.lit("_1d_1995-01-01_2001-12-31.csv")).alias("file"), "symbol", "timeframe",
+        F.when(F.dayofmonth("ts") == 13, F.lit("13th")).otherwise(F.col("ts").cast("string")).alias("ts_text"),
+        F.when(F.dayofmonth("ts") != 13, F.col("ts")).alias("ts"), *OHLCV, F.lit(False).alias("is_header"), F.lit(7).alias("cells"),
+    )
+    return lines.unionByName(lines.filter("dayofmonth(ts) = 2"))
+
+
+query(
+    "check_files",
+    f"""WITH {DIRTY}, timed AS (SELECT * FROM dirty WHERE day(ts) <> 13)
+    SELECT symbol, timeframe, NULL::TIMESTAMP AS ts, 'bad_time' AS "check", count(*) AS n FROM dirty WHERE day(ts) = 13 GROUP BY ALL
+    UNION ALL SELECT symbol, timeframe, ts, 'duplicate', 1 FROM timed WHERE day(ts) = 2""",
+)(
+    lambda spark, sf: integrity.check_files(staged(file_lines(spark, sf)), holidays(spark))
+    .filter("check in ('bad_time', 'duplicate', 'unmatched_file', 'missing_column')")
+    .groupBy("symbol", "timeframe", "ts", "check").agg(F.count(F.lit(1)).alias("n"))
+)

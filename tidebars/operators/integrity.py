@@ -14,6 +14,7 @@ from tidebars.operators.calendar import (
     timeframe_anchor,
     trading_calendar,
 )
+from tidebars.sources.bars import raw_bars
 from tidebars.timeframes import INTRADAY_MINUTES, canonical_column, is_intraday
 
 PRICES = ("open", "high", "low", "close")
@@ -257,3 +258,33 @@ def check_bars(df: DataFrame, holidays: DataFrame) -> DataFrame:
         missing_slots(bars, holidays),
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def check_files(lines: DataFrame, holidays: DataFrame) -> DataFrame:
+    """Every check over the lines of bar files (``sources.bars.read_raw_bars``), before anything is dropped.
+
+    Besides `check_bars` over the bars' text cells: ``unmatched_file`` for a file
+    that isn't named like a bar file (its name is ``observed``),
+    ``missing_column`` for one whose header lacks a price or the volume,
+    ``bad_time`` for a line whose time does not parse, ``duplicate`` for a time
+    that several lines of a series have.
+    """
+    named = F.col("symbol").isNotNull()
+    body = lines.filter(named & ~F.col("is_header"))
+    no_time = F.lit(None).cast("timestamp_ntz")
+    unmatched = lines.filter(~named).select("symbol", "timeframe", "file").distinct()
+    headers = lines.filter(named & F.col("is_header"))
+    absent = F.filter(F.array(*[F.when(~F.coalesce(F.col(c) == c, F.lit(False)), F.lit(c)) for c in NUMERIC]), lambda c: c.isNotNull())
+    short = headers.withColumn("reasons", absent).filter(F.size("reasons") > 0)
+    untimed = body.filter(F.col("ts").isNull())
+    again = body.filter(F.col("ts").isNotNull()).groupBy("symbol", "timeframe", "ts").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    values = F.max(F.struct(*NUMERIC)).alias("_b")
+    once = raw_bars(lines).groupBy("symbol", "timeframe", "ts").agg(values).select("symbol", "timeframe", "ts", "_b.*")
+    parts = [
+        _issues(unmatched, "unmatched_file", ts=no_time, observed=F.col("file")),
+        _issues(short, "missing_column", ts=no_time, observed=F.col("file"), reasons=F.col("reasons")),
+        _issues(untimed, "bad_time", ts=no_time, column=F.lit("day"), observed=F.col("ts_text")),
+        _issues(again, "duplicate", observed=F.col("n").cast("string")),
+        check_bars(once, holidays),
+    ]
+    return reduce(DataFrame.unionByName, parts)

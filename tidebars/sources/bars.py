@@ -36,34 +36,54 @@ def dedupe_bars(df: DataFrame) -> DataFrame:
     return df.groupBy("symbol", "timeframe", "ts").agg(best).select("symbol", "timeframe", "ts", "_b.*")
 
 
-def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    """All bar CSV files under a path or glob, one row per bar.
-
-    Symbol and timeframe come from the file name.  Two layouts occur: an index
-    column, ``day``, open, high, low, close, volume; or the time as index
-    column, open, close, high, low, volume.  A time in the second column tells
-    them apart.
+def read_raw_bars(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of the bar CSV files under a path or glob, as text.
+
+    ``file, symbol, timeframe, ts_text, ts, open, high, low, close, volume,
+    is_header, cells``: symbol and timeframe come from the file name and are
+    null for a file that isn't named like one; ``ts`` is null where the time does
+    not parse; ``cells`` counts the line's cells that are there.  Two layouts
+    occur: an index column, ``day``, open, high, low, close, volume; or the time
+    as index column, open, close, high, low, volume.  A time in the second
+    column tells them apart, and so does the header.
     """
-    raw = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(7)])
-    lines = spark.read.schema(raw).csv(path).select("*", F.col("_metadata.file_name").alias("_file"))
-    named = lines.withColumns(
-        {
-            "symbol": F.regexp_extract("_file", FILE_NAME, 1),
-            "timeframe": canonical_column(F.regexp_extract("_file", FILE_NAME, 2)),
-        }
-    ).filter(F.col("symbol") != "")
-    with_day = _ts(F.col("c1")).isNotNull()
-    ts = F.when(with_day, _ts(F.col("c1"))).otherwise(_ts(F.col("c0")))
+    names = [f"c{i}" for i in range(7)]
+    raw = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    lines = spark.read.schema(raw).csv(path).select("*", F.col("_metadata.file_name").alias("file"))
+    named = lambda group: F.nullif(F.regexp_extract("file", FILE_NAME, group), F.lit(""))
+    is_header = F.coalesce(F.col("c1").isin("day", "open"), F.lit(False))
+    # A bad time keeps its column: a line of seven cells has its day second.
+    with_day = _ts(F.col("c1")).isNotNull() | (_ts(F.col("c0")).isNull() & F.col("c6").isNotNull()) | (F.col("c1") == "day")
+    with_day = F.coalesce(with_day, F.lit(False))
 
     def pick(first: str, second: str) -> Column:
-        return F.when(with_day, F.col(first)).otherwise(F.col(second)).try_cast("double")
+        return F.when(with_day, F.col(first)).otherwise(F.col(second))
 
-    bars = named.select(
-        "symbol", "timeframe", ts.alias("ts"),
+    text = pick("c1", "c0")
+    return lines.select(
+        "file", named(1).alias("symbol"), canonical_column(named(2)).alias("timeframe"), text.alias("ts_text"), _ts(text).alias("ts"),
         pick("c2", "c1").alias("open"), pick("c3", "c3").alias("high"), pick("c4", "c4").alias("low"),
         pick("c5", "c2").alias("close"), pick("c6", "c5").alias("volume"),
+        is_header.alias("is_header"), sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0)).alias("cells"),
     )
-    return dedupe_bars(bars.filter(F.col("ts").isNotNull()))
+
+
+def raw_bars(lines: DataFrame) -> DataFrame:
+    """The bars of `read_raw_bars`, cells still text: lines of bar files with a time, without the header."""
+    kept = lines.filter(F.col("symbol").isNotNull() & ~F.col("is_header") & F.col("ts").isNotNull())
+    return kept.select("symbol", "timeframe", "ts", "open", "high", "low", "close", "volume")
+
+
+def read_bars(spark: SparkSession, path: str) -> DataFrame:
+    """All bar CSV files under a path or glob, one row per bar, cells as numbers.
+
+    What can't be a bar is left out, of equal times the greatest record is kept
+    and bad cells are null; `operators.integrity.check_files` over
+    `read_raw_bars` reports all of these.
+    """
+    bars = raw_bars(read_raw_bars(spark, path))
+    values = {c: F.col(c).try_cast("double") for c in ("open", "high", "low", "close", "volume")}
+    return dedupe_bars(bars.withColumns(values))
 
 
 def write_bars(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
