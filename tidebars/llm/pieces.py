@@ -36,7 +36,7 @@ UNIGRAM, BPE = 1, 2
 U = np.uint64
 
 #: Different words that a task remembers, and the bytes of text that it takes at a time.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 1_000_000
 SLICE_BYTES = 4 << 20
 
 
@@ -213,9 +213,11 @@ class Encoder:
     def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether merging leaves the two pieces as they are; ``nothing`` on the left merges with no piece."""
         out = self.whole[right] & ((left == self.nothing) | self.whole[left])
-        for i in np.flatnonzero((self.tied[left] | self.tied[right]) & (left != self.nothing)).tolist():
-            out[i] = self._ask(int(left[i]), int(right[i]))
-        rows = np.flatnonzero(out & (left != self.nothing) & ~self.tied[left] & ~self.tied[right])
+        tied = self.tied[left] | self.tied[right]
+        if tied.any():
+            for i in np.flatnonzero(tied & (left != self.nothing)).tolist():
+                out[i] = self._ask(int(left[i]), int(right[i]))
+        rows = np.flatnonzero(out & (left != self.nothing) & ~tied)
         a, b = left[rows], right[rows]
         limit = np.full(len(rows), np.iinfo(np.int64).max)
         while len(rows):
@@ -254,12 +256,15 @@ class Encoder:
         back = np.full((length + 1, n), self.nothing, np.int64)
         for end in range(1, length + 1):
             chosen, choice, single = best[end], back[end], np.zeros(n, bool)
-            for size in range(1, min(end, self.longest) + 1):
+            # Longest first: where merging decides, the piece that is found is the only one.
+            for size in range(min(end, self.longest), 0, -1):
                 begin = end - size
                 rows, piece = self._lookup(_substring_key(sums[end] - sums[begin], down[begin : begin + 1], U(size)))
                 if size == 1:
                     single[rows] = True
                 open_ = best[begin, rows] > -np.inf
+                if self.model.algorithm == BPE:
+                    open_ &= chosen[rows] == -np.inf
                 rows, piece = rows[open_], piece[open_]
                 if self.model.algorithm == BPE:
                     passed = self.apart(back[begin, rows], piece)
