@@ -79,7 +79,7 @@ WINSOR = f"""WITH {INTRADAY}, q AS (SELECT symbol, timeframe, {LIMITS} FROM intr
 SELECT symbol, timeframe, ts, {CLIPS} FROM intraday JOIN q USING (symbol, timeframe)"""
 query("winsorize", WINSOR)(lambda spark, sf: rounded(clean.winsorize(intraday(spark, sf)), 6, *OHLCV))
 query("winsorize_long_series", WINSOR)(
-    lambda spark, sf: rounded(clean.winsorize(intraday(spark, sf), exact_rows=500), 6, *OHLCV)
+    lambda spark, sf: rounded(clean.winsorize(intraday(spark, sf)), 6, *OHLCV)
 )
 
 

@@ -25,11 +25,8 @@ from tidebars.series import (
 )
 
 OHLCV = ("open", "high", "low", "close", "volume")
-# Exact quantiles of one aggregation buffer: about 2 MB a column at this many rows.
-EXACT_ROWS = 50_000
 # Sketch accuracy: ranks are off by at most one in this many.
 SKETCH = 10_000
-GRID = 1000
 
 
 def numeric_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
@@ -75,28 +72,50 @@ def _interpolated(low: Column, high: Column, share: Column) -> Column:
     return low + (high - low) * share
 
 
-def quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    shares: Sequence[float],
-    keys: Sequence[str] = SERIES,
-    exact_rows: int = EXACT_ROWS,
-) -> DataFrame:
+def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], keys: Sequence[str] = SERIES) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per series.
 
-    Columns are named ``<column>_q<i>``.  Up to ``exact_rows`` rows a series'
-    values fit one aggregation buffer.  Longer series are narrowed first: a
-    sketch proposes a bracket, exact counts below and inside it say where the
-    wanted ranks lie, and rounds go on until few values are left.
+    Columns are named ``<column>_q<i>``.  Three passes, whatever the size: a
+    sketch proposes a bracket around each wanted rank; exact counts below and
+    inside it place the rank; the values inside, about one in ``SKETCH / 4`` of
+    the series, are ranked with equal values as one.  No result depends on the
+    sketch: a bracket that the counts do not confirm is opened to all values.
     """
     known = df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
-    longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if longest <= exact_rows:
-        aggs = [
-            F.percentile(c, share).alias(f"{c}_q{i}") for c in columns for i, share in enumerate(shares)
-        ]
-        return known.groupBy(*keys).agg(*aggs)
-    return _narrowed_quantiles(known, columns, shares, keys, exact_rows)
+    rank_keys = [*keys, "_column", "_q"]
+    wanted = [(c, i, float(s)) for c in columns for i, s in enumerate(shares)]
+    first = _first_brackets(known, wanted, keys)
+    cells = F.array(*[F.col(c).cast("double") for c, _, _ in wanted])
+
+    def inside(x: Column, b: Column) -> Column:
+        place = F.struct(*[b[c].alias(c) for c in ("_column", "_q", "_rank", "_below")], x.alias("_x"))
+        return F.when((b["_lo"] != b["_hi"]) & (x >= b["_lo"]) & (x <= b["_hi"]), place)
+
+    found = F.filter(F.zip_with(cells, "_brackets", inside), lambda e: e.isNotNull())
+    rows = attach(known, first, keys).select(*keys, F.explode(found).alias("_f")).select(*keys, "_f.*")
+    # Equal values count as one row, so a value many rows share stays small.
+    tied = rows.groupBy(*rank_keys, "_rank", "_below", "_x").agg(F.count(F.lit(1)).alias("_same"))
+    upto = Window.partitionBy(*rank_keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = tied.withColumn("_end", F.col("_below") + F.sum("_same").over(upto))
+    start = F.col("_end") - F.col("_same")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((start <= rank) & (rank < F.col("_end")), F.col("_x")))
+
+    ranks = ranked.groupBy(*rank_keys).agg(
+        at(F.floor("_rank")).alias("_low"), at(F.ceil("_rank")).alias("_high"), F.first("_rank").alias("_rank")
+    )
+    share = F.col("_rank") - F.floor("_rank")
+    value = _interpolated(F.col("_low"), F.col("_high"), share).alias("_value")
+    # A bracket with equal ends has its value, however many rows share it.
+    settled = first.select(*keys, F.inline("_brackets")).filter("_lo = _hi").select(*rank_keys, F.col("_lo").alias("_value"))
+    result = ranks.select(*rank_keys, value).unionByName(settled)
+    picks = [
+        F.max(F.when((F.col("_column") == c) & (F.col("_q") == i), F.col("_value"))).alias(f"{c}_q{i}")
+        for c in columns
+        for i in range(len(shares))
+    ]
+    return result.groupBy(*keys).agg(*picks)
 
 
 def _holds(rank: Column, below: Column, inside: Column) -> Column:
@@ -126,7 +145,7 @@ def _first_brackets(df: DataFrame, wanted: list[tuple[str, int, float]], keys: S
         x = F.col(column)
         counted.append(F.count_if(x < lo).alias(f"_below_{column}_{i}"))
         counted.append(F.count_if((x >= lo) & (x <= hi)).alias(f"_inside_{column}_{i}"))
-    known = sketch.join(attach(df, sketch, keys).groupBy(*keys).agg(*counted), list(keys))
+    known = join_keys(sketch, attach(df, sketch, keys).groupBy(*keys).agg(*counted), keys)
     brackets = []
     for column, i, share in wanted:
         lo, hi = ends(column, i)
@@ -146,102 +165,16 @@ def _first_brackets(df: DataFrame, wanted: list[tuple[str, int, float]], keys: S
     return staged(known.select(*keys, F.array(*brackets).alias("_brackets")), "brackets")
 
 
-def _narrowed_quantiles(df, columns, shares, keys, exact_rows) -> DataFrame:
-    rank_keys = [*keys, "_column", "_q"]
-    wanted = [(c, i, float(s)) for c in columns for i, s in enumerate(shares)]
-    first = _first_brackets(df, wanted, keys)
-    cells = F.array(*[F.col(c).cast("double") for c, _, _ in wanted])
-
-    def inside(x: Column, b: Column) -> Column:
-        place = F.struct(b["_column"].alias("_column"), b["_q"].alias("_q"), x.alias("_x"))
-        return F.when((b["_lo"] != b["_hi"]) & (x >= b["_lo"]) & (x <= b["_hi"]), place)
-
-    found = F.filter(F.zip_with(cells, "_brackets", inside), lambda e: e.isNotNull())
-    rows = attach(df, first, keys).select(*keys, "ts", F.explode(found).alias("_f")).select(*keys, "ts", "_f.*")
-    rows = staged(rows, "values")
-    brackets = first.select(*keys, F.explode("_brackets").alias("_b")).select(*keys, "_b.*")
-
-    def within(table: DataFrame) -> DataFrame:
-        spread = _spread(rows, table, rank_keys)
-        return spread.filter((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
-
-    previous = None
-    while True:
-        # A bracket with equal ends has its value, however many rows share it.
-        widest = brackets.filter("_lo <> _hi").agg(F.max("_inside")).first()[0] or 0
-        if widest <= exact_rows or widest == previous:
-            break
-        previous = widest
-        cuts = [i / GRID for i in range(GRID + 1)]
-        sketch = within(brackets.filter("_lo <> _hi")).groupBy(*rank_keys).agg(F.percentile_approx("_x", cuts, 10 * GRID).alias("_cuts"))
-        place = F.floor((F.col("_rank") - F.col("_below")) / F.col("_inside") * GRID).cast("int")
-        narrower = brackets.join(sketch, rank_keys).select(
-            *rank_keys, "_rank",
-            F.col("_lo").alias("_old_lo"), F.col("_hi").alias("_old_hi"),
-            F.col("_below").alias("_old_below"), F.col("_inside").alias("_old_inside"),
-            F.get("_cuts", F.greatest(place - 1, F.lit(0))).alias("_lo"),
-            F.get("_cuts", F.least(place + 2, F.lit(GRID))).alias("_hi"),
-        )
-        narrower = staged(narrower, "narrower")
-        # Values below the first bracket are not in ``rows``: count from the old one.
-        before = (F.col("_x") >= F.col("_old_lo")) & (F.col("_x") < F.col("_lo"))
-        counted = _spread(rows, narrower, rank_keys).groupBy(*rank_keys).agg(
-            (F.first("_old_below") + F.count_if(before)).alias("_below"),
-            F.count_if((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))).alias("_inside"),
-        )
-        holds = _holds(F.col("_rank"), F.col("_below"), F.col("_inside"))
-        checked = narrower.join(counted, rank_keys)
-        done = brackets.filter("_lo = _hi")
-        narrowed = checked.select(
-            *rank_keys, "_rank",
-            *[
-                F.when(holds, F.col(f"_{c}")).otherwise(F.col(f"_old_{c}")).alias(f"_{c}")
-                for c in ("lo", "hi", "below", "inside")
-            ],
-        )
-        brackets = staged(narrowed.unionByName(done), "brackets")
-    # Equal values count as one row, so a value many rows share stays small.
-    tied = within(brackets.filter("_lo <> _hi")).groupBy(*rank_keys, "_rank", "_below", "_x").agg(F.count(F.lit(1)).alias("_same"))
-    upto = Window.partitionBy(*rank_keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = tied.withColumn("_end", F.col("_below") + F.sum("_same").over(upto))
-    start = F.col("_end") - F.col("_same")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((start <= rank) & (rank < F.col("_end")), F.col("_x")))
-
-    found = ranked.groupBy(*rank_keys).agg(
-        at(F.floor("_rank")).alias("_low"), at(F.ceil("_rank")).alias("_high"), F.first("_rank").alias("_rank")
-    )
-    share = F.col("_rank") - F.floor("_rank")
-    value = _interpolated(F.col("_low"), F.col("_high"), share).alias("_value")
-    settled = brackets.filter("_lo = _hi").select(*rank_keys, F.col("_lo").alias("_value"))
-    result = found.select(*rank_keys, value).unionByName(settled)
-    picks = [
-        F.max(F.when((F.col("_column") == c) & (F.col("_q") == i), F.col("_value"))).alias(f"{c}_q{i}")
-        for c in columns
-        for i in range(len(shares))
-    ]
-    return result.groupBy(*keys).agg(*picks)
-
-
-def _spread(rows: DataFrame, table: DataFrame, rank_keys: Sequence[str]) -> DataFrame:
-    """Join one row per (series, column, quantile) to the values, per time chunk."""
-    chunked = with_chunk(rows)
-    chunks = chunked.select(*rank_keys, CHUNK).distinct()
-    return chunked.join(chunks.join(table, rank_keys), [*rank_keys, CHUNK]).drop(CHUNK)
-
-
 def winsorize(
     df: DataFrame,
     columns: Sequence[str] = OHLCV,
     low: float = 0.01,
     high: float = 0.99,
     keys: Sequence[str] = SERIES,
-    exact_rows: int = EXACT_ROWS,
 ) -> DataFrame:
     """Clip each column to its own quantiles within its series."""
     require_columns(df, columns)
-    limits = attach(df, quantiles(df, columns, (low, high), keys, exact_rows), keys)
+    limits = attach(df, quantiles(df, columns, (low, high), keys), keys)
     clipped = {
         c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"{c}_q0")), F.col(f"{c}_q1")))
         for c in columns
