@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebars.series import SERIES, epoch_seconds, from_end, join_keys
-from tidebars.timeframes import MINUTES, canonical, known_column, minutes_of
+from tidebars.timeframes import MINUTES, canonical, canonical_column, known_column, minutes_of
 
 BARS = ("open", "high", "low", "close", "volume")
 SLOTS_PER_CHUNK = 32_768
@@ -178,10 +178,11 @@ def with_symbol_table(df: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def quarterly_from_monthly(df: DataFrame, columns: Sequence[str] = BARS) -> DataFrame:
-    """Quarter bars holding the last non-null monthly value of each column."""
+    """Quarter bars holding the last non-null value of each column among the month bars."""
     start = F.trunc(F.to_date("ts"), "quarter")
+    monthly = df.filter(canonical_column(F.col("timeframe")) == "1mo")
     return (
-        df.groupBy("symbol", start.alias("_quarter"))
+        monthly.groupBy("symbol", start.alias("_quarter"))
         .agg(*[_last_value(c).alias(c) for c in columns])
         .select(
             "symbol", F.lit("1q").alias("timeframe"),
