@@ -17,6 +17,7 @@ from tidebars.series import (
     BLOCK_ROWS,
     CHUNK,
     SERIES,
+    block_window,
     join_keys,
     require_columns,
     staged,
@@ -47,10 +48,13 @@ def feature_target(df: DataFrame, horizon: int = 0, keys: Sequence[str] = SERIES
 
     if horizon == 0:
         return df.select(*keys, "ts", checked(names).alias("features"), checked(TARGETS).alias("target"))
-    numbered = with_position(df, keys)
-    ahead = numbered.select(*keys, (F.col("pos") - horizon).alias("pos"), checked(TARGETS).alias("target"))
-    now = numbered.select(*keys, "ts", "pos", checked(names).alias("features"))
-    return now.join(ahead, [*keys, "pos"]).drop("pos")
+    # Seen from the row of the target: the features of a row before it in its block.
+    block = block_window(keys)
+    here = {"_features": checked(names), "target": checked(TARGETS)}
+    before = {"features": F.lag("_features", horizon).over(block), "_ts": F.lag("ts", horizon).over(block)}
+    shifted = Indicator(("features", "target", "_ts"), (here, before), horizon)
+    found = with_indicators(with_position(df, keys), shifted, keys=keys).filter(F.col("pos") >= horizon)
+    return found.select(*keys, F.col("_ts").alias("ts"), "features", "target")
 
 
 def chronological_split(df: DataFrame, share: float = 0.8, keys: Sequence[str] = SERIES) -> DataFrame:
