@@ -144,7 +144,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     classes = staged(classes, "classes")
     whole = found.join(classes, ["anchor", "stretch"]).where("k > rep.k")
     spans = whole.select("k", "copy", F.col("first").alias("begin"), (F.col("first") + F.col("size") - 1 + length).alias("end"))
-    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    several = staged(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "several")
     # A class's smallest document may hold the stretch in several rows and places: each is judged.
     heads = found.join(classes.join(several, "anchor", "left_semi"), ["anchor", "stretch"]).where("k = rep.k").select("k", "copy", "first", "size")
     windows = staged(_windows_of(keyed, heads, length), "windows")
