@@ -145,6 +145,11 @@ class Encoder:
         self.floor = float(min((model.scores[i] for i in use), default=0.0)) - 10.0
         self.table = np.zeros(1 << 20, bool)
         self.table[(self.keys >> U(44)).astype(np.int64)] = True
+        inside = np.ones(max(len(data) - 1, 0), bool)  # neighbours within a piece
+        inside[ends[:-1] - 1] = False
+        self.neighbours = np.zeros(1 << 20, bool)
+        pairs = W.mix(data[:-1][inside].astype(U) << U(21) | data[1:][inside].astype(U)) if len(data) > 1 else np.zeros(0, U)
+        self.neighbours[(pairs >> U(44)).astype(np.int64)] = True
         self.asked: dict[int, bool] = {}
         if model.algorithm == BPE:
             self._order_merges()
@@ -284,23 +289,60 @@ class Encoder:
         self.numbers: dict[str, int] = {}
         self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
+    def _joins(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether some piece has the two characters side by side; may say so of others too."""
+        return self.neighbours[(W.mix(left.astype(U) << U(21) | right.astype(U)) >> U(44)).astype(np.int64)]
+
     def _learn(self, words: list[str]) -> None:
-        """Append the ids of new words to the table."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
+        """Append the ids of new words to the table.
+
+        With byte pieces a word is cut wherever no piece has the two characters
+        side by side: nothing is ever merged across.  Different parts are worked
+        out once.
+        """
         sizes = np.array([len(w) for w in words], np.int64)
-        for length in np.unique(sizes).tolist():
-            members = np.flatnonzero(sizes == length)
-            step = max(1, (1 << 20) // (length + 1))
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        begins = np.cumsum(sizes) - sizes
+        cut = np.zeros(len(points), bool)
+        if len(self.bytes) == 256:
+            cut[1:] = ~self._joins(points[:-1], points[1:])
+        cut[begins] = True
+        starts = np.flatnonzero(cut)
+        lengths = np.diff(np.r_[starts, len(points)])
+        _, first, part_of = np.unique(W.span_hashes(points, starts, starts + lengths, W.WORD_BASE), return_index=True, return_inverse=True)
+        part_of = part_of.ravel()
+        begin, length = starts[first], lengths[first]
+        found: list[tuple[np.ndarray, ...]] = []
+        for size in np.unique(length).tolist():
+            members = np.flatnonzero(length == size)
+            step = max(1, (1 << 20) // (size + 1))
             for at in range(0, len(members), step):
                 rows = members[at : at + step]
-                points = np.frombuffer("".join(words[i] for i in rows).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(rows), length)
-                self._trace(rows, words, self._advance(points), out)
-        self.flat = np.concatenate([self.flat, *out])
-        self.sizes = np.concatenate([self.sizes, np.array([len(o) for o in out], np.int64)])
-
-    def _trace(self, rows: np.ndarray, words: list[str], back: np.ndarray, out: list[np.ndarray]) -> None:
-        """Follow the backpointers of all rows together."""
-        steps, end, live = [], np.full(len(rows), back.shape[1] - 1), np.arange(len(rows))
+                block = points[begin[rows][:, None] + np.arange(size)]
+                row, piece, end = self._trace(self._advance(block))
+                found.append((rows[row], end, piece))
+                odd = np.unique(row[piece == self.nothing])
+                if len(odd):  # parts with characters that have no piece
+                    found[-1] = tuple(x[~np.isin(row, odd)] for x in found[-1])
+                    found += [self._odd(int(rows[r]), block[r], piece[row == r], end[row == r]) for r in odd.tolist()]
+        part, order, ids = (np.concatenate([f[k] for f in found]) for k in range(3))
+        place = np.lexsort((order, part))
+        ids, count = ids[place].astype(np.int32), np.bincount(part, minlength=len(begin))
+        each = count[part_of]
+        ends = np.cumsum(each)
+        flat = ids[np.repeat((np.cumsum(count) - count)[part_of] - ends + each, each) + np.arange(int(each.sum()))]
+        bounds = np.r_[0, ends][np.r_[np.searchsorted(starts, begins), len(starts)]]
+        self.flat = np.concatenate([self.flat, flat])
+        self.sizes = np.concatenate([self.sizes, np.diff(bounds)])
+
+    def _odd(self, part: int, points: np.ndarray, piece: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+        spelt = [self._spell(chr(points[e - 1])) if p == self.nothing else [p] for p, e in zip(piece.tolist(), end.tolist(), strict=True)]
+        ids = np.array(self._joined(spelt, piece == self.nothing), np.int64)
+        return np.full(len(ids), part), np.arange(len(ids)), ids
+
+    def _trace(self, back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, piece and end of the best paths, by row and place: the backpointers of all rows followed together."""
+        steps, end, live = [], np.full(len(back), back.shape[1] - 1), np.arange(len(back))
         while len(live):
             piece = back[live, end[live]]
             steps.append((live, piece, end[live]))
@@ -308,17 +350,7 @@ class Encoder:
             live = live[end[live] > 0]
         row, piece, at = (np.concatenate([s[k] for s in steps][::-1]) for k in range(3))
         order = np.argsort(row, kind="stable")
-        row, piece, at = row[order], piece[order], at[order]
-        cut = np.searchsorted(row, np.arange(len(rows) + 1))
-        odd = np.zeros(len(rows), bool)
-        odd[row[piece == self.nothing]] = True
-        for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-            ids = piece[a:b]
-            if odd[i]:
-                word = words[rows[i]]
-                spelt = [self._spell(word[e - 1]) if p == self.nothing else [p] for p, e in zip(ids.tolist(), at[a:b].tolist(), strict=True)]
-                ids = np.array(self._joined(spelt, ids == self.nothing), np.int32)
-            out[rows[i]] = ids.astype(np.int32)
+        return row[order], piece[order], at[order]
 
     def _spell(self, char: str) -> list[int]:
         found = [self.bytes.get(f"<0x{b:02X}>") for b in char.encode("utf-8", "surrogatepass")]
