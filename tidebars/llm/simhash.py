@@ -198,9 +198,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return distinct.mapInArrow(send, "bucket bigint, fp bigint").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def _first_rows(prints: DataFrame, key: str, max_bits: int) -> DataFrame:
-    """``(fp, first)``: the first row, by key (null last) and text, of all that the fingerprint is linked to."""
-    nodes = components(links(prints, max_bits))
+def first_rows(prints: DataFrame, key: str, edges: DataFrame) -> DataFrame:
+    """``(fp, first)``: the first row, by key (null last) and text, of all that ``edges(a, b)`` link the fingerprint to."""
+    nodes = components(edges)
     row = F.struct(F.coalesce(key, F.lit(NO_KEY)).alias("key"), "copy")
     least = prints.groupBy("fp").agg(F.min(row).alias("first"))
     grouped = least.join(nodes, least["fp"] == nodes["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
@@ -220,7 +220,7 @@ def near_duplicates(
     """
     prints = staged(fingerprints(docs, key, text, shingle_words), "fingerprints")
     least = F.nullif(F.col("first.key"), F.lit(NO_KEY)).alias("component")
-    return prints.join(_first_rows(prints, key, max_bits), "fp").select(key, "fp", least)
+    return prints.join(first_rows(prints, key, links(prints, max_bits)), "fp").select(key, "fp", least)
 
 
 def hex_fingerprint(fp: str = "fp"):
@@ -236,6 +236,6 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     and values are those of ``docs``.
     """
     prints = staged(fingerprints(docs, key, text), "fingerprints")
-    firsts = _first_rows(prints, key, MAX_BITS).select(F.col("first.key").alias("_k"), F.col("first.copy").alias("_c")).distinct()
+    firsts = first_rows(prints, key, links(prints, MAX_BITS)).select(F.col("first.key").alias("_k"), F.col("first.copy").alias("_c")).distinct()
     stamped = docs.select(packed(docs.columns), F.coalesce(F.col(key), F.lit(NO_KEY)).alias("_k"), F.xxhash64(text).alias("_c"))
     return unpacked(stamped.join(firsts, ["_k", "_c"], "left_semi").dropDuplicates(["_k", "_c"]), docs.columns)
