@@ -1,15 +1,20 @@
-"""Line dedup by content-defined chunks of lines, in DataFrame functions only.
+"""Line dedup in DataFrame functions only, by all windows of lines or by content-defined chunks of lines.
 
-A text is cut into chunks of lines: a chunk ends after a line when the rolling
+With `windows_of`, every `MIN_LINES` lines on end are a part, so each repeated
+run of that many lines or more goes, wherever it begins.  A removed line always
+stands somewhere before: at the first occurrence of its window, or, if that
+lies in a removed window itself, at the first occurrence of that one.
+
+With `chunks_of`, a text is cut into chunks of lines: a chunk ends after a line when the rolling
 hash over that line's hash and those of the lines before it (`WINDOW_LINES` in
 all) is divisible by `DIVISOR`.  Where chunks end thus depends on a few lines
 only, so lines that are put in or taken out upstream don't shift the chunks
-after them.  Chunks of two lines or more that occur before, in a smaller key or
+after them.  Parts of two lines or more that occur before, in a smaller key or
 earlier in the text, are removed once their bytes have been compared with those
 of the first occurrence.
 
-Occurrences are first counted by hash, without text.  Only chunks whose hash
-repeats meet again, as text, in a join with their first occurrence: a chunk in a
+Occurrences are first counted by hash, without text.  Only parts whose hash
+repeats meet again, as text, in a join with their first occurrence: a part in a
 third of all rows is one large key of a plain join, which Spark splits.
 """
 
@@ -64,28 +69,43 @@ def chunks_of(lines: Column) -> Column:
     return let(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: let(ends_of(hashes), lambda ends: cut(hashes, ends)))
 
 
+def windows_of(lines: Column) -> Column:
+    """``(start, lines, hash)`` of all `MIN_LINES` lines on end of an array of lines, in order."""
+
+    def cut(hashes: Column) -> Column:
+        def window(_: Column, i: Column) -> Column:
+            return F.struct(i.alias("start"), F.lit(MIN_LINES).alias("lines"), F.xxhash64(F.slice(hashes, i + 1, MIN_LINES)).alias("hash"))
+
+        return F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - (MIN_LINES - 1), F.lit(0))), window)
+
+    return let(F.transform(lines, lambda x: F.xxhash64(x)), cut)
+
+
 def _body(lines: Column, chunk: Column) -> Column:
     return F.array_join(F.slice(lines, chunk["start"] + 1, chunk["lines"]), "\n")
 
 
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(_k, _copy, at)``: the chunks that go, by row (its key and a hash of its text) and number in the row.
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", parts_of: Callable[[Column], Column] = chunks_of) -> DataFrame:
+    """``(_k, _copy, at)``: the parts that go, by row (its key and a hash of its text) and number in the row.
 
-    A chunk stays where it occurs first: by key (null last), by the hash of the
-    text, by place.  Rows equal in key and text are treated alike.  Chunks of
-    one line, and those without anything but white space, always stay.
+    A part stays where it occurs first: by key (null last), by the hash of the
+    text, by place.  Rows equal in key and text are treated alike.  Parts of
+    one line, those without anything but white space, and windows that overlap
+    their first occurrence always stay.
     """
+    apart = MIN_LINES if parts_of is windows_of else 1
     rows = docs.select(F.coalesce(key, F.lit(NO_KEY)).cast("bigint").alias("_k"), F.xxhash64(text).alias("_copy"), F.col(text).alias("_text"))
-    narrow = rows.select("_k", "_copy", F.posexplode(let(lines_of(F.col("_text")), chunks_of)).alias("at", "c"))
+    narrow = rows.select("_k", "_copy", F.posexplode(let(lines_of(F.col("_text")), parts_of)).alias("at", "c"))
     narrow = narrow.where(F.col("c.lines") >= MIN_LINES).select("_k", "_copy", "at", F.col("c.hash").alias("hash"))
-    # One entry per row and chunk: rows equal in key and text come together here.
+    # One entry per row and part: rows equal in key and text come together here.
     seen = narrow.groupBy("hash").agg(F.min(F.struct("_k", "_copy", "at")).alias("first"), F.max(F.struct("_k", "_copy", "at")).alias("last"))
     firsts = staged(seen.where("first < last").select("hash", "first"), "line-chunks")
-    found = narrow.join(firsts, "hash").select("_k", "_copy", F.struct("at", "hash", (F.struct("_k", "_copy", "at") == F.col("first")).alias("is_first")).alias("c"))
+    clear = (F.col("_k") != F.col("first._k")) | (F.col("_copy") != F.col("first._copy")) | (F.col("at") == F.col("first.at")) | (F.col("at") >= F.col("first.at") + apart)
+    found = narrow.join(firsts, "hash").where(clear).select("_k", "_copy", F.struct("at", "hash", (F.struct("_k", "_copy", "at") == F.col("first")).alias("is_first")).alias("c"))
     wanted = found.groupBy("_k", "_copy").agg(F.collect_set("c").alias("wanted"))
     def spelt(lines: Column) -> Column:
         text_of = lambda chunks: F.transform("wanted", lambda c: c.withField("body", _body(lines, F.get(chunks, c["at"]))))
-        return let(chunks_of(lines), text_of)
+        return let(parts_of(lines), text_of)
 
     # Rows are dealt by key at every size, so that the plan, and what it costs a row, is the same for all.
     bodies = rows.join(wanted.hint("merge"), ["_k", "_copy"]).select("_k", "_copy", F.explode(let(lines_of(F.col("_text")), spelt)).alias("c"))
@@ -96,11 +116,16 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return same.select("_k", "_copy", "at")
 
 
-def _edited(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _edited(docs: DataFrame, key: str, text: str, parts_of: Callable[[Column], Column]) -> DataFrame:
     """Packed rows with ``made``: the text that stays and its number of lines, null where nothing goes."""
-    gone = staged(repeated(docs, key, text), "line-repeats").groupBy("_k", "_copy").agg(F.collect_set("at").alias("_gone"))
+    gone = staged(repeated(docs, key, text, parts_of), "line-repeats").groupBy("_k", "_copy").agg(F.collect_set("at").alias("_gone"))
     stamped = docs.select(packed(docs.columns), F.coalesce(key, F.lit(NO_KEY)).cast("bigint").alias("_k"), F.xxhash64(text).alias("_copy"))
 
+    def uncovered(lines: Column) -> Column:
+        covered = F.flatten(F.transform("_gone", lambda at: F.sequence(at, at + (MIN_LINES - 1))))
+        stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
+        return let(stays, lambda kept: F.struct(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n").alias("text"), F.size(kept).alias("lines")))
+
     def rebuilt(lines: Column) -> Column:
         def kept(chunks: Column) -> Column:
             stays = F.transform(F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), "_gone"), lambda i: F.get(chunks, i))
@@ -112,25 +137,27 @@ def _edited(docs: DataFrame, key: str, text: str) -> DataFrame:
 
         return let(chunks_of(lines), kept)
 
-    made = F.when(F.col("_gone").isNotNull(), let(lines_of(F.col(ROW)[text]), rebuilt)).alias("made")
+    made = F.when(F.col("_gone").isNotNull(), let(lines_of(F.col(ROW)[text]), uncovered if parts_of is windows_of else rebuilt)).alias("made")
     return stamped.join(gone.hint("merge"), ["_k", "_copy"], "left").select(ROW, made)
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, text without its repeated chunks, ``n_lines`` of the whole text and ``n_removed`` of these.
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", parts_of: Callable[[Column], Column] = chunks_of) -> DataFrame:
+    """Key, text without its repeated chunks or windows, ``n_lines`` of the whole text and ``n_removed`` of these.
 
     All rows stay; a text of which nothing is left is empty, a null one stays null.
     """
     row, made = F.col(ROW), F.col("made")
     n_lines = F.size(lines_of(row[text])).cast("bigint")
-    return _edited(docs, key, text).select(
+    return _edited(docs, key, text, parts_of).select(
         row[key].alias(key), F.coalesce(made["text"], row[text]).alias(text), n_lines.alias("n_lines"),
         F.coalesce(n_lines - made["lines"], F.lit(0)).cast("bigint").alias("n_removed"),
     )
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
-    """``docs`` with repeated chunks gone from ``text``; ``size``, if there is such a column, follows edited texts.
+def without_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars", parts_of: Callable[[Column], Column] = chunks_of
+) -> DataFrame:
+    """``docs`` with repeated chunks or windows gone from ``text``; ``size``, if there is such a column, follows edited texts.
 
     All rows and all other columns stay as they were.
     """
@@ -138,4 +165,4 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     columns = {c: row[c] for c in docs.columns} | {text: F.coalesce(made["text"], row[text])}
     if size in docs.columns:
         columns[size] = F.coalesce(F.char_length(made["text"]).cast(docs.schema[size].dataType), row[size])
-    return _edited(docs, key, text).select(*[column.alias(c) for c, column in columns.items()])
+    return _edited(docs, key, text, parts_of).select(*[column.alias(c) for c, column in columns.items()])
