@@ -138,8 +138,8 @@ def split_http(content: bytes) -> tuple[int | None, bytes, bytes]:
 def parse_arc(stream) -> Iterator[tuple[int, int, dict[str, str], bytes, bool]]:
     """``(offset, version, fields, content, truncated)`` of each URL record of an ARC stream.
 
-    The version block says which fields a header line has; without one, the
-    number of fields does.  Addresses may hold spaces: fields are counted from
+    The version block, at the beginning only, says which fields a header line
+    has; without one, the number of fields does.  Addresses may hold spaces: fields are counted from
     the end.  Lines that are no header line are passed over; a record whose
     content ends early is marked truncated.
     """
@@ -150,7 +150,7 @@ def parse_arc(stream) -> Iterator[tuple[int, int, dict[str, str], bytes, bool]]:
         if not parts[-1].isdigit() or len(parts) < len(ARC_FIELDS[1]):
             continue
         kind = version or (2 if len(parts) >= len(ARC_FIELDS[2]) else 1)
-        if parts[0].startswith("filedesc:"):
+        if begin == 0 and parts[0].startswith("filedesc:"):
             content = stream.read(int(parts[-1]))
             offset += len(content)
             stated = content.split(b" ", 1)[0]
