@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 
-from tidebars.llm import arc
+from tidebars.llm import arc, toxicity
 
 
 def test_filedesc_url_is_a_record():
@@ -13,3 +13,9 @@ def test_filedesc_url_is_a_record():
     lines = [arc.arc_header(1, url, arc.NO_ADDRESS, "20240101000000", "text/html", len(body)).encode() + b"\n" + body + b"\n" for url in ("filedesc:page", "http://a.b/")]
     found = list(arc.parse_arc(io.BytesIO(opening + b"".join(lines))))
     assert [(r[1], r[2]["URL"], r[3]) for r in found] == [(1, "filedesc:page", body), (1, "http://a.b/", body)]
+
+
+def test_lexicon_has_no_cap(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_TERMS", 1, raising=False)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    assert len(toxicity.learn(docs, labels)[0]) > 1

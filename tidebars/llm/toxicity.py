@@ -37,7 +37,6 @@ from tidebars.llm.staging import staged
 
 MIN_CONTEXTS = 6
 MIN_WEIGHT = 2.5
-MAX_TERMS = 20_000
 SHORTEST, LONGEST = 3, 12
 
 #: Look-alike letters and the letters that digits and marks stand for.
@@ -220,9 +219,9 @@ def learn(
 
     A term needs `MIN_CONTEXTS` different places in labelled texts and a log
     odds ratio of `MIN_WEIGHT` over the others, and no longer term that tells nearly
-    as many labelled texts better; at most `MAX_TERMS` terms, by
-    weight and then by name, are kept.  The driver sees the terms of the sample
-    that labelled texts share, which the sample's size bounds.  Without labelled
+    as many labelled texts better; all of these are kept, and all exception
+    phrases.  The driver sees the terms of the sample that labelled texts share,
+    which the sample's size bounds.  Without labelled
     rows the lexicon is empty.
     """
     rows = staged(training_rows(docs, labels, label, key, text, sample).select(F.col(text).alias("text"), "y"), "labelled")
@@ -234,13 +233,13 @@ def learn(
     weights = {t: math.log((n + 0.5) / yes) - math.log((others.get(t, 0) + 0.5) / no) for t, n in often.items()}
     # A beginning whose labelled places nearly all go on alike says less than the longer term.
     vague = {t[:n] for t, w in weights.items() for n in range(SHORTEST, len(t)) if often[t] >= 0.9 * often.get(t[:n], 0) and w > weights.get(t[:n], w)}
-    terms = sorted((-w, t) for t, w in weights.items() if w >= MIN_WEIGHT and t not in vague)[:MAX_TERMS]
+    terms = sorted((-w, t) for t, w in weights.items() if w >= MIN_WEIGHT and t not in vague)
     lexicon = Lexicon({t: -w for w, t in terms})
     if not terms:
         return lexicon
     y = F.col("y")
     neutral = _phrases(rows, lexicon).groupBy("phrase").agg(F.sum(y).alias("t"), F.sum(1 - y).alias("f")).where("f >= 2 and f >= t")
-    phrases = [r["phrase"] for r in neutral.orderBy(F.desc("f"), "phrase").limit(MAX_TERMS).collect()]
+    phrases = [r["phrase"] for r in neutral.select("phrase").collect()]
     lexicon = lexicon._replace(exceptions=frozenset(phrases))
     seen = weigh(rows, lexicon, "y", "text").select("weight", "n_words", "y").toArrow()  # numbers of the sample only
     x, labelled = np.column_stack(_inputs(seen["weight"].to_numpy(), seen["n_words"].to_numpy())), seen["y"].to_numpy().astype(float)
