@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidebars.llm import decontaminate, line_dedup, simhash, toxicity
+from tidebars.llm import decontaminate, line_dedup, shingles, toxicity
 
 
 def test_names():
@@ -23,9 +23,10 @@ def test_stages_take_effect(spark, sf_dir):
     assert first.columns == docs.columns and ids(first) == ids(scores.where("score < 0.5"))
     second = lines(spark, first, sf_dir).cache()
     assert second.columns == docs.columns and ids(second) == ids(first)
-    assert {tuple(r) for r in second.select("doc_id", "text").collect()} == {tuple(r) for r in line_dedup.dedup_lines(first).select("doc_id", "text").collect()}
+    edited = line_dedup.dedup_lines(first, parts_of=line_dedup.windows_of)
+    assert {tuple(r) for r in second.select("doc_id", "text").collect()} == {tuple(r) for r in edited.select("doc_id", "text").collect()}
     third = near(spark, second, sf_dir).cache()
-    assert third.columns == docs.columns and ids(third) == ids(simhash.near_duplicates(second).where("doc_id = component"))
+    assert third.columns == docs.columns and ids(third) == ids(shingles.drop_similar(second))
     fourth = clean(spark, third, sf_dir).cache()
     assert fourth.columns == docs.columns and ids(fourth) == ids(decontaminate.contamination(third, items).where("n_hit = 0"))
     last = encode(spark, fourth, sf_dir)
