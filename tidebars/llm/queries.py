@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidebars.llm import arc, classifier, decontaminate, html_text, line_dedup, pieces, quality_rules, simhash, substrings, toxicity
+from tidebars.llm import arc, classifier, decontaminate, divergence, html_text, line_dedup, pieces, quality_rules, simhash, substrings, toxicity
 from tidebars.llm.labelled import held_out
 from tidebars.llm.staging import shuffles_freed, staged
 from tidebars.series import new_path
@@ -116,6 +116,43 @@ def op3_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", F.col("exact").alias("round_trip"))
 
 
+@query
+def op13_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(table(spark, sf, "documents"))
+
+
+SQL["op13_source_divergence"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), w AS (
+    SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), k AS (
+    SELECT lang, term, count(*) AS total FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3
+), c AS (
+    SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL
+), l AS (
+    SELECT lang, count(*) AS v, sum(total) AS lang_n FROM k GROUP BY lang
+), g AS (
+    SELECT o.lang, o.source, coalesce(any_value(v), 0) AS v, coalesce(any_value(lang_n), 0) AS lang_n, coalesce(sum(c.n), 0) AS n
+    FROM (SELECT DISTINCT lang, source FROM d) o LEFT JOIN l ON l.lang = o.lang LEFT JOIN c ON c.lang = o.lang AND c.source = o.source GROUP BY ALL
+), p AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n + g.v)::HUGEINT AS p,
+        1 + (1000000000::HUGEINT * (k.total + 1)) // (g.lang_n + g.v)::HUGEINT AS q
+    FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), sums AS (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), rows AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM p WHERE n > 0 AND p > q
+)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM rows
+QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
