@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidebars.llm import arc, classifier, decontaminate, divergence, html_text, line_dedup, pieces, quality_rules, simhash, substrings, toxicity
+from tidebars.llm import arc, classifier, decontaminate, divergence, html_text, line_dedup, pieces, quality_rules, simhash, substrings, token_files, toxicity
 from tidebars.llm.labelled import held_out
 from tidebars.llm.staging import shuffles_freed, staged
 from tidebars.series import new_path
 
 #: A public SentencePiece model; a parameter of the operator.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+#: A public byte-level BPE tokenizer; a parameter of the operator.
+TOKENIZER_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -116,6 +118,17 @@ def op3_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", F.col("exact").alias("round_trip"))
 
 
+@query
+def op12_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    with shuffles_freed(spark):
+        token_files.write_tokens(table(spark, sf, "documents"), path, TOKENIZER_PATH)
+    ids = F.col("ids")
+    return token_files.read_tokens(spark, path).select(
+        F.col("key").alias("doc_id"), "start", (F.length(ids) / 4).cast("bigint").alias("n_tokens"), token_files.checksum(ids).alias("ids_crc32")
+    )
+
+
 @query
 def op13_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.audit(table(spark, sf, "documents"))
