@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidebars.llm import arc, classifier, decontaminate, divergence, html_text, line_dedup, pieces, quality_rules, simhash, substrings, token_files, toxicity
+from tidebars.llm import arc, classifier, decontaminate, divergence, hard_negatives, html_text, line_dedup, pieces, quality_rules, simhash, substrings, token_files, toxicity
 from tidebars.llm.labelled import held_out
 from tidebars.llm.staging import shuffles_freed, staged
 from tidebars.series import new_path
@@ -118,6 +118,35 @@ def op3_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", F.col("exact").alias("round_trip"))
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf, "embeddings").withColumn("label", shifted), F.col("vec_id") % 50 == 0)
+
+
+SQL["op11_hard_negatives"] = """
+WITH r AS (
+    SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS anchor_id, o.vec_id, o.r, o.label = a.label AS same,
+        list_sum(list_transform(list_zip(a.v, o.v), lambda z: z[1] * z[2]))::BIGINT AS score
+    FROM r a JOIN r o ON o.r <> a.r WHERE a.vec_id % 50 = 0 AND len(a.v) = len(o.v)
+), p AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s
+    WHERE same AND vec_id <> anchor_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 @query
 def op12_token_files(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "tokens")
