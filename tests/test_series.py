@@ -235,3 +235,68 @@ def test_averages_follow_the_gap_rule(spark, rows):
     }
     for name, values in want.items():
         np.testing.assert_allclose(got[name], values, rtol=1e-9, atol=1e-8)
+
+
+def _holed(spark, gaps, n=3000, seed=5):
+    """Two symbols whose closes are missing in the given (start, length) stretches; highs are missing in others."""
+    import pandas as pd
+
+    rng = np.random.default_rng(seed)
+    frames, rows, start = {}, [], dt.datetime(2000, 1, 1)
+    for symbol, shift in (("a", 0), ("b", 7)):
+        close = 100 + rng.normal(0, 1, n).cumsum()
+        high = close + 1
+        for at, length in gaps:
+            close[at + shift : at + shift + length] = np.nan
+            high[at // 2 : at // 2 + length] = np.nan
+        p = pd.DataFrame({"close": close, "high": high, "low": close - 1})
+        frames[symbol] = p
+        cells = p.astype(object).where(p.notna(), None)
+        rows += [(symbol, "1d", start + dt.timedelta(days=i), c, h, low, 1.0) for i, (c, h, low) in enumerate(cells.itertuples(index=False))]
+    names = "symbol string, timeframe string, ts timestamp_ntz, close double, high double, low double, volume double"
+    return spark.createDataFrame(rows, names).withColumn("open", F.col("close")), frames
+
+
+@pytest.mark.parametrize("rows", [64, 512, 700, series.BLOCK_ROWS])
+@pytest.mark.parametrize("gaps", [[(5, 2), (300, 200), (800, 2000)], [(i, 1) for i in range(1, 2990, 2)], [(i, 90) for i in range(3, 2800, 91)]])
+def test_averages_over_gaps_of_any_length(spark, rows, gaps):
+    """Long gaps, every other close, one close in ninety: equal to pandas whatever the block size."""
+    df, frames = _holed(spark, gaps)
+    used = ind.ema_of("close", 26, "slow"), ind.macd(), ind.tsi(), ind.wavetrend(), ind.dema(), ind.signal_accuracy(), ind.sma(20)
+    got = ind.with_indicators(df, *used, rows=rows)
+
+    def e(x, span):
+        return x.ewm(span=span, adjust=False).mean()
+
+    for symbol, p in frames.items():
+        c, mine = p["close"], frame(got, symbol)
+        assert len(mine) == len(p)
+        line, change, typical = e(c, 5) - e(c, 10), c.diff(), (p["high"] + p["low"] + c) / 3
+        diff, away = e(c, 12) - e(c, 26), typical - e(typical, 10)
+        wave = e(away / (e(away.abs(), 10).replace(0, ind.EPS) * 0.015), 21)
+        size = e(e(change.abs(), 25), 13).replace(0, ind.EPS)
+        pointed = np.where(2 * (diff - e(diff, 9)) > e(line, 5), 1, -1)
+        hit = (pointed == np.where(change > 0, 1, -1)).astype(float)
+        want = {
+            "slow": e(c, 26), "macd_line": line, "macd_signal": e(line, 5), "dema": 2 * e(c, 30) - e(e(c, 30), 30), "wavetrend": wave,
+            "wavetrend_signal": wave.rolling(4, min_periods=1).mean(), "tsi": 100 * e(e(change, 25), 13) / size, "ma_20": c.rolling(20, min_periods=1).mean(),
+            "accuracy": pd_mean(hit, 20),
+        }
+        for name, values in want.items():
+            np.testing.assert_allclose(mine[name].astype(float), values, rtol=1e-8, atol=1e-7, err_msg=name)
+
+
+def pd_mean(x, window):
+    import pandas as pd
+
+    return pd.Series(x).rolling(window, min_periods=1).mean()
+
+
+def test_a_block_sees_a_bounded_number_of_rows(spark):
+    """What a block looks back on follows the values it needs, not the length of the gap before it."""
+    df, _ = _holed(spark, [(300, 2000)])
+    values = {"close": (F.col("close").isNotNull(), 50)}
+    for source in (df, series.with_position(df, rows=64)):
+        laid = series.in_blocks(source, 10, rows=64, values=values)
+        assert laid.filter("_core").count() == df.count()
+        assert laid.groupBy("symbol", "_block").count().agg(F.max("count")).first()[0] <= 64 + 10 + 50 + 64

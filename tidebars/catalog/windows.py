@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import functions as F
+
 from tidebars.catalog.inputs import DAILY, GAPPY, INTRADAY, SQL, W, daily, gappy, intraday, query, rounded
 from tidebars.operators import indicators as ind
 from tidebars.operators.recurrence import ema_with_gaps
-from tidebars.series import BLOCK_ROWS
+from tidebars.series import BLOCK_ROWS, with_position
 
 KEYS = ["symbol", "timeframe", "ts"]
 EPS = "2.220446049250313e-16::DOUBLE"
@@ -307,6 +311,42 @@ query(
     + " SELECT symbol, timeframe, ts, round(2 * dema_1 - dema_2, 4) AS dema FROM e",
 )(over_bars(gappy, 4, ind.dema, rows=700))
 
+# Gaps of 2, 200 and 2,000 bars, in the closes of each symbol's longest stretch of days: a block sees the last values
+# before it, however far back they lie.
+CLOSED_GAPS = ((40, 2), (60, 200), (330, 2_000))
+
+
+def long_gaps(spark, sf):
+    bars = with_position(daily(spark, sf))
+    inside = reduce(lambda a, b: a | b, [F.col("pos").between(start, start + length - 1) for start, length in CLOSED_GAPS])
+    return bars.withColumn("close", F.when(~inside, F.col("close"))).drop("pos", "n")
+
+
+LONG_GAPS = DAILY + f""",
+placed AS (SELECT *, row_number() OVER ({W}) - 1 AS place FROM daily),
+holed AS (
+  SELECT symbol, timeframe, ts, open, high, low, volume,
+         CASE WHEN {" OR ".join(f"place BETWEEN {a} AND {a + n - 1}" for a, n in CLOSED_GAPS)} THEN NULL ELSE close END AS close
+  FROM placed)"""
+GAPPY_LONG = {
+    "ema": (["ema_5", "ema_26"], ["round(ema_5, 4) AS ema_5", "round(ema_26, 4) AS ema_26"], (lambda: ind.ema_of("close", 5, "ema_5"), lambda: ind.ema_of("close", 26, "ema_26"))),
+    "macd": (["macd_line", "macd_signal"], ["round(macd_line, 4) AS macd_line", "round(macd_signal, 4) AS macd_signal", "round(macd_line - macd_signal, 4) AS macd_hist"], (ind.macd,)),
+    "macd_cn": (["diff", "dea"], ["round(diff, 4) AS diff", "round(dea, 4) AS dea", "round(2 * (diff - dea), 4) AS macd_bar"], (ind.macd_cn,)),
+    "tsi": (["up2", "size2"], [f"round(100 * up2 / CASE WHEN size2 = 0 THEN {EPS} ELSE size2 END, 4) AS tsi"], (ind.tsi,)),
+    "wavetrend": (["wavetrend"], ["round(wavetrend, 4) AS wavetrend", f"round(avg(wavetrend) OVER {roll(4)}, 4) AS wavetrend_signal"], (ind.wavetrend,)),
+    "dema": (["dema_2"], ["round(2 * dema_1 - dema_2, 4) AS dema"], (ind.dema,)),
+    "macd_chart": (["macd_m", "macd_s"], ["round(macd_m, 4) AS macd_m", "round(macd_s, 4) AS macd_s", "round(macd_m - macd_s, 4) AS macd_h"], (ind.macd_chart,)),
+}
+for _number, (_name, (_states, _columns, _indicators)) in enumerate(GAPPY_LONG.items()):
+    _sql = recursive_emas(LONG_GAPS, "holed", _states, gaps=True) + f" SELECT symbol, timeframe, ts, {', '.join(_columns)} FROM e"
+    query(f"{_name}_gappy_long", _sql)(over_bars(long_gaps, 4, *_indicators, rows=(512, 700, BLOCK_ROWS)[_number % 3]))
+query(
+    "signal_accuracy_gappy_long",
+    recursive_emas(LONG_GAPS, "holed", ["macd_signal", "diff", "dea"], gaps=True)
+    + ACCURACY
+    + f" SELECT *, round(avg(correct_signal) OVER {roll(20)}, 6) AS accuracy FROM h",
+)(over_bars(long_gaps, 6, ind.signal_accuracy, rows=512))
+
 # Small blocks, one size no divisor of the other: each daily series crosses several borders.
 LONG = {
     "volatility": (intraday, 6, (ind.volatility,)), "sma": (daily, 3, tuple(lambda p=p: ind.sma(p) for p in (3, 5, 10, 20))),

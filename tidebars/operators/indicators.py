@@ -1,8 +1,10 @@
 """Technical indicators of a bar table.
 
 An :class:`Indicator` is a list of steps; a step is a dict of columns that may
-use window functions over the columns of earlier steps.  ``with_indicators``
-runs any number of them in one pass: one shuffle on (series, block), one sort.
+use window functions over the columns of earlier steps.  Exponential averages
+refer to themselves and are :class:`Chain` objects, functions over the arrays
+of a block.  ``with_indicators`` runs any number of both in one pass: one
+shuffle on (series, block), one sort, and one Arrow pass for the chains.
 """
 
 from __future__ import annotations
@@ -10,23 +12,24 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import zip_longest
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebars.operators.recurrence import ema_steps, memory
+from tidebars.operators.recurrence import Arrays, Chain, average, ema, memory, needed_values, run_chains, trailing_mean
 from tidebars.series import (
+    BLOCK,
     BLOCK_ROWS,
     CHUNK,
     CORE,
     SERIES,
     block_window,
     in_blocks,
+    staged,
     trailing,
     with_carry,
     with_chunk,
-    with_position,
 )
 
 EPS = 2.220446049250313e-16
@@ -41,20 +44,28 @@ class Indicator:
 
 
 def with_indicators(
-    df: DataFrame, *indicators: Indicator, keys: Sequence[str] = SERIES, rows: int = BLOCK_ROWS
+    df: DataFrame, *indicators: Indicator | Chain, keys: Sequence[str] = SERIES, rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Add the outputs of all ``indicators`` to the bars."""
-    lookback = max(i.lookback for i in indicators)
-    laid = in_blocks(with_position(df, keys, rows=rows), lookback, keys, rows)
-    for level in range(max(len(i.steps) for i in indicators)):
+    chains = [i for i in indicators if isinstance(i, Chain)]
+    windows = [i for i in indicators if isinstance(i, Indicator)]
+    outputs = dict.fromkeys(name for i in indicators for name in i.outputs)
+    kept = [c for c in df.columns if c not in outputs]
+    if prepared := {name: column for c in chains for name, column in c.prepare.items()}:
+        # These are values to be counted themselves: they are worked out and written first.
+        df = staged(in_blocks(df, 1, keys, rows).withColumns(prepared).filter(CORE).drop(BLOCK, CORE), "prepared")
+    lookback = max([i.lookback for i in windows] + [c.memory for c in chains])
+    laid = in_blocks(df, lookback, keys, rows, needed_values(chains))
+    for level in range(max((len(i.steps) for i in windows), default=0)):
         columns: dict[str, Column] = {}
-        for indicator in indicators:
+        for indicator in windows:
             if level < len(indicator.steps):
                 columns |= indicator.steps[level]
         laid = laid.withColumns(columns)
-    outputs = dict.fromkeys(name for i in indicators for name in i.outputs)
-    kept = [c for c in df.columns if c not in outputs]
-    return laid.filter(CORE).select(*kept, *outputs)
+    if not chains:
+        return laid.filter(CORE).select(*kept, *outputs)
+    made = dict.fromkeys([*kept, *[name for i in windows for name in i.outputs]])
+    return run_chains(laid, chains, list(made), keys).select(*kept, *outputs)
 
 
 def _prev(column: str | Column, back: int = 1) -> Column:
@@ -83,11 +94,6 @@ def _change() -> dict[str, Column]:
     return {"_change": _close() - _prev("close")}
 
 
-def _together(*chains: Sequence[dict[str, Column]]) -> tuple[dict[str, Column], ...]:
-    """Chains of steps side by side: the first steps of all, then the second ones."""
-    return tuple({k: v for step in steps if step for k, v in step.items()} for steps in zip_longest(*chains))
-
-
 def _return() -> dict[str, Column]:
     return {"_return": F.try_divide(_close(), _prev("close")) - 1}
 
@@ -124,30 +130,32 @@ def sma_strict(period: int) -> Indicator:
     return Indicator((name,), ({name: _full(F.avg("close"), "close", period)},), period)
 
 
-def ema_of(column: str, span: int, name: str) -> Indicator:
-    return Indicator((name,), ema_steps(name, F.col(column), span), memory(span))
+def ema_of(column: str, span: int, name: str) -> Chain:
+    return average(column, span, name)
 
 
-def _crossing(fast: int, slow: int, signal: int, line: str, trend: str, hist: dict[str, Column]) -> Indicator:
-    """Difference of two averages, its own average, and their difference."""
-    f, s = f"_ema_{fast}", f"_ema_{slow}"
-    steps = (
-        *_together(ema_steps(f, _close(), fast), ema_steps(s, _close(), slow)),
-        {line: F.col(f) - F.col(s)},
-        *ema_steps(trend, F.col(line), signal),
-        hist,
-    )
-    return Indicator((line, trend, *hist), steps, memory(max(fast, slow)) + memory(signal))
+def _no_zero(x: np.ndarray) -> np.ndarray:
+    return np.where(x == 0, EPS, x)
+
+
+def _crossing(fast: int, slow: int, signal: int, line: str, trend: str, bar: str, factor: int = 1) -> Chain:
+    """Difference of two averages, its own average, and a multiple of their difference."""
+
+    def run(c: Arrays) -> Arrays:
+        between = ema(c["close"], fast) - ema(c["close"], slow)
+        smooth = ema(between, signal)
+        return {line: between, trend: smooth, bar: (between - smooth) * factor}
+
+    reach = memory(max(fast, slow)) + memory(signal)
+    return Chain((line, trend, bar), ("close",), run, reach, {"close": _close().isNotNull()})
 
 
-def macd(fast: int = 5, slow: int = 10, signal: int = 5, names: Sequence[str] | None = None) -> Indicator:
-    line, trend, hist = names or ("macd_line", "macd_signal", "macd_hist")
-    return _crossing(fast, slow, signal, line, trend, {hist: F.col(line) - F.col(trend)})
+def macd(fast: int = 5, slow: int = 10, signal: int = 5, names: Sequence[str] | None = None) -> Chain:
+    return _crossing(fast, slow, signal, *(names or ("macd_line", "macd_signal", "macd_hist")))
 
 
-def macd_cn(fast: int = 12, slow: int = 26, signal: int = 9) -> Indicator:
-    bar = (F.col("diff") - F.col("dea")) * 2
-    return _crossing(fast, slow, signal, "diff", "dea", {"macd_bar": bar})
+def macd_cn(fast: int = 12, slow: int = 26, signal: int = 9) -> Chain:
+    return _crossing(fast, slow, signal, "diff", "dea", "macd_bar", factor=2)
 
 
 def rsi(window: int = 14) -> Indicator:
@@ -176,15 +184,15 @@ def momentum(back: int = 10) -> Indicator:
     return Indicator(("mom",), ({"mom": _close() - _prev("close", back)},), back)
 
 
-def tsi(long: int = 25, short: int = 13) -> Indicator:
-    change, size = F.col("_change"), F.abs(F.col("_change"))
-    steps = (
-        _change(),
-        *_together(ema_steps("_tsi_up", change, long), ema_steps("_tsi_all", size, long)),
-        *_together(ema_steps("_tsi_up2", F.col("_tsi_up"), short), ema_steps("_tsi_all2", F.col("_tsi_all"), short)),
-        {"tsi": F.col("_tsi_up2") * 100 / _or_eps(F.col("_tsi_all2"))},
-    )
-    return Indicator(("tsi",), steps, 1 + memory(long) + memory(short))
+def tsi(long: int = 25, short: int = 13) -> Chain:
+    def run(c: Arrays) -> Arrays:
+        change = c["_close_change"]
+        up, size = (ema(ema(x, long), short) for x in (change, np.abs(change)))
+        return {"tsi": up * 100 / _no_zero(size)}
+
+    change = {"_close_change": _close() - _prev("close")}
+    values = {"change": F.col("_close_change").isNotNull()}
+    return Chain(("tsi",), ("_close_change",), run, 1 + memory(long) + memory(short), values, change)
 
 
 def trend_strength(short: int = 5, long: int = 20, guarded: bool = True) -> Indicator:
@@ -210,46 +218,47 @@ def signed_volume() -> Indicator:
     return Indicator(("signed_volume",), (_change(), {"signed_volume": value}), 1)
 
 
-def wavetrend(channel: int = 10, average: int = 21, smooth: int = 4) -> Indicator:
-    typical = (F.col("high") + F.col("low") + _close()) / 3
-    away = F.col("_typical") - F.col("_esa")
-    index = away / (_or_eps(F.col("_spread")) * 0.015)
-    steps = (
-        {"_typical": typical},
-        *ema_steps("_esa", F.col("_typical"), channel),
-        *ema_steps("_spread", F.abs(away), channel),
-        {"_ci": index},
-        *ema_steps("wavetrend", F.col("_ci"), average),
-        {"wavetrend_signal": F.avg("wavetrend").over(trailing(smooth))},
-    )
+def wavetrend(channel: int = 10, average: int = 21, smooth: int = 4) -> Chain:
+    def run(c: Arrays) -> Arrays:
+        typical = (c["high"] + c["low"] + c["close"]) / 3
+        away = typical - ema(typical, channel)
+        spread = ema(np.abs(away), channel)
+        wave = ema(away / (_no_zero(spread) * 0.015), average)
+        return {"wavetrend": wave, "wavetrend_signal": trailing_mean(wave, smooth)}
+
     reach = 2 * memory(channel) + memory(average) + smooth
-    return Indicator(("wavetrend", "wavetrend_signal"), steps, reach)
+    values = {"typical": (F.col("high") + F.col("low") + _close()).isNotNull()}
+    return Chain(("wavetrend", "wavetrend_signal"), ("high", "low", "close"), run, reach, values)
 
 
-def signal_accuracy(window: int = 20) -> Indicator:
+def signal_accuracy(window: int = 20) -> Chain:
     """Share of bars whose price moved the way the bar histogram pointed."""
     bar, line = macd_cn(), macd()
-    steps = list(_together(bar.steps, line.steps, (_change(),)))
-    up = F.when(F.col("macd_bar") > F.col("macd_signal"), 1).otherwise(-1)
-    moved = F.when(F.col("_change") > 0, 1).otherwise(-1)
-    steps.append({"macd_dir": up, "price_direction": moved})
-    hit = F.when(F.col("macd_dir") == F.col("price_direction"), 1).otherwise(0)
-    steps.append({"correct_signal": hit})
-    steps.append({"accuracy": F.avg("correct_signal").over(trailing(window))})
+    bars_of, line_of = bar.run, line.run
+
+    def run(c: Arrays) -> Arrays:
+        change = np.diff(c["close"], prepend=np.nan)
+        pointed = np.where(bars_of(c)["macd_bar"] > line_of(c)["macd_signal"], 1, -1)
+        moved = np.where(change > 0, 1, -1)
+        hit = (pointed == moved).astype(np.int64)
+        seen = np.cumsum(hit)
+        share = (seen - np.r_[np.zeros(min(window, len(seen)), np.int64), seen[:-window]]) / np.minimum(np.arange(1, len(seen) + 1), window)
+        return {"macd_dir": pointed, "price_direction": moved, "correct_signal": hit, "accuracy": share}
+
     outputs = ("macd_dir", "price_direction", "correct_signal", "accuracy")
-    return Indicator(outputs, tuple(steps), max(bar.lookback, line.lookback) + window)
+    reach = max(bar.memory, line.memory) + window
+    return Chain(outputs, ("close",), run, reach, {"close": _close().isNotNull()}, integers=outputs[:3])
 
 
-def dema(span: int = 30) -> Indicator:
-    steps = (
-        *ema_steps("_dema_1", _close(), span),
-        *ema_steps("_dema_2", F.col("_dema_1"), span),
-        {"dema": F.col("_dema_1") * 2 - F.col("_dema_2")},
-    )
-    return Indicator(("dema",), steps, 2 * memory(span))
+def dema(span: int = 30) -> Chain:
+    def run(c: Arrays) -> Arrays:
+        once = ema(c["close"], span)
+        return {"dema": once * 2 - ema(once, span)}
+
+    return Chain(("dema",), ("close",), run, 2 * memory(span), {"close": _close().isNotNull()})
 
 
-def macd_chart(fast: int = 9, slow: int = 12, signal: int = 26) -> Indicator:
+def macd_chart(fast: int = 9, slow: int = 12, signal: int = 26) -> Chain:
     return macd(fast, slow, signal, names=("macd_m", "macd_s", "macd_h"))
 
 

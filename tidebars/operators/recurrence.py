@@ -1,44 +1,36 @@
-"""Exponential moving averages as window expressions.
-
-``y[t] = (1-a) y[t-1] + a x[t]`` with ``a = 2 / (span + 1)`` and ``y[0] = x[0]``
-refers to its own output, which a window function cannot do.  Written out,
-``y[t] = q^t * sum(b[i] * q^-i)``: a running sum of scaled inputs.  Two facts
-make that usable on any length of series:
-
-* scaled by the row's place in a short segment, the powers stay far inside the
-  range of a double, and the earlier segments come in as one sum per segment;
-* what lies ``memory(span)`` rows back weighs less than 1e-20, under the
-  rounding of a double, so a block with that many rows before it is enough
-  (``LONGEST_STEP`` is further: what it cuts off weighs less than 1e-26).
-
-All averages of one depth share one sort of the block.
+"""Exponential moving averages, exact over gaps of any length.
+
+``y[t] = f y[t-1] + (1 - f) x[t]`` refers to its own output, which a window
+function cannot do.  Every row is an affine map of the average so far, the
+identity where there is no value, and the maps of many values in a row forget
+what came before: ``memory(span)`` values back an input weighs less than 1e-20,
+under the rounding of a double.  So a block of rows needs the last ``memory``
+*values* before it, not rows, and `tidebars.series.in_blocks` gives it these,
+however far back they lie.
+
+A `Chain` is a function over the columns of a block as arrays.  Any number of
+chains run in one pass, a block at a time, in Arrow batches: the recursion
+itself is that of pandas' ``ewm``.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidebars.series import (
-    BLOCK,
-    BLOCK_ROWS,
-    CHUNK,
-    CORE,
-    OFFSET,
-    SEGMENT,
-    SEGMENT_ROWS,
-    SERIES,
-    in_blocks,
-    with_carry,
-    with_chunk,
-    with_position,
-)
+from tidebars.series import BLOCK, BLOCK_ROWS, CORE, SERIES, in_blocks
 
 FORGOTTEN = 46.1  # -ln(1e-20)
-LONGEST_STEP = 60.0  # beyond this an old average has no weight left
-REACH = 300.0  # exp(2 * REACH) is still a double
+
+Arrays = dict[str, np.ndarray]
 
 
 def decay(span: float) -> float:
@@ -48,102 +40,102 @@ def decay(span: float) -> float:
 
 
 def memory(span: float) -> int:
-    """Rows after which an input no longer shows in a double."""
+    """Values after which an input no longer shows in a double."""
     return math.ceil(FORGOTTEN / -math.log(decay(span)))
 
 
-def ema_steps(name: str, x: Column, span: float, keys=SERIES) -> tuple[dict[str, Column], ...]:
-    """EMA of a column that may be null anywhere, on rows laid out by ``in_blocks``: four steps, the last adds ``name``.
+def ema(x: np.ndarray, span: float) -> np.ndarray:
+    """Average of values that may be missing (NaN) anywhere.
 
     A value ``g`` rows after the last one weighs the old average by ``q^g``:
-    ``y = (q^g y + a x) / (q^g + a)``; a null row repeats the average, leading
-    nulls stay null.  Without gaps the divisor is 1.  Its logarithm, summed along
-    the rows, is all that gaps add to the running sum of scaled inputs: an input
-    weighs ``q`` to the distance times the exponential of that sum's difference.
-
-    The averages are taken of the distance from the first value of the block, so
-    a flat price gives exactly itself.  A row in a gap longer than the look-back
-    sees no value and is null.
+    ``y = (q^g y + a x) / (q^g + a)``; a row without value repeats the average,
+    leading ones have none.  Equal values give exactly themselves.
     """
-    q = decay(span)
-    at, last_at = F.col(OFFSET), F.col(f"_at_{name}")
-    block = Window.partitionBy(*keys, BLOCK)
-    ordered = block.orderBy(SEGMENT, "pos")
-    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    here = Window.partitionBy(*keys, BLOCK, SEGMENT).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    present = x.isNotNull()
-    seen = {
-        f"_base_{name}": F.first(x, ignorenulls=True).over(upto),
-        f"_at_{name}": F.last(F.when(present, F.col("pos")), ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1)),
-    }
-    divisor = F.coalesce(F.pow(F.lit(q), F.col("pos") - last_at), F.lit(q)) + (1 - q)
-    gap = F.when(present & (F.col("pos") - last_at > 1), F.ln(divisor)).otherwise(0.0)
-    gaps = {f"_gap_{name}": F.sum(gap).over(here), f"_own_{name}": gap}
-    slip = F.col(f"_gap_{name}")
-    fed = F.when(present, (x - F.col(f"_base_{name}")) * (1 - q) / divisor)
-    grow = F.pow(F.lit(q), at)
-    total = F.sum(fed / grow * F.exp(slip)).over(here) * grow * F.exp(-slip)
-    to_end = F.sum(fed * F.pow(F.lit(q), F.lit(SEGMENT_ROWS - 1) - at) * F.exp(slip))
-    slipped = F.sum(F.col(f"_own_{name}"))
-    for back in range(1, math.ceil(memory(span) / SEGMENT_ROWS) + 1):
-        # The sum of an earlier segment, faded over its own gaps, those of the segments between, and this one's.
-        segment_sum = to_end.over(block.orderBy(SEGMENT).rangeBetween(-back, -back))
-        between = slipped.over(block.orderBy(SEGMENT).rangeBetween(-back, -1))
-        reach = F.pow(F.lit(q), at + 1 + (back - 1) * SEGMENT_ROWS) * F.exp(-between - slip)
-        total = total + F.coalesce(segment_sum * reach, F.lit(0.0))
-    value = {f"_y_{name}": F.when(present, F.col(f"_base_{name}") + total)}
-    return seen, gaps, value, {name: F.last(f"_y_{name}", ignorenulls=True).over(upto)}
+    return pd.Series(x).ewm(span=span, adjust=False).mean().to_numpy()
 
 
-def ema_with_gaps(
-    df: DataFrame, column: str, span: float, name: str, keys=SERIES, rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """EMA of a column that may be null anywhere.
+def trailing_mean(x: np.ndarray, rows: int) -> np.ndarray:
+    """Mean of what the last ``rows`` rows hold."""
+    return pd.Series(x).rolling(rows, min_periods=1).mean().to_numpy()
 
-    A value ``g`` rows after the last one weighs the old average by ``q^g``:
-    ``y = (q^g y + a x) / (q^g + a)``; a null row repeats the average, leading
-    nulls stay null.  Only rows with a value enter the blocks, so the look-back
-    counts values.
-
-    The old average keeps the share ``f = q^g / (q^g + a)``, which differs from
-    row to row.  The sum of ``-ln f`` takes the place of the row number: an
-    input fades with its distance on that scale, which is cut every ``REACH``.
-    One cut back is far enough, as ``REACH`` is many times ``FORGOTTEN``.
+
+@dataclass(frozen=True)
+class Chain:
+    """Averages of averages: ``run`` maps input columns to outputs, row by row of a block.
+
+    ``memory`` is the sum of the memories along the chain, in rows and in
+    ``values``, the conditions that a row has an input.  ``prepare`` are
+    columns over the row before, which have to be there before values are
+    counted.  Outputs are doubles unless named in ``integers``.
+    """
+
+    outputs: tuple[str, ...]
+    inputs: tuple[str, ...]
+    run: Callable[[Arrays], Arrays]
+    memory: int
+    values: dict[str, Column]
+    prepare: dict[str, Column] = field(default_factory=dict)
+    integers: tuple[str, ...] = ()
+
+
+def needed_values(chains: Sequence[Chain]) -> dict[str, tuple[Column, int]]:
+    """Conditions and numbers of values that a block has to see for all chains."""
+    needed: dict[str, tuple[Column, int]] = {}
+    for chain in chains:
+        for name, present in chain.values.items():
+            needed[name] = (present, max(chain.memory, needed.get(name, (present, 0))[1]))
+    return needed
+
+
+def run_chains(laid: DataFrame, chains: Sequence[Chain], kept: Sequence[str], keys: Sequence[str] = SERIES) -> DataFrame:
+    """The ``kept`` columns of the rows that a block owns, and the outputs of the chains.
+
+    ``laid`` comes from `in_blocks`.  A block is at most its rows and what it
+    looks back on; a stretch of rows that were left out of it, being empty,
+    counts as at most as many rows as any chain remembers.
     """
-    q = decay(span)
-    numbered = with_position(df, keys, rows=rows)
-    slim = numbered.filter(F.col(column).isNotNull()).select(
-        *keys, "ts", F.col("pos").alias("_row"), F.col(column).cast("double").alias("_x")
-    )
-    block = Window.partitionBy(*keys, BLOCK).orderBy(SEGMENT, "pos")
-    laid = in_blocks(with_position(slim, keys, rows=rows), memory(span), keys, rows).withColumns(
-        {
-            "_gap": F.col("_row") - F.lag("_row").over(block),
-            "_base": F.first("_x").over(block.rowsBetween(Window.unboundedPreceding, 0)),
-        }
-    )
-    old = F.pow(F.lit(q), F.col("_gap"))
-    faded = F.least(F.ln(old + (1 - q)) - F.col("_gap") * math.log(q), F.lit(LONGEST_STEP))
-    share = F.coalesce((1 - q) / (old + (1 - q)), F.lit(1.0))
-    upto = block.rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        laid.withColumn("_step", F.coalesce(faded, F.lit(0.0)))
-        .withColumn("_depth", F.sum("_step").over(upto))
-        .withColumn("_cut", F.floor(F.col("_depth") / REACH).cast("int"))
-        .withColumn("_weight", F.exp(F.col("_depth") - F.col("_cut") * REACH))
-        .withColumn("_fed", (F.col("_x") - F.col("_base")) * share * F.col("_weight"))
-    )
-    within = Window.partitionBy(*keys, BLOCK, "_cut").orderBy("pos")
-    here = F.sum("_fed").over(within.rowsBetween(Window.unboundedPreceding, 0))
-    cut_before = Window.partitionBy(*keys, BLOCK).orderBy("_cut").rangeBetween(-1, -1)
-    total = here + F.coalesce(F.sum("_fed").over(cut_before), F.lit(0.0)) * math.exp(-REACH)
-    averaged = placed.withColumn("_y", F.col("_base") + total / F.col("_weight"))
-    known = averaged.filter(CORE).select(*keys, "ts", "_y")
-    joined = with_chunk(df.join(known, [*keys, "ts"], "left"), rows)
-    latest = F.max_by("_y", F.when(F.col("_y").isNotNull(), F.col("ts")))
-    carried = with_carry(
-        joined, {"_last": latest}, earlier={"_last": lambda c: F.last(c, ignorenulls=True)}, keys=keys
-    )
-    local = Window.partitionBy(*keys, CHUNK).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    filled = F.coalesce(F.last("_y", ignorenulls=True).over(local), F.col("_last_before"))
-    return carried.withColumn(name, filled).drop("_y", "_last_before", CHUNK)
+    inputs = list(dict.fromkeys(name for c in chains for name in c.inputs))
+    integers = {name for c in chains for name in c.integers}
+    outputs = list(dict.fromkeys(name for c in chains for name in c.outputs))
+    longest = max(c.memory for c in chains)
+    runs = [c.run for c in chains]
+    carried = list(dict.fromkeys([*kept, *inputs, *keys, "pos", BLOCK, CORE]))
+    kept = list(kept)
+
+    def block(table: pa.Table) -> pa.Table:
+        pos = table["pos"].to_numpy()
+        order = np.argsort(pos, kind="stable")
+        place = np.r_[0, np.cumsum(np.minimum(np.diff(pos[order]), longest))]
+        columns = {}
+        for name in inputs:
+            columns[name] = np.full(int(place[-1]) + 1, np.nan)
+            columns[name][place] = table[name].cast(pa.float64()).to_numpy(zero_copy_only=False)[order]
+        found: Arrays = {}
+        for run in runs:
+            found |= run(columns)
+        core = table[CORE].to_numpy(zero_copy_only=False)[order]
+        own = table.select(kept).take(pa.array(order[core]))
+        for name in outputs:
+            values = pa.array(found[name][place][core], from_pandas=True)
+            own = own.append_column(name, values.cast(pa.int32()) if name in integers else values)
+        return own
+
+    fields = [laid.schema[c] for c in kept]
+    fields += [T.StructField(name, T.IntegerType() if name in integers else T.DoubleType()) for name in outputs]
+    return laid.select(*carried).groupBy(*keys, BLOCK).applyInArrow(block, T.StructType(fields))
+
+
+def average(column: str, span: float, name: str) -> Chain:
+    def run(c: Arrays) -> Arrays:
+        return {name: ema(c[column], span)}
+
+    return Chain((name,), (column,), run, memory(span), {column: F.col(column).isNotNull()})
+
+
+def ema_with_gaps(
+    df: DataFrame, column: str, span: float, name: str, keys: Sequence[str] = SERIES, rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """EMA of a column that may be null anywhere, as ``name``."""
+    chain = average(column, span, name)
+    laid = in_blocks(df, chain.memory, keys, rows, needed_values([chain]))
+    return run_chains(laid, [chain], [c for c in df.columns if c != name], keys)

@@ -38,7 +38,7 @@ def process_bars(bars: DataFrame, keep: int | None = 20, base: str | None = None
     return align_timeframes(staged(cleaned, "cleaned"), base, CLEANED) if base else cleaned
 
 
-def feature_indicators(ma_periods=(3, 5, 10, 20), macd=(5, 10, 5)) -> list[ind.Indicator]:
+def feature_indicators(ma_periods=(3, 5, 10, 20), macd=(5, 10, 5)) -> list[ind.Indicator | ind.Chain]:
     return [
         *[ind.sma(p) for p in ma_periods],
         ind.macd(*macd),
@@ -71,9 +71,8 @@ def engineer_features(
     Scaling sees the whole series.  Each stage that reads its input twice
     starts from a written table.
     """
-    numbered = staged(with_position(bars), "bars")
-    computed = ind.with_indicators(numbered, *feature_indicators(**parameters))
-    indicators = staged(computed.drop("pos", "n", "true_range"), "indicators")
+    computed = ind.with_indicators(bars, *feature_indicators(**parameters))
+    indicators = staged(computed.drop("true_range"), "indicators")
     complete = staged(ind.with_obv(indicators).drop("signed_volume"), "complete")
     filled = staged(handle_nan_inf(complete, numeric_columns(complete)), "features")
     features = minmax_normalize(filled) if normalize else filled

@@ -9,9 +9,11 @@ task.  Three building blocks do all the work:
     chunks; chunk sizes, one row per chunk, give each chunk its offset.
 
 ``in_blocks``
-    cuts a numbered series into blocks of ``rows`` consecutive rows, each with
+    cuts a series into blocks of about ``rows`` consecutive rows, each with
     the ``lookback`` rows before it.  A trailing window of at most
-    ``lookback`` rows computed inside a block is then exact.
+    ``lookback`` rows computed inside a block is then exact.  What remembers
+    values rather than rows also gets the last values it needs, however many
+    empty rows lie between.
 
 ``with_carry``
     joins to each chunk a value computed from the chunks before (or after) it,
@@ -35,9 +37,8 @@ from tidebars.timeframes import MINUTES
 
 SERIES = ("symbol", "timeframe")
 BLOCK_ROWS = 32_768
-SEGMENT_ROWS = 512
 
-CHUNK, BLOCK, SEGMENT, OFFSET, CORE = "_chunk", "_block", "_segment", "_offset", "_core"
+CHUNK, BLOCK, CORE = "_chunk", "_block", "_core"
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -100,30 +101,85 @@ def position_columns(df: DataFrame) -> list[str]:
     return [c for c in ("pos", "n") if c in df.columns]
 
 
+def _reach(table: DataFrame, memory: dict[str, int], keys: Sequence[str]) -> DataFrame:
+    """The last chunk that needs rows of each chunk, one column a kind of value.
+
+    ``table`` numbers the chunks of a series (``_own``) and counts the values of
+    each kind in them.  A chunk needs one before it if the chunks between hold
+    fewer than ``memory`` values.
+    """
+    series = Window.partitionBy(*keys)
+    upto = series.orderBy("_own").rowsBetween(Window.unboundedPreceding, 0)
+    summed = table.withColumns({f"_upto_{k}": F.sum(f"_count_{k}").over(upto) for k in memory})
+    last = F.max("_own").over(series)
+    far = {
+        f"_far_{k}": F.least(F.max("_own").over(series.orderBy(f"_upto_{k}").rangeBetween(0, m - 1)) + 1, last)
+        for k, m in memory.items()
+    }
+    return summed.withColumns(far).drop(*[f"_upto_{k}" for k in memory])
+
+
 def in_blocks(
-    df: DataFrame, lookback: int, keys: Sequence[str] = SERIES, rows: int = BLOCK_ROWS
+    df: DataFrame,
+    lookback: int,
+    keys: Sequence[str] = SERIES,
+    rows: int = BLOCK_ROWS,
+    values: dict[str, tuple[Column, int]] | None = None,
 ) -> DataFrame:
-    """Copy each numbered row into its own block and the ones that look back on it."""
-    own = F.expr(f"pos div {rows}")
-    last = F.least(F.expr(f"(pos + {lookback}) div {rows}"), F.expr(f"(n - 1) div {rows}"))
-    at = f"(pos - {BLOCK} * {rows} + {lookback})"
-    # The helper columns are made after the shuffle, which carries the block only.
-    return (
-        df.withColumn(BLOCK, F.explode(F.sequence(own, last)))
-        .repartition(*keys, BLOCK)
-        .withColumns(
+    """Copy each row into its own block and the ones that look back on it.
+
+    Blocks of a numbered table are ``rows`` positions, those of any other its
+    time chunks, which are numbered on the way.  ``values`` maps a kind of value
+    to the condition that a row has it and to the number of them that a block
+    has to see: rows with such a value are copied as far as the chunks after
+    theirs hold too few.  How far is told by the table of chunk sizes, which
+    counts the values too; nothing else is read for it.
+    """
+    numbered = "pos" in df.columns and "n" in df.columns
+    has = {k: present for k, (present, _) in (values or {}).items()}
+    memory = {k: m for k, (_, m) in (values or {}).items()}
+    counts = [F.count(F.when(c, 1)).alias(f"_count_{k}") for k, c in has.items()]
+    if numbered:
+        own = F.expr(f"pos div {rows}")
+        last = F.least(F.expr(f"(pos + {lookback}) div {rows}"), F.expr(f"(n - 1) div {rows}"))
+        placed, after = df, F.least((own + 1) * rows, F.col("n")) - 1 - F.col("pos")
+        if has:
+            sizes = df.groupBy(*keys, own.alias("_own")).agg(F.count(F.lit(1)).alias("_size"), *counts)
+            table = _reach(sizes, memory, keys)
+            # A chunk whose rows all have values needs no more than the rows before it.
+            sparse = [(F.col(f"_count_{k}") < F.col("_size")) | (F.col(f"_far_{k}") > F.col("_own") + 1) for k in has]
+            sparse_only = table.filter(reduce(lambda a, b: a | b, sparse))
+            placed = join_keys(df.withColumn("_own", own), sparse_only, [*keys, "_own"], "left")
+    else:
+        chunked = with_chunk(df, rows)
+        series = Window.partitionBy(*keys)
+        in_order = series.orderBy(CHUNK)
+        sizes = chunked.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_size"), *counts)
+        ordered = sizes.withColumns(
             {
-                CORE: F.col(BLOCK) == own,
-                SEGMENT: F.expr(f"cast({at} div {SEGMENT_ROWS} as int)"),
-                OFFSET: F.expr(f"cast({at} % {SEGMENT_ROWS} as int)"),
+                "_own": F.row_number().over(in_order).cast("bigint") - 1,
+                "_end": F.sum("_size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)),
+                "n": F.sum("_size").over(series),
+                "_count_row": F.col("_size"),
             }
         )
-        .sortWithinPartitions(*keys, BLOCK, SEGMENT, "pos")
-    )
+        table = _reach(ordered, memory | ({"row": lookback} if lookback else {}), keys)
+        rank = F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy("ts"))
+        placed = join_keys(chunked.withColumn("_rank", rank), table, [*keys, CHUNK])
+        placed = placed.withColumn("pos", F.col("_end") - F.col("_size") + F.col("_rank") - 1)
+        own, after = F.col("_own"), F.col("_size") - F.col("_rank")
+        last = F.when(after < lookback, F.col("_far_row")).otherwise(own) if lookback else own
+    for k, present in has.items():
+        # So many rows from the end hold the values asked for, whichever of them are empty.
+        near = after < F.col("_size") - F.col(f"_count_{k}") + memory[k]
+        last = F.greatest(last, F.when(present & near, F.col(f"_far_{k}")))
+    spread = placed.withColumn(BLOCK, F.explode(F.sequence(own, last))).withColumn(CORE, F.col(BLOCK) == own)
+    kept = list(dict.fromkeys([*df.columns, "pos", "n", BLOCK, CORE]))
+    return spread.select(*kept).repartition(*keys, BLOCK).sortWithinPartitions(*keys, BLOCK, "pos")
 
 
 def block_window(keys: Sequence[str] = SERIES):
-    return Window.partitionBy(*keys, BLOCK).orderBy(SEGMENT, "pos")
+    return Window.partitionBy(*keys, BLOCK).orderBy("pos")
 
 
 def trailing(rows: int, keys: Sequence[str] = SERIES):
