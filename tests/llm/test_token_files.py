@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -22,7 +23,7 @@ def library():
 
 def odd_texts(n=3000):
     rng = random.Random(5)
-    bits = ["a", "Word", " ", "  ", "\n", "\n\n", "\t", "'s", "'", "''", "don't", "é", "中文", " ", "　", " ", "\x85", "123", "4", ".", "...", ",", "!", "-", "\x00", "\x1c", "😀", "_", "x'll", "<|endoftext|>", "\r\n", "ß", "\x0b"]
+    bits = ["Äpfel", "×", "÷", "ñandú", "ȿ", "ɀ", "Ω", "a", "Word", " ", "  ", "\n", "\n\n", "\t", "'s", "'", "''", "don't", "é", "中文", " ", "　", " ", "\x85", "123", "4", ".", "...", ",", "!", "-", "\x00", "\x1c", "😀", "_", "x'll", "<|endoftext|>", "\r\n", "ß", "\x0b"]
     return ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(n)]
 
 
@@ -38,12 +39,19 @@ def test_ids_equal_the_library(path):
 
 
 def test_known_pieces_are_bounded(monkeypatch):
-    monkeypatch.setattr(token_files, "KNOWN_BYTES", 500)
-    table = token_files.Known()
+    monkeypatch.setattr(token_files, "KNOWN_PIECES", 5)
+    table, asked = token_files.Known(), []
+
+    def encode(new):
+        asked.extend(new.to_pylist())
+        return np.array([x for p in new.to_pylist() for x in [7] * len(p)], np.uint32), np.array([len(p) for p in new.to_pylist()])
+
     for i in range(50):
-        begin, end, ids = table.look_up([f"a{i}", f"b{i}"], lambda new: [[len(x), 7] for x in new])
-        assert [ids[b:e].tolist() for b, e in zip(begin, end, strict=True)] == [[len(f"a{i}"), 7], [len(f"b{i}"), 7]]
-        assert len(table.numbers) < 10
+        pieces = [f"a{i}", "b", f"c{i}"]
+        begin, end, ids = table.look_up(pa.array(pieces), encode)
+        assert [ids[b:e].tolist() for b, e in zip(begin, end, strict=True)] == [[7] * len(p) for p in pieces]
+        assert len(table.pieces) < 10
+    assert asked.count("b") < 30
 
 
 @pytest.mark.parametrize("sizes", [[1], [5, 16, 17, 1], [16_384, 100, 40_000, 1], [300_000], [1] * 50])

@@ -27,7 +27,10 @@ words (32).
 
 from __future__ import annotations
 
+import itertools
 import json
+import os
+import re
 import struct
 import sys
 import types
@@ -37,19 +40,22 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebars.llm import words as W
+from tidebars.llm.staging import staged
 
 END_ID = 2
 PRECISION = 20  # bits of a frequency; a table has at most this power of two of symbols
 LOW = 1 << 31  # a state is at least this between two steps
 LANES, LANE_STEPS, CHECKPOINT_STEPS = 16, 1024, 512
-BLOCK_IDS, FILE_IDS = 1 << 14, 1 << 22
+BLOCK_IDS, FILE_IDS = 1 << 14, 1 << 21
 SLICE_BYTES = 8 << 20
-KNOWN_BYTES = 64 << 20
+KNOWN_PIECES = 2_000_000
+SENT_PARTS = 100_000
 
 MAGIC = b"TIDF"
 #: CRC-32 of the rest of the block, bytes of the body, file's part, ids of the part before, documents, ids, lanes, steps, checkpoints, words, CRC-32 of the ids.
@@ -60,22 +66,30 @@ U = np.uint64
 
 # --- ids of texts ----------------------------------------------------------
 def safe_cuts(data: np.ndarray, offsets: np.ndarray, whole: list[bytes] | None) -> np.ndarray:
-    """Places at which a byte-level pre-tokenizer cuts whatever stands around: row borders, white space after a visible
-    ASCII character, and ASCII punctuation but the apostrophe after an ASCII letter, but nothing inside the strings ``whole``.
+    """Places at which a byte-level pre-tokenizer cuts whatever stands around, but none inside the strings ``whole``.
 
-    White space goes with what follows it, so a piece is tokenised alone as it is in its text.  Without ``whole``, rows stay whole.
+    These are row borders; white space after a visible character; ASCII punctuation but the apostrophe after a
+    letter; and a visible character after a single white space that is no space.  White space goes with what follows
+    it, so a piece is tokenised alone as it is in its text.  Visible is ASCII, letters are ASCII or Latin (U+00C0 to
+    U+023F but the two signs among them).  Without ``whole``, rows stay whole.
     """
     if whole is None:
         return np.unique(offsets)
-    space, visible, letter, mark = (np.zeros(256, bool) for _ in range(4))
+    space, visible, letter, mark, lead = (np.zeros(256, bool) for _ in range(5))
     space[[0x20, *range(0x09, 0x0E)]] = True
     visible[0x21:0x7F] = True
     letter[0x41:0x5B] = letter[0x61:0x7B] = True
     mark[0x21:0x30] = mark[0x3A:0x41] = mark[0x5B:0x61] = mark[0x7B:0x7F] = True
     mark[0x27] = False
+    lead[0xC3:0xC9] = True
     cut = np.zeros(len(data) + 1, bool)
     if len(data):
-        cut[1:-1] = (space[data[1:]] & visible[data[:-1]]) | (mark[data[1:]] & letter[data[:-1]])
+        ends_letter = letter[data]
+        ends_letter[1:] |= lead[data[:-1]] & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+        ends_visible = ends_letter | visible[data]
+        cut[1:-1] = (space[data[1:]] & ends_visible[:-1]) | (mark[data[1:]] & ends_letter[:-1])
+        single = space[data[1:-1]] & (data[1:-1] != 0x20) & ends_visible[:-2]
+        cut[2:-1] |= single & (visible | lead)[data[2:]]
     text = data.tobytes() if whole else b""
     for string in whole:
         at = text.find(string)
@@ -87,33 +101,25 @@ def safe_cuts(data: np.ndarray, offsets: np.ndarray, whole: list[bytes] | None)
 
 
 class Known:
-    """Ids of pieces met before, for as long as the worker lives; forgotten when they take more than `KNOWN_BYTES`."""
+    """Ids of pieces met before, for as long as the worker lives; forgotten when there are more than `KNOWN_PIECES`."""
 
     def __init__(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.ids, self.offsets, self.size = np.zeros(1 << 16, np.uint32), [0], 0
+        self.pieces = pa.array([], pa.string())
+        self.ids, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def look_up(self, pieces: list[str], encode: Callable[[list[str]], list[list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Begin and end of each piece's ids in the third array."""
-        if self.size > KNOWN_BYTES:
+    def look_up(self, pieces: pa.StringArray, encode: Callable[[pa.StringArray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and end of each piece's ids in the third array; the pieces differ."""
+        if len(self.pieces) > KNOWN_PIECES:
             self.__init__()
-        numbers = self.numbers
-        new = [p for p in pieces if p not in numbers]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            found = encode(part)
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32)
-            end = self.offsets[-1] + len(flat)
-            if end > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(end, len(self.ids)), np.uint32)])
-            self.ids[self.offsets[-1] : end] = flat
-            for piece, ids in zip(part, found, strict=True):
-                numbers[piece] = len(self.offsets) - 1
-                self.offsets.append(self.offsets[-1] + len(ids))
-                self.size += 100 + len(piece) + 4 * len(ids)
-        which = np.fromiter((numbers[p] for p in pieces), np.int64, len(pieces))
-        offsets = np.array(self.offsets)
-        return offsets[which], offsets[which + 1], self.ids
+        found = pc.index_in(pieces, value_set=self.pieces)
+        new = pieces.filter(found.is_null())
+        which = found.fill_null(0).to_numpy().astype(np.int64)
+        if len(new):
+            which[found.is_null().to_numpy(zero_copy_only=False)] = len(self.pieces) + np.arange(len(new))
+            ids, sizes = encode(new)
+            self.pieces = pa.concat_arrays([self.pieces, new])
+            self.ids, self.offsets = np.concatenate([self.ids, ids]), np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
+        return self.offsets[which], self.offsets[which + 1], self.ids
 
 
 def known(name: str) -> Known:
@@ -129,25 +135,56 @@ def spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class Encoder(NamedTuple):
-    """Ids of texts, and the strings that `safe_cuts` mustn't cut; None if texts have to be tokenised whole."""
+    """Ids of texts on end and their numbers, and the strings that `safe_cuts` mustn't cut; None if texts have to be tokenised whole."""
 
-    encode: Callable[[list[str]], list[list[int]]]
+    encode: Callable[[pa.StringArray], tuple[np.ndarray, np.ndarray]]
     whole: list[bytes] | None
 
 
+#: Pieces that are a single word of a byte-level pre-tokenizer.
+ONE_WORD = r"^ ?([A-Za-zÀ-ÖØ-öø-ȿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)$"
+
+
+def byte_letters() -> dict[int, int]:
+    """The character that stands for each byte: itself if it is printed, else the next one from U+0100 on."""
+    printed = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printed]
+    return {b: b for b in printed} | {b: 256 + i for i, b in enumerate(others)}
+
+
 def library_encoder(path: str) -> Encoder:
-    """Encoder of a file of the ``tokenizers`` library, without added special tokens; used inside tasks."""
+    """Encoder of a file of the ``tokenizers`` library, without added special tokens; used inside tasks.
+
+    With a byte-level tokenizer, pieces that are one word go to the library's model at once.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     made = json.loads(tokenizer.to_str())
     split, added = made["pre_tokenizer"] or {}, made["added_tokens"]
     plain = made["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
-    plain = plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+    plain = plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.match(ONE_WORD, t["content"]) for t in added)
+    model, letters = tokenizer.model, byte_letters()
 
-    def encode(texts: list[str]) -> list[list[int]]:
+    def whole(texts: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(texts: list[str]) -> list[list[int]]:
+        return [[t.id for t in model.tokenize(text.encode().decode("latin-1").translate(letters))] for text in texts]
+
+    def encode(pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        one = pc.match_substring_regex(pieces, ONE_WORD) if plain else pa.array(np.zeros(len(pieces), bool))
+        simple, other = pieces.filter(one), pieces.filter(pc.invert(one))
+        found = [ids for way, part in ((words, simple), (whole, other)) for at in range(0, len(part), 10_000) for ids in way(part[at : at + 10_000].to_pylist())]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        # Back into the order of the pieces.
+        place = np.argsort(~one.to_numpy(zero_copy_only=False), kind="stable")
+        at, ends = np.empty_like(place), np.cumsum(sizes)
+        at[place] = np.arange(len(place))
+        return ids[spread((ends - sizes)[at], ends[at])], sizes[at]
+
     return Encoder(encode, [t["content"].encode() for t in added] if plain else None)
 
 
@@ -156,15 +193,19 @@ def ids_of_texts(data: np.ndarray, offsets: np.ndarray, encoder: Encoder, table:
     cuts = safe_cuts(data, offsets, encoder.whole)
     pieces = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
     coded = pieces.dictionary_encode()
-    begin, end, ids = table.look_up(coded.dictionary.to_pylist(), encoder.encode)
+    begin, end, ids = table.look_up(coded.dictionary, encoder.encode)
     codes = coded.indices.to_numpy()
-    begin, end = begin[codes], end[codes]
-    found = ids[spread(begin, end)]
-    before = np.r_[0, np.cumsum(end - begin)]
+    before = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum((end - begin)[codes], out=before[1:])
+    found = ids[np.repeat(begin[codes] - before[:-1], np.diff(before)) + np.arange(before[-1])]
     at = before[np.searchsorted(cuts, offsets)]
     if end_id is None:
         return found, at
-    return np.insert(found, at[1:], end_id), at + np.arange(len(at))
+    closed = np.full(len(found) + len(at) - 1, end_id, np.uint32)
+    inside = np.ones(len(closed), bool)
+    inside[at[1:] + np.arange(len(at) - 1)] = False
+    closed[inside] = found
+    return closed, at + np.arange(len(at))
 
 
 # --- the code --------------------------------------------------------------
@@ -222,8 +263,8 @@ def encode_blocks(ids: np.ndarray, bounds: np.ndarray, table: Table, precision:
     lanes, steps = (np.array([shapes[b][i] for b in order]) for i in (0, 1))
     room = lanes * steps
     first = np.cumsum(room) - room
-    padded = np.full(room.sum(), np.argmax(table.frequency), np.int64)
-    codes = np.searchsorted(table.symbols, ids)
+    padded = np.full(room.sum(), np.argmax(table.frequency), np.int32)
+    codes = np.searchsorted(table.symbols, ids).astype(np.int32)
     for b, at in zip(order, first, strict=True):
         padded[at : at + sizes[b]] = codes[bounds[b] : bounds[b + 1]]
     block = np.repeat(np.arange(len(order)), lanes)
@@ -450,7 +491,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     yield W.record_batch(schema, [pa.array(s.keys, mask=s.nulls.astype(bool)), np.full(len(s.keys), s.part), s.before + at[:-1], data])
 
     found = _contents(spark, path).mapInArrow(run, "key bigint, part bigint, before bigint, ids binary")
-    return found.join(part_starts(spark, path), "part").select("key", (F.col("part_start") + F.col("before")).alias("start"), "ids")
+    starts = staged(part_starts(spark, path), "token-parts")
+    # The ids stay where they are decoded, unless there are too many parts to send along.
+    starts = F.broadcast(starts) if starts.count() <= SENT_PARTS else starts
+    return found.join(starts, "part").select("key", (F.col("part_start") + F.col("before")).alias("start"), "ids")
 
 
 def checksum(ids: Column) -> Column:
