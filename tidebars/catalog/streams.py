@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebars.catalog.inputs import W, query, rounded, table
+from tidebars.catalog.windows import ACCURACY, EPS, recursive_emas, roll
 from tidebars.functions import columns as fn
 from tidebars.operators import indicators as ind
 from tidebars.operators import signals as sg
 from tidebars.operators import text
 from tidebars.plans import analysis
 from tidebars.series import new_path
-from tidebars.streaming import live
+from tidebars.streaming import cycle, live
 
 
 def numbered_lines(spark, sf):
@@ -169,3 +170,86 @@ def first_breaches(spark, sf):
     found = live.run_to_table(live.first_breaches(ticks), "breaches")
     zone_free = {c: F.col(c).cast("timestamp_ntz") for c in ("day", "ts")}
     return rounded(found.withColumns(zone_free), 6, "value")
+
+
+# --- the live cycle --------------------------------------------------------
+def event_batches(spark, sf, slot, batches):
+    """The events as a stream of one file a batch; ``slot`` says which batch an event comes in."""
+    events, path = table(spark, sf, "events").withColumn("_slot", slot), new_path(spark, "event-batches")
+    for i in range(batches):
+        events.filter(F.col("_slot") == i).drop("_slot").coalesce(1).write.parquet(f"{path}/batch={i}")
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def by_day(moment, days, batches):
+    """Batches of ``days`` days of January, the rest in the last."""
+    return F.least(F.floor((F.dayofmonth(moment) - 1) / days), F.lit(batches - 1))
+
+
+CYCLE_SQL = (
+    recursive_emas(TICK_BARS, "closed", ["macd_signal", "diff", "dea", "up2", "size2"])
+    + ACCURACY
+    + f""",
+a AS (SELECT symbol, timeframe, ts, avg(correct_signal) OVER {roll(20)} AS accuracy FROM h),
+known AS (
+  SELECT b.symbol, b.timeframe, b.ts, accuracy, up2 / CASE WHEN size2 = 0 THEN {EPS} ELSE size2 END AS p0,
+         avg(greatest(coalesce(change, 0), 0)) OVER w14 AS gain, avg(greatest(coalesce(-change, 0), 0)) OVER w14 AS loss,
+         avg(close) OVER w5 AS ma_5, avg(close) OVER w20 AS ma_20, close / nullif(close - change, 0) - 1 AS ret,
+         avg(greatest(high - low, abs(high - (close - change)), abs(low - (close - change)))) OVER w14 AS atr
+  FROM b JOIN e USING (symbol, timeframe, r) JOIN a ON a.symbol = b.symbol AND a.timeframe = b.timeframe AND a.ts = b.ts
+  WINDOW w5 AS (PARTITION BY b.symbol, b.timeframe ORDER BY b.ts ROWS 4 PRECEDING),
+         w14 AS (PARTITION BY b.symbol, b.timeframe ORDER BY b.ts ROWS 13 PRECEDING),
+         w20 AS (PARTITION BY b.symbol, b.timeframe ORDER BY b.ts ROWS 19 PRECEDING)),
+rated AS (
+  SELECT *, 1 - 1 / (1 + gain / CASE WHEN loss = 0 THEN {EPS} ELSE loss END) AS p1, (ma_5 - ma_20) / ma_20 AS trend,
+         stddev_samp(ret) OVER {roll(20)} * sqrt(252) AS vol FROM known),
+risky AS (SELECT *, coalesce(vol / max(vol) OVER ({W}), 0) AS risk FROM rated)
+SELECT symbol, timeframe, ts, round(p0 * (1 - risk), 6) AS signal_strength, round(least(abs(p0), 1), 6) AS position_size,
+       round((CASE WHEN p1 > 0.7 AND trend > 0.05 THEN 2.0 WHEN p1 > 0.5 AND p1 <= 0.7 AND trend > 0.03 THEN 1.0
+                   WHEN p1 > 0.3 AND p1 <= 0.5 AND trend > 0.01 THEN 0.5 ELSE 0.0 END) * (1 + risk), 6) AS entry_level,
+       round(1.5 * atr * (1 - risk), 6) AS stop_loss,
+       round(1 / (1 + exp(-(p0 * (1 + accuracy) * (1 + trend) * vol))), 6) AS dynamic_weight
+FROM risky"""
+)
+
+
+@query("live_cycle", CYCLE_SQL)
+def live_cycle(spark, sf):
+    """Six batches of events: bars, features with carried averages, signals, risk, trades in an upsert store."""
+    stream = event_batches(spark, sf, by_day(F.col("ts"), 5, 6), 6)
+    bars = live.stream_bars(live.ticks(stream, "event_type", "value"), 15, closing="closes")
+    strength = F.col("tsi") / 100
+    scores = {
+        "p0": strength, "p1": F.col("rsi") / 100, "p2": F.lit(1.5),
+        "dynamic_weight": fn.dynamic_weight(strength, F.col("accuracy"), F.col("trend_strength"), F.col("volatility_p")),
+    }
+    trades = cycle.live_trades(bars, scores)
+    store = cycle.trade_store(spark, new_path(spark, "trades"), trades)
+    cycle.run_cycle(trades, store, new_path(spark, "checkpoint")).awaitTermination()
+    return rounded(store.read(), 6, *cycle.TRADE[3:])
+
+
+@query(
+    "breaches_in_order",
+    """WITH known AS (SELECT * FROM events WHERE date_trunc('milliseconds', ts) <=
+        (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)),
+    r AS (SELECT event_type AS symbol, ts::DATE::TIMESTAMP AS day, ts,
+      sum((100 - value) / 1e4) OVER (PARTITION BY event_type, ts::DATE ORDER BY ts) AS total,
+      value / first_value(value) OVER (PARTITION BY event_type, ts::DATE ORDER BY ts) - 1 AS move FROM known)
+    SELECT symbol, day, 'stop' AS kind, min(ts) AS ts, round(arg_min(total, ts), 6) AS value FROM r WHERE -total >= 0.02 GROUP BY 1, 2
+    UNION ALL
+    SELECT symbol, day, 'pause', min(ts), round(arg_min(move, ts), 6) FROM r WHERE abs(move) > 0.1 GROUP BY 1, 2""",
+)
+def breaches_in_order(spark, sf):
+    """Events up to eight minutes late, in eight batches."""
+    arrival = F.col("ts") + F.make_dt_interval(mins=F.pmod(F.xxhash64("event_id"), F.lit(9)).cast("int"))
+    hour = (F.dayofmonth(arrival) - 1) * 24 + F.hour(arrival)
+    slot = F.when(F.month(arrival) > 1, 7).otherwise(F.least(F.floor(hour / 90), F.lit(7)))
+    ticks = event_batches(spark, sf, slot, 8).select(
+        F.col("event_type").alias("symbol"), "ts", ((100 - F.col("value")) / 1e4).alias("pnl"), F.col("value").alias("price")
+    )
+    with cycle.keyed_state(spark):
+        found = live.run_to_table(live.breaches_in_order(ticks), "breaches")
+    zone_free = {c: F.col(c).cast("timestamp_ntz") for c in ("day", "ts")}
+    return rounded(found.withColumns(zone_free), 6, "value")

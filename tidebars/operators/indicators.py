@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebars.operators.recurrence import Arrays, Chain, average, ema, memory, needed_values, run_chains, trailing_mean
+from tidebars.operators.recurrence import Arrays, Chain, Whole, average, memory, needed_values, run_chains
 from tidebars.series import (
     BLOCK,
     BLOCK_ROWS,
@@ -141,9 +141,9 @@ def _no_zero(x: np.ndarray) -> np.ndarray:
 def _crossing(fast: int, slow: int, signal: int, line: str, trend: str, bar: str, factor: int = 1) -> Chain:
     """Difference of two averages, its own average, and a multiple of their difference."""
 
-    def run(c: Arrays) -> Arrays:
-        between = ema(c["close"], fast) - ema(c["close"], slow)
-        smooth = ema(between, signal)
+    def run(c: Arrays, t: Whole) -> Arrays:
+        between = t.ema(c["close"], fast) - t.ema(c["close"], slow)
+        smooth = t.ema(between, signal)
         return {line: between, trend: smooth, bar: (between - smooth) * factor}
 
     reach = memory(max(fast, slow)) + memory(signal)
@@ -185,9 +185,9 @@ def momentum(back: int = 10) -> Indicator:
 
 
 def tsi(long: int = 25, short: int = 13) -> Chain:
-    def run(c: Arrays) -> Arrays:
+    def run(c: Arrays, t: Whole) -> Arrays:
         change = c["_close_change"]
-        up, size = (ema(ema(x, long), short) for x in (change, np.abs(change)))
+        up, size = (t.ema(t.ema(x, long), short) for x in (change, np.abs(change)))
         return {"tsi": up * 100 / _no_zero(size)}
 
     change = {"_close_change": _close() - _prev("close")}
@@ -219,12 +219,12 @@ def signed_volume() -> Indicator:
 
 
 def wavetrend(channel: int = 10, average: int = 21, smooth: int = 4) -> Chain:
-    def run(c: Arrays) -> Arrays:
+    def run(c: Arrays, t: Whole) -> Arrays:
         typical = (c["high"] + c["low"] + c["close"]) / 3
-        away = typical - ema(typical, channel)
-        spread = ema(np.abs(away), channel)
-        wave = ema(away / (_no_zero(spread) * 0.015), average)
-        return {"wavetrend": wave, "wavetrend_signal": trailing_mean(wave, smooth)}
+        away = typical - t.ema(typical, channel)
+        spread = t.ema(np.abs(away), channel)
+        wave = t.ema(away / (_no_zero(spread) * 0.015), average)
+        return {"wavetrend": wave, "wavetrend_signal": t.mean(wave, smooth)}
 
     reach = 2 * memory(channel) + memory(average) + smooth
     values = {"typical": (F.col("high") + F.col("low") + _close()).isNotNull()}
@@ -236,14 +236,12 @@ def signal_accuracy(window: int = 20) -> Chain:
     bar, line = macd_cn(), macd()
     bars_of, line_of = bar.run, line.run
 
-    def run(c: Arrays) -> Arrays:
-        change = np.diff(c["close"], prepend=np.nan)
-        pointed = np.where(bars_of(c)["macd_bar"] > line_of(c)["macd_signal"], 1, -1)
+    def run(c: Arrays, t: Whole) -> Arrays:
+        change = c["close"] - t.back(c["close"], 1)
+        pointed = np.where(bars_of(c, t)["macd_bar"] > line_of(c, t)["macd_signal"], 1, -1)
         moved = np.where(change > 0, 1, -1)
         hit = (pointed == moved).astype(np.int64)
-        seen = np.cumsum(hit)
-        share = (seen - np.r_[np.zeros(min(window, len(seen)), np.int64), seen[:-window]]) / np.minimum(np.arange(1, len(seen) + 1), window)
-        return {"macd_dir": pointed, "price_direction": moved, "correct_signal": hit, "accuracy": share}
+        return {"macd_dir": pointed, "price_direction": moved, "correct_signal": hit, "accuracy": t.mean(hit, window)}
 
     outputs = ("macd_dir", "price_direction", "correct_signal", "accuracy")
     reach = max(bar.memory, line.memory) + window
@@ -251,9 +249,9 @@ def signal_accuracy(window: int = 20) -> Chain:
 
 
 def dema(span: int = 30) -> Chain:
-    def run(c: Arrays) -> Arrays:
-        once = ema(c["close"], span)
-        return {"dema": once * 2 - ema(once, span)}
+    def run(c: Arrays, t: Whole) -> Arrays:
+        once = t.ema(c["close"], span)
+        return {"dema": once * 2 - t.ema(once, span)}
 
     return Chain(("dema",), ("close",), run, 2 * memory(span), {"close": _close().isNotNull()})
 

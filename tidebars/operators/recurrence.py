@@ -54,14 +54,95 @@ def ema(x: np.ndarray, span: float) -> np.ndarray:
     return pd.Series(x).ewm(span=span, adjust=False).mean().to_numpy()
 
 
-def trailing_mean(x: np.ndarray, rows: int) -> np.ndarray:
-    """Mean of what the last ``rows`` rows hold."""
-    return pd.Series(x).rolling(rows, min_periods=1).mean().to_numpy()
+class Whole:
+    """Running figures over arrays that begin early enough for what is asked of them."""
+
+    def ema(self, x: np.ndarray, span: float) -> np.ndarray:
+        return ema(x, span)
+
+    def mean(self, x: np.ndarray, rows: int) -> np.ndarray:
+        """Mean of what the last ``rows`` rows hold."""
+        return pd.Series(x).rolling(rows, min_periods=1).mean().to_numpy()
+
+    def deviation(self, x: np.ndarray, rows: int) -> np.ndarray:
+        """Sample deviation of what the last ``rows`` rows hold, two values at least."""
+        return pd.Series(x).rolling(rows, min_periods=2).std().to_numpy()
+
+    def back(self, x: np.ndarray, rows: int) -> np.ndarray:
+        """The value ``rows`` rows ago."""
+        return np.r_[np.full(min(rows, len(x)), np.nan), x[:-rows]]
+
+    def total(self, x: np.ndarray) -> np.ndarray:
+        """Running sum; a row without value has none and adds nothing."""
+        return np.where(np.isnan(x), np.nan, np.nancumsum(x))
+
+    def greatest(self, x: np.ndarray) -> np.ndarray:
+        """The greatest value so far."""
+        return np.fmax.accumulate(x) if len(x) else x
+
+
+class Carried(Whole):
+    """The same figures over arrays that go on where others ended.
+
+    ``slots`` holds what each call, in the order of calls, left behind: an
+    average and the rows since its last value, the last rows of a window, a sum.
+    It is read at the start and replaced call by call; a first run starts from none.
+    """
+
+    def __init__(self, slots: list[list[float]] | None = None) -> None:
+        self.slots, self.at = [list(s) for s in slots or []], 0
+
+    def _slot(self) -> list[float]:
+        if self.at == len(self.slots):
+            self.slots.append([])
+        self.at += 1
+        return self.slots[self.at - 1]
+
+    def ema(self, x: np.ndarray, span: float) -> np.ndarray:
+        slot = self._slot()
+        before = np.r_[slot[0], np.full(min(int(slot[1]), memory(span)), np.nan)] if slot else np.zeros(0)
+        y = ema(np.r_[before, x], span)[len(before) :]
+        if len(y) and not np.isnan(y[-1]):
+            seen = np.flatnonzero(~np.isnan(x))
+            slot[:] = [float(y[-1]), float(len(x) - 1 - seen[-1] if len(seen) else slot[1] + len(x))]
+        return y
+
+    def _behind(self, x: np.ndarray, rows: int) -> tuple[np.ndarray, int]:
+        """The rows before and these; how many are from before."""
+        slot = self._slot()
+        n, joined = len(slot), np.r_[slot, x]
+        slot[:] = joined[max(len(joined) - rows, 0) :].tolist()
+        return joined, n
+
+    def mean(self, x: np.ndarray, rows: int) -> np.ndarray:
+        joined, n = self._behind(x, rows - 1)
+        return super().mean(joined, rows)[n:]
+
+    def deviation(self, x: np.ndarray, rows: int) -> np.ndarray:
+        joined, n = self._behind(x, rows - 1)
+        return super().deviation(joined, rows)[n:]
+
+    def back(self, x: np.ndarray, rows: int) -> np.ndarray:
+        joined, n = self._behind(x, rows)
+        return super().back(joined, rows)[n:]
+
+    def total(self, x: np.ndarray) -> np.ndarray:
+        slot = self._slot()
+        before = slot[0] if slot else 0.0
+        slot[:] = [before + float(np.nansum(x))]
+        return before + super().total(x)
+
+    def greatest(self, x: np.ndarray) -> np.ndarray:
+        slot = self._slot()
+        joined = super().greatest(np.r_[slot, x])
+        n = len(slot)
+        slot[:] = joined[-1:].tolist()
+        return joined[n:]
 
 
 @dataclass(frozen=True)
 class Chain:
-    """Averages of averages: ``run`` maps input columns to outputs, row by row of a block.
+    """Averages of averages: ``run`` maps input columns to outputs, by running figures it is given.
 
     ``memory`` is the sum of the memories along the chain, in rows and in
     ``values``, the conditions that a row has an input.  ``prepare`` are
@@ -71,7 +152,7 @@ class Chain:
 
     outputs: tuple[str, ...]
     inputs: tuple[str, ...]
-    run: Callable[[Arrays], Arrays]
+    run: Callable[[Arrays, Whole], Arrays]
     memory: int
     values: dict[str, Column]
     prepare: dict[str, Column] = field(default_factory=dict)
@@ -112,7 +193,7 @@ def run_chains(laid: DataFrame, chains: Sequence[Chain], kept: Sequence[str], ke
             columns[name][place] = table[name].cast(pa.float64()).to_numpy(zero_copy_only=False)[order]
         found: Arrays = {}
         for run in runs:
-            found |= run(columns)
+            found |= run(columns, Whole())
         core = table[CORE].to_numpy(zero_copy_only=False)[order]
         own = table.select(kept).take(pa.array(order[core]))
         for name in outputs:
@@ -126,8 +207,8 @@ def run_chains(laid: DataFrame, chains: Sequence[Chain], kept: Sequence[str], ke
 
 
 def average(column: str, span: float, name: str) -> Chain:
-    def run(c: Arrays) -> Arrays:
-        return {name: ema(c[column], span)}
+    def run(c: Arrays, t: Whole) -> Arrays:
+        return {name: t.ema(c[column], span)}
 
     return Chain((name,), (column,), run, memory(span), {column: F.col(column).isNotNull()})
 
