@@ -3,15 +3,17 @@
 `write_arc` makes ARC files of versions 1 and 2, `read_arc` reads any, gzipped
 or plain: the first record names the version, which says how a header line is
 read, and the last field of a header line is the length of what follows.
-`to_warc` synthesises what WARC asks for and ARC lacks: identifiers (from
+`convert` synthesises what WARC asks for and ARC lacks: identifiers (from
 archive, offset, address and date, so a repeated run makes the same ones), W3C
 timestamps, record types and SHA-1 digests; payloads that occurred before become
 revisits.  `write_warc` and `read_warc` go to files and back.
 
 An archive is built and read inside one task and bounded by `ARCHIVE_BYTES` (or
-one larger record); files are written by Spark's own writer and read by its
+one larger record); every record is a gzip member of its own, so a reader may
+start at any.  Files are written by Spark's own writer and read by its
 ``binaryFile`` source, so they may lie in any store.  What decides between
-response and revisit is a table of digests; payloads meet it in one join.
+response and revisit is a table of digests, made without payloads; what it says
+of an archive's records meets the archive, compressed as it is, in one join.
 """
 
 from __future__ import annotations
@@ -22,13 +24,17 @@ import hashlib
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebars.llm.staging import staged
+
 ARCHIVE_BYTES = 8 << 20
+LEVEL = 1  # of compression
 REVISIT_BYTES = 1000
 NO_ADDRESS, NO_DATE = "0.0.0.0", "19700101000000"
 
@@ -67,22 +73,29 @@ def arc_opening(version: int, name: str, date: str) -> bytes:
 
 
 def _packed(parts: Iterator[bytes], opening: Callable[[int], bytes], at: list[int], limit: int) -> Iterator[bytes]:
-    """Archives of parts, each opened by ``opening(number)``; ``at[0]`` is the number of the one being filled."""
+    """Archives of records, each opened by ``opening(number)``; ``at[0]`` is the number of the one being filled.
+
+    ``limit`` counts bytes before compression, by which every record becomes a gzip member.
+    """
     made, size = [], 0
+
+    def whole() -> bytes:
+        return b"".join([zlib.compress(opening(at[0]), LEVEL, 31), *made])
+
     for part in parts:
-        made.append(part)
+        made.append(zlib.compress(part, LEVEL, 31))
         size += len(part)
         if size >= limit:
-            yield opening(at[0]) + b"".join(made)
+            yield whole()
             at[0], made, size = at[0] + 1, [], 0
     if made:
-        yield opening(at[0]) + b"".join(made)
+        yield whole()
 
 
 def _write(archives: DataFrame, path: str) -> None:
-    """One file per row; the bytes go as they are."""
+    """One file per row; the bytes go as they are, with the zero at the end that a gzip file may have."""
     writer = archives.select(F.col("archive").cast("string").alias("value")).write.option("maxRecordsPerFile", 1)
-    writer.option("compression", "gzip").option("lineSep", "\n").text(path)
+    writer.option("lineSep", "\0").text(path)
 
 
 def http_head(length: int, extra: dict[str, str]) -> bytes:
@@ -208,43 +221,47 @@ def warc_date(date: str) -> str:
     return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
 
 
-def to_warc(records: DataFrame, rank: str = "cast(regexp_extract(cast(headers AS string), '(?i)X-Key: *(-?[0-9]+)', 1) AS bigint)", revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """WARC records of ARC records.
+#: The key that `write_arc` puts into the HTTP head.
+RANK = r"cast(nullif(regexp_extract(cast(headers AS string), '(?im)^X-Key: *(-?[0-9]+)', 1), '') AS bigint)"
+
+
+def warc_rows(archive: str, content: bytes) -> Iterator[tuple]:
+    """`WARC_RECORD` fields of an ARC file's records, all responses or resources so far."""
+    for offset, _, fields, body, _ in parse_arc(_opened(content)):
+        _, head, payload = split_http(body)
+        date, url = fields["Archive-date"].ljust(14, "0"), fields["URL"]
+        name = hashlib.sha1(f"{archive} {offset} {date} {url}".encode()).digest()[:16]
+        sha1 = hashlib.sha1(payload).digest()
+        digest = "sha1:" + base64.b32encode(sha1).decode()
+        yield (f"<urn:uuid:{uuid.UUID(bytes=name, version=5)}>", "response" if head else "resource", url, warc_date(date), fields["Content-type"], digest, None, head, payload, sha1)
+
+
+def revisits(spark: SparkSession, path: str, rank: str = RANK, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+    """``(path, again)``: per archive the records whose payload another one holds, ``(record_id, refers_to)``.
 
     Of records with equal payloads of at least ``revisit_bytes``, the one with
-    the largest ``rank`` (then the largest identifier; a null rank is the
-    smallest) is the response and the others revisit it, without payload;
-    smaller ones are all responses.  Content that is no HTTP response becomes a
-    ``resource``.  Equal means equal length and SHA-1.
+    the largest ``rank``, an expression over ``headers`` (then the largest
+    identifier; a null rank is the smallest) is the response and the others
+    revisit it.  Equal means equal length and SHA-1.
     """
+    schema = pa.schema([("path", pa.string()), ("record_id", pa.string()), ("digest", pa.string()), ("bytes", pa.int64()), ("headers", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = {n: i for i, n in enumerate(RECORD_SCHEMA.names)}
-
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for i in range(batch.num_rows):
-                    get = lambda n, b=batch, i=i: b.column(at[n])[i].as_py()
-                    payload, date, url, head = get("payload"), get("date"), get("url"), get("headers")
-                    name = hashlib.sha1(f"{get('archive')} {get('offset')} {date} {url}".encode()).digest()[:16]
-                    sha1 = hashlib.sha1(payload).digest()
-                    digest = "sha1:" + base64.b32encode(sha1).decode()
-                    yield (f"<urn:uuid:{uuid.UUID(bytes=name, version=5)}>", "response" if head else "resource", url, warc_date(date), get("content_type"), digest, None, head, payload, sha1)
+                for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                    for r in warc_rows(name.as_py().rsplit("/", 1)[-1], content.as_py()):
+                        if len(r[8]) >= revisit_bytes:
+                            yield (name.as_py(), r[0], r[5], len(r[8]), r[7])
 
-        yield from _batched(rows(), WARC_SCHEMA, lambda r: len(r[8]))
+        yield from _batched(rows(), schema, lambda r: len(r[4]))
 
-    made = records.select(*RECORD_SCHEMA.names).mapInArrow(run, WARC_RECORD)
-    large = F.length("payload") >= revisit_bytes
-    firsts = made.where(large).select("digest", F.expr(rank).alias("rank"), "record_id").groupBy("digest").agg(
-        F.max(F.struct("rank", "record_id")).alias("first"), F.count(F.lit(1)).alias("n")
-    )
-    firsts = firsts.where("n > 1").select("digest", F.col("first.record_id").alias("_first"))
-    known = made.join(firsts, "digest", "left")
-    again = F.coalesce(large & (F.col("_first") != F.col("record_id")), F.lit(False))
-    return known.select(
-        "record_id", F.when(again, F.lit("revisit")).otherwise(F.col("type")).alias("type"), "url", "date", "content_type", "digest",
-        F.when(again, F.col("_first")).alias("refers_to"), "headers", F.when(again, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "sha1",
-    )
+    made = _files(spark, path).mapInArrow(run, "path string, record_id string, digest string, bytes bigint, headers binary")
+    large = staged(made.select("path", "record_id", "digest", "bytes", F.expr(rank).alias("rank")), "digests")
+    firsts = large.groupBy("digest", "bytes").agg(F.max(F.struct("rank", "record_id")).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = staged(firsts.where("n > 1").select("digest", "bytes", F.col("first.record_id").alias("refers_to")), "first-digests")
+    again = large.join(firsts, ["digest", "bytes"]).where("record_id <> refers_to")
+    return again.groupBy("path").agg(F.collect_list(F.struct("record_id", "refers_to")).alias("again"))
 
 
 def warc_record(record_id: str, kind: str, url: str, date: str, content_type: str, digest: str, refers_to: str | None, head: bytes, payload: bytes) -> bytes:
@@ -259,9 +276,21 @@ def warc_record(record_id: str, kind: str, url: str, date: str, content_type: st
     return "\r\n".join(lines).encode() + head + payload + b"\r\n\r\n"
 
 
+def warc_opening(number: int) -> bytes:
+    """The ``warcinfo`` record that every WARC file begins with."""
+    body = b"software: tidebars\r\nformat: WARC File Format 1.1\r\n"
+    name = uuid.uuid5(uuid.NAMESPACE_URL, f"warcinfo {number}")
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {warc_date(NO_DATE)}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}", "", ""]
+    return "\r\n".join(head).encode() + body + b"\r\n\r\n"
+
+
+def _archives(parts: Iterator[bytes], limit: int) -> Iterator[pa.RecordBatch]:
+    for archive in _packed(parts, warc_opening, [0], limit):
+        yield pa.RecordBatch.from_arrays([pa.array([archive], pa.binary())], names=["archive"])
+
+
 def write_warc(records: DataFrame, path: str, limit: int = ARCHIVE_BYTES) -> None:
     """Write WARC records into gzipped WARC files, each opened by a ``warcinfo`` record."""
-    schema = pa.schema([("archive", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[bytes]:
@@ -270,14 +299,7 @@ def write_warc(records: DataFrame, path: str, limit: int = ARCHIVE_BYTES) -> Non
                     row = [batch.column(j)[i].as_py() for j in range(batch.num_columns)]
                     yield warc_record(*row[:7], row[7] or b"", row[8] or b"")
 
-        def opening(number: int) -> bytes:
-            body = b"software: tidebars\r\nformat: WARC File Format 1.1\r\n"
-            name = uuid.uuid5(uuid.NAMESPACE_URL, f"warcinfo {number}")
-            head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {warc_date(NO_DATE)}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}", "", ""]
-            return "\r\n".join(head).encode() + body + b"\r\n\r\n"
-
-        for archive in _packed(parts(), opening, [0], limit):
-            yield pa.RecordBatch.from_arrays([pa.array([archive], pa.binary())], schema=schema)
+        yield from _archives(parts(), limit)
 
     _write(records.select(*WARC_SCHEMA.names).mapInArrow(run, "archive binary"), path)
 
@@ -320,15 +342,32 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInArrow(run, WARC_RECORD)
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str) -> DataFrame:
-    """Convert a folder of ARC files to WARC files, and give back the records read from these."""
-    write_warc(to_warc(read_arc(spark, arc_path)), warc_path)
+def convert(spark: SparkSession, arc_path: str, warc_path: str, rank: str = RANK, revisit_bytes: int = REVISIT_BYTES, limit: int = ARCHIVE_BYTES) -> DataFrame:
+    """Convert a folder of ARC files to WARC files, and give back the records read from these.
+
+    A payload that another record holds (`revisits`) is left out; content that
+    is no HTTP response becomes a ``resource``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[bytes]:
+            for batch in batches:
+                for name, content, again in zip(*batch.columns, strict=True):
+                    refers = {a["record_id"]: a["refers_to"] for a in again.as_py() or ()}
+                    for r in warc_rows(name.as_py().rsplit("/", 1)[-1], content.as_py()):
+                        first = refers.get(r[0])
+                        yield warc_record(r[0], "revisit" if first else r[1], *r[2:6], first, r[7], b"" if first else r[8])
+
+        yield from _archives(parts(), limit)
+
+    known = _files(spark, arc_path).join(staged(revisits(spark, arc_path, rank, revisit_bytes), "revisits"), "path", "left")
+    _write(known.select("path", "content", "again").mapInArrow(run, "archive binary"), warc_path)
     return read_warc(spark, warc_path)
 
 
 def index(records: DataFrame) -> DataFrame:
     """``(record_id, type, key, payload_bytes, payload_digest, refers_to)``: sizes by the HTTP head, digests in hex."""
     head = F.col("headers").cast("string")
-    number = lambda name: F.nullif(F.regexp_extract(head, rf"(?i){name}: *(-?[0-9]+)", 1), F.lit("")).cast("bigint")
+    number = lambda name: F.nullif(F.regexp_extract(head, rf"(?im)^{name}: *(-?[0-9]+)", 1), F.lit("")).cast("bigint")
     size = F.when(F.col("type") == "revisit", number("Content-Length")).otherwise(F.length("payload").cast("bigint"))
     return records.select("record_id", "type", number("X-Key").alias("key"), size.alias("payload_bytes"), F.lower(F.hex("sha1")).alias("payload_digest"), "refers_to")

@@ -85,10 +85,12 @@ def op7_legacy_archives(spark: SparkSession, sf: str) -> DataFrame:
         arc.write_arc(table(spark, sf, "pages"), arcs)
         records = arc.convert(spark, arcs, warcs)
     found = staged(arc.index(records), "records")
-    responses = found.where("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("key").alias("first"))
-    return found.join(responses, "refers_to", "left").select(
-        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("first").alias("refers_to")
-    )
+    named = (F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"))
+    # Only revisits refer to anything: responses are no rows of the join.
+    again = found.where("type = 'revisit'").select("refers_to", *named)
+    first = staged(again.select(F.col("refers_to").alias("record_id")).distinct().join(found.select("record_id", "key"), "record_id"), "first-records")
+    referring = again.join(first.select(F.col("record_id").alias("refers_to"), "key"), "refers_to").select(*again.columns[1:], F.col("key").alias("refers_to"))
+    return referring.union(found.where("type <> 'revisit'").select(*named, F.lit(None).cast("bigint")))
 
 
 SQL["op7_legacy_archives"] = """
