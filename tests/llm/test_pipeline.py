@@ -23,7 +23,7 @@ def test_stages_take_effect(spark, sf_dir):
     assert first.columns == docs.columns and ids(first) == ids(scores.where("score < 0.5"))
     second = lines(spark, first, sf_dir).cache()
     assert second.columns == docs.columns and ids(second) == ids(first)
-    edited = line_dedup.dedup_lines(first, parts_of=line_dedup.windows_of)
+    edited = line_dedup.dedup_lines(first, parts_of=line_dedup.chunkings_of)
     assert {tuple(r) for r in second.select("doc_id", "text").collect()} == {tuple(r) for r in edited.select("doc_id", "text").collect()}
     third = near(spark, second, sf_dir).cache()
     assert third.columns == docs.columns and ids(third) == ids(shingles.drop_similar(second))

@@ -1,20 +1,24 @@
-"""Line dedup in DataFrame functions only, by all windows of lines or by content-defined chunks of lines.
-
-With `windows_of`, every `MIN_LINES` lines on end are a part, so each repeated
-run of that many lines or more goes, wherever it begins.  A removed line always
-stands somewhere before: at the first occurrence of its window, or, if that
-lies in a removed window itself, at the first occurrence of that one.
-
-With `chunks_of`, a text is cut into chunks of lines: a chunk ends after a line when the rolling
-hash over that line's hash and those of the lines before it (`WINDOW_LINES` in
-all) is divisible by `DIVISOR`.  Where chunks end thus depends on a few lines
-only, so lines that are put in or taken out upstream don't shift the chunks
-after them.  Parts of two lines or more that occur before, in a smaller key or
-earlier in the text, are removed once their bytes have been compared with those
-of the first occurrence.
-
-Occurrences are first counted by hash, without text.  Only parts whose hash
-repeats meet again, as text, in a join with their first occurrence: a part in a
+"""Line dedup by content-defined chunks of lines, in DataFrame functions only.
+
+A text is cut into chunks of lines where a rolling hash over the hashes of a few
+lines says so.  Where chunks end thus depends on these lines only, so lines that
+are put in or taken out upstream don't shift the chunks after them.  Chunks of
+two lines or more that occur before, in a smaller key or earlier in the text,
+are removed once their bytes have been compared with those of the first
+occurrence.  A removed line always stands somewhere before: in the first
+occurrence of its chunk, or, if that is removed itself, in that one's.
+
+One chunking (`chunks_of`) finds a repeated passage only if chunks happen to end
+at both its ends.  `chunkings_of` makes 64 of them side by side, one for each bit
+of 64-bit words: a line's hash says in which chunkings a chunk begins with
+it and in which one ends with it.  Both are facts of the passage itself, whatever
+stands around it, and two lines on end are a chunk of some chunking with
+probability ``1 - (15/16)**64``, 0.98; what repeats in any of them goes.
+
+`windows_of`, all pairs of lines on end, is what the chunkings are measured against.
+
+Occurrences are first counted by hash, without text.  Only chunks whose hash
+repeats meet again, as text, in a join with their first occurrence: a chunk in a
 third of all rows is one large key of a plain join, which Spark splits.
 """
 
@@ -31,6 +35,8 @@ from tidebars.llm.staging import staged
 WINDOW_LINES = 2
 DIVISOR = 4
 MIN_LINES = 2
+#: The longest chunk of `chunkings_of`; a longer one is none, and its lines are left to the other chunkings.
+MAX_LINES = 6
 NO_KEY = 2**63 - 1
 
 
@@ -81,31 +87,77 @@ def windows_of(lines: Column) -> Column:
     return let(F.transform(lines, lambda x: F.xxhash64(x)), cut)
 
 
-def _body(lines: Column, chunk: Column) -> Column:
-    return F.array_join(F.slice(lines, chunk["start"] + 1, chunk["lines"]), "\n")
+def chunkings_of(lines: Column) -> Column:
+    """``(start, lines, hash)`` of the different chunks of `MIN_LINES` to `MAX_LINES` lines that any of 64 chunkings makes.
+
+    Equal lines on end are told apart by their number modulo 4, or no chunk could begin or end between them.
+    """
+
+    def told_apart(hashes: Column) -> Column:
+        def tagged(h: Column, i: Column) -> Column:
+            alike = F.coalesce(h == F.get(hashes, i - 1), F.lit(False)) | F.coalesce(h == F.get(hashes, i + 1), F.lit(False))
+            return F.xxhash64(h, F.when(alike, F.pmod(i, F.lit(4))).otherwise(F.lit(0)))
+
+        return F.transform(hashes, tagged)
+
+    def ends_of(hashes: Column) -> Column:
+        """Per line, the chunkings in which a chunk ends after it: by its own mark, by that of the next line, and all at the end."""
+
+        def mark(h: Column, i: Column) -> Column:
+            after = F.get(hashes, i + 1)
+            return F.when(after.isNull(), F.lit(-1).cast("bigint")).otherwise(F.xxhash64(h, F.lit(1)).bitwiseOR(F.xxhash64(after, F.lit(2))))
+
+        return F.transform(hashes, mark)
+
+    def cut(hashes: Column, ends: Column) -> Column:
+        def from_line(_: Column, i: Column) -> Column:
+            begins = F.when(i == 0, F.lit(-1).cast("bigint")).otherwise(F.get(ends, i - 1))
+            found, open_ = [], begins.bitwiseAND(F.bitwise_not(F.get(ends, i)))
+            for size in range(MIN_LINES, MAX_LINES + 1):
+                end = F.coalesce(F.get(ends, i + (size - 1)), F.lit(0).cast("bigint"))
+                chunk = F.struct(i.alias("start"), F.lit(size).alias("lines"), F.xxhash64(F.slice(hashes, i + 1, size)).alias("hash"))
+                found.append(F.when(open_.bitwiseAND(end) != 0, chunk))
+                open_ = open_.bitwiseAND(F.bitwise_not(end))
+            return F.array_compact(F.array(*found))
+
+        return F.flatten(F.transform(hashes, from_line))
+
+    def chunks(hashes: Column) -> Column:
+        return let(let(told_apart(hashes), ends_of), lambda ends: cut(hashes, ends))
+
+    return let(F.transform(lines, lambda x: F.xxhash64(x)), chunks)
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", parts_of: Callable[[Column], Column] = chunks_of) -> DataFrame:
-    """``(_k, _copy, at)``: the parts that go, by row (its key and a hash of its text) and number in the row.
+    """``(_k, _copy, at, lines)``: the parts that go, by row (its key and a hash of its text), first line and number of lines.
 
     A part stays where it occurs first: by key (null last), by the hash of the
     text, by place.  Rows equal in key and text are treated alike.  Parts of
-    one line, those without anything but white space, and windows that overlap
-    their first occurrence always stay.
+    one line, those without anything but white space, and parts that overlap
+    their first occurrence always stay.  Of the parts that begin with one line the longest is enough.
     """
-    apart = MIN_LINES if parts_of is windows_of else 1
     rows = docs.select(F.coalesce(key, F.lit(NO_KEY)).cast("bigint").alias("_k"), F.xxhash64(text).alias("_copy"), F.col(text).alias("_text"))
-    narrow = rows.select("_k", "_copy", F.posexplode(let(lines_of(F.col("_text")), parts_of)).alias("at", "c"))
-    narrow = narrow.where(F.col("c.lines") >= MIN_LINES).select("_k", "_copy", "at", F.col("c.hash").alias("hash"))
+    narrow = rows.select("_k", "_copy", F.explode(let(lines_of(F.col("_text")), parts_of)).alias("c"))
+    narrow = narrow.where(F.col("c.lines") >= MIN_LINES).select("_k", "_copy", F.col("c.start").alias("at"), F.col("c.lines").alias("lines"), F.col("c.hash").alias("hash"))
     # One entry per row and part: rows equal in key and text come together here.
     seen = narrow.groupBy("hash").agg(F.min(F.struct("_k", "_copy", "at")).alias("first"), F.max(F.struct("_k", "_copy", "at")).alias("last"))
     firsts = staged(seen.where("first < last").select("hash", "first"), "line-chunks")
-    clear = (F.col("_k") != F.col("first._k")) | (F.col("_copy") != F.col("first._copy")) | (F.col("at") == F.col("first.at")) | (F.col("at") >= F.col("first.at") + apart)
-    found = narrow.join(firsts, "hash").where(clear).select("_k", "_copy", F.struct("at", "hash", (F.struct("_k", "_copy", "at") == F.col("first")).alias("is_first")).alias("c"))
-    wanted = found.groupBy("_k", "_copy").agg(F.collect_set("c").alias("wanted"))
+    clear = (F.col("_k") != F.col("first._k")) | (F.col("_copy") != F.col("first._copy")) | (F.col("at") == F.col("first.at")) | (F.col("at") >= F.col("first.at") + F.col("lines"))
+    is_first = F.struct("_k", "_copy", "at") == F.col("first")
+    found = narrow.join(firsts, "hash").where(clear).select("_k", "_copy", is_first.alias("is_first"), F.struct("at", "lines", "hash").alias("c"))
+
+    def longest(parts: Column) -> Column:
+        return F.filter(parts, lambda c, i: F.coalesce(F.get(parts, i + 1)["at"] != c["at"], F.lit(True)))
+
+    wanted = found.groupBy("_k", "_copy").agg(
+        F.sort_array(F.collect_set(F.when(~F.col("is_first"), F.col("c")))).alias("again"), F.collect_set(F.when(F.col("is_first"), F.col("c"))).alias("first")
+    )
+    again = F.transform(let(F.col("again"), longest), lambda c: c.withField("is_first", F.lit(False)))
+    first = F.transform("first", lambda c: c.withField("is_first", F.lit(True)))
+    wanted = wanted.select("_k", "_copy", F.concat(again, first).alias("wanted"))
+
     def spelt(lines: Column) -> Column:
-        text_of = lambda chunks: F.transform("wanted", lambda c: c.withField("body", _body(lines, F.get(chunks, c["at"]))))
-        return let(parts_of(lines), text_of)
+        return F.transform("wanted", lambda c: c.withField("body", F.array_join(F.slice(lines, c["at"] + 1, c["lines"]), "\n")))
 
     # Rows are dealt by key at every size, so that the plan, and what it costs a row, is the same for all.
     bodies = rows.join(wanted.hint("merge"), ["_k", "_copy"]).select("_k", "_copy", F.explode(let(lines_of(F.col("_text")), spelt)).alias("c"))
@@ -113,31 +165,20 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", parts_of:
     bodies = staged(bodies, "line-bodies")
     kept = bodies.where("is_first").groupBy("hash").agg(F.min("body").alias("first_body"))
     same = bodies.where("not is_first").join(staged(kept, "line-firsts"), "hash").where("body = first_body")
-    return same.select("_k", "_copy", "at")
+    return same.select("_k", "_copy", "at", "lines")
 
 
 def _edited(docs: DataFrame, key: str, text: str, parts_of: Callable[[Column], Column]) -> DataFrame:
     """Packed rows with ``made``: the text that stays and its number of lines, null where nothing goes."""
-    gone = staged(repeated(docs, key, text, parts_of), "line-repeats").groupBy("_k", "_copy").agg(F.collect_set("at").alias("_gone"))
+    gone = staged(repeated(docs, key, text, parts_of), "line-repeats").groupBy("_k", "_copy").agg(F.collect_set(F.struct("at", "lines")).alias("_gone"))
     stamped = docs.select(packed(docs.columns), F.coalesce(key, F.lit(NO_KEY)).cast("bigint").alias("_k"), F.xxhash64(text).alias("_copy"))
 
     def uncovered(lines: Column) -> Column:
-        covered = F.flatten(F.transform("_gone", lambda at: F.sequence(at, at + (MIN_LINES - 1))))
+        covered = F.flatten(F.transform("_gone", lambda g: F.sequence(g["at"], g["at"] + g["lines"] - 1)))
         stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
         return let(stays, lambda kept: F.struct(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n").alias("text"), F.size(kept).alias("lines")))
 
-    def rebuilt(lines: Column) -> Column:
-        def kept(chunks: Column) -> Column:
-            stays = F.transform(F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), "_gone"), lambda i: F.get(chunks, i))
-            return let(stays, parts)
-
-        def parts(stays: Column) -> Column:
-            count = F.aggregate(stays, F.lit(0), lambda n, c: n + c["lines"])
-            return F.struct(F.array_join(F.transform(stays, lambda c: _body(lines, c)), "\n").alias("text"), count.alias("lines"))
-
-        return let(chunks_of(lines), kept)
-
-    made = F.when(F.col("_gone").isNotNull(), let(lines_of(F.col(ROW)[text]), uncovered if parts_of is windows_of else rebuilt)).alias("made")
+    made = F.when(F.col("_gone").isNotNull(), let(lines_of(F.col(ROW)[text]), uncovered)).alias("made")
     return stamped.join(gone.hint("merge"), ["_k", "_copy"], "left").select(ROW, made)
 
 

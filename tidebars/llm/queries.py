@@ -108,7 +108,7 @@ FROM g
 
 @query
 def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    found = line_dedup.dedup_lines(table(spark, sf, "documents"), parts_of=line_dedup.windows_of)
+    found = line_dedup.dedup_lines(table(spark, sf, "documents"), parts_of=line_dedup.chunkings_of)
     return found.select(
         "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
