@@ -1,6 +1,8 @@
 """Row numbers, blocks, carries: the same result however a series is cut."""
 
 import datetime as dt
+import math
+import re
 
 import numpy as np
 import pytest
@@ -300,3 +302,36 @@ def test_a_block_sees_a_bounded_number_of_rows(spark):
         laid = series.in_blocks(source, 10, rows=64, values=values)
         assert laid.filter("_core").count() == df.count()
         assert laid.groupBy("symbol", "_block").count().agg(F.max("count")).first()[0] <= 64 + 10 + 50 + 64
+
+
+@pytest.mark.parametrize("ranked", [1, 7, 1 << 16])
+def test_radix_selection(spark, ranked, monkeypatch):
+    """Heavy ties, far outliers, infinities, nulls and values that differ in the last digits, at every depth of digits."""
+    monkeypatch.setattr(clean, "RANKED_VALUES", ranked)
+    rng = np.random.default_rng(8)
+    samples = {
+        "ties": rng.integers(0, 4, 400).astype(float), "near": 1e6 + rng.random(300) * 1e-8, "wild": rng.normal(size=500) ** 9 * 1e50,
+        "signs": np.r_[rng.normal(size=200), [0.0, -0.0]], "ends": np.r_[rng.normal(size=50), [np.inf, -np.inf]], "one": np.array([3.5]),
+    }
+    rows = [(s, "1d", float(x)) for s, xs in samples.items() for x in xs] + [("ties", "1d", None), ("none", "1d", None), ("one", "1d", float("nan"))]
+    rows += [(None, "1d", 2.0), (None, "1d", 4.0)]
+    df = spark.createDataFrame(rows, "symbol string, timeframe string, x double").repartition(5)
+    shares = (0.0, 0.013, 0.5, 0.99, 1.0)
+    got = {r["symbol"]: r for r in clean.quantiles(df, ["x"], shares).collect()}
+    assert set(got) == {*samples, None} and got[None]["x_q2"] == 3.0
+    for s, xs in samples.items():
+        xs = np.sort(xs)
+        for i, share in enumerate(shares):
+            rank = (len(xs) - 1) * share
+            low, high = xs[math.floor(rank)], xs[math.ceil(rank)]
+            want = low if rank == math.floor(rank) or np.isinf(low) else high if np.isinf(high) else low + (high - low) * (rank - math.floor(rank))
+            assert got[s][f"x_q{i}"] == pytest.approx(want, rel=1e-12), (s, i)
+
+
+def test_winsorize_reads_its_input_three_times(spark, walk, tmp_path):
+    df, _ = walk
+    df.drop("_x").write.parquet(str(tmp_path / "bars"))
+    stored = spark.read.parquet(str(tmp_path / "bars"))
+    plan = clean.winsorize(stored)._jdf.queryExecution().optimizedPlan().toString()
+    # Digits are counted in a job of its own; what is left reads the bars for the ranking and for the clipping.
+    assert len(re.findall(r"Relation \[symbol#\d+,timeframe#\d+,ts#", plan)) == 2

@@ -25,8 +25,9 @@ from tidebars.series import (
 )
 
 OHLCV = ("open", "high", "low", "close", "volume")
-# Sketch accuracy: ranks are off by at most one in this many.
-SKETCH = 10_000
+# Bits after the point of the scale that digits are cut from, level by level, and the values that a last bracket may hold.
+DIGIT_BITS = (8, 20, 32, 44)
+RANKED_VALUES = 1 << 16
 
 
 def numeric_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
@@ -69,100 +70,76 @@ def to_utc(df: DataFrame, zone: str | None = None, column: str = "ts") -> DataFr
 
 
 def _interpolated(low: Column, high: Column, share: Column) -> Column:
-    return low + (high - low) * share
+    endless = F.when(F.abs(low) == math.inf, low).when(F.abs(high) == math.inf, high)
+    return F.when((share == 0) | (low == high), low).otherwise(F.coalesce(endless, low + (high - low) * share))
+
+
+def _digit(x: Column, level: int) -> Column:
+    """The digits of a value down to a level: the same for close values, and never less for a greater one."""
+    scale = F.signum(x) * F.least(F.log1p(F.abs(x)), F.lit(1e3))
+    return F.floor(scale * float(1 << DIGIT_BITS[level]))
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], keys: Sequence[str] = SERIES) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per series.
+    """Exact quantiles with linear interpolation, one row per series, by radix selection.
 
-    Columns are named ``<column>_q<i>``.  Three passes, whatever the size: a
-    sketch proposes a bracket around each wanted rank; exact counts below and
-    inside it place the rank; the values inside, about one in ``SKETCH / 4`` of
-    the series, are ranked with equal values as one.  No result depends on the
-    sketch: a bracket that the counts do not confirm is opened to all values.
+    Columns are named ``<column>_q<i>``.  One aggregation counts the leading
+    digits of all columns and series, and running sums of the counts say which
+    digit holds each wanted rank.  The values with that digit are ranked, equal
+    values as one; a digit that holds more than `RANKED_VALUES` is cut into the
+    next digits first, in an aggregation over its own values.
     """
-    known = df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
-    rank_keys = [*keys, "_column", "_q"]
-    wanted = [(c, i, float(s)) for c in columns for i, s in enumerate(shares)]
-    first = _first_brackets(known, wanted, keys)
-    cells = F.array(*[F.col(c).cast("double") for c, _, _ in wanted])
-
-    def inside(x: Column, b: Column) -> Column:
-        place = F.struct(*[b[c].alias(c) for c in ("_column", "_q", "_rank", "_below")], x.alias("_x"))
-        return F.when((b["_lo"] != b["_hi"]) & (x >= b["_lo"]) & (x <= b["_hi"]), place)
-
-    found = F.filter(F.zip_with(cells, "_brackets", inside), lambda e: e.isNotNull())
-    rows = attach(known, first, keys).select(*keys, F.explode(found).alias("_f")).select(*keys, "_f.*")
+    cells = F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_x")) for c in columns])
+    values = df.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.*").filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    column_keys = [*keys, "_column"]
+    wanted = F.array(*[F.struct(F.lit(i).alias("_q"), F.lit(float(s)).alias("_share")) for i, s in enumerate(shares)])
+    counts = values.groupBy(*column_keys, _digit(F.col("_x"), 0).alias("_digit")).agg(F.count(F.lit(1)).alias("_count"))
+    cell = Window.partitionBy(*column_keys)
+    placed = _with_below(counts, column_keys).withColumn("_n", F.sum("_count").over(cell))
+    ranks = placed.select("*", F.explode(wanted).alias("_w")).select("*", "_w.*").withColumn("_rank", (F.col("_n") - 1) * F.col("_share"))
+    ends = F.explode(F.array(F.floor("_rank"), F.ceil("_rank")))
+    picked = _holding(ranks.withColumn("_at", ends)).select(*column_keys, "_q", "_rank", "_at", "_digit", "_below", "_count")
+    brackets, level = staged(picked.distinct(), "brackets"), 0
+    while level < len(DIGIT_BITS) - 1 and (brackets.agg(F.max("_count")).first()[0] or 0) > RANKED_VALUES:
+        inner = _inside(values, brackets, column_keys, level).withColumn("_next", _digit(F.col("_x"), level + 1))
+        finer = inner.groupBy(*column_keys, "_digit", "_base", "_next").agg(F.count(F.lit(1)).alias("_count"))
+        finer = _with_below(finer, [*column_keys, "_digit", "_base"], "_next").withColumn("_below", F.col("_below") + F.col("_base"))
+        asked = brackets.select(*column_keys, "_q", "_rank", "_at", "_digit")
+        met = join_keys(finer, asked, [*column_keys, "_digit"])
+        brackets = staged(_holding(met).select(*column_keys, "_q", "_rank", "_at", F.col("_next").alias("_digit"), "_below", "_count"), "brackets")
+        level += 1
+    inner = _inside(values, brackets, column_keys, level)
     # Equal values count as one row, so a value many rows share stays small.
-    tied = rows.groupBy(*rank_keys, "_rank", "_below", "_x").agg(F.count(F.lit(1)).alias("_same"))
-    upto = Window.partitionBy(*rank_keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = tied.withColumn("_end", F.col("_below") + F.sum("_same").over(upto))
-    start = F.col("_end") - F.col("_same")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((start <= rank) & (rank < F.col("_end")), F.col("_x")))
-
-    ranks = ranked.groupBy(*rank_keys).agg(
-        at(F.floor("_rank")).alias("_low"), at(F.ceil("_rank")).alias("_high"), F.first("_rank").alias("_rank")
-    )
-    share = F.col("_rank") - F.floor("_rank")
-    value = _interpolated(F.col("_low"), F.col("_high"), share).alias("_value")
-    # A bracket with equal ends has its value, however many rows share it.
-    settled = first.select(*keys, F.inline("_brackets")).filter("_lo = _hi").select(*rank_keys, F.col("_lo").alias("_value"))
-    result = ranks.select(*rank_keys, value).unionByName(settled)
+    tied = inner.groupBy(*column_keys, "_digit", "_base", "_x").agg(F.count(F.lit(1)).alias("_count"))
+    tied = _with_below(tied, [*column_keys, "_digit", "_base"], "_x").withColumn("_below", F.col("_below") + F.col("_base"))
+    asked = brackets.select(*column_keys, "_q", "_rank", "_at", "_digit")
+    found = _holding(join_keys(tied, asked, [*column_keys, "_digit"]))
+    low, high = (F.max(F.when(F.col("_at") == end("_rank"), F.col("_x"))).alias(n) for n, end in (("_low", F.floor), ("_high", F.ceil)))
+    both = found.groupBy(*column_keys, "_q").agg(low, high, F.first("_rank").alias("_rank"))
+    value = both.withColumn("_value", _interpolated(F.col("_low"), F.col("_high"), F.col("_rank") - F.floor("_rank")))
     picks = [
         F.max(F.when((F.col("_column") == c) & (F.col("_q") == i), F.col("_value"))).alias(f"{c}_q{i}")
         for c in columns
         for i in range(len(shares))
     ]
-    return result.groupBy(*keys).agg(*picks)
+    return value.groupBy(*keys).agg(*picks)
 
 
-def _holds(rank: Column, below: Column, inside: Column) -> Column:
-    """Whether a bracket with exact counts contains both values around a rank."""
-    return (below <= F.floor(rank)) & (F.ceil(rank) < below + inside)
+def _with_below(counts: DataFrame, keys: Sequence[str], order: str = "_digit") -> DataFrame:
+    """Add the number of values before each digit (or value) of a cell; a cell has few rows."""
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_below", F.coalesce(F.sum("_count").over(before), F.lit(0)))
 
 
-def _first_brackets(df: DataFrame, wanted: list[tuple[str, int, float]], keys: Sequence[str]) -> DataFrame:
-    """A bracket per (series, column, quantile): one sketch pass, one counting pass.
+def _holding(ranks: DataFrame) -> DataFrame:
+    """The rows that hold the rank asked for."""
+    return ranks.filter((F.col("_below") <= F.col("_at")) & (F.col("_at") < F.col("_below") + F.col("_count")))
 
-    A bracket the counts do not confirm is opened to all values.
-    """
-    slack = 2 / SKETCH
-    sketches, counts = [], []
-    for column in dict.fromkeys(c for c, _, _ in wanted):
-        cuts = [x for c, _, s in wanted if c == column for x in (max(s - slack, 0.0), min(s + slack, 1.0))]
-        sketches.append(F.percentile_approx(column, cuts, SKETCH).alias(f"_cuts_{column}"))
-        counts.append(F.count(column).alias(f"_n_{column}"))
-    sketch = staged(df.groupBy(*keys).agg(*sketches, *counts), "sketch")
-
-    def ends(column: str, i: int) -> tuple[Column, Column]:
-        return F.get(f"_cuts_{column}", F.lit(2 * i)), F.get(f"_cuts_{column}", F.lit(2 * i + 1))
-
-    counted = []
-    for column, i, _ in wanted:
-        lo, hi = ends(column, i)
-        x = F.col(column)
-        counted.append(F.count_if(x < lo).alias(f"_below_{column}_{i}"))
-        counted.append(F.count_if((x >= lo) & (x <= hi)).alias(f"_inside_{column}_{i}"))
-    known = join_keys(sketch, attach(df, sketch, keys).groupBy(*keys).agg(*counted), keys)
-    brackets = []
-    for column, i, share in wanted:
-        lo, hi = ends(column, i)
-        n = F.col(f"_n_{column}")
-        rank = (n - 1) * F.lit(share)
-        below, inside = F.col(f"_below_{column}_{i}"), F.col(f"_inside_{column}_{i}")
-        good = _holds(rank, below, inside)
-        brackets.append(
-            F.struct(
-                F.lit(column).alias("_column"), F.lit(i).alias("_q"), rank.alias("_rank"),
-                F.when(good, lo.cast("double")).otherwise(-math.inf).alias("_lo"),
-                F.when(good, hi.cast("double")).otherwise(math.inf).alias("_hi"),
-                F.when(good, below).otherwise(0).alias("_below"),
-                F.when(good, inside).otherwise(n).alias("_inside"),
-            )
-        )
-    return staged(known.select(*keys, F.array(*brackets).alias("_brackets")), "brackets")
+
+def _inside(values: DataFrame, brackets: DataFrame, column_keys: Sequence[str], level: int) -> DataFrame:
+    """The values that have a bracket's digit, with the number of values before it (``_base``)."""
+    open_ = brackets.select(*column_keys, "_digit", F.col("_below").alias("_base")).distinct()
+    return join_keys(values.withColumn("_digit", _digit(F.col("_x"), level)), open_, [*column_keys, "_digit"])
 
 
 def winsorize(
@@ -174,7 +151,7 @@ def winsorize(
 ) -> DataFrame:
     """Clip each column to its own quantiles within its series."""
     require_columns(df, columns)
-    limits = attach(df, quantiles(df, columns, (low, high), keys), keys)
+    limits = join_keys(df, quantiles(df, columns, (low, high), keys), keys, "left")
     clipped = {
         c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"{c}_q0")), F.col(f"{c}_q1")))
         for c in columns
