@@ -112,69 +112,50 @@ def align_timeframes(
     if base is not None and MINUTES[canonical(base)] > MINUTES["1d"]:
         raise ValueError("the base timeframe is a day or shorter")
     df = df.withColumn("timeframe", known_column(F.col("timeframe")))
-    if base is None:
-        df = with_symbol_table(df, base_timeframe(df)).withColumnRenamed("base_timeframe", "_base")
-    else:
-        df = df.withColumn("_base", F.lit(canonical(base)))
+    # One row per symbol: its base, and how far each of its timeframes reaches.
+    ends = df.groupBy("symbol", "timeframe").agg(F.max("ts").alias("last")).withColumn("minutes", minutes_of(F.col("timeframe")))
+    own_base = F.min_by("timeframe", "minutes") if base is None else F.first(F.lit(canonical(base)))
+    facts = ends.groupBy("symbol").agg(own_base.alias("_base"), F.collect_list(F.struct("timeframe", "minutes", "last")).alias("_held"))
     base_minutes = minutes_of(F.col("_base"))
     # Slots are a day at most, also for a symbol that has longer bars only.
-    df = df.withColumn("_step", F.least(base_minutes, F.lit(MINUTES["1d"])) * 60)
-    minutes, step = minutes_of(F.col("timeframe")), F.col("_step")
-    base_rows = df.filter(F.col("timeframe") == F.col("_base"))
-    out = base_rows.select("symbol", "timeframe", "ts", *columns)
-    longer = df.filter(minutes > base_minutes)
-    shift = minutes * 60 if mode == "closed" else F.lit(0)
-    slot = _slot(F.col("ts"), step)
-    bars = longer.select(
-        "symbol", "timeframe", F.lit("bar").alias("_kind"), "_step", F.col("ts"),
-        (epoch_seconds(slot) + shift).alias("_at"), *columns,
-    )
-    ends = bars.groupBy("symbol", "timeframe", "_step").agg(F.max("_at").alias("_at"))
-    ends = ends.select("symbol", "timeframe", F.lit("end").alias("_kind"), "_step", "_at")
-    # Base rows are wanted once per longer timeframe their symbol has.
-    held = ends.groupBy("symbol").agg(F.collect_set("timeframe").alias("_held"))
-    wanted = (
-        with_symbol_table(base_rows.select("symbol", "_step", "ts"), held)
-        .select("symbol", F.explode("_held").alias("timeframe"), F.lit("base").alias("_kind"), "_step", "ts")
-        .withColumn("_at", epoch_seconds(F.col("ts")))
-    )
-    reach = (minutes * 60 - step).alias("_reach")
-    rows = bars.unionByName(ends, allowMissingColumns=True).unionByName(wanted, allowMissingColumns=True)
-    span = F.greatest(F.lit(SLOTS_PER_CHUNK * step), F.col("_reach") * 8)
-    rows = rows.withColumn("_reach", reach).withColumn("_span", span)
-    own = F.floor(F.col("_at") / F.col("_span"))
-    last_piece = F.when(F.col("_kind") == "base", own).otherwise(
-        F.floor((F.col("_at") + F.col("_reach")) / F.col("_span"))
-    )
-    laid = rows.withColumn("_piece", F.explode(F.sequence(own, last_piece)))
+    known = join_keys(df, facts, ["symbol"]).withColumn("_base_minutes", base_minutes)
+    known = known.withColumn("_step", F.least("_base_minutes", F.lit(MINUTES["1d"])) * 60)
+    step, minutes = F.col("_step"), minutes_of(F.col("timeframe"))
+
+    def tagged(kind: str, timeframe: Column, length: Column, at: Column, end: Column) -> Column:
+        """A row of one timeframe's line: a bar, in each piece that looks back on it, or a base row that wants a value."""
+        reach = length * 60 - step
+        span = F.greatest(F.lit(SLOTS_PER_CHUNK) * step, reach * 8)
+        own = F.coalesce(F.floor(at / span), F.lit(0))
+        last = F.coalesce(F.floor((at + reach) / span), F.lit(0)) if kind == "bar" else own
+        return F.struct(
+            F.lit(kind).alias("kind"), timeframe.alias("timeframe"), reach.cast("bigint").alias("reach"), at.alias("at"), end.alias("end"), F.sequence(own, last).alias("pieces")
+        )
+
+    def shifted(slot: Column, length: Column) -> Column:
+        return epoch_seconds(slot) + (length * 60 if mode == "closed" else F.lit(0))
+
+    here, slot = epoch_seconds(F.col("ts")), _slot(F.col("ts"), step)
+    none = F.lit(None).cast("bigint")
+    longer = F.filter("_held", lambda h: h["minutes"] > F.col("_base_minutes"))
+    # A base row is wanted once per longer timeframe its symbol has, and stands for itself.
+    wanted = F.transform(longer, lambda h: tagged("base", h["timeframe"], h["minutes"], here, shifted(_slot(h["last"], step), h["minutes"])))
+    itself = F.array(tagged("self", F.col("timeframe"), minutes, here, none))
+    bar = F.array(tagged("bar", F.col("timeframe"), minutes, shifted(slot, minutes), none))
+    roles = F.when(F.col("timeframe") == F.col("_base"), F.concat(itself, wanted)).when(minutes > F.col("_base_minutes"), bar)
+    rows = known.select("symbol", "ts", (F.col("ts") == slot).alias("_on_grid"), *columns, F.explode(roles).alias("_r"))
+    laid = rows.select("symbol", "ts", "_on_grid", *columns, "_r.*").withColumn("_piece", F.explode("pieces")).drop("pieces")
     # Each bar is looked back on for its own length, told by how far it reaches.
-    window = (
-        Window.partitionBy("symbol", "timeframe", "_piece")
-        .orderBy("_at")
-        .rangeBetween(Window.unboundedPreceding, 0)
-    )
-    fresh = {}
-    for c in columns:
-        # Ties at one slot go to the later bar, as the last of the slot.
-        value = F.when((F.col("_kind") == "bar") & F.col(c).isNotNull(), F.struct("_at", "ts", F.col(c).alias("x")))
-        fresh[f"_{c}"] = F.max(value).over(window)
-    fresh["_end"] = F.max(F.when(F.col("_kind") == "end", F.col("_at"))).over(window)
-    found = laid.withColumns(fresh).filter(F.col("_kind") == "base")
-    alive = F.coalesce(F.col("_at") <= F.col("_end"), F.lit(True)) & (F.col("ts") == slot)
-    if mode == "closed":
-        alive = F.lit(True)
+    window = Window.partitionBy("symbol", "timeframe", "_piece").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    # Ties at one slot go to the later bar, as the last of the slot.
+    fresh = {f"_{c}": F.max(F.when((F.col("kind") == "bar") & F.col(c).isNotNull(), F.struct("at", "ts", F.col(c).alias("x")))).over(window) for c in columns}
+    found = laid.withColumns(fresh).filter(F.col("kind") != "bar")
+    alive = F.lit(True) if mode == "closed" else F.coalesce((F.col("at") <= F.col("end")) & F.col("_on_grid"), F.lit(False))
     picked = {
-        c: F.when(alive & (F.col("_at") - F.col(f"_{c}")["_at"] <= F.col("_reach")), F.col(f"_{c}")["x"])
+        c: F.when(F.col("kind") == "self", F.col(c)).when(alive & (F.col("at") - F.col(f"_{c}")["at"] <= F.col("reach")), F.col(f"_{c}")["x"])
         for c in columns
     }
-    return out.unionByName(found.withColumns(picked).select("symbol", "timeframe", "ts", *columns))
-
-
-def with_symbol_table(df: DataFrame, table: DataFrame) -> DataFrame:
-    """Join one row per symbol to rows of a symbol, spread over months."""
-    spread = df.withColumn("_month", F.date_trunc("month", "ts"))
-    months = spread.select("symbol", "_month").distinct()
-    return join_keys(spread, join_keys(months, table, ["symbol"]), ["symbol", "_month"]).drop("_month")
+    return found.select("symbol", "timeframe", "ts", *[x.alias(c) for c, x in picked.items()])
 
 
 def quarterly_from_monthly(df: DataFrame, columns: Sequence[str] = BARS) -> DataFrame:
