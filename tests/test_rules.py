@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -369,3 +370,12 @@ def test_regimes_are_settled(spark):
     centres = np.array([points[label == c].mean(0) for c in range(label.max() + 1)])
     nearest = ((points[:, None] - centres[None]) ** 2).sum(2).argmin(1)
     assert (nearest == label).all()
+
+
+def test_regimes_do_not_depend_on_the_partitions(spark):
+    rng = np.random.default_rng(12)
+    n = 120
+    rows = [("x", "1d", dt.datetime(2000, 1, 1) + dt.timedelta(days=i), *map(float, rng.normal(size=3))) for i in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, timeframe string, ts timestamp_ntz, volatility double, trend_strength double, volume double")
+    found = [model.market_regime(df.repartition(parts)).orderBy("ts").select("regime").collect() for parts in (1, 7)]
+    assert found[0] == found[1] and len(set(found[0])) > 1

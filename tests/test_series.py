@@ -335,3 +335,15 @@ def test_winsorize_reads_its_input_three_times(spark, walk, tmp_path):
     plan = clean.winsorize(stored)._jdf.queryExecution().optimizedPlan().toString()
     # Digits are counted in a job of its own; what is left reads the bars for the ranking and for the clipping.
     assert len(re.findall(r"Relation \[symbol#\d+,timeframe#\d+,ts#", plan)) == 2
+
+
+def test_staged_folders_can_be_dropped(spark, walk):
+    import os
+
+    df, _ = walk
+    before = set(series.staged_paths(spark))
+    assert series.staged(df, "gone").count() == df.count()
+    made = [p for p in series.staged_paths(spark) if p not in before]
+    assert len(made) == 1 and os.path.isdir(made[0])
+    series.drop_staged(spark, made)
+    assert not os.path.exists(made[0]) and set(series.staged_paths(spark)) == before

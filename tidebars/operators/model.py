@@ -11,16 +11,18 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebars.operators.clean import finite, numeric_columns
+from tidebars.operators.clean import finite, numeric_columns, quantiles
 from tidebars.operators.indicators import Indicator, with_indicators
 from tidebars.series import (
     BLOCK_ROWS,
     CHUNK,
     SERIES,
     block_window,
+    drop_staged,
     join_keys,
     require_columns,
     staged,
+    staged_paths,
     trailing,
     with_chunk,
     with_position,
@@ -168,7 +170,9 @@ def market_regime(
 
     cuts = sorted({i / k for k in ks for i in range(1, k)})
     along = F.aggregate("_x", F.lit(0.0), lambda a, v: a + v)
-    spots = enough.groupBy(*keys).agg(F.percentile_approx(along, cuts, 1000).alias("_cuts"))
+    # Exact cuts: the start, and so the clusters, are the same however the rows are dealt out.
+    spots = quantiles(enough.select(*keys, along.alias("_along")), ["_along"], cuts, keys)
+    spots = spots.select(*keys, F.array(*[f"_along_q{i}" for i in range(len(cuts))]).alias("_cuts"))
     means = F.array(*[F.avg(F.get("_x", F.lit(i))) for i in range(dims)]).alias("at")
     members = F.collect_list(F.struct("k", "c", "at")).alias("_centres")
 
@@ -191,12 +195,14 @@ def market_regime(
         joined = join_keys(enough, join_keys(chunks, table, keys), chunk_keys)
         return joined.select(*keys, "_x", nearest).select(*keys, "_x", "_a.k", "_a.near.*")
 
-    moving = True
+    moving, moves = True, None
     while moving:
         found = assigned(centres).groupBy(*keys, "k", "c").agg(means).withColumnRenamed("at", "_to")
         held = centres.select(*keys, F.inline("_centres"))
         moved = join_keys(held, found, [*keys, "k", "c"], "left").withColumn("_to", F.coalesce("_to", "at"))
-        moved = staged(moved, "moved")
+        moved, earlier = staged(moved, "moved"), moves
+        moves = staged_paths(df.sparkSession)[-1]
+        drop_staged(df.sparkSession, [earlier] if earlier else [])  # the centres before these aren't read again
         far = moved.agg(F.max(_distance(F.col("at"), F.col("_to")))).first()[0]  # one number
         moving = far is not None and far > SETTLED * SETTLED
         centres = moved.withColumn("at", F.col("_to")).groupBy(*keys).agg(members)  # a row per centre is read again

@@ -260,17 +260,37 @@ def new_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+_STAGED: dict[str, list[str]] = {}
+
+
+def staged_paths(spark: SparkSession) -> list[str]:
+    """The folders that this application has written by `staged` and not dropped, in order."""
+    return _STAGED.setdefault(spark.sparkContext.applicationId, [])
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where a plan reads its input several times (carries, whole-series
     aggregates): the input is computed once and later reads prune columns.
+    The folder stays until `drop_staged`.
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    staged_paths(df.sparkSession).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession, paths: Sequence[str] | None = None) -> None:
+    """Remove staged folders, all of them by default: for callers who have written what they wanted of a plan."""
+    known = staged_paths(spark)
+    for path in list(known if paths is None else paths):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        if path in known:
+            known.remove(path)
+
+
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fail, before any job runs, when a column is missing."""
     missing = [c for c in columns if c not in df.columns]
