@@ -52,14 +52,6 @@ def letters() -> np.ndarray:
     return table
 
 
-def spelt(data: np.ndarray, words: W.Words) -> pa.StringArray:
-    """The words of a batch as strings."""
-    offsets = np.zeros(len(words.starts) + 1, np.int32)
-    np.cumsum(words.ends - words.starts, out=offsets[1:])
-    inside = np.repeat(words.starts - offsets[:-1], np.diff(offsets)) + np.arange(offsets[-1])
-    return pa.StringArray.from_buffers(len(words.starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[inside])))
-
-
 def group_numbers(rows: pa.RecordBatch, columns: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Per row the number of its group, and per group one of its rows."""
     number = np.zeros(rows.num_rows, np.int64)
@@ -81,7 +73,7 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
             found = W.find_words(data, part.offsets, table)
             if not len(found.starts):
                 continue
-            coded = spelt(data, found).dictionary_encode()
+            coded = W.spelt(data, found).dictionary_encode()
             size = len(coded.dictionary)
             in_row, times = np.unique(found.row() * size + coded.indices.to_numpy(), return_counts=True)
             group, first = group_numbers(part.rows, (0, 1))

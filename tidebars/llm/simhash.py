@@ -115,14 +115,14 @@ def bucket_of(fp: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def flips(radius: int) -> np.ndarray:
-    """Every mask of at most ``radius`` bits."""
-    return np.array([sum(1 << i for i in c) for k in range(radius + 1) for c in combinations(range(64), k)], U)
+def flips(radius: int, width: int = 64) -> np.ndarray:
+    """Every mask of at most ``radius`` of the lowest ``width`` bits."""
+    return np.array([sum(1 << i for i in c) for k in range(radius + 1) for c in combinations(range(width), k)], U)
 
 
-def links_in(fps: np.ndarray, bucket: int, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def links_in(fps: np.ndarray, bucket: int, bits: int, radius: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Links (larger, smaller) of the fingerprints that share a variant in a bucket."""
-    masks = flips(radius)
+    masks = flips(radius, width)
     kinds = bucket_of(masks, bits)
     order = np.argsort(kinds, kind="stable")
     masks, kinds = masks[order], kinds[order]
@@ -165,20 +165,22 @@ def links_in(fps: np.ndarray, bucket: int, bits: int, radius: int) -> tuple[np.n
     return pairs[:, 0], pairs[:, 1]
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = MAX_BITS, width: int = 64, kinds: int = 1) -> DataFrame:
     """Distinct ``(a, b)`` of the distinct ``fp`` column, which connect what lies within ``max_bits`` bits.
 
     Each link joins two fingerprints of at most ``max_bits`` different bits, and
     any two such fingerprints are connected, though not always directly.
-    ``max_bits`` is even.  Null fingerprints link nothing.
+    ``max_bits`` is even.  Null fingerprints link nothing.  Fingerprints of
+    less than 64 bits lie in the lowest ``width``; those that differ in the bits above are never linked.
     """
     if max_bits % 2 or max_bits < 2:
         raise ValueError("max_bits must be a positive even number")
     radius = max_bits // 2
     distinct = fps.where("fp is not null").select("fp").distinct()
-    variants = distinct.count() * len(flips(radius))
-    bits = min(30, max(4, math.ceil(math.log2(max(variants, 1) / VARIANTS_PER_BUCKET))))
-    reach = np.unique(bucket_of(flips(radius), bits))
+    masks = flips(radius, width)
+    variants = distinct.count() * len(masks)
+    bits = min(30, max(4, math.ceil(math.log2(max(variants // kinds, 1) / VARIANTS_PER_BUCKET))))
+    reach = np.unique(bucket_of(masks, bits))
     sent = pa.schema([("bucket", pa.int64()), ("fp", pa.int64())])
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -188,11 +190,13 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             for a in range(0, len(fp), 4096):
                 part = fp[a : a + 4096]
                 to = bucket_of(part.view(U), bits)[:, None] ^ reach[None, :]
+                if width < 64:
+                    to |= (part >> width)[:, None] << 32
                 yield W.record_batch(sent, [to.ravel(), np.repeat(part, len(reach))])
 
     def meet(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy().astype(np.int64).view(U)
-        a, b = links_in(fp, table.column("bucket")[0].as_py(), bits, radius)
+        a, b = links_in(fp, table.column("bucket")[0].as_py() & 0xFFFFFFFF, bits, radius, width)
         return pa.Table.from_batches([W.record_batch(out, [a.view(np.int64), b.view(np.int64)])])
 
     return distinct.mapInArrow(send, "bucket bigint, fp bigint").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
@@ -204,7 +208,9 @@ def first_rows(prints: DataFrame, key: str, edges: DataFrame) -> DataFrame:
     row = F.struct(F.coalesce(key, F.lit(NO_KEY)).alias("key"), "copy")
     least = prints.groupBy("fp").agg(F.min(row).alias("first"))
     grouped = least.join(nodes, least["fp"] == nodes["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    roots = grouped.groupBy("root").agg(F.min("first").alias("first"))
+    # Both sides are written, so the join is one of two plain exchanges, which Spark splits where a component is large.
+    grouped = staged(grouped, "grouped")
+    roots = staged(grouped.groupBy("root").agg(F.min("first").alias("first")), "roots")
     return grouped.select("fp", "root").join(roots, "root").select("fp", "first")
 
 

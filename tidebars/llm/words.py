@@ -15,6 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 2 << 20
 
@@ -126,15 +127,38 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span."""
+    """A 64-bit hash of values[start:end] for each span.
+
+    For spans of a few hundred hashes at most: sums modulo a power of two agree on some long sequences of two values.
+    """
     up, down = powers(base, len(values) + 1)
     sums = np.zeros(len(values) + 1, U)
     np.cumsum((values.astype(U) + U(1)) * up[: len(values)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] ^ (ends - starts).astype(U) * U(0xFF51AFD7ED558CCD))
 
 
+def spelt(data: np.ndarray, words: Words) -> pa.StringArray:
+    """The words of a batch as strings."""
+    offsets = np.zeros(len(words.starts) + 1, np.int32)
+    np.cumsum(words.ends - words.starts, out=offsets[1:])
+    inside = np.repeat(words.starts - offsets[:-1], np.diff(offsets)) + np.arange(offsets[-1])
+    return pa.StringArray.from_buffers(len(words.starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[inside])))
+
+
 def word_hashes(data: np.ndarray, words: Words) -> np.ndarray:
-    return span_hashes(data, words.starts, words.ends, BYTE_BASE)
+    """XXH64 of each word's bytes; every different word of the batch, told by its bytes, is hashed once."""
+    if not len(words.starts):
+        return np.zeros(0, U)
+    coded = spelt(data, words).cast(pa.binary()).dictionary_encode()
+    hashed = xxhash.xxh64_intdigest
+    return np.fromiter((hashed(w) for w in coded.dictionary.to_pylist()), U, len(coded.dictionary))[coded.indices.to_numpy()]
+
+
+def sequence_hashes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """XXH64 of each row's word hashes, in order; ``first`` are the numbers of the rows' first words, with the end."""
+    view, hashed = memoryview(np.ascontiguousarray(hashes).view(np.uint8)), xxhash.xxh64_intdigest
+    bounds = (8 * first).tolist()
+    return np.fromiter((hashed(view[a:b]) for a, b in zip(bounds, bounds[1:])), U, len(first) - 1)
 
 
 def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
