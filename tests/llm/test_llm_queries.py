@@ -36,7 +36,7 @@ def run(spark, sf_dir):
 
 
 def test_registered():
-    names = {f"op{n}_" for n in range(1, 11)}
+    names = {f"op{n}_" for n in range(1, 14)}
     assert names == {re.match(r"op\d+_", q)[0] for q in queries.QUERIES if q != "pipeline"}
     assert set(queries.QUERIES) <= set(entry.queries()) and "pipeline" in queries.QUERIES
 
