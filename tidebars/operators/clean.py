@@ -13,7 +13,6 @@ from tidebars.series import (
     BLOCK_ROWS,
     CHUNK,
     SERIES,
-    attach,
     epoch_micros,
     join_keys,
     require_columns,
