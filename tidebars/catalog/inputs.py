@@ -31,7 +31,14 @@ def query(name: str, sql: str | None = None, dates: tuple[str, ...] = ()):
 
 
 def _as_text(column: str):
-    return lambda: F.col(column).cast("string")
+    """Year, month and day as the SQL writes them: years before the first count back from 1 and are marked, long ones have no sign."""
+    def text():
+        day, year = F.col(column), F.year(column)
+        counted = F.format_string("%04d-%02d-%02d", F.when(year < 1, 1 - year).otherwise(year), F.month(column), F.day(column))
+        odd = F.concat(counted, F.when(year < 1, " (BC)").otherwise(""))
+        return F.when(year.between(1, 9999), day.cast("string")).when(day.isNotNull(), odd)
+
+    return text
 
 
 _SCHEMAS: dict = {}
