@@ -17,8 +17,9 @@ distinct and flips move between buckets, so neither copies nor a cloud of near
 copies make a bucket large.
 
 Within a bucket, the fingerprints around one variant are linked to the
-smallest of them and not to one another, which keeps every connection with a
-number of links below the number of variants.
+smallest of them, and of these links only a forest is kept: as many as connect
+what all of them connect.  A fingerprint adds one link to a bucket at most,
+however many others are close to it.
 """
 
 from __future__ import annotations
@@ -120,8 +121,25 @@ def flips(radius: int, width: int = 64) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for k in range(radius + 1) for c in combinations(range(width), k)], U)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of links ``(a, b)`` that connect what all of them connect, fewer than there are ends: none closes a circle."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    root, left, taken = np.arange(len(names)), np.arange(len(a)), []
+    while True:
+        left = left[root[x[left]] != root[y[left]]]
+        if not len(left):
+            return np.sort(np.concatenate([np.zeros(0, np.int64), *taken]))
+        low, high = np.minimum(root[x[left]], root[y[left]]), np.maximum(root[x[left]], root[y[left]])
+        hung, at = np.unique(high, return_index=True)  # each tree that has a smaller neighbour hangs on one
+        taken.append(left[at])
+        root[hung] = low[at]
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def links_in(fps: np.ndarray, bucket: int, bits: int, radius: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Links (larger, smaller) of the fingerprints that share a variant in a bucket."""
+    """Links (larger, smaller) that connect the fingerprints that share a variant in a bucket."""
     masks = flips(radius, width)
     kinds = bucket_of(masks, bits)
     order = np.argsort(kinds, kind="stable")
@@ -161,8 +179,9 @@ def links_in(fps: np.ndarray, bucket: int, bits: int, radius: int, width: int =
     least = owner[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
     apart = np.bitwise_count(owner ^ least)
     keep = (apart > 0) & (apart <= 2 * radius)
-    pairs = np.unique(np.stack([owner[keep], least[keep]], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    owner, least = owner[keep], least[keep]
+    kept = forest(owner, least)
+    return owner[kept], least[kept]
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, width: int = 64, kinds: int = 1) -> DataFrame:
