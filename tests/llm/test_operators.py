@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import struct
 from collections import Counter
@@ -12,7 +13,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidebars.llm import arc, classifier, decontaminate, html_text, line_dedup, pieces, quality_rules, simhash, substrings, toxicity
+from tidebars.llm import arc, classifier, decontaminate, html_text, line_dedup, pieces, quality_rules, simhash, staging, substrings, toxicity
+from tidebars.llm import components as components_of
 from tidebars.llm import words as W
 from tidebars.llm.components import components
 
@@ -106,6 +108,40 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 61)} | {i: 100 for i in range(100, 140)}
 
 
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_components_take_few_joins_and_no_broadcast(spark, monkeypatch, block):
+    """Near copies make far more links than nodes; the rounds join few of them, and never by way of the driver."""
+    rng = random.Random(8)
+    edges = [(100 * g + rng.randrange(30), 100 * g + rng.randrange(30)) for g in range(40) for _ in range(150)]
+    plans, written = [], []
+
+    def stage(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = staging.staged(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(components_of, "staged", stage)
+    monkeypatch.setattr(components_of, "BLOCK_EDGES", block, raising=False)
+    rows = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert Counter((r["node"], r["component"]) for r in rows) == Counter((x, x // 100 * 100 + min(y % 100 for e in edges for y in e if y // 100 == x // 100)) for x in {y for e in edges for y in e})
+    assert not any("Broadcast" in p for p in plans)
+    assert sum("Join" in p for p in plans) <= (0 if block > len(edges) else 8)
+    assert len(written) == 2 or block < len(edges)
+
+
+def test_stars_of_links(spark):
+    """Arrays of nodes count as links of each to the same, and connect what single links do."""
+    made = spark.createDataFrame([([5, 7], 3), ([9], 7), ([12], 11)], "a array<bigint>, b bigint")
+    assert {r["node"]: r["component"] for r in components(made).collect()} == {3: 3, 5: 3, 7: 3, 9: 3, 11: 11, 12: 11}
+    assert components(made.limit(0)).count() == 0
+    rng = np.random.default_rng(5)
+    base = [int(x) for x in rng.integers(0, 1 << 40, 30)]
+    prints = spark.createDataFrame([(b ^ (1 << int(i)),) for b in base for i in rng.integers(0, 40, 6)], "fp bigint")
+    parts = [{r["node"]: r["component"] for r in components(simhash.links(prints, 4, 40, stars=s)).collect()} for s in (True, False)]
+    assert parts[0] == parts[1] and len(parts[0]) > 100
+
+
 # Substring dedup
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.llm import words as W
-from tidebars.llm.components import components
+from tidebars.llm.components import components, forest, trees
 from tidebars.llm.rows import packed, unpacked
 from tidebars.llm.staging import staged
 
@@ -121,23 +121,6 @@ def flips(radius: int, width: int = 64) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for k in range(radius + 1) for c in combinations(range(width), k)], U)
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Places of links ``(a, b)`` that connect what all of them connect, fewer than there are ends: none closes a circle."""
-    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = ends[: len(a)], ends[len(a) :]
-    root, left, taken = np.arange(len(names)), np.arange(len(a)), []
-    while True:
-        left = left[root[x[left]] != root[y[left]]]
-        if not len(left):
-            return np.sort(np.concatenate([np.zeros(0, np.int64), *taken]))
-        low, high = np.minimum(root[x[left]], root[y[left]]), np.maximum(root[x[left]], root[y[left]])
-        hung, at = np.unique(high, return_index=True)  # each tree that has a smaller neighbour hangs on one
-        taken.append(left[at])
-        root[hung] = low[at]
-        while (root[root] != root).any():
-            root = root[root]
-
-
 def links_in(fps: np.ndarray, bucket: int, bits: int, radius: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Links (larger, smaller) that connect the fingerprints that share a variant in a bucket."""
     masks = flips(radius, width)
@@ -184,13 +167,14 @@ def links_in(fps: np.ndarray, bucket: int, bits: int, radius: int, width: int =
     return owner[kept], least[kept]
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, width: int = 64, kinds: int = 1) -> DataFrame:
-    """Distinct ``(a, b)`` of the distinct ``fp`` column, which connect what lies within ``max_bits`` bits.
+def links(fps: DataFrame, max_bits: int = MAX_BITS, width: int = 64, kinds: int = 1, stars: bool = False) -> DataFrame:
+    """``(a, b)`` of the distinct ``fp`` column, which connect what lies within ``max_bits`` bits; buckets may repeat a link.
 
     Each link joins two fingerprints of at most ``max_bits`` different bits, and
     any two such fingerprints are connected, though not always directly.
     ``max_bits`` is even.  Null fingerprints link nothing.  Fingerprints of
     less than 64 bits lie in the lowest ``width``; those that differ in the bits above are never linked.
+    With ``stars`` each tree of a bucket's links is one row, ``a`` the array of all its fingerprints but the smallest, ``b``.
     """
     if max_bits % 2 or max_bits < 2:
         raise ValueError("max_bits must be a positive even number")
@@ -201,7 +185,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, width: int = 64, kinds: int
     bits = min(30, max(4, math.ceil(math.log2(max(variants // kinds, 1) / VARIANTS_PER_BUCKET))))
     reach = np.unique(bucket_of(masks, bits))
     sent = pa.schema([("bucket", pa.int64()), ("fp", pa.int64())])
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    out = pa.schema([("a", pa.list_(pa.int64()) if stars else pa.int64()), ("b", pa.int64())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,21 +200,28 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, width: int = 64, kinds: int
     def meet(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy().astype(np.int64).view(U)
         a, b = links_in(fp, table.column("bucket")[0].as_py() & 0xFFFFFFFF, bits, radius, width)
-        return pa.Table.from_batches([W.record_batch(out, [a.view(np.int64), b.view(np.int64)])])
+        a, b = a.view(np.int64), b.view(np.int64)
+        if stars:
+            names, root, _ = trees(a, b)
+            order = np.argsort(root, kind="stable")  # a tree's smallest is its first
+            first, n = np.unique(root[order], return_counts=True)
+            rest = order[root[order] != order]
+            a, b = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n - 1)].astype(np.int32)), pa.array(names[rest])), names[first]
+        return pa.Table.from_batches([W.record_batch(out, [a, b])])
 
-    return distinct.mapInArrow(send, "bucket bigint, fp bigint").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
+    found = distinct.mapInArrow(send, "bucket bigint, fp bigint").groupBy("bucket")
+    return found.applyInArrow(meet, f"a {'array<bigint>' if stars else 'bigint'}, b bigint")
 
 
-def first_rows(prints: DataFrame, key: str, edges: DataFrame) -> DataFrame:
-    """``(fp, first)``: the first row, by key (null last) and text, of all that ``edges(a, b)`` link the fingerprint to."""
-    nodes = components(edges)
+def first_rows(prints: DataFrame, key: str, nodes: DataFrame) -> DataFrame:
+    """``(fp, first)``: the first row, by key (null last) and text, of the fingerprint's component in ``nodes(node, component)``."""
     row = F.struct(F.coalesce(key, F.lit(NO_KEY)).alias("key"), "copy")
     least = prints.groupBy("fp").agg(F.min(row).alias("first"))
     grouped = least.join(nodes, least["fp"] == nodes["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     # Both sides are written, so the join is one of two plain exchanges, which Spark splits where a component is large.
     grouped = staged(grouped, "grouped")
     roots = staged(grouped.groupBy("root").agg(F.min("first").alias("first")), "roots")
-    return grouped.select("fp", "root").join(roots, "root").select("fp", "first")
+    return grouped.select("fp", "root").join(roots.hint("merge"), "root").select("fp", "first")
 
 
 def near_duplicates(
@@ -245,7 +236,8 @@ def near_duplicates(
     """
     prints = staged(fingerprints(docs, key, text, shingle_words), "fingerprints")
     least = F.nullif(F.col("first.key"), F.lit(NO_KEY)).alias("component")
-    return prints.join(first_rows(prints, key, links(prints, max_bits)), "fp").select(key, "fp", least)
+    nodes = components(links(prints, max_bits))
+    return prints.join(first_rows(prints, key, nodes), "fp").select(key, "fp", least)
 
 
 def hex_fingerprint(fp: str = "fp"):
@@ -261,6 +253,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     and values are those of ``docs``.
     """
     prints = staged(fingerprints(docs, key, text), "fingerprints")
-    firsts = first_rows(prints, key, links(prints, MAX_BITS)).select(F.col("first.key").alias("_k"), F.col("first.copy").alias("_c")).distinct()
+    nodes = components(links(prints, MAX_BITS))
+    firsts = first_rows(prints, key, nodes).select(F.col("first.key").alias("_k"), F.col("first.copy").alias("_c")).distinct()
     stamped = docs.select(packed(docs.columns), F.coalesce(F.col(key), F.lit(NO_KEY)).alias("_k"), F.xxhash64(text).alias("_c"))
     return unpacked(stamped.join(firsts, ["_k", "_c"], "left_semi").dropDuplicates(["_k", "_c"]), docs.columns)
