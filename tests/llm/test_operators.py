@@ -142,6 +142,37 @@ def test_stars_of_links(spark):
     assert parts[0] == parts[1] and len(parts[0]) > 100
 
 
+def data_size(plan):
+    """Bytes that the exchanges of an adaptive plan that has run have written, without what compression saves."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return data_size(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return data_size(plan.plan())
+    own = plan.metrics().apply("dataSize").value() if name == "Exchange" else 0
+    return own + sum(data_size(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+@pytest.mark.parametrize(("width", "kinds"), [(40, 16), (64, 1), (20, 2)])
+def test_links_of_many_buckets_are_sent_to_few_parts(spark, monkeypatch, width, kinds):
+    """What buckets send grows slower than the buckets, and all links are there, between fingerprints of one kind only."""
+    rng = np.random.default_rng(6)
+    base = [int(x) for x in rng.integers(0, 1 << min(width, 62), 200)]
+    prints = {(b ^ sum(1 << int(i) for i in rng.choice(width, n % 5, replace=False))) | (b % kinds << width) for b in base for n in range(5)}
+    monkeypatch.setattr(simhash, "VARIANTS_PER_BUCKET", 1 << 10)
+    monkeypatch.setattr(simhash, "LEAST_PARTS", 16, raising=False)
+    monkeypatch.setattr(simhash, "SENT_AT_ONCE", 40_000, raising=False)
+    edges = simhash.links(spark.createDataFrame([(signed(p),) for p in prints], "fp bigint"), 4, width, kinds)
+    found = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in edges.collect()]
+    assert 0 < data_size(edges._jdf.queryExecution().executedPlan()) < 400 * len(prints)
+    assert all(a >> width == b >> width and (a ^ b).bit_count() <= 4 for a, b in found)
+    names, root, _ = components_of.trees(*(np.array(x, np.uint64) for x in zip(*found, strict=True)))
+    parts = {int(p): int(names[r]) for p, r in zip(names, root, strict=True)}
+    want = {p: root for k in range(kinds) for p, root in groups({p for p in prints if p >> width == k}, 4).items()}
+    sizes = Counter(want.values())
+    assert parts == {p: root for p, root in want.items() if sizes[root] > 1}
+
+
 # Substring dedup
 
 

@@ -9,12 +9,16 @@ the same.)
 
 The shuffle is on the variants.  A variant's bucket is made of the parities of
 ``b`` groups of its bits; flipping one bit changes one parity.  A fingerprint's
-variants thus lie in ``1 + b + b(b-1)/2`` buckets at most, and it is sent once
-to each of these; the bucket's task spells out those of its variants that
-belong there.  ``b`` grows with the number of fingerprints so that a bucket
-holds about ``VARIANTS_PER_BUCKET`` variants at every size.  Fingerprints are
-distinct and flips move between buckets, so neither copies nor a cloud of near
-copies make a bucket large.
+variants thus lie in ``1 + b + b(b-1)/2`` buckets at most.  ``b`` grows with the
+number of fingerprints so that a bucket holds about ``VARIANTS_PER_BUCKET``
+variants at every size.  Fingerprints are distinct and flips move between buckets,
+so neither copies nor a cloud of near copies make a bucket large.
+
+Buckets that agree in their first parities are one task's: a fingerprint is sent
+once to each such part that has a variant of it, in the bytes it fills, and the
+task spells the variants out bucket by bucket.  A part has about
+``PRINTS_PER_PART`` fingerprints at most, many times a bucket's, so a fingerprint
+goes to fewer parts than buckets.
 
 Within a bucket, the fingerprints around one variant are linked to the
 smallest of them, and of these links only a forest is kept: as many as connect
@@ -43,6 +47,8 @@ SHINGLE_WORDS = 4
 MAX_BITS = 4
 SEED = 42
 VARIANTS_PER_BUCKET = 1 << 22
+#: Fingerprints that a task holds at once; parts there are at least, for tasks to work side by side; rows that `packed_parts` sorts at once.
+PRINTS_PER_PART, LEAST_PARTS, SENT_AT_ONCE = 1 << 21, 256, 1 << 20
 NO_KEY = 2**63 - 1
 
 U = np.uint64
@@ -121,40 +127,34 @@ def flips(radius: int, width: int = 64) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for k in range(radius + 1) for c in combinations(range(width), k)], U)
 
 
-def links_in(fps: np.ndarray, bucket: int, bits: int, radius: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Links (larger, smaller) that connect the fingerprints that share a variant in a bucket."""
-    masks = flips(radius, width)
-    kinds = bucket_of(masks, bits)
-    order = np.argsort(kinds, kind="stable")
-    masks, kinds = masks[order], kinds[order]
-    wanted = bucket_of(fps, bits) ^ bucket
-    lo, hi = np.searchsorted(kinds, wanted, "left"), np.searchsorted(kinds, wanted, "right")
-    variants = np.empty(int((hi - lo).sum()), U)
-    at, pieces = 0, []
-    for a, b in sorted(set(zip(lo.tolist(), hi.tolist(), strict=True))):
-        rows = np.flatnonzero((lo == a) & (hi == b))
-        size = len(rows) * (b - a)
-        np.bitwise_xor(fps[rows][:, None], masks[None, a:b], out=variants[at : at + size].reshape(len(rows), b - a))
-        pieces.append((at, rows, b - a))
+def links_around(pieces: list[tuple[np.ndarray, np.ndarray]], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (larger, smaller) that connect what shares a variant; ``pieces`` are fingerprints with the flips that make their variants."""
+    none = np.zeros(0, U)
+    variants = np.empty(sum(len(some) * len(masks) for some, masks in pieces), U)
+    at = 0
+    for some, masks in pieces:
+        size = len(some) * len(masks)
+        np.bitwise_xor(some[:, None], masks[None, :], out=variants[at : at + size].reshape(len(some), len(masks)))
         at += size
     # Most variants are alone: a sorted copy shows which are not, a table of their low bits finds these.
     ordered = np.sort(variants)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    none = np.zeros(0, U)
     if not len(twice):
         return none, none
     table = np.zeros(1 << 24, bool)
     table[(W.mix(twice) & U((1 << 24) - 1)).astype(np.int64)] = True
-    owners, shared = [], []
-    for at, rows, width in pieces:
-        for a in range(0, len(rows), max(1, (1 << 20) // width)):
-            some = rows[a : a + max(1, (1 << 20) // width)]
+    owners, shared, at = [], [], 0
+    for fps, masks in pieces:
+        width = len(masks)
+        for a in range(0, len(fps), max(1, (1 << 20) // width)):
+            some = fps[a : a + max(1, (1 << 20) // width)]
             v = variants[at + a * width : at + (a + len(some)) * width]
             near = np.flatnonzero(table[(W.mix(v) & U((1 << 24) - 1)).astype(np.int64)])
             place = np.minimum(np.searchsorted(twice, v[near]), len(twice) - 1)
             hit = twice[place] == v[near]
-            owners.append(fps[some[near[hit] // width]])
+            owners.append(some[near[hit] // width])
             shared.append(place[hit])
+        at += len(fps) * width
     owner, group = np.concatenate(owners), np.concatenate(shared)
     order = np.lexsort((owner, group))
     owner, group = owner[order], group[order]
@@ -167,39 +167,100 @@ def links_in(fps: np.ndarray, bucket: int, bits: int, radius: int, width: int =
     return owner[kept], least[kept]
 
 
+def links_in(fps: np.ndarray, part: int, bits: int, radius: int, width: int = 64, part_bits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (larger, smaller) that connect the fingerprints that share a variant in a part: all buckets whose first ``part_bits`` bits are ``part``."""
+    part_bits = bits if part_bits is None else part_bits
+    masks = flips(radius, width)
+    kinds = bucket_of(masks, bits)
+    order = np.argsort(kinds, kind="stable")
+    masks = masks[order]
+    reach, first = np.unique(kinds[order], return_index=True)
+    ends = np.r_[first[1:], len(masks)]
+    own = bucket_of(fps, bits)
+    order = np.argsort(own, kind="stable")
+    fps, own = fps[order], own[order]
+    found = []
+    for rest in range(1 << (bits - part_bits)):
+        wanted = reach ^ (part | rest << part_bits)
+        lo, hi = np.searchsorted(own, wanted, "left"), np.searchsorted(own, wanted, "right")
+        found.append(links_around([(fps[a:b], masks[c:d]) for a, b, c, d in zip(lo, hi, first, ends, strict=True) if b > a], radius))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    if len(found) > 1:
+        kept = forest(a, b)
+        a, b = a[kept], b[kept]
+    return a, b
+
+
+def bytes_of(width: int) -> int:
+    """Bytes that a fingerprint is sent in; the 32 bits or fewer above ``width`` go with the part."""
+    return 8 if width < 32 else -(-width // 8)
+
+
+def packed_parts(fps: np.ndarray, reach: np.ndarray, bits: int, part_bits: int, width: int = 64) -> tuple[np.ndarray, pa.Array]:
+    """Parts that hold variants of some of the fingerprints, and of each part these, in `bytes_of` bytes each.
+
+    What a fingerprint has above ``width`` bits stands in its parts' numbers, above 32 bits.
+    """
+    part = bucket_of(fps, bits) & ((1 << part_bits) - 1)
+    if 32 <= width < 64:
+        part |= (fps >> U(width)).astype(np.int64) << 32
+    parts = (part[:, None] ^ reach[None, :]).ravel()
+    order = np.argsort(parts, kind="stable")
+    parts, first = np.unique(parts[order], return_index=True)
+    each = bytes_of(width)
+    data = fps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :each][order // len(reach)]
+    offsets = (np.r_[first, len(order)] * each).astype(np.int32)
+    return parts, pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def unpacked_part(rows: pa.ChunkedArray, part: int, width: int = 64) -> np.ndarray:
+    """The fingerprints of a part from its rows of `packed_parts`."""
+    each = bytes_of(width)
+    data = np.frombuffer(b"".join(x.as_py() for x in rows), np.uint8).reshape(-1, each)
+    made = np.zeros((len(data), 8), np.uint8)
+    made[:, :each] = data
+    fps = made.view("<u8").ravel().astype(U)
+    return fps | U((part >> 32 & 0xFFFFFFFF) << width) if 32 <= width < 64 else fps
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS, width: int = 64, kinds: int = 1, stars: bool = False) -> DataFrame:
-    """``(a, b)`` of the distinct ``fp`` column, which connect what lies within ``max_bits`` bits; buckets may repeat a link.
+    """``(a, b)`` of the distinct ``fp`` column, which connect what lies within ``max_bits`` bits; parts may repeat a link.
 
     Each link joins two fingerprints of at most ``max_bits`` different bits, and
     any two such fingerprints are connected, though not always directly.
     ``max_bits`` is even.  Null fingerprints link nothing.  Fingerprints of
     less than 64 bits lie in the lowest ``width``; those that differ in the bits above are never linked.
-    With ``stars`` each tree of a bucket's links is one row, ``a`` the array of all its fingerprints but the smallest, ``b``.
+    With ``stars`` each tree of a part's links is one row, ``a`` the array of all its fingerprints but the smallest, ``b``.
     """
     if max_bits % 2 or max_bits < 2:
         raise ValueError("max_bits must be a positive even number")
     radius = max_bits // 2
     distinct = fps.where("fp is not null").select("fp").distinct()
     masks = flips(radius, width)
-    variants = distinct.count() * len(masks)
-    bits = min(30, max(4, math.ceil(math.log2(max(variants // kinds, 1) / VARIANTS_PER_BUCKET))))
-    reach = np.unique(bucket_of(masks, bits))
-    sent = pa.schema([("bucket", pa.int64()), ("fp", pa.int64())])
+    each = distinct.count() // kinds
+    bits = min(30, max(4, math.ceil(math.log2(max(each * len(masks), 1) / VARIANTS_PER_BUCKET))))
+    reached = [np.unique(bucket_of(masks, bits) & ((1 << n) - 1)) for n in range(bits + 1)]
+    part_bits = next((n for n in range(bits) if kinds << n >= LEAST_PARTS and each * len(reached[n]) >> n <= PRINTS_PER_PART), bits)
+    reach = reached[part_bits]
+    sent = pa.schema([("part", pa.int64()), ("fps", pa.binary())])
     out = pa.schema([("a", pa.list_(pa.int64()) if stars else pa.int64()), ("b", pa.int64())])
+    at_once = max(1, SENT_AT_ONCE // len(reach))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False)
-            for a in range(0, len(fp), 4096):
-                part = fp[a : a + 4096]
-                to = bucket_of(part.view(U), bits)[:, None] ^ reach[None, :]
-                if width < 64:
-                    to |= (part >> width)[:, None] << 32
-                yield W.record_batch(sent, [to.ravel(), np.repeat(part, len(reach))])
+            held.append(batch.column(0).to_numpy(zero_copy_only=False).view(U))
+            n += len(held[-1])
+            if n >= at_once:
+                yield W.record_batch(sent, list(packed_parts(np.concatenate(held), reach, bits, part_bits, width)))
+                held, n = [], 0
+        if n:
+            yield W.record_batch(sent, list(packed_parts(np.concatenate(held), reach, bits, part_bits, width)))
 
     def meet(table: pa.Table) -> pa.Table:
-        fp = table.column("fp").to_numpy().astype(np.int64).view(U)
-        a, b = links_in(fp, table.column("bucket")[0].as_py() & 0xFFFFFFFF, bits, radius, width)
+        part = table.column("part")[0].as_py()
+        fps = unpacked_part(table.column("fps"), part, width)
+        a, b = links_in(fps, part & 0xFFFFFFFF, bits, radius, width, part_bits)
         a, b = a.view(np.int64), b.view(np.int64)
         if stars:
             names, root, _ = trees(a, b)
@@ -209,7 +270,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, width: int = 64, kinds: int
             a, b = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n - 1)].astype(np.int32)), pa.array(names[rest])), names[first]
         return pa.Table.from_batches([W.record_batch(out, [a, b])])
 
-    found = distinct.mapInArrow(send, "bucket bigint, fp bigint").groupBy("bucket")
+    found = distinct.mapInArrow(send, "part bigint, fps binary").groupBy("part")
     return found.applyInArrow(meet, f"a {'array<bigint>' if stars else 'bigint'}, b bigint")
 
 
