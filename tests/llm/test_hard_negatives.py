@@ -59,6 +59,40 @@ def test_brute_force(spark, rows, small, monkeypatch):
     assert results(got) == want and len(want) > 100
 
 
+def exchanged(plan):
+    """Nodes of an adaptive plan that has run, and the bytes of its exchanges."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return exchanged(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return exchanged(plan.plan())
+    below = [exchanged(plan.children().apply(i)) for i in range(plan.children().size())]
+    return [(name, plan.metrics().apply("dataSize").value() if name == "Exchange" else 0), *(x for b in below for x in b)]
+
+
+@pytest.mark.parametrize("least", [1, 6])
+def test_nothing_is_broadcast_and_blocks_are_sent_for_many_groups(spark, rows, least, monkeypatch):
+    """Each block and group is sent to a row or column of cells, by way of no driver; a broadcast would hold every copy there."""
+    for name, value in (("ANCHOR_ROWS", 4), ("BLOCK_BYTES", 16384), ("BLOCKS_PER_CELL", 2), ("LEAST_CELLS", least)):
+        monkeypatch.setattr(hard_negatives, name, value, raising=False)
+    made, keep = {}, hard_negatives.staged
+
+    def stage(df, name):
+        made[name] = (df, keep(df, name))
+        return made[name][1]
+
+    monkeypatch.setattr(hard_negatives, "staged", stage)
+    got = hard_negatives.mine(frame(spark, rows).repartition(2), F.col("vec_id") % 5 == 0)
+    assert results(got) == expected(rows, lambda i: i % 5 == 0)
+    blocks, anchors = made["vector-blocks"][1], made["anchors"][1]
+    block_bytes = sum(sum(map(len, r[2:])) for r in blocks.collect())
+    last = exchanged(got._jdf.queryExecution().executedPlan())
+    assert anchors.count() > 60 and not any("Broadcast" in name for name, _ in last)
+    assert "Broadcast" not in made["anchors-positives"][0]._jdf.queryExecution().executedPlan().toString()
+    # Of the 18 groups or more, a block is sent for six or more at once; the anchors are the lesser part.
+    assert block_bytes < max(size for _, size in last) < 6 * block_bytes
+
+
 def test_parameters(spark, rows):
     got = hard_negatives.mine(frame(spark, rows), F.col("vec_id") % 25 == 0, scale=10, positives=2, negatives=1, low=20, high=100)
     assert results(got) == expected(rows, lambda i: i % 25 == 0, 10, 2, 1, 20, 100)

@@ -15,8 +15,8 @@ integers.  The result is that of scoring all pairs.
 
 Rows are coded once into blocks of `BLOCK_BYTES`; anchors come in groups of about
 `ANCHOR_ROWS`.  Every block meets every group once, in an equi-join on numbered
-cells, and keeps its few best rows for each anchor, which a ranking per anchor
-merges.  Neither anchors nor rows pass through the driver or are broadcast whole.
+cells of a few blocks and a few groups each, and keeps its few best rows for each anchor, which a ranking per anchor
+merges.  Neither anchors nor rows pass through the driver or are broadcast: all joins are merges at every size.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ from tidebars.llm.staging import staged
 SEED = 20_240_607
 LEVELS, QUERY_BITS = 4, 6
 BLOCK_BYTES, ANCHOR_ROWS, BLOCKS_PER_CELL = 2 << 20, 1024, 4
+#: Groups of anchors of a cell at most; cells there are to be, if groups and blocks suffice, before a cell holds more than one group.
+GROUPS_PER_CELL, LEAST_CELLS = 16, 64
 PAIRS_AT_ONCE = 1 << 18
 SCALE, POSITIVES, NEGATIVES, LOW, HIGH = 256, 5, 3, 50, 95
 
@@ -267,13 +269,18 @@ def best_negatives(labels: np.ndarray, vectors: np.ndarray, bands: list[list[tup
 
 
 def _cells(anchors: DataFrame, blocks: DataFrame, groups: int) -> DataFrame:
-    """Every group of anchors with every block of vectors as long."""
-    cells = -(-blocks.count() // BLOCKS_PER_CELL)
+    """Every group of anchors with every block of vectors as long.
+
+    A block goes once to each column of cells, for all groups there, and a group once to each row of
+    cells.  How often that is doesn't show in Spark's estimate of a side's size, by which it would broadcast one.
+    """
+    rows = max(-(-blocks.count() // BLOCKS_PER_CELL), 1)
+    columns = max(-(-groups // min(GROUPS_PER_CELL, max(groups * rows // LEAST_CELLS, 1))), 1)
     dealt = anchors.groupBy("group", "dim").agg(F.collect_list("anchor").alias("anchors"))
-    dealt = dealt.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(max(cells - 1, 0)))))
-    laid = blocks.withColumn("cell", F.pmod(F.xxhash64("name"), F.lit(max(cells, 1))).cast("int"))
-    laid = laid.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(max(groups - 1, 0)))))
-    return laid.join(dealt, ["group", "cell", "dim"])
+    dealt = dealt.select(F.pmod("group", F.lit(columns)).alias("column"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("line"), "dim", "anchors")
+    laid = blocks.withColumn("line", F.pmod(F.xxhash64("name"), F.lit(rows)).cast("int"))
+    laid = laid.withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    return laid.join(dealt.hint("merge"), ["column", "line", "dim"])
 
 
 def _anchor_arrays(anchors: pa.Array, dim: int, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -339,7 +346,7 @@ def mine(
     near = _paired(_cells(grouped(picked), blocks, groups), positives_of, "id bigint, copy bigint, label bigint, positive_id bigint, positive_score bigint", [long] * 5)
     near = ranked(near, anchor, "positive_score", "positive_id", positives)
     lists = near.groupBy(*anchor).agg(F.sort_array(F.collect_list(F.struct("rank", "positive_id", "positive_score"))).alias("positives"))
-    known = staged(picked.join(lists, anchor), "anchors-positives")
+    known = staged(picked.join(lists.hint("merge"), anchor), "anchors-positives")
 
     def negatives_of(anchors: pa.Array, row: dict) -> Iterator[tuple]:
         ids, copies, labels, numbers = _anchor_arrays(anchors, row["dim"], scale)
