@@ -14,9 +14,10 @@ whose interval can't reach a result is dropped; every other one is scored by its
 integers.  The result is that of scoring all pairs.
 
 Rows are coded once into blocks of `BLOCK_BYTES`; anchors come in groups of about
-`ANCHOR_ROWS`.  Every block meets every group once, in an equi-join on numbered
-cells of a few blocks and a few groups each, and keeps its few best rows for each anchor, which a ranking per anchor
-merges.  Neither anchors nor rows pass through the driver or are broadcast: all joins are merges at every size.
+`ANCHOR_ROWS`.  Every block meets every group once, in numbered cells of a few blocks
+and a few groups each, and keeps its few best rows for each anchor, which a ranking per anchor
+merges.  Neither anchors nor rows pass through the driver or are broadcast, and a task holds the blocks
+and groups of one cell at a time, each once.
 """
 
 from __future__ import annotations
@@ -126,13 +127,14 @@ def intervals(query: Query, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest score that each anchor (rows of the result) may have with each coded vector (columns)."""
     levels, bits = query.planes.shape[1:3]
     estimate = np.zeros((len(query.norm), len(codes.norm)))
-    error = estimate + 0.0
+    error, common = estimate + 0.0, np.empty(estimate.shape, U)
     for level in range(levels):
         words = codes.bits[:, level]
-        inside = -(1 << (bits - 1)) * np.bitwise_count(words).sum(1, dtype=np.int64)[None, :]
+        inside = np.zeros(estimate.shape, np.int32) - (1 << (bits - 1)) * np.bitwise_count(words).sum(1, dtype=np.int32)[None, :]
         for b in range(bits):
             for w in range(words.shape[1]):
-                inside = inside + (np.bitwise_count(words[None, :, w] & query.planes[:, level, b, w, None]).astype(np.int64) << b)
+                np.bitwise_and(words[None, :, w], query.planes[:, level, b, w, None], out=common)
+                inside += np.left_shift(np.bitwise_count(common), b, dtype=np.int32)
         along = (2 * inside - query.sums[:, level, None]) * query.step[:, level, None]
         estimate += along * codes.align[None, :, level]
         error += query.error[:, level, None] * np.abs(codes.align[None, :, level])
@@ -268,19 +270,18 @@ def best_negatives(labels: np.ndarray, vectors: np.ndarray, bands: list[list[tup
                         yield int(a), b, other.ids[at[first]], scores[first]
 
 
-def _cells(anchors: DataFrame, blocks: DataFrame, groups: int) -> DataFrame:
-    """Every group of anchors with every block of vectors as long.
+def _cells(anchors: DataFrame, blocks: DataFrame, groups: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of vectors and groups of anchors by ``(column, line, dim)``, in which every group meets every block of vectors as long.
 
-    A block goes once to each column of cells, for all groups there, and a group once to each row of
-    cells.  How often that is doesn't show in Spark's estimate of a side's size, by which it would broadcast one.
+    A block goes once to each column of cells, for all groups there, and a group once to each line of them.
     """
-    rows = max(-(-blocks.count() // BLOCKS_PER_CELL), 1)
-    columns = max(-(-groups // min(GROUPS_PER_CELL, max(groups * rows // LEAST_CELLS, 1))), 1)
+    lines = max(-(-blocks.count() // BLOCKS_PER_CELL), 1)
+    columns = max(-(-groups // min(GROUPS_PER_CELL, max(groups * lines // LEAST_CELLS, 1))), 1)
     dealt = anchors.groupBy("group", "dim").agg(F.collect_list("anchor").alias("anchors"))
-    dealt = dealt.select(F.pmod("group", F.lit(columns)).alias("column"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("line"), "dim", "anchors")
-    laid = blocks.withColumn("line", F.pmod(F.xxhash64("name"), F.lit(rows)).cast("int"))
+    dealt = dealt.select(F.pmod("group", F.lit(columns)).alias("column"), F.explode(F.sequence(F.lit(0), F.lit(lines - 1))).alias("line"), "dim", "anchors")
+    laid = blocks.withColumn("line", F.pmod(F.xxhash64("name"), F.lit(lines)).cast("int"))
     laid = laid.withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
-    return laid.join(dealt.hint("merge"), ["column", "line", "dim"])
+    return laid.select("column", "line", "dim", "ids", "labels", "vectors", "bits", "align", "rest", "norm"), dealt
 
 
 def _anchor_arrays(anchors: pa.Array, dim: int, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -290,19 +291,21 @@ def _anchor_arrays(anchors: pa.Array, dim: int, scale: int) -> tuple[np.ndarray,
     return ids, copies, labels, whole_numbers(values, scale)
 
 
-def _paired(pairs: DataFrame, found, fields: str, types: list[pa.DataType]) -> DataFrame:
-    """``found(anchors, row)`` of each group and block, whose tuples become rows."""
+def _paired(cells: tuple[DataFrame, DataFrame], found, fields: str, types: list[pa.DataType]) -> DataFrame:
+    """``found(anchors, row)`` of each group and block of a cell, whose tuples become rows."""
     schema = pa.schema(list(zip([f.split()[0] for f in fields.split(", ")], types, strict=True)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names if n != "anchors"}
-                made = list(found(batch.column("anchors")[i].values, row))
-                if made:
-                    yield W.record_batch(schema, list(zip(*made, strict=True)))
-
-    return pairs.select("dim", "ids", "labels", "vectors", "bits", "align", "rest", "norm", "anchors").mapInArrow(run, fields)
+    def run(blocks: pa.Table, groups: pa.Table) -> pa.Table:
+        made = []
+        for i in range(blocks.num_rows):
+            row = {n: blocks.column(n)[i].as_py() for n in blocks.schema.names}
+            for group in groups.column("anchors"):
+                if rows := list(found(group.values, row)):
+                    made.append(W.record_batch(schema, list(zip(*rows, strict=True))))
+        return pa.Table.from_batches(made, schema)
+
+    laid, dealt = (side.groupBy("column", "line", "dim") for side in cells)
+    return laid.cogroup(dealt).applyInArrow(run, fields)
 
 
 def mine(
